@@ -1,0 +1,4 @@
+STAGES=[]
+ORACLE_SQL=None
+def run(spark, sf_dir):
+    raise NotImplementedError
