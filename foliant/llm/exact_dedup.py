@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from foliant.llm.shared import scratch, tasks
+from foliant.llm.shared import lookup, scratch, tasks
 
 #: The white space that equality ignores, [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 #: Distinct keys that a bucket file holds before it is split.
 BUCKET_KEYS = 2_000_000
-#: A key with more rows than this is looked up by broadcast; there are at most rows / HOT_ROWS of them.
-HOT_ROWS = 1_000
-#: More hot keys than this (some 100 MB) are not broadcast but joined as all others, by Spark's own skew handling.
-HOT_KEYS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -107,13 +103,5 @@ def exact_dedup(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     keys = keys.select("key", "digest", "bytes", F.bitwise_not("best.doc").alias("keep_id"), F.bitwise_not("best.row").alias("keep_row"), "group_size")
     _, index = build_index(keys, f"{root}/index", rows.count(), bucket_keys)
 
-    chain, found = ["key", "digest", "bytes"], ["keep_id", "keep_row", "group_size"]
-    hot = index.where(F.col("group_size") > HOT_ROWS)
-    if hot.count() <= HOT_KEYS:
-        near = rows.join(F.broadcast(hot), chain, "left")
-        held = F.col("group_size").isNotNull()
-        first, others = near.where(held), near.where(~held).drop(*found)
-        joined = first.unionByName(others.join(index.where(F.col("group_size") <= HOT_ROWS), chain).select(*first.columns))
-    else:
-        joined = rows.join(index, chain)
+    joined = lookup(rows, index, ["key", "digest", "bytes"], "group_size")
     return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.decontaminate import find_leaks
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.jaccard_join import jaccard_components
 from foliant.llm.line_dedup import line_dedup
 from foliant.llm.mixing import mix, taken
 from foliant.llm.token_records import token_records
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +49,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
     "op4_token_records": op4_token_records,
     "op6_mix_sources": op6_mix_sources,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -46,3 +47,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def tasks(spark: SparkSession) -> int:
     """How many tasks a shuffle is dealt to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key with more rows than this is looked up by broadcast; there are at most rows / HOT_ROWS of them.
+HOT_ROWS = 1_000
+#: More hot keys than this are not broadcast but joined as all others, by Spark's own skew handling.
+HOT_KEYS = 500_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with table (inner; one row per key), which has in column ``count`` how many rows a key has.
+
+    Keys with many rows are looked up by broadcast, so no task gets all rows of one; their number is checked first.
+    """
+    hot = table.where(F.col(count) > HOT_ROWS)
+    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return rows.join(table, keys)
+    found = [c for c in table.columns if c not in keys]
+    near = rows.join(F.broadcast(hot), keys, "left")
+    first, others = near.where(F.col(count).isNotNull()), near.where(F.col(count).isNull()).drop(*found)
+    return first.unionByName(others.join(table.where(F.col(count) <= HOT_ROWS), keys))
