@@ -1,2 +1,62 @@
-"""Toxicity, near duplicates, benchmark leaks, mixing, token files: five stages over ``documents``."""
-from foliant.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
+"""From documents to token files in five stages: toxicity, near duplicates, benchmark leaks, mixing, token records."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.llm.decontaminate import decontaminate
+from foliant.llm.jaccard_join import near_dedup
+from foliant.llm.mixing import mixed_documents
+from foliant.llm.queries import TOKENIZER, table
+from foliant.llm.shared import stored
+from foliant.llm.token_records import token_records
+from foliant.llm.toxicity import toxicity
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of an expected severity under the limit, by a classifier fitted on the labelled ones among them."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    return toxicity(row, table(spark, sf_dir, "labels")).where("not rejected").select("row.*")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix draws, as often as it does."""
+    return mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as files of token ids, read back: doc_id, start, n_tokens, ids_crc32 of each document drawn."""
+    return token_records(docs, TOKENIZER)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("ngram_jaccard_join", without_copies),
+    ("decontamination", without_leaks),
+    ("source_mix", mixed),
+    ("token_records", tokens),
+]
+
+#: SQL can't express the stages (a fitted classifier, a tokenizer); tests hold the rows against a brute-force version.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents, each written as Parquet in the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

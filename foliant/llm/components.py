@@ -11,26 +11,26 @@ from foliant.llm.shared import cut
 def roots(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). One row per vertex that has an edge to another: node, root, with the same root within a component.
 
-    In each pass a vertex hooks to its smallest neighbour, chains are followed by doubling, and the graph of roots is
-    contracted: a pass at least halves the vertices that still have edges.
+    In each pass a vertex takes the label of its smallest neighbour's smallest neighbour (twice over), and the graph of labels
+    takes the graph's place: vertices of one label are connected, and every edge stays one between labels. So
+    components stay as they are, and a pass at least halves the vertices that still have edges.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     out = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
-        while True:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = cut(parent.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            parent = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
+        low = cut(low)
+        up = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        label = cut(low.join(up, "label").select("node", F.col("next").alias("label")).join(up, "label").select("node", F.col("next").alias("label")))
         if out is None:
-            out = parent
+            out = label
         else:
-            next_root = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            out = cut(out.join(next_root, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-        to = lambda c: parent.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        joined = edges.join(to("a"), "a").join(to("b"), "b").where("a_root <> b_root")
-        edges = cut(joined.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
-    return out if out is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            nxt = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            out = out.join(nxt, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        to = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        joined = edges.join(to("a"), "a").join(to("b"), "b").where("a_label <> b_label")
+        edges = cut(joined.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct())
+    if out is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return cut(out.withColumnRenamed("label", "root"))

@@ -36,6 +36,8 @@ CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 60_000
 SHARED = 32
 #: Cost of a verification, in lookups.
 VERIFY = 16.0
+#: By so much the number of pivots grows in each round.
+PIVOTS = 32
 LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16])
 LOW48 = np.uint64((1 << 48) - 1)
 NO_ROW = 0xFFFF
@@ -254,8 +256,6 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 def _components(nodes: DataFrame, percent: int) -> DataFrame:
     """node, comp for the nodes that have links."""
     live = stored(nodes.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node long, n long"), "postings")
-    several = live.groupBy("token").count().where("count > 1").select("token")
-    live = stored(live.join(several, "token"), "postings")
     comp, pivots = None, 1
     while not live.isEmpty():
         now = live.withColumn("comp", F.col("node")) if comp is None else live.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -279,7 +279,7 @@ def _components(nodes: DataFrame, percent: int) -> DataFrame:
             fresh = found.select("node", F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
             comp = cut(grown.unionByName(fresh))
         live = now.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n")
-        pivots *= 8
+        pivots *= PIVOTS
     return comp if comp is not None else nodes.select("node", F.col("node").alias("comp")).limit(0)
 
 

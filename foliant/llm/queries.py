@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.chat import format_chats
 from foliant.llm.decontaminate import find_leaks
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.jaccard_join import jaccard_components
 from foliant.llm.line_dedup import line_dedup
+from foliant.llm.lm_scoring import lm_scores
 from foliant.llm.mixing import mix, taken
+from foliant.llm.suffix_dedup import suffix_dedup
 from foliant.llm.token_records import token_records
+from foliant.llm.toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,15 +34,34 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", taken(F.col("draws")).alias("taken"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return graded.select("doc_id", "severity", "grade", "rejected")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,8 +74,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
+    "op3_lm_score": op3_lm_score,
     "op4_token_records": op4_token_records,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op7_chat_format": op7_chat_format,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
