@@ -222,14 +222,15 @@ def linked(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int = PERCEN
 def _postings(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, node, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            token, node, size, alone = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))
             for k, n, t in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
                 own = np.frombuffer(t, "<u8")
                 first, _ = prefix(own, n, percent)
                 token.append(own[:first])
                 node.append(np.full(first, k))
                 size.append(np.full(first, n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (token, node, size)], names=["token", "node", "n"])
+                alone.append(np.full(first, n - len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (token, node, size, alone)], names=["token", "node", "n", "alone"])
 
     return work
 
@@ -255,13 +256,14 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 def _components(nodes: DataFrame, percent: int) -> DataFrame:
     """node, comp for the nodes that have links."""
-    live = stored(nodes.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node long, n long"), "postings")
+    live = stored(nodes.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node long, n long, alone long"), "postings")
     comp, pivots = None, 1
     while not live.isEmpty():
         now = live.withColumn("comp", F.col("node")) if comp is None else live.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_lists = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        now = cut(now.join(open_lists, "token").select("token", "node", "n", "comp"))
-        order = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
+        now = cut(now.join(open_lists, "token").select("token", "node", "n", "alone", "comp"))
+        # what the copies of a text were made from has few shingles of its own, and is linked with most of them
+        order = Window.partitionBy("token").orderBy(F.col("alone") / F.col("n"), F.xxhash64("node"), "node")
         chosen = cut(now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp")))
         met = now.join(chosen, "token").where(f"comp <> pcomp and 100 * n >= {percent} * pn and 100 * pn >= {percent} * n")
         pairs = cut(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
@@ -278,7 +280,7 @@ def _components(nodes: DataFrame, percent: int) -> DataFrame:
             grown = comp.join(found.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
             fresh = found.select("node", F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
             comp = cut(grown.unionByName(fresh))
-        live = now.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n")
+        live = now.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n", "alone")
         pivots *= PIVOTS
     return comp if comp is not None else nodes.select("node", F.col("node").alias("comp")).limit(0)
 

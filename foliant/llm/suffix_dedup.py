@@ -30,6 +30,8 @@ from foliant.llm.shared import stored, tasks
 LENGTH, GRAM, PERIOD = 100, 24, 32
 #: Text bytes whose equal cells are told apart in one go, and suffixes sorted as one bucket at most (more if they tie).
 CHUNK_BYTES, BUCKET = 4 << 20, 1 << 17
+#: Bytes of cells whose passages are sorted together (more if they share an anchor).
+BLOCK = 2 << 20
 #: Bits of a position in a piece; a longer text is cut into overlapping segments.
 POSITION = 25
 
@@ -259,18 +261,17 @@ def _fetch(ranges: int, length: int):
             for i, (key, asked) in enumerate(zip(batch.column("key").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
                 for x in asked:
                     a = int(offsets[i]) + x["start"]
-                    out.append((int(np.searchsorted(bounds, np.uint64(x["anchor"] % (1 << 64)), side="right")), key, x["start"], x["more"], raw[a : a + x["more"] + length]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["to", "key", "start", "more", "bytes"])
+                    out.append((int(np.searchsorted(bounds, np.uint64(x["anchor"] % (1 << 64)), side="right")), key, x["start"], x["more"], x["anchor"], raw[a : a + x["more"] + length]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["to", "key", "start", "more", "anchor", "bytes"])
 
     return work
 
 
 def _sorted_cells(length: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        whole = pa.Table.from_batches(got)
+    """Rows come in order of their anchors; whole anchors of about BLOCK bytes are sorted at a time."""
+
+    def passages(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(block)
         key, start, more = (whole.column(c).to_numpy() for c in ("key", "start", "more"))
         text, offsets = column_bytes(whole.column("bytes"))
         many = more + 1
@@ -280,7 +281,27 @@ def _sorted_cells(length: int):
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         again = repeated(text, at, rank, length)
-        yield _found(key[again], REPEAT, begin[again], np.zeros(int(again.sum()), np.int64), np.zeros(int(again.sum()), np.uint64))
+        none = np.zeros(int(again.sum()), np.int64)
+        return _found(key[again], REPEAT, begin[again], none, none.astype(np.uint64))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, last = [], 0, None
+        for batch in batches:
+            anchor = batch.column("anchor").to_numpy()
+            cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)] if len(anchor) else []
+            a = 0
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if size >= BLOCK and anchor[x] != last:
+                    if x > a:
+                        block.append(batch.slice(a, x - a))
+                    yield passages(block)
+                    block, size, a = [], 0, x
+                size += (y - x) * (length + 32)
+                last = anchor[x]
+            if a < batch.num_rows:
+                block.append(batch.slice(a))
+        if block:
+            yield passages(block)
 
     return work
 
@@ -330,8 +351,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = rows.select("key", "text").mapInArrow(_deal(ranges, length), DEALT_DDL).repartitionById(ranges, F.col("to"))
     judged = stored(dealt.mapInArrow(_judge, FOUND_DDL), "cells")
     asked = judged.where(F.col("kind") == ASK).groupBy("key").agg(F.collect_list(F.struct("start", "more", "anchor")).alias("asked"))
-    fetched = rows.select("key", "text").join(asked, "key").mapInArrow(_fetch(ranges, length), "to int, key long, start long, more long, bytes binary")
-    sorted_ = stored(fetched.repartitionById(ranges, F.col("to")).mapInArrow(_sorted_cells(length), FOUND_DDL), "sorted")
+    fetched = rows.select("key", "text").join(asked, "key").mapInArrow(_fetch(ranges, length), "to int, key long, start long, more long, anchor long, bytes binary")
+    sorted_ = stored(fetched.repartitionById(ranges, F.col("to")).sortWithinPartitions("anchor").mapInArrow(_sorted_cells(length), FOUND_DDL), "sorted")
     repeats = judged.where(F.col("kind") == REPEAT).unionByName(sorted_)
     found = repeats.groupBy("key").agg(F.collect_list(F.struct("start", "more")).alias("found"))
     joined = rows.join(found, "key", "left").select("doc_id", "text", "found")
