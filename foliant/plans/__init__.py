@@ -1,4 +1,313 @@
-"""The registered queries and their SQL."""
+"""The registered queries over books and readers, and their SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from foliant.functions import text as T
+from foliant.operators import graph, layout, players, segment
+from foliant.sources.corpus import MISSING, SQL, lines, sections, table
+
+C = F.col("content")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, books: bool = True):
+    """Registers a query, with SQL that may use the corpus's L, N and S."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {SQL}{sql if sql.lstrip().startswith(',') else ' ' + sql}" if books else sql
+        return f
+
+    return add
+
+
+def joined(array) -> F.Column:
+    return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
+
+
+REF = r"regexp_extract_all(content, '(?i)\b(?:turn|go)\s+to\s+(?:the\s+)?(\d{1,4})\b', 1)"
+REFS = f"list_sort(list_distinct(list_transform({REF}, lambda x: CAST(x AS INT))))"
+EDGES = f", E AS (SELECT book_id, section_number AS src, n_sections, unnest({REFS}) AS dst FROM S)"
+KEY = "book_id, section_number"
+IDS = ["book_id", "section_number"]
+
+
+@query(f"SELECT {KEY}, array_to_string({REFS}, ',') AS refs, len({REFS}) AS n_refs FROM S")
+def section_references(s, d):
+    r = T.references(C)
+    return sections(s, d).select(*IDS, joined(r).alias("refs"), F.size(r).alias("n_refs"))
+
+
+@query(rf""", X AS (SELECT {KEY}, regexp_extract_all(content, '(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{{1,4}})[.!]?\s*$', 1) AS l,
+  regexp_extract_all(content, '(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{{1,4}})[.!]?\s*$', 2) AS t FROM S)
+  SELECT {KEY}, k AS pos, nullif(trim(regexp_replace(l[k], '[,;:\s]+$', '')), '') AS label, CAST(t[k] AS INT) AS target
+  FROM (SELECT {KEY}, l, t, unnest(range(1, len(l) + 1)) AS k FROM X)""")
+def choice_lines(s, d):
+    return sections(s, d).select(*IDS, F.posexplode(T.choices(C)).alias("pos", "c")).select(*IDS, (F.col("pos") + 1).cast("long").alias("pos"), "c.label", "c.target")
+
+
+@query(rf"SELECT {KEY}, trim(regexp_replace(array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{{1,4}})[.!]?\s*$')), ' '), '\s+', ' ', 'g')) AS clean FROM S")
+def clean_text(s, d):
+    return sections(s, d).select(*IDS, T.clean(C).alias("clean"))
+
+
+@query(rf"""SELECT {KEY},
+  list_bool_or(list_transform(string_split(content, chr(10)), lambda x: regexp_matches(x, '\bSKILLS?\b') AND regexp_matches(x, '\bSTAMINAS?\b'))) AS has_combat,
+  regexp_matches(content, '(?i)\btest your luck\b') AS luck_test,
+  array_to_string(list_transform(regexp_extract_all(content, '(?i)(?:lose|gain|add|deduct|restore|increase|decrease|take)\s+\d+\s+(?:points?\s+)?(?:of\s+|from\s+|in\s+)?(?:skill|stamina|luck|crew strike|crew strength)'), lambda x: upper(x)), '|') AS stat_list,
+  len({REFS}) = 0 AND NOT contains(content, '{MISSING}') AS is_end,
+  len({REFS}) = 0 AND NOT contains(content, '{MISSING}') AND contains(content, 'Your adventure ends') AS death,
+  contains(content, '{MISSING}') AS is_missing FROM S""")
+def section_features(s, d):
+    stats = F.regexp_extract_all(C, F.lit("(" + T.STAT.replace("(?i)", "(?i:", 1) + "))"), F.lit(1))
+    return sections(s, d).select(*IDS, T.has_combat(C).alias("has_combat"), T.luck_test(C).alias("luck_test"), F.array_join(F.transform(stats, F.upper), "|").alias("stat_list"), T.is_end(C).alias("is_end"), T.death(C).alias("death"), T.is_missing(C).alias("is_missing"))
+
+
+@query(rf""", X AS (SELECT {KEY}, unnest(regexp_extract_all(content, '(?i)(?:add|gain|increase|deduct|lose|subtract)\s+\d+\s+days?\s+(?:to\s+|from\s+|in\s+)?(?:your\s+)?log\b')) AS m FROM S)
+  SELECT {KEY}, CAST(sum(CASE WHEN regexp_matches(m, '(?i)^(add|gain|increase)') THEN 1 ELSE -1 END * CAST(regexp_extract(m, '\d+') AS INT)) AS BIGINT) AS log_days FROM X GROUP BY ALL""")
+def log_days(s, d):
+    return sections(s, d).select(*IDS, T.log_days(C).cast("long").alias("log_days")).where("log_days IS NOT NULL")
+
+
+@query(rf"SELECT {KEY}, unnest(list_distinct(regexp_extract_all(content, '(?i)(?:add|gain|receive|find|deduct|lose|spend)\s+(?:\d+|one|two|three|four|five)\s+(?:gold pieces|gp|pieces of gold|slaves)'))) AS booty FROM S")
+def booty(s, d):
+    return sections(s, d).select(*IDS, F.explode(T.booty(C)).alias("booty"))
+
+
+@query(rf"SELECT DISTINCT {KEY}, trim(m) AS sentence FROM (SELECT {KEY}, unnest(regexp_extract_all(content, '[^.!?\n]+[.!?]?')) AS m FROM S) WHERE regexp_matches(m, '(?i)\broll\b.*\b(die|dice)\b')")
+def dice_instructions(s, d):
+    return sections(s, d).select(*IDS, F.explode(T.dice_sentences(C)).alias("sentence"))
+
+
+@query(r""", X AS (SELECT book_id, section_number, n, text FROM L WHERE regexp_matches(text, '^[A-Z][A-Z'' -]*\s+SKILL\s+\d+\s+STAMINA\s+\d+'))
+  SELECT book_id, section_number, regexp_extract(text, '^(.*?)\s+SKILL', 1) AS name, CAST(regexp_extract(text, 'SKILL\s+(\d+)', 1) AS INT) AS skill,
+  CAST(regexp_extract(text, 'STAMINA\s+(\d+)', 1) AS INT) AS stamina FROM X""")
+def enemies(s, d):
+    return sections(s, d).select(*IDS, F.explode(T.enemies(C)).alias("e")).select(*IDS, "e.*")
+
+
+@query(f"{EDGES} SELECT book_id, dst AS node, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources FROM E GROUP BY ALL UNION ALL SELECT book_id, section_number, '' FROM S WHERE (book_id, section_number) NOT IN (SELECT book_id, dst FROM E)")
+def graph_incoming(s, d):
+    return graph.incoming(sections(s, d)).select("book_id", "node", joined(F.col("sources")).alias("sources"))
+
+
+@query(f"SELECT {KEY} FROM S WHERE len({REFS}) = 0 AND NOT contains(content, '{MISSING}')")
+def graph_dead_ends(s, d):
+    return graph.dead_ends(sections(s, d))
+
+
+@query(f"{EDGES} SELECT book_id, src, dst FROM E WHERE dst < 1 OR dst > n_sections")
+def graph_orphans(s, d):
+    return graph.orphan_links(sections(s, d))
+
+
+REACH = f"""WITH RECURSIVE {SQL}{EDGES}, R AS (SELECT DISTINCT book_id, CAST(1 AS INT) AS node, 0 AS depth FROM S WHERE section_number = 1
+  UNION SELECT E.book_id, E.dst, depth + 1 FROM R JOIN E ON E.book_id = R.book_id AND E.src = R.node WHERE E.dst BETWEEN 1 AND n_sections AND depth < n_sections)"""
+
+
+@query()
+def graph_depths(s, d):
+    return graph.depths(sections(s, d))
+
+
+ORACLES["graph_depths"] = f"{REACH} SELECT book_id, node AS section_number, min(depth) AS depth FROM R GROUP BY ALL"
+
+
+@query()
+def graph_unreachable(s, d):
+    all_ = sections(s, d)
+    return all_.select(*IDS).join(graph.depths(all_).select(*IDS), IDS, "left_anti")
+
+
+ORACLES["graph_unreachable"] = f"{REACH} SELECT book_id, section_number FROM S WHERE (book_id, section_number) NOT IN (SELECT book_id, node FROM R)"
+
+
+@query()
+def graph_max_depth(s, d):
+    return graph.depths(sections(s, d)).groupBy("book_id").agg(F.max("depth").alias("max_depth"))
+
+
+ORACLES["graph_max_depth"] = f"{REACH} SELECT book_id, max(depth) AS max_depth FROM (SELECT book_id, node, min(depth) AS depth FROM R GROUP BY ALL) GROUP BY ALL"
+
+
+def _real(s, d):
+    every = sections(s, d)
+    return every.where(C != MISSING), every.select("book_id", "n_sections").distinct()
+
+
+@query(f"SELECT {KEY} FROM S WHERE content = '{MISSING}'")
+def missing_sections(s, d):
+    return segment.missing_numbers(*_real(s, d))
+
+
+@query(f"SELECT {KEY}, content FROM S")
+def gap_fill(s, d):
+    real, most = _real(s, d)
+    return segment.fill_gaps(real.select(*IDS, "content"), most)
+
+
+@query(f""", P AS (SELECT {KEY}, 0 AS pass_id, content FROM S UNION ALL SELECT {KEY}, 1, CASE WHEN section_number % 3 = 0 THEN content || ' (again)' ELSE '{MISSING}' END FROM S
+    UNION ALL SELECT {KEY}, 2, content || ' (again)' FROM S WHERE section_number % 2 = 0)
+  SELECT {KEY}, content FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY content <> '{MISSING}' DESC, length(content) DESC, pass_id) AS r FROM P) WHERE r = 1""")
+def merge_candidates(s, d):
+    every = sections(s, d)
+    again = F.concat(C, F.lit(" (again)"))
+    passes = [every.select(*IDS, F.lit(0).alias("pass_id"), "content"), every.select(*IDS, F.lit(1).alias("pass_id"), F.when(F.col("section_number") % 3 == 0, again).otherwise(MISSING).alias("content")), every.where("section_number % 2 = 0").select(*IDS, F.lit(2).alias("pass_id"), again.alias("content"))]
+    return segment.merge_candidates(passes[0].unionByName(passes[1]).unionByName(passes[2]), every.select("book_id", "n_sections").distinct())
+
+
+@query(f"SELECT {KEY}, content FROM S WHERE content <> '{MISSING}'")
+def manifest_sections(s, d):
+    """Sections cut from one run of lines per book by the starts of a manifest."""
+    every = lines(s, d).withColumn("n", F.col("section_number").cast("long") * 1000 + F.col("n"))
+    starts = every.groupBy(*IDS).agg(F.min("n").alias("start"))
+    return segment.manifest_sections(every, starts.withColumn("section_number", F.col("section_number").cast("int")))
+
+
+@query(f"SELECT {KEY}, replace(content, chr(10), chr(10) || chr(10)) AS content FROM S WHERE content <> '{MISSING}'")
+def header_segmentation(s, d):
+    """Sections found again in blocks whose headers are set bold."""
+    rows = lines(s, d)
+    style = lambda bold: (F.lit(1).alias("page"), F.lit(10.0).alias("font_size"), F.lit(bold).alias("is_bold"))
+    heads = rows.select(*IDS).distinct().select("book_id", (F.col("section_number") * 1000).cast("long").alias("seq"), F.col("section_number").cast("string").alias("text"), *style(True))
+    body = rows.select("book_id", (F.col("section_number") * 1000 + F.col("n") + 1).cast("long").alias("seq"), "text", *style(False))
+    return segment.header_fold(heads.unionByName(body)).select(*IDS, "content")
+
+
+@query()
+def trimmed_lines(s, d):
+    return sections(s, d).select(*IDS, F.array_join(segment.trim_lines(F.split(C, "\n")), "\n").alias("content"))
+
+
+@query(f"""SELECT book_id, count(*) AS present, max(section_number) AS top, CAST(sum(length(content)) AS BIGINT) AS total_chars, CAST(floor(avg(length(content))) AS BIGINT) AS mean_chars,
+  count(*) FILTER (contains(content, 'SKILL')) AS combat, max(section_number) < 200 OR avg(length(content)) NOT BETWEEN 300 AND 2500 AS needs_attention FROM S WHERE content <> '{MISSING}' GROUP BY ALL""")
+def book_quality(s, d):
+    size = F.length(C)
+    attention = (F.max("section_number") < 200) | ~F.avg(size).between(300, 2500)
+    return sections(s, d).where(C != MISSING).groupBy("book_id").agg(F.count(F.lit(1)).alias("present"), F.max("section_number").alias("top"), F.sum(size).cast("long").alias("total_chars"), F.floor(F.avg(size)).cast("long").alias("mean_chars"), F.count_if(C.contains("SKILL")).alias("combat"), attention.alias("needs_attention"))
+
+
+@query(r""", X AS (SELECT book_id, section_number, regexp_extract(text, '(?i)if you have the (\w+ of \w+ \w+)', 1) AS name FROM L),
+  Y AS (SELECT DISTINCT book_id, section_number, name, 'weapon' AS type, 'legendary' AS rarity FROM X WHERE name <> '')
+  SELECT * FROM Y UNION ALL SELECT DISTINCT book_id, section_number, 'Magic Potion', 'consumable', 'common' FROM L WHERE contains(text, 'You find a Magic Potion')""")
+def items_catalog(s, d):
+    have = F.regexp_extract_all(C, F.lit(r"(?i)\bif you have the (\w+ of \w+ \w+)"), F.lit(1))
+    find = F.regexp_extract_all(C, F.lit(r"(?i)\byou (?:find|discover|obtain|receive|acquire) an? (\w+ \w+)"), F.lit(1))
+    names = sections(s, d).select(*IDS, F.explode(F.array_distinct(F.concat(have, find))).alias("name"))
+    return names.select(*IDS, "name", T.classify(F.col("name")).alias("type"), F.when(F.col("name").contains(" of "), "legendary").otherwise("common").alias("rarity"))
+
+
+@query(rf"SELECT {KEY}, regexp_replace(replace(content, 'turn to', 'tum to'), '(?i)\b(?:tum to|turnto)\s+(\d{{1,3}})', 'turn to \1', 'g') AS content FROM S")
+def turn_to_repair(s, d):
+    return sections(s, d).select(*IDS, T.repair_turn_to(F.replace(C, F.lit("turn to"), F.lit("tum to"))).alias("content"))
+
+
+@query(f"SELECT {KEY}, CASE section_number WHEN 2 THEN replace(content, 'rusty gate', 'golden door') WHEN 3 THEN 'patched' ELSE content END AS content FROM S")
+def section_patches(s, d):
+    patches = F.broadcast(s.createDataFrame([(2, "rusty gate", "golden door"), (3, None, "patched")], "section_number int, find string, put string"))
+    return sections(s, d).join(patches, "section_number", "left").select(*IDS, F.when(F.col("put").isNull(), C).when(F.col("find").isNull(), F.col("put")).otherwise(F.replace(C, F.col("find"), F.col("put"))).alias("content"))
+
+
+def _events(s, d):
+    return table(s, d, "events").withColumn("section", F.get_json_object("props", "$.k").cast("int"))
+
+
+@query("SELECT user_id, event_type, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) AS r FROM events) WHERE r = 1", books=False)
+def progress_upsert(s, d):
+    return players.latest(table(s, d, "events").select("user_id", "event_type", "ts", "value"), ["user_id", "event_type"], ["ts", "value"])
+
+
+@query("SELECT user_id, 'FIRST_' || upper(event_type) AS code, min(ts) AS ts FROM events GROUP BY ALL", books=False)
+def achievements(s, d):
+    return players.first_unlocks(table(s, d, "events").select("user_id", F.concat(F.lit("FIRST_"), F.upper("event_type")).alias("code"), "ts"))
+
+
+@query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 100 ELSE 0 END) AS BIGINT) AS xp FROM events GROUP BY ALL", books=False)
+def xp_totals(s, d):
+    return table(s, d, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "purchase", 100).otherwise(0)).alias("xp"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'purchase') AS assets, count(*) FILTER (event_type = 'click') AS clicks, count(DISTINCT event_type) AS kinds FROM events GROUP BY ALL", books=False)
+def player_profile(s, d):
+    e = table(s, d, "events")
+    return players.profile(e.select("user_id").distinct(), ("assets", e.where("event_type = 'purchase'")), ("clicks", e.where("event_type = 'click'")), ("kinds", e.select("user_id", "event_type").distinct()))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 100 ELSE least(100, CAST(floor((o_orderkey % 500) / 400.0 * 100 + 0.5) AS INT)) END AS percent FROM orders", books=False)
+def progress_percent(s, d):
+    return table(s, d, "orders").select("o_orderkey", players.progress_percent(F.col("o_orderstatus") == "F", F.col("o_orderkey") % 500).alias("percent"))
+
+
+COMMANDS = ["go 12", "7", "look at the map and save", "Help", "fight!", "flee now", "roll 2d6", "save", "inventory", "dance", " restart "]
+
+
+@query("""SELECT c_custkey, c, CASE WHEN regexp_matches(t, '^(go\\s+)?\\d+$') THEN 'go' WHEN t LIKE '%restart%' THEN 'reset' WHEN t LIKE '%look%' THEN 'look' WHEN t LIKE '%help%' THEN 'help'
+  WHEN t LIKE '%fight%' THEN 'battle' WHEN t LIKE '%flee%' THEN 'flee' WHEN t LIKE '%roll%' THEN 'roll' WHEN t LIKE '%save%' THEN 'save' WHEN t LIKE '%inventory%' THEN 'inventory' ELSE 'unknown' END AS command
+  FROM (SELECT c_custkey, c, lower(trim(c)) AS t FROM (SELECT c_custkey, (""" + str(COMMANDS) + """)[c_custkey % 11 + 1] AS c FROM customer))""", books=False)
+def command_parse(s, d):
+    typed = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("c_custkey") % 11 + 1).cast("int"))
+    return table(s, d, "customer").select("c_custkey", typed.alias("c")).select("c_custkey", "c", T.command(F.col("c")).alias("command"))
+
+
+@query("SELECT p_partkey, greatest(1, least(20, p_size)) AS dice_count, greatest(1, least(100, CAST(p_partkey % 150 AS INT))) AS dice_sides FROM part", books=False)
+def dice_expr(s, d):
+    e = T.dice(F.concat(F.col("p_size").cast("string"), F.lit("d "), (F.col("p_partkey") % 150).cast("string")))
+    return table(s, d, "part").select("p_partkey", e.alias("e")).select("p_partkey", F.col("e.count").alias("dice_count"), F.col("e.sides").alias("dice_sides"))
+
+
+@query("""WITH f AS (SELECT s_suppkey AS id, s_suppkey % 6 + 7 AS skill, s_suppkey % 5 + 6 AS enemy_skill, unnest(range(0, 5)) AS round FROM supplier),
+  a AS (SELECT id, round, (id*31 + round*17) % 6 + 1 + (id*31 + round*17 + 7) % 6 + 1 + skill AS attack, (id*31 + round*17 + 14) % 6 + 1 + (id*31 + round*17 + 21) % 6 + 1 + enemy_skill AS enemy_attack FROM f)
+  SELECT *, CASE WHEN attack < enemy_attack THEN 2 ELSE 0 END AS damage, CASE WHEN attack > enemy_attack THEN 2 ELSE 0 END AS enemy_damage FROM a""", books=False)
+def combat_rounds(s, d):
+    fights = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 6 + 7).alias("skill"), (F.col("s_suppkey") % 5 + 6).alias("enemy_skill"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("round"))
+    return players.combat_rounds(fights.toDF("id", "skill", "enemy_skill", "round"))
+
+
+@query("""WITH b AS (SELECT o_custkey AS page_id, CAST(o_orderkey % 64 AS INT) AS band, max(CASE WHEN o_orderkey % 3 = 0 THEN 0.2 ELSE 0.0 END) AS density FROM orders GROUP BY ALL),
+  i AS (SELECT page_id, band, CASE WHEN band - lag(band) OVER (PARTITION BY page_id ORDER BY band) <= 3 THEN 0 ELSE 1 END AS fresh FROM b WHERE density >= 0.15),
+  r AS (SELECT page_id, band, sum(fresh) OVER (PARTITION BY page_id ORDER BY band) AS run FROM i), t AS (SELECT page_id, max(band) AS top FROM b GROUP BY ALL)
+  SELECT page_id, min(band) AS first, least(max(band) + 2, any_value(top)) AS last FROM r JOIN t USING (page_id) GROUP BY page_id, run""", books=False)
+def ink_runs(s, d):
+    bands = table(s, d, "orders").groupBy(F.col("o_custkey").alias("page_id"), (F.col("o_orderkey") % 64).cast("int").alias("band")).agg(F.max(F.when(F.col("o_orderkey") % 3 == 0, 0.2).otherwise(0.0)).alias("density"))
+    return layout.ink_runs(bands, 0.15, 2)
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(t) <= 6 OR (NOT contains(t, ' ') AND regexp_matches(t, '[0-9]')) OR (length(t) <= 12 AND regexp_matches(t, '^[A-Z]+$'))
+    OR length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) < length(t) * 0.4) AS n_noise FROM t GROUP BY ALL""", books=False)
+def document_line_stats(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("t"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(T.is_noise_line(F.col("t"))).alias("n_noise"))
+
+
+@query(r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n_chars, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents", books=False)
+def document_normalize(s, d):
+    t = T.normalize(F.col("text"))
+    return table(s, d, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), F.md5(t.cast("binary")).alias("digest"))
+
+
+@query("SELECT p_partkey, replace(lower(p_name), ' ', '_') AS slug, upper(replace(p_name, ' ', '_')) AS code FROM part", books=False)
+def slugs(s, d):
+    return table(s, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.code(F.col("p_name")).alias("code"))
+
+
+@query(f"SELECT book_id, section_number + 1 AS first_missing, CAST(lead - section_number - 1 AS BIGINT) AS n_missing FROM (SELECT book_id, section_number, lead(section_number) OVER (PARTITION BY book_id ORDER BY section_number) AS lead FROM S WHERE content <> '{MISSING}') WHERE lead > section_number + 1")
+def number_gaps(s, d):
+    real, _ = _real(s, d)
+    after = F.lead("section_number").over(Window.partitionBy("book_id").orderBy("section_number"))
+    return real.withColumn("lead", after).where(F.col("lead") > F.col("section_number") + 1).select("book_id", (F.col("section_number") + 1).cast("long").alias("first_missing"), (F.col("lead") - F.col("section_number") - 1).cast("long").alias("n_missing"))
+
+
+@query("SELECT count(*) AS n_orders, count(DISTINCT o_custkey) AS n_books FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", books=False)
+def cascade_delete(s, d):
+    gone = table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    left = players.cascade_delete(gone, table(s, d, "orders").withColumnRenamed("o_custkey", "user_id"))
+    return left.agg(F.count(F.lit(1)).alias("n_orders"), F.count_distinct("user_id").alias("n_books"))
