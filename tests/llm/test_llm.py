@@ -242,7 +242,7 @@ def test_lm_beats_subword_frequencies_on_held_out_texts(spark):
     """In prose, context must help: a better score than the subword ids' own frequencies in the training texts give."""
     from tokenizers import Tokenizer
 
-    tok, docs, ids = Tokenizer.from_file(TOKENIZER), spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), {}
+    tok, docs, ids = Tokenizer.from_file(TOKENIZER), spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), {}
     got = {r["doc_id"]: r for r in lm_scores(docs, TOKENIZER).collect()}
     encoded = {r["doc_id"]: [*tok.encode(r["text"], add_special_tokens=False).ids, 49407] for r in docs.collect()}
     for k, own in encoded.items():
