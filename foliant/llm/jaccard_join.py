@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from foliant.llm.components import roots
 from foliant.llm.kernels import M1, M2, column_bytes, mixed, pieces, shingles, word_hashes
-from foliant.llm.shared import cut, lookup, stored, tasks
+from foliant.llm.shared import cut, lookup, release, stored, tasks
 
 #: Words of a shingle; two texts are linked when the share of common shingles is PERCENT / 100 at least.
 WIDTH, PERCENT = 5, 75
@@ -222,7 +222,7 @@ def linked(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int = PERCEN
 def _postings(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, node, size, alone = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))
+            token, node, size, alone, rest = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(4))
             for k, n, t in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
                 own = np.frombuffer(t, "<u8")
                 first, _ = prefix(own, n, percent)
@@ -230,7 +230,8 @@ def _postings(percent: int):
                 node.append(np.full(first, k))
                 size.append(np.full(first, n))
                 alone.append(np.full(first, n - len(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (token, node, size, alone)], names=["token", "node", "n", "alone"])
+                rest.append(len(own) - np.arange(first))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (token, node, size, alone, rest)], names=["token", "node", "n", "alone", "rest"])
 
     return work
 
@@ -256,16 +257,17 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 def _components(nodes: DataFrame, percent: int) -> DataFrame:
     """node, comp for the nodes that have links."""
-    live = stored(nodes.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node long, n long, alone long"), "postings")
+    live = stored(nodes.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node long, n long, alone long, rest long"), "postings")
     comp, pivots = None, 1
     while not live.isEmpty():
         now = live.withColumn("comp", F.col("node")) if comp is None else live.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_lists = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        now = cut(now.join(open_lists, "token").select("token", "node", "n", "alone", "comp"))
+        now = cut(now.join(open_lists, "token").select("token", "node", "n", "alone", "rest", "comp"))
         # what the copies of a text were made from has few shingles of its own, and is linked with most of them
         order = Window.partitionBy("token").orderBy(F.col("alone") / F.col("n"), F.xxhash64("node"), "node")
-        chosen = cut(now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp")))
-        met = now.join(chosen, "token").where(f"comp <> pcomp and 100 * n >= {percent} * pn and 100 * pn >= {percent} * n")
+        chosen = cut(now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp")))
+        # where two linked nodes meet first, what both have from there on holds all they share; other meetings may be dropped
+        met = now.join(chosen, "token").where(f"comp <> pcomp and 100 * n >= {percent} * pn and 100 * pn >= {percent} * n and {100 + percent} * least(rest, prest) >= {percent} * (n + pn)")
         pairs = cut(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
         links = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long"))
@@ -280,8 +282,9 @@ def _components(nodes: DataFrame, percent: int) -> DataFrame:
             grown = comp.join(found.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
             fresh = found.select("node", F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
             comp = cut(grown.unionByName(fresh))
-        live = now.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n", "alone")
+        live = now.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n", "alone", "rest")
         pivots *= PIVOTS
+        release(nodes.sparkSession)
     return comp if comp is not None else nodes.select("node", F.col("node").alias("comp")).limit(0)
 
 
@@ -294,6 +297,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     count as the largest. Repeated rows and texts are linked. An empty table gives no rows.
     """
     sets = shingle_sets(docs, width, percent)
+    release(docs.sparkSession)
     full = sets.where("n > 0")
     classes = full.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("tokens").alias("tokens"))
     classes = cut(classes)
