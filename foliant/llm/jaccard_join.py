@@ -252,7 +252,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
     dealt = rows.mapInArrow(_deal(ranges, width), "to int, chunk long, kind int, payload binary").repartitionById(ranges, F.col("to"))
     answers = dealt.mapInArrow(_answer, "to int, chunk long, kind int, payload binary").repartition(ranges, "chunk")
-    return cut(answers.mapInArrow(_gather(percent), "doc_id long, tie long, n long, node long, node2 long, tokens binary"))
+    return stored(answers.mapInArrow(_gather(percent), "doc_id long, tie long, n long, node long, node2 long, tokens binary"), "sets")
 
 
 def _components(nodes: DataFrame, percent: int) -> DataFrame:
@@ -262,10 +262,10 @@ def _components(nodes: DataFrame, percent: int) -> DataFrame:
     while not live.isEmpty():
         now = live.withColumn("comp", F.col("node")) if comp is None else live.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_lists = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        now = cut(now.join(open_lists, "token").select("token", "node", "n", "alone", "rest", "comp"))
+        now = stored(now.join(open_lists, "token").select("token", "node", "n", "alone", "rest", "comp"), "open")
         # what the copies of a text were made from has few shingles of its own, and is linked with most of them
         order = Window.partitionBy("token").orderBy(F.col("alone") / F.col("n"), F.xxhash64("node"), "node")
-        chosen = cut(now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp")))
+        chosen = stored(now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp")), "pivots")
         # where two linked nodes meet first, what both have from there on holds all they share; other meetings may be dropped
         met = now.join(chosen, "token").where(f"comp <> pcomp and 100 * n >= {percent} * pn and 100 * pn >= {percent} * n and {100 + percent} * least(rest, prest) >= {percent} * (n + pn)")
         pairs = cut(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
