@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +12,6 @@ from foliant.functions import text as T
 from foliant.operators import graph, layout, players, segment
 from foliant.sources.corpus import MISSING, SQL, lines, sections, table
 
-C = F.col("content")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,7 +28,7 @@ def query(sql: str | None = None, books: bool = True):
     return add
 
 
-def joined(array) -> F.Column:
+def joined(array) -> Column:
     return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
 
 
@@ -42,7 +41,7 @@ IDS = ["book_id", "section_number"]
 
 @query(f"SELECT {KEY}, array_to_string({REFS}, ',') AS refs, len({REFS}) AS n_refs FROM S")
 def section_references(s, d):
-    r = T.references(C)
+    r = T.references(F.col("content"))
     return sections(s, d).select(*IDS, joined(r).alias("refs"), F.size(r).alias("n_refs"))
 
 
@@ -51,12 +50,12 @@ def section_references(s, d):
   SELECT {KEY}, k AS pos, nullif(trim(regexp_replace(l[k], '[,;:\s]+$', '')), '') AS label, CAST(t[k] AS INT) AS target
   FROM (SELECT {KEY}, l, t, unnest(range(1, len(l) + 1)) AS k FROM X)""")
 def choice_lines(s, d):
-    return sections(s, d).select(*IDS, F.posexplode(T.choices(C)).alias("pos", "c")).select(*IDS, (F.col("pos") + 1).cast("long").alias("pos"), "c.label", "c.target")
+    return sections(s, d).select(*IDS, F.posexplode(T.choices(F.col("content"))).alias("pos", "c")).select(*IDS, (F.col("pos") + 1).cast("long").alias("pos"), "c.label", "c.target")
 
 
 @query(rf"SELECT {KEY}, trim(regexp_replace(array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{{1,4}})[.!]?\s*$')), ' '), '\s+', ' ', 'g')) AS clean FROM S")
 def clean_text(s, d):
-    return sections(s, d).select(*IDS, T.clean(C).alias("clean"))
+    return sections(s, d).select(*IDS, T.clean(F.col("content")).alias("clean"))
 
 
 @query(rf"""SELECT {KEY},
@@ -67,31 +66,31 @@ def clean_text(s, d):
   len({REFS}) = 0 AND NOT contains(content, '{MISSING}') AND contains(content, 'Your adventure ends') AS death,
   contains(content, '{MISSING}') AS is_missing FROM S""")
 def section_features(s, d):
-    stats = F.regexp_extract_all(C, F.lit("(" + T.STAT.replace("(?i)", "(?i:", 1) + "))"), F.lit(1))
-    return sections(s, d).select(*IDS, T.has_combat(C).alias("has_combat"), T.luck_test(C).alias("luck_test"), F.array_join(F.transform(stats, F.upper), "|").alias("stat_list"), T.is_end(C).alias("is_end"), T.death(C).alias("death"), T.is_missing(C).alias("is_missing"))
+    stats = F.regexp_extract_all(F.col("content"), F.lit("(" + T.STAT.replace("(?i)", "(?i:", 1) + "))"), F.lit(1))
+    return sections(s, d).select(*IDS, T.has_combat(F.col("content")).alias("has_combat"), T.luck_test(F.col("content")).alias("luck_test"), F.array_join(F.transform(stats, F.upper), "|").alias("stat_list"), T.is_end(F.col("content")).alias("is_end"), T.death(F.col("content")).alias("death"), T.is_missing(F.col("content")).alias("is_missing"))
 
 
 @query(rf""", X AS (SELECT {KEY}, unnest(regexp_extract_all(content, '(?i)(?:add|gain|increase|deduct|lose|subtract)\s+\d+\s+days?\s+(?:to\s+|from\s+|in\s+)?(?:your\s+)?log\b')) AS m FROM S)
   SELECT {KEY}, CAST(sum(CASE WHEN regexp_matches(m, '(?i)^(add|gain|increase)') THEN 1 ELSE -1 END * CAST(regexp_extract(m, '\d+') AS INT)) AS BIGINT) AS log_days FROM X GROUP BY ALL""")
 def log_days(s, d):
-    return sections(s, d).select(*IDS, T.log_days(C).cast("long").alias("log_days")).where("log_days IS NOT NULL")
+    return sections(s, d).select(*IDS, T.log_days(F.col("content")).cast("long").alias("log_days")).where("log_days IS NOT NULL")
 
 
 @query(rf"SELECT {KEY}, unnest(list_distinct(regexp_extract_all(content, '(?i)(?:add|gain|receive|find|deduct|lose|spend)\s+(?:\d+|one|two|three|four|five)\s+(?:gold pieces|gp|pieces of gold|slaves)'))) AS booty FROM S")
 def booty(s, d):
-    return sections(s, d).select(*IDS, F.explode(T.booty(C)).alias("booty"))
+    return sections(s, d).select(*IDS, F.explode(T.booty(F.col("content"))).alias("booty"))
 
 
 @query(rf"SELECT DISTINCT {KEY}, trim(m) AS sentence FROM (SELECT {KEY}, unnest(regexp_extract_all(content, '[^.!?\n]+[.!?]?')) AS m FROM S) WHERE regexp_matches(m, '(?i)\broll\b.*\b(die|dice)\b')")
 def dice_instructions(s, d):
-    return sections(s, d).select(*IDS, F.explode(T.dice_sentences(C)).alias("sentence"))
+    return sections(s, d).select(*IDS, F.explode(T.dice_sentences(F.col("content"))).alias("sentence"))
 
 
 @query(r""", X AS (SELECT book_id, section_number, n, text FROM L WHERE regexp_matches(text, '^[A-Z][A-Z'' -]*\s+SKILL\s+\d+\s+STAMINA\s+\d+'))
   SELECT book_id, section_number, regexp_extract(text, '^(.*?)\s+SKILL', 1) AS name, CAST(regexp_extract(text, 'SKILL\s+(\d+)', 1) AS INT) AS skill,
   CAST(regexp_extract(text, 'STAMINA\s+(\d+)', 1) AS INT) AS stamina FROM X""")
 def enemies(s, d):
-    return sections(s, d).select(*IDS, F.explode(T.enemies(C)).alias("e")).select(*IDS, "e.*")
+    return sections(s, d).select(*IDS, F.explode(T.enemies(F.col("content"))).alias("e")).select(*IDS, "e.*")
 
 
 @query(f"{EDGES} SELECT book_id, dst AS node, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources FROM E GROUP BY ALL UNION ALL SELECT book_id, section_number, '' FROM S WHERE (book_id, section_number) NOT IN (SELECT book_id, dst FROM E)")
@@ -140,7 +139,7 @@ ORACLES["graph_max_depth"] = f"{REACH} SELECT book_id, max(depth) AS max_depth F
 
 def _real(s, d):
     every = sections(s, d)
-    return every.where(C != MISSING), every.select("book_id", "n_sections").distinct()
+    return every.where(F.col("content") != MISSING), every.select("book_id", "n_sections").distinct()
 
 
 @query(f"SELECT {KEY} FROM S WHERE content = '{MISSING}'")
@@ -159,7 +158,7 @@ def gap_fill(s, d):
   SELECT {KEY}, content FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY content <> '{MISSING}' DESC, length(content) DESC, pass_id) AS r FROM P) WHERE r = 1""")
 def merge_candidates(s, d):
     every = sections(s, d)
-    again = F.concat(C, F.lit(" (again)"))
+    again = F.concat(F.col("content"), F.lit(" (again)"))
     passes = [every.select(*IDS, F.lit(0).alias("pass_id"), "content"), every.select(*IDS, F.lit(1).alias("pass_id"), F.when(F.col("section_number") % 3 == 0, again).otherwise(MISSING).alias("content")), every.where("section_number % 2 = 0").select(*IDS, F.lit(2).alias("pass_id"), again.alias("content"))]
     return segment.merge_candidates(passes[0].unionByName(passes[1]).unionByName(passes[2]), every.select("book_id", "n_sections").distinct())
 
@@ -184,36 +183,36 @@ def header_segmentation(s, d):
 
 @query()
 def trimmed_lines(s, d):
-    return sections(s, d).select(*IDS, F.array_join(segment.trim_lines(F.split(C, "\n")), "\n").alias("content"))
+    return sections(s, d).select(*IDS, F.array_join(segment.trim_lines(F.split(F.col("content"), "\n")), "\n").alias("content"))
 
 
 @query(f"""SELECT book_id, count(*) AS present, max(section_number) AS top, CAST(sum(length(content)) AS BIGINT) AS total_chars, CAST(floor(avg(length(content))) AS BIGINT) AS mean_chars,
   count(*) FILTER (contains(content, 'SKILL')) AS combat, max(section_number) < 200 OR avg(length(content)) NOT BETWEEN 300 AND 2500 AS needs_attention FROM S WHERE content <> '{MISSING}' GROUP BY ALL""")
 def book_quality(s, d):
-    size = F.length(C)
+    size = F.length(F.col("content"))
     attention = (F.max("section_number") < 200) | ~F.avg(size).between(300, 2500)
-    return sections(s, d).where(C != MISSING).groupBy("book_id").agg(F.count(F.lit(1)).alias("present"), F.max("section_number").alias("top"), F.sum(size).cast("long").alias("total_chars"), F.floor(F.avg(size)).cast("long").alias("mean_chars"), F.count_if(C.contains("SKILL")).alias("combat"), attention.alias("needs_attention"))
+    return sections(s, d).where(F.col("content") != MISSING).groupBy("book_id").agg(F.count(F.lit(1)).alias("present"), F.max("section_number").alias("top"), F.sum(size).cast("long").alias("total_chars"), F.floor(F.avg(size)).cast("long").alias("mean_chars"), F.count_if(F.col("content").contains("SKILL")).alias("combat"), attention.alias("needs_attention"))
 
 
 @query(r""", X AS (SELECT book_id, section_number, regexp_extract(text, '(?i)if you have the (\w+ of \w+ \w+)', 1) AS name FROM L),
   Y AS (SELECT DISTINCT book_id, section_number, name, 'weapon' AS type, 'legendary' AS rarity FROM X WHERE name <> '')
   SELECT * FROM Y UNION ALL SELECT DISTINCT book_id, section_number, 'Magic Potion', 'consumable', 'common' FROM L WHERE contains(text, 'You find a Magic Potion')""")
 def items_catalog(s, d):
-    have = F.regexp_extract_all(C, F.lit(r"(?i)\bif you have the (\w+ of \w+ \w+)"), F.lit(1))
-    find = F.regexp_extract_all(C, F.lit(r"(?i)\byou (?:find|discover|obtain|receive|acquire) an? (\w+ \w+)"), F.lit(1))
+    have = F.regexp_extract_all(F.col("content"), F.lit(r"(?i)\bif you have the (\w+ of \w+ \w+)"), F.lit(1))
+    find = F.regexp_extract_all(F.col("content"), F.lit(r"(?i)\byou (?:find|discover|obtain|receive|acquire) an? (\w+ \w+)"), F.lit(1))
     names = sections(s, d).select(*IDS, F.explode(F.array_distinct(F.concat(have, find))).alias("name"))
     return names.select(*IDS, "name", T.classify(F.col("name")).alias("type"), F.when(F.col("name").contains(" of "), "legendary").otherwise("common").alias("rarity"))
 
 
 @query(rf"SELECT {KEY}, regexp_replace(replace(content, 'turn to', 'tum to'), '(?i)\b(?:tum to|turnto)\s+(\d{{1,3}})', 'turn to \1', 'g') AS content FROM S")
 def turn_to_repair(s, d):
-    return sections(s, d).select(*IDS, T.repair_turn_to(F.replace(C, F.lit("turn to"), F.lit("tum to"))).alias("content"))
+    return sections(s, d).select(*IDS, T.repair_turn_to(F.replace(F.col("content"), F.lit("turn to"), F.lit("tum to"))).alias("content"))
 
 
 @query(f"SELECT {KEY}, CASE section_number WHEN 2 THEN replace(content, 'rusty gate', 'golden door') WHEN 3 THEN 'patched' ELSE content END AS content FROM S")
 def section_patches(s, d):
     patches = F.broadcast(s.createDataFrame([(2, "rusty gate", "golden door"), (3, None, "patched")], "section_number int, find string, put string"))
-    return sections(s, d).join(patches, "section_number", "left").select(*IDS, F.when(F.col("put").isNull(), C).when(F.col("find").isNull(), F.col("put")).otherwise(F.replace(C, F.col("find"), F.col("put"))).alias("content"))
+    return sections(s, d).join(patches, "section_number", "left").select(*IDS, F.when(F.col("put").isNull(), F.col("content")).when(F.col("find").isNull(), F.col("put")).otherwise(F.replace(F.col("content"), F.col("find"), F.col("put"))).alias("content"))
 
 
 def _events(s, d):
