@@ -12,7 +12,10 @@ CHOICE_LINE = r"(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{1,4})[.!]?\s*$"
 STAT = r"(?i)(lose|gain|add|deduct|restore|increase|decrease|take)\s+(\d+)\s+(?:points?\s+)?(?:of\s+|from\s+|in\s+)?(skill|stamina|luck|crew strike|crew strength)"
 LOG = r"(?i)(add|gain|increase|deduct|lose|subtract)\s+(\d+)\s+days?\s+(?:to\s+|from\s+|in\s+)?(?:your\s+)?log\b"
 BOOTY = r"(?i)(?:add|gain|receive|find|deduct|lose|spend)\s+(?:\d+|one|two|three|four|five)\s+(?:gold pieces|gp|pieces of gold|slaves)"
-ENEMY = r"(?m)^([A-Z][A-Z' -]*?)\s+SKILL\s+(\d+)\s+STAMINA\s+(\d+)"
+# The marks of a section without text, and of ends that are deaths or victories.
+MISSING_TEXT = r"(?i)text\s+missing\s+or\s+unreadable"
+DEATH = r"(?i)(your\s+(?:adventure|story)\s+ends|you\s+(?:have\s+)?died|your\s+life\s+(?:is\s+)?over|meet\s+your\s+(?:untimely\s+)?end|perish|you\s+are\s+dead\s*[.!]?$|killed\s+you\s*[.!]?$)"
+VICTORY = r"(?i)(you\s+have\s+won|you\s+win\s+the|king\s+of\s+the\s+pirates|crowned\s+the\s+new|triumph|victory\s+is\s+yours|you\s+succeed\s*[.!]?$)"
 #: OCR variants of "turn to" that are repaired.
 TURN_TO = r"(?i)\b(?:tum to|tunn to|turnto|tum lo|turn lo|turn ta|tarn to|furn to|lurn to|turn io|tura to)\s+(\d{1,3})"
 
@@ -77,7 +80,7 @@ def luck_test(text: Column) -> Column:
 
 
 def is_missing(text: Column) -> Column:
-    return text.contains(MISSING)
+    return F.rlike(text, F.lit(MISSING_TEXT))
 
 
 def is_end(text: Column) -> Column:
@@ -85,14 +88,11 @@ def is_end(text: Column) -> Column:
 
 
 def death(text: Column) -> Column:
-    return is_end(text) & F.rlike(text, F.lit(r"(?i)\byour adventure (?:ends|is over)\b"))
+    return is_end(text) & F.rlike(text, F.lit(DEATH))
 
 
-def enemies(text: Column) -> Column:
-    """Array of (name, skill, stamina) from "NAME SKILL a STAMINA b" lines."""
-    name, skill, stamina = (F.regexp_extract_all(text, F.lit(ENEMY), F.lit(k)) for k in (1, 2, 3))
-    pairs = F.zip_with(name, skill, lambda a, b: F.struct(a.alias("name"), b.cast("int").alias("skill")))
-    return F.zip_with(pairs, stamina, lambda p, c: F.struct(p["name"].alias("name"), p["skill"].alias("skill"), c.cast("int").alias("stamina")))
+def victory(text: Column) -> Column:
+    return is_end(text) & F.rlike(text, F.lit(VICTORY))
 
 
 def repair_turn_to(text: Column) -> Column:
@@ -130,8 +130,13 @@ def code(text: Column) -> Column:
 def classify(phrase: Column) -> Column:
     """consumable > weapon > armour > quest > artifact, by substring."""
     p = F.lower(phrase)
-    any_of = lambda *w: F.rlike(p, F.lit("|".join(w)))
-    return F.when(any_of("potion", "elixir", "provision"), "consumable").when(any_of("sword", "axe", "dagger", "bow", "spear"), "weapon").when(any_of("shield", "helmet", "armou?r", "gauntlet"), "armour").when(any_of("key", "map", "scroll", "letter"), "quest").otherwise("artifact")
+    any_of = lambda w: F.rlike(p, F.lit("|".join(w.split())))
+    # fixed values: the words of each type
+    kinds = {"consumable": "potion chalice wine provisions", "weapon": "sword dagger axe spear mace crossbow cutlass pistol", "armour": "shield armour armor helmet helm cloak cape mask boots", "quest": "key map compass telescope lamp lantern"}
+    out = F.lit("artifact")
+    for kind, words in reversed(kinds.items()):
+        out = F.when(any_of(words), kind).otherwise(out)
+    return out
 
 
 def command(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions.lore import is_junk_line
 from foliant.functions.text import is_noise_line
 from foliant.sources.corpus import MISSING
 
@@ -141,3 +142,75 @@ def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:
         return pd.DataFrame([(book.book_id.iloc[0], n, have[n]) for n in sorted(have)], columns=["book_id", "section_number", "content"])
 
     return sections.drop("n_sections").join(most, "book_id").groupBy("book_id").applyInPandas(walk, "book_id long, section_number int, content string")
+
+
+def choose_passes(candidates: DataFrame, primary: int = 250, enough: int = 400) -> DataFrame:
+    """The candidates (book_id, mode, dpi, section_number, content) that are worth merging, with their pass_id.
+
+    The embedded text always is. Where it has fewer than ``enough`` sections, of each resolution the split pass is if it has
+    more sections than the flat one, else the flat one; the other resolutions only where the primary one has too few as well.
+    """
+    real = F.count_if(F.col("content") != MISSING)
+    counts = candidates.groupBy("book_id", "mode", "dpi").agg(real.alias("present"))
+    better = counts.where(F.col("mode") != "embedded").groupBy("book_id", "dpi").agg(F.max_by(F.struct("mode", "present"), F.struct("present", (F.col("mode") == "flat").alias("flat"))).alias("b")).select("book_id", "dpi", "b.*")
+    short = lambda rows: rows.where(F.col("present") < enough).select("book_id")
+    embedded, first = counts.where(F.col("mode") == "embedded"), better.where(F.col("dpi") == primary)
+    first = first.join(short(embedded), "book_id", "left_semi")
+    others = better.where(F.col("dpi") != primary).join(short(first), "book_id", "left_semi")
+    chosen = [embedded.withColumn("rank", F.lit(0)), first.withColumn("rank", F.lit(1)), others.withColumn("rank", F.lit(2))]
+    every = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
+    numbered = every.withColumn("pass_id", F.row_number().over(Window.partitionBy("book_id").orderBy("rank", "dpi")) - 1)
+    return candidates.join(numbered.select("book_id", "mode", "dpi", "pass_id"), ["book_id", "mode", "dpi"])
+
+
+def with_junk(sections: DataFrame) -> DataFrame:
+    """sections with junk: for each non-blank trimmed line of content whether it is a junk line."""
+    lines = F.filter(F.transform(F.split("content", "\n"), F.trim), lambda x: x != "")
+    return sections.withColumn("junk", F.transform(lines, is_junk_line))
+
+
+def rebalance_shifted(sections: DataFrame, most: int = 400) -> DataFrame:
+    """Sections (book_id, section_number, content, junk, discarded) where a misread header moved a text up by one number.
+
+    junk: for each non-blank trimmed line of content whether it is a junk line. If n is degraded (under 250 characters or
+    junk in front), n + 1 is absent and n + 2 has an inner line that is n + 1, the text before that line goes to n and the
+    text after it to n + 1; n + 2 keeps the text that was discarded for it, if plausible, else the placeholder. A book
+    (at most ``most`` sections) is walked by one task, as each step sees the ones before it.
+    """
+
+    def plausible(parts: list[str]) -> bool:
+        text = "\n\n".join(parts)
+        return 60 <= len(text) <= 1200 and 2 <= len(parts) <= 24 and text[:1].isupper()
+
+    def without_junk(parts: list[str], junk: list[bool], front: bool) -> list[str]:
+        a, b = 0, len(parts)
+        while a < b and junk[b - 1]:
+            b -= 1
+        while front and a < b and junk[a]:
+            a += 1
+        return parts[a:b]
+
+    def lines_of(text: str) -> list[str]:
+        return [x.strip() for x in text.split("\n") if x.strip()]
+
+    def walk(book: pd.DataFrame) -> pd.DataFrame:
+        text, junk, spare = ({int(n): v for n, v in zip(book.section_number, c, strict=True)} for c in (book.content, book.junk, book.discarded))
+        for n in range(1, most - 1):
+            if text.get(n, MISSING) == MISSING or n + 1 in text or text.get(n + 2, MISSING) == MISSING:
+                continue
+            parts, flags, own = lines_of(text[n + 2]), list(junk[n + 2]), junk[n]
+            if len(flags) != len(parts):
+                continue  # a restored text, whose flags are unknown
+            at = next((i for i in range(1, len(parts) - 1) if parts[i] in (f"{n + 1}", f"{n + 1}.")), None)
+            if at is None or not (len(text[n]) < 250 or len(own) == 0 or own[0]):
+                continue
+            before, after = without_junk(parts[:at], flags[:at], False), without_junk(parts[at + 1 :], flags[at + 1 :], True)
+            if plausible(before) and plausible(after):
+                text[n], text[n + 1] = "\n\n".join(before), "\n\n".join(after)
+                junk[n], junk[n + 1] = [False] * len(before), [False] * len(after)
+                back = spare.get(n + 2)
+                text[n + 2] = back if back and plausible(lines_of(back)) else MISSING
+                junk[n + 2] = []
+        return pd.DataFrame([(book.book_id.iloc[0], n, text[n]) for n in sorted(text)], columns=["book_id", "section_number", "content"])
+
+    return sections.groupBy("book_id").applyInPandas(walk, "book_id long, section_number int, content string")

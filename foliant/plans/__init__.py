@@ -86,13 +86,6 @@ def dice_instructions(s, d):
     return sections(s, d).select(*IDS, F.explode(T.dice_sentences(F.col("content"))).alias("sentence"))
 
 
-@query(r""", X AS (SELECT book_id, section_number, n, text FROM L WHERE regexp_matches(text, '^[A-Z][A-Z'' -]*\s+SKILL\s+\d+\s+STAMINA\s+\d+'))
-  SELECT book_id, section_number, regexp_extract(text, '^(.*?)\s+SKILL', 1) AS name, CAST(regexp_extract(text, 'SKILL\s+(\d+)', 1) AS INT) AS skill,
-  CAST(regexp_extract(text, 'STAMINA\s+(\d+)', 1) AS INT) AS stamina FROM X""")
-def enemies(s, d):
-    return sections(s, d).select(*IDS, F.explode(T.enemies(F.col("content"))).alias("e")).select(*IDS, "e.*")
-
-
 @query(f"{EDGES} SELECT book_id, dst AS node, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources FROM E GROUP BY ALL UNION ALL SELECT book_id, section_number, '' FROM S WHERE (book_id, section_number) NOT IN (SELECT book_id, dst FROM E)")
 def graph_incoming(s, d):
     return graph.incoming(sections(s, d)).select("book_id", "node", joined(F.col("sources")).alias("sources"))
@@ -194,16 +187,6 @@ def book_quality(s, d):
     return sections(s, d).where(F.col("content") != MISSING).groupBy("book_id").agg(F.count(F.lit(1)).alias("present"), F.max("section_number").alias("top"), F.sum(size).cast("long").alias("total_chars"), F.floor(F.avg(size)).cast("long").alias("mean_chars"), F.count_if(F.col("content").contains("SKILL")).alias("combat"), attention.alias("needs_attention"))
 
 
-@query(r""", X AS (SELECT book_id, section_number, regexp_extract(text, '(?i)if you have the (\w+ of \w+ \w+)', 1) AS name FROM L),
-  Y AS (SELECT DISTINCT book_id, section_number, name, 'weapon' AS type, 'legendary' AS rarity FROM X WHERE name <> '')
-  SELECT * FROM Y UNION ALL SELECT DISTINCT book_id, section_number, 'Magic Potion', 'consumable', 'common' FROM L WHERE contains(text, 'You find a Magic Potion')""")
-def items_catalog(s, d):
-    have = F.regexp_extract_all(F.col("content"), F.lit(r"(?i)\bif you have the (\w+ of \w+ \w+)"), F.lit(1))
-    find = F.regexp_extract_all(F.col("content"), F.lit(r"(?i)\byou (?:find|discover|obtain|receive|acquire) an? (\w+ \w+)"), F.lit(1))
-    names = sections(s, d).select(*IDS, F.explode(F.array_distinct(F.concat(have, find))).alias("name"))
-    return names.select(*IDS, "name", T.classify(F.col("name")).alias("type"), F.when(F.col("name").contains(" of "), "legendary").otherwise("common").alias("rarity"))
-
-
 @query(rf"SELECT {KEY}, regexp_replace(replace(content, 'turn to', 'tum to'), '(?i)\b(?:tum to|turnto)\s+(\d{{1,3}})', 'turn to \1', 'g') AS content FROM S")
 def turn_to_repair(s, d):
     return sections(s, d).select(*IDS, T.repair_turn_to(F.replace(F.col("content"), F.lit("turn to"), F.lit("tum to"))).alias("content"))
@@ -310,3 +293,6 @@ def cascade_delete(s, d):
     gone = table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
     left = players.cascade_delete(gone, table(s, d, "orders").withColumnRenamed("o_custkey", "user_id"))
     return left.agg(F.count(F.lit(1)).alias("n_orders"), F.count_distinct("user_id").alias("n_books"))
+
+
+from foliant.plans import lore  # noqa: E402, F401  registers its queries here

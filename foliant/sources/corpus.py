@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: The content of a section without text.
-MISSING = "[section text missing]"
+MISSING = "[Text missing or unreadable in PDF]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from foliant.functions import lore
 from foliant.functions import text as T
 from foliant.operators import graph, layout, players, segment
 
@@ -23,7 +24,6 @@ def test_features(spark):
     assert one(spark, T.log_days, "nothing") is None
     assert one(spark, T.stat_changes, "close 2 points of luck; lose 2 LUCK") == ["LOSE 2 LUCK"]
     assert one(spark, T.has_combat, "ORC SKILL 5 STAMINA 6") is True
-    assert one(spark, T.enemies, "ORC SKILL 5 STAMINA 6\nno") == [("ORC", 5, 6)]
     assert one(spark, T.dice, "3d8") == (3, 8) and one(spark, T.dice, "20") == (1, 20) and one(spark, T.dice, "?") == (2, 6)
     assert one(spark, T.section_number, " (42). ") == 42 and one(spark, T.section_number, "0") is None
     assert one(spark, T.prose, "a long-\nword  b") == "a longword b"
@@ -88,3 +88,51 @@ def test_stream_unlocks(spark, tmp_path):
     q = upsert_batches(spark.readStream.schema("user_id long, event_type string, ts timestamp, value double").parquet(src), str(tmp_path / "out"), str(tmp_path / "c"))
     q.awaitTermination()
     assert [r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2.0]
+
+
+def test_foes(spark):
+    assert one(spark, lore.foes, "ORC SKILL 5 STAMINA 6\nno") == [("ORC", 5, 6, False, True)]
+    box = "GUARDS SKILL STAMINA\nFIRST GUARD SKILL 7 STAMINA 8\nSECOND GUARD 6 5\nThey shout."
+    assert [r[0] for r in one(spark, lore.foes, box)] == ["GUARDS", "FIRST GUARD", "SECOND GUARD", "FIRST GUARD"]
+    assert [r[0] for r in one(spark, lambda t: lore.foes(t, client=True), box)] == ["FIRST GUARD", "SECOND GUARD", "FIRST GUARD"]
+    assert one(spark, lore.foes, "GHOUL\nSKILL 8 STAMINA 7") == [("GHOUL", 8, 7, False, True)]
+    assert one(spark, lore.foes, "SKILL 8 STAMINA 7") == [] and one(spark, lore.foes, "") == []
+    near = "The beast\nSKILL STAMINA\nwaits for you\nSKILL 8 STAMINA 7"
+    assert [tuple(r)[:3] for r in one(spark, lambda t: lore.foes(t, client=True), near)] == [("The Foe", 8, 7), ("waits for you", 8, 7)]
+
+
+def test_lore(spark):
+    assert one(spark, lore.items, "They give you a Magic Potion which enables you to fly.") == [("Magic Potion", "consumable", "common")]
+    assert one(spark, lore.items, "If you have the Helmet of Horns, take the Key.") == [("Helmet of Horns", "armour", "legendary"), ("Key", "quest", "common")]
+    assert one(spark, lore.items, "You reach the Port of Crabs and the Valley of Willows.") == []
+    assert one(spark, lore.spells, "You learn the spell of Flight and taught you FLIGHT.") == [("spell of Flight", "arcane"), ("FLIGHT", "arcane")]
+    assert one(spark, lore.combat_note, "He bites. Whenever you\nare hit. Roll one die for it. Go.") == "Roll one die for it."
+    assert one(spark, lore.rules, "nothing") == []
+    assert one(spark, lore.can_flee, "You may escape by the door") and not one(spark, lore.can_flee, "You may not")
+    junk = {"44-48": True, "ab": True, "84 Seated": True, "//.:a": True, "The way goes on.": False, "VAT": False, "You become the hero!": True, "": True}
+    for line, is_junk in junk.items():
+        assert one(spark, lore.is_junk_line, line) is is_junk, line
+    assert one(spark, lore.is_terminator, "If so, turn to 44.") and one(spark, lore.is_garbled_header, " 8o ")
+    assert one(spark, T.death, "You have died.") and one(spark, T.victory, "At last, victory is yours!") and not one(spark, T.death, "You have died. Turn to 4.")
+    assert not one(spark, T.is_end, "[Text missing or unreadable in PDF]")
+
+
+def test_rebalance_keeps_healthy_sections(spark):
+    a, b = "The corridor leads on past a rusty gate and more.", "Behind the door you hear a quiet voice that sings."
+    rows = [(1, 1, f"{a}\n" * 6, None), (1, 3, f"{a}\n{b}\n2\n{a}\n{b}", None), (2, 1, a, None), (2, 3, f"{a}\n{b}\n2.\n{b}\n{a}", f"{b}\n{a}")]
+    df = spark.createDataFrame(rows, "book_id long, section_number int, content string, discarded string")
+    got = {r[:2]: r[2] for r in map(tuple, segment.rebalance_shifted(segment.with_junk(df)).collect())}
+    assert set(got) == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 3)}
+    assert got[2, 1] == f"{a}\n\n{b}" and got[2, 2] == f"{b}\n\n{a}" and got[2, 3] == f"{b}\n{a}" and got[1, 1] == rows[0][2]
+
+
+def test_crops_are_png(spark):
+    import zlib
+
+    page = np.full((200, 40), 255, np.uint8)
+    page[16:160, 10:30] = np.arange(20)
+    r = layout.art_crops(spark.createDataFrame([(7, 40, 200, bytearray(page.tobytes()))], "page_id long, width int, height int, pixels binary")).collect()[0]
+    assert r["name"] == "p7.png" and r["png"][:8] == b"\x89PNG\r\n\x1a\n"
+    at = r["png"].index(b"IDAT")
+    raw = np.frombuffer(zlib.decompress(r["png"][at + 4 : at + 4 + int.from_bytes(r["png"][at - 4 : at], "big")]), np.uint8).reshape(r["height"], r["width"] + 1)
+    assert (raw[:, 0] == 0).all() and (raw[:, 1:] == page[r["top"] : r["top"] + r["height"], r["left"] : r["left"] + r["width"]]).all()
