@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,22 @@ BAND = 0.05
 AHEAD, LARGER = 5, 1.25
 
 
+def by_book(rows: DataFrame, order: str, walk: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """book_id and what walk makes of a book's rows, in order of ``order``. Many books share a batch, whose bytes Spark bounds."""
+    rest = [c for c in rows.columns if c not in ("book_id", order)]
+    books = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("rows"))
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(b.as_py(), *r) for b, own in zip(batch.column("book_id"), batch.column("rows"), strict=True) for r in walk(own.as_py())]
+            columns = list(zip(*found, strict=True)) or [()] * (len(names) + 1)
+            types = [pa.int64(), pa.int32(), *[pa.string()] * (len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["book_id", *names])
+
+    return books.mapInArrow(each, f"book_id long, {schema}")
+
+
 def inside_band(blocks: DataFrame, band: float = BAND) -> DataFrame:
     return blocks.where(F.col("top_fraction").between(band, 1 - band))
 
@@ -28,14 +46,11 @@ def header_fold(blocks: DataFrame, most: int = 400) -> DataFrame:
     numbers are text. The first section of a number stays, a later one is kept as discarded (the last one). A book's blocks
     are folded by one task, in order of seq.
     """
-    schema = "book_id long, section_number int, content string, discarded string"
-
-    def fold(book: pd.DataFrame) -> pd.DataFrame:
-        import re
+    import re
 
-        book = book.sort_values("seq", kind="stable")
-        sizes = book.font_size.fillna(0)
-        mean = sizes.where(sizes > 0, 10.0).mean() if len(book) else 10.0
+    def fold(book: list[dict]) -> list[tuple]:
+        sizes = [r["font_size"] if (r["font_size"] or 0) > 0 else 10.0 for r in book]
+        mean = sum(sizes) / len(sizes)
         current, expected, last, last_page, buffer = 0, 1, 0, 1, []
         done: dict[int, str] = {}
         dropped: dict[int, str] = {}
@@ -44,25 +59,25 @@ def header_fold(blocks: DataFrame, most: int = 400) -> DataFrame:
             if current:
                 (dropped if current in done else done)[current] = "\n\n".join(buffer)
 
-        for r in book.itertuples():
-            text = (r.text or "").strip()
+        for r in book:
+            text = (r["text"] or "").strip()
             hit = re.fullmatch(r"\W*(\d{1,4})\W*", text)
             n = int(hit[1]) if hit else 0
             if hit and 1 <= n <= most:
                 in_turn = expected - 1 <= n <= expected + AHEAD
-                visible = (r.font_size or 0) > LARGER * mean or bool(r.is_bold)
-                again = current > 0 and n > last and n - last <= max(16, (r.page - last_page + 1) * 12) and re.fullmatch(r"\d+\.?", text) is not None
+                visible = (r["font_size"] or 0) > LARGER * mean or bool(r["is_bold"])
+                again = current > 0 and n > last and n - last <= max(16, (r["page"] - last_page + 1) * 12) and re.fullmatch(r"\d+\.?", text) is not None
                 if in_turn or visible or again:
                     flush()
-                    current, expected, last, last_page, buffer = n, n + 1, n, r.page, []
+                    current, expected, last, last_page, buffer = n, n + 1, n, r["page"], []
                     continue
             if current:
                 buffer.append(text)
         flush()
-        rows = [(book.book_id.iloc[0], n, done[n], dropped.get(n)) for n in sorted(done)] if len(book) else []
-        return pd.DataFrame(rows, columns=["book_id", "section_number", "content", "discarded"])
+        return [(n, done[n], dropped.get(n)) for n in sorted(done)]
 
-    return blocks.groupBy("book_id").applyInPandas(fold, schema)
+    kept = blocks.select("book_id", "seq", "page", "text", "font_size", "is_bold")
+    return by_book(kept, "seq", fold, "section_number int, content string, discarded string")
 
 
 def manifest_sections(lines: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -126,9 +141,9 @@ def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:
         lines = [x for x in text.split("\n") if x.strip()]
         return 60 <= len(text) <= 1200 and 2 <= len(lines) <= 24 and text.lstrip()[:1].isupper()
 
-    def walk(book: pd.DataFrame) -> pd.DataFrame:
-        have = {int(n): c for n, c in zip(book.section_number, book.content, strict=True) if c and c != MISSING}
-        top = int(book.n_sections.iloc[0])
+    def walk(book: list[dict]) -> list[tuple]:
+        have = {r["section_number"]: r["content"] for r in book if r["content"] and r["content"] != MISSING}
+        top = book[0]["n_sections"]
         for n in range(1, top):
             if n not in have or n + 1 in have:
                 continue
@@ -139,9 +154,10 @@ def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:
                     if own and plausible(orphan):
                         have[n], have[n + 1] = own, orphan
                     break
-        return pd.DataFrame([(book.book_id.iloc[0], n, have[n]) for n in sorted(have)], columns=["book_id", "section_number", "content"])
+        return [(n, have[n]) for n in sorted(have)]
 
-    return sections.drop("n_sections").join(most, "book_id").groupBy("book_id").applyInPandas(walk, "book_id long, section_number int, content string")
+    rows = sections.drop("n_sections").join(most, "book_id").select("book_id", "section_number", "content", "n_sections")
+    return by_book(rows, "section_number", walk, "section_number int, content string")
 
 
 def choose_passes(candidates: DataFrame, primary: int = 250, enough: int = 400) -> DataFrame:
@@ -193,9 +209,9 @@ def rebalance_shifted(sections: DataFrame, most: int = 400) -> DataFrame:
     def lines_of(text: str) -> list[str]:
         return [x.strip() for x in text.split("\n") if x.strip()]
 
-    def walk(book: pd.DataFrame) -> pd.DataFrame:
-        text, junk, spare = ({int(n): v for n, v in zip(book.section_number, c, strict=True)} for c in (book.content, book.junk, book.discarded))
-        for n in range(1, most - 1):
+    def walk(book: list[dict]) -> list[tuple]:
+        text, junk, spare = ({r["section_number"]: r[c] for r in book} for c in ("content", "junk", "discarded"))
+        for n in range(1, min(most, max(text)) - 1):
             if text.get(n, MISSING) == MISSING or n + 1 in text or text.get(n + 2, MISSING) == MISSING:
                 continue
             parts, flags, own = lines_of(text[n + 2]), list(junk[n + 2]), junk[n]
@@ -211,6 +227,7 @@ def rebalance_shifted(sections: DataFrame, most: int = 400) -> DataFrame:
                 back = spare.get(n + 2)
                 text[n + 2] = back if back and plausible(lines_of(back)) else MISSING
                 junk[n + 2] = []
-        return pd.DataFrame([(book.book_id.iloc[0], n, text[n]) for n in sorted(text)], columns=["book_id", "section_number", "content"])
+        return [(n, text[n]) for n in sorted(text)]
 
-    return sections.groupBy("book_id").applyInPandas(walk, "book_id long, section_number int, content string")
+    rows = sections.select("book_id", "section_number", "content", "junk", "discarded")
+    return by_book(rows, "section_number", walk, "section_number int, content string")
