@@ -50,3 +50,20 @@ def combat_rounds(fights: DataFrame) -> DataFrame:
     die = lambda k: (F.col("id") * 31 + F.col("round") * 17 + k * 7) % 6 + 1
     own, other = die(0) + die(1) + F.col("skill"), die(2) + die(3) + F.col("enemy_skill")
     return fights.select("id", "round", own.alias("attack"), other.alias("enemy_attack"), F.when(own < other, 2).otherwise(0).alias("damage"), F.when(own > other, 2).otherwise(0).alias("enemy_damage"))
+
+
+def patched(old: Column, new: Column) -> Column:
+    """A null request keeps the old value."""
+    return F.coalesce(new, old)
+
+
+def patched_text(old: Column, new: Column) -> Column:
+    """A null request keeps the old text, a blank one removes it."""
+    return F.when(new.isNull(), old).when(F.trim(new) != "", F.trim(new))
+
+
+def best_source(candidates: DataFrame, missing: str) -> DataFrame:
+    """book_id, pass_id, present: the pass (book_id, pass_id, content) with the most sections; the earliest of equal ones."""
+    counts = candidates.groupBy("book_id", "pass_id").agg(F.count_if(F.col("content") != missing).alias("present"))
+    best = F.max_by(F.struct("pass_id", "present"), F.struct("present", (-F.col("pass_id")).alias("early")))
+    return counts.groupBy("book_id").agg(best.alias("b")).select("book_id", "b.*")

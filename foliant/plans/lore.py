@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import lore
 from foliant.functions import text as T
-from foliant.operators import layout, segment
+from foliant.operators import layout, players, segment
 from foliant.plans import IDS, KEY, query
 from foliant.sources.corpus import MISSING, sections, table
 
@@ -131,3 +131,31 @@ def art_crops(s, d):
     pixels = F.rpad(F.concat(area("z", k + 1), area(" ", k + 20)), 80_000, "z").cast("binary")
     pages = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit(100).alias("width"), F.lit(800).alias("height"), pixels.alias("pixels"))
     return layout.art_crops(pages).drop("png")
+
+
+@query(rf""", C AS (SELECT book_id, section_number, CAST(unnest(regexp_extract_all(content, '(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{{1,4}})[.!]?\s*$', 2)) AS INT) AS target FROM S)
+  SELECT book_id, section_number, target FROM C WHERE (book_id, target) IN (SELECT book_id, section_number FROM S WHERE content = '{MISSING}')""")
+def dangling_choices(s, d):
+    """Choices that lead to a section without text."""
+    every = sections(s, d)
+    gone = every.where(F.col("content") == MISSING).select("book_id", F.col("section_number").alias("target"))
+    led = every.select(*IDS, F.explode(T.choices(F.col("content"))).alias("c")).select(*IDS, F.col("c.target").alias("target"))
+    return led.join(gone, ["book_id", "target"], "left_semi").select(*IDS, "target")
+
+
+@query(f""", C AS (SELECT book_id, 0 AS pass_id, count(*) FILTER (section_number % 2 = 0 AND content <> '{MISSING}') AS present FROM S GROUP BY ALL
+    UNION ALL SELECT book_id, 1, count(*) FILTER (section_number % 3 <> 0 AND content <> '{MISSING}') FROM S GROUP BY ALL)
+  SELECT book_id, pass_id, present FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY present DESC, pass_id) AS r FROM C) WHERE r = 1""")
+def best_source(s, d):
+    n = F.col("section_number")
+    passes = F.array(*(F.struct(F.lit(k).alias("pass_id"), F.when(kept, F.col("content")).otherwise(MISSING).alias("content")) for k, kept in ((0, n % 2 == 0), (1, n % 3 != 0))))
+    return players.best_source(sections(s, d).select("book_id", F.inline(passes)), MISSING)
+
+
+@query("""SELECT c_custkey, greatest(1, least(20, CASE WHEN c_custkey % 4 = 0 THEN 12 ELSE CAST(c_custkey % 30 AS INT) END)) AS skill,
+  CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 2 THEN 'New' END AS name FROM customer""", books=False)
+def profile_patch(s, d):
+    k = F.col("c_custkey")
+    skill = players.patched(F.lit(12), F.when(k % 4 != 0, (k % 30).cast("int")))
+    name = players.patched_text(F.col("c_name"), F.when(k % 3 == 1, "  ").when(k % 3 == 2, " New "))
+    return table(s, d, "customer").select("c_custkey", players.clamp(skill, 1, 20).alias("skill"), name.alias("name"))
