@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.jaccard_join import _pack, _unpack
-from foliant.llm.kernels import BLANK, column_bytes, pieces, word_hashes
+from foliant.llm.kernels import column_bytes, pieces, word_hashes
 from foliant.llm.shared import stored, tasks
 from foliant.llm.subwords import encoder
 
 #: Classes of ids: the most frequent ones, and one for the rest (the last); width of vectors; positions of a window, half of them context.
 CLASSES, WIDTH, WINDOW = 384, 32, 32
 HALF = WINDOW // 2
-#: Training: windows that a training text gives (at places chosen by hash), bytes of text read for each, rounds of averaging, windows in a step, and its rate.
-PLACES, READ, ROUNDS, STEP, RATE = 5, 400, 3, 16, 0.02
+#: Training: windows in a stored row at most, rounds of averaging, windows in a step, and its rate.
+PIECE, ROUNDS, STEP, RATE = 16, 3, 16, 0.02
 #: Steps of a task in a round at least; a task with fewer windows goes over its first KEPT ones again.
 STEPS, KEPT = 40, 4096
 #: Windows scored at once (their logits stay in a core's cache), text bytes counted together, rows at most, and texts of a chunk from which a word is dealt as a count.
@@ -150,54 +150,62 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def training_windows(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """ids (WINDOW + 1 numbers of 16 bits) and absent: windows of the training texts, at places chosen by a hash of the text."""
+def training_pieces(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """ids (numbers of 16 bits) and first: the whole training texts, in pieces of PIECE windows.
+
+    A piece has the HALF + 1 ids before its first target, then its targets; so each id of a text is a target in one window
+    of one piece. Before a text's first target stand HALF positions without text and the end (``first``).
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        front, long = np.full(HALF + 1, end, "<u2"), PIECE * HALF
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            raw, cuts, begins = data.tobytes(), [], []
-            for i, tie in enumerate(batch.column("tie").to_pylist()):
-                a, b = int(offsets[i]), int(offsets[i + 1])
-                for k in range(PLACES):
-                    at = a + (tie * 0x9E3779B1 + k * 0x85EBCA6B) % (1 << 32) * max(1, b - a) // (1 << 32)
-                    while a < at < b and not BLANK[data[at - 1]]:
-                        at += 1
-                    stop = min(b, at + READ)
-                    while stop < b and not BLANK[data[stop]]:
-                        stop += 1
-                    cuts.append(raw[at:stop])
-                    begins.append(at == a)
-            ids, at = encoder(tokenizer).encode(*column_bytes(pa.array(cuts, pa.binary())))
-            rows, absent = [], []
-            for i, begin in enumerate(begins):
-                own = ids[at[i] : at[i + 1]]
-                if begin:  # the text's first ids, after the end that stands before it and positions without text
-                    own = np.concatenate([np.full(HALF + 1, end, np.uint16), own])
-                if len(own) > WINDOW:
-                    rows.append(own[: WINDOW + 1].astype("<u2").tobytes())
-                    absent.append(HALF if begin else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(absent, pa.int32())], names=["ids", "absent"])
-
-    return docs.mapInArrow(work, "ids binary, absent int")
+            for _, _, part, near in pieces(data, offsets, CHUNK_BYTES):
+                ids, at = encoder(tokenizer).encode(part, near)
+                rows, first = [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = np.concatenate([front, ids[a:b].astype("<u2")])
+                    for k in range(0, b - a, long):
+                        rows.append(own[k : k + long + HALF + 1].tobytes())
+                        first.append(k == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(first, pa.bool_())], names=["ids", "first"])
+
+    return docs.mapInArrow(work, "ids binary, first boolean")
+
+
+def piece_windows(ids: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of pieces: WINDOW + 1 ids each, and how many positions at the front are no text."""
+    data, offsets = column_bytes(ids)
+    flat, at = data.view("<u2"), offsets // 2
+    many = np.maximum(np.diff(at) - HALF - 1, 0) // HALF
+    piece, begin = np.repeat(np.arange(len(many)), many), np.repeat(np.cumsum(many) - many, many)
+    k = np.arange(len(piece)) - begin
+    return flat[(at[piece] + k * HALF)[:, None] + np.arange(WINDOW + 1)], np.where(first[piece] & (k == 0), HALF, 0)
+
+
+def target_counts(ids: pa.Array, size: int) -> np.ndarray:
+    """How often each id is a target in pieces."""
+    data, offsets = column_bytes(ids)
+    flat, at = data.view("<u2"), offsets[:-1] // 2
+    return np.bincount(flat, minlength=size) - np.bincount(flat[at[:, None] + np.arange(HALF + 1)].ravel(), minlength=size)
 
 
 def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int = ROUNDS) -> Model:
-    """docs: text and tie of the training texts. Every text gives windows; tasks train on theirs and their weights are averaged in each round."""
+    """docs: text of the training texts. All ids of all texts are counted and learned; tasks train on their pieces and their weights are averaged in each round."""
     size = encoder(tokenizer).size
     spark = docs.sparkSession
-    windows = stored(training_windows(docs, tokenizer, end).repartition(tasks(spark)), "windows")
+    learned = stored(training_pieces(docs, tokenizer, end).repartition(tasks(spark)), "pieces")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            ids, _ = column_bytes(batch.column("ids"))
-            total += np.bincount(ids.view("<u2"), minlength=size)
+            total += target_counts(batch.column("ids"), size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
     counts = np.ones(size)
-    for r in windows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary
+    for r in learned.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary
         counts[r[0]] += r[1]
     counts[end] = counts.max() + 1  # a class of its own
     order = np.argsort(-counts, kind="stable")
@@ -213,15 +221,15 @@ def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int
 
         def local(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, k: int = k) -> Iterator[pa.RecordBatch]:
             own, n, m, v = Model(_shaped(flat), classes, within, end), 0, 0.0, 0.0
-            kept, size = [], 0
+            kept, size, rng = [], 0, np.random.default_rng([seed, k])
 
             def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 nonlocal size
                 for batch in batches:
-                    ids, _ = column_bytes(batch.column("ids"))
-                    rows, absent = classes[ids.view("<u2").reshape(-1, WINDOW + 1)], batch.column("absent").to_numpy()
+                    rows, absent = piece_windows(batch.column("ids"), batch.column("first").to_numpy(zero_copy_only=False))
+                    order = rng.permutation(len(rows))  # a step has windows of many texts
                     for a in range(0, len(rows), STEP):
-                        part = rows[a : a + STEP], absent[a : a + STEP]
+                        part = classes[rows[order[a : a + STEP]]], absent[order[a : a + STEP]]
                         if size < KEPT:
                             kept.append(part)
                             size += len(part[0])
@@ -247,7 +255,7 @@ def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()])], names=["n", "weights"])
 
         # averages of averages: the driver gets 16 weight vectors at most
-        parts = windows.mapInArrow(local, "n long, weights binary").where("n > 0").repartition(16).mapInArrow(average, "n long, weights binary").collect()
+        parts = learned.mapInArrow(local, "n long, weights binary").where("n > 0").repartition(16).mapInArrow(average, "n long, weights binary").collect()
         if parts:
             total = sum(r[0] for r in parts)
             model.weights = _shaped(sum(r[0] / total * np.frombuffer(r[1], "<f4").astype(np.float64) for r in parts))
@@ -394,7 +402,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, end: int = 49407, folds: int = 7,
     ranges = tasks(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    model = train(rows.where("not held_out").select("text", F.xxhash64("text").alias("tie")), tokenizer, end)
+    model = train(rows.where("not held_out").select("text"), tokenizer, end)
     dealt = rows.mapInArrow(_deal(ranges, model, tokenizer), DEALT_DDL).repartitionById(ranges, F.col("to"))
     answers = stored(dealt.mapInArrow(_count, DEALT_DDL), "counts")
     totals = [_unpack(bytes(r[0]), "<i8")[0] for r in answers.where(F.col("kind") == TOTALS).select("payload").collect()]  # a row per range

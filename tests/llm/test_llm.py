@@ -14,7 +14,7 @@ from foliant.llm.decontaminate import decontaminate, find_leaks
 from foliant.llm.exact_dedup import build_index, exact_dedup
 from foliant.llm.jaccard_join import jaccard_components, near_dedup
 from foliant.llm.line_dedup import line_dedup
-from foliant.llm.lm_scoring import lm_scores
+from foliant.llm.lm_scoring import HALF, PIECE, lm_scores, piece_windows, target_counts, training_pieces
 from foliant.llm.mixing import mix, mixed_documents, split_tree, taken, targets
 from foliant.llm.queries import TOKENIZER
 from foliant.llm.suffix_dedup import suffix_dedup
@@ -238,6 +238,26 @@ def test_lm_scores(spark):
     assert lm_scores(frame(spark, []), TOKENIZER).count() == 0
 
 
+def learned(spark, texts):
+    """Targets of all training windows, by window; and how often each id is counted."""
+    from tokenizers import Tokenizer
+
+    rows = training_pieces(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), TOKENIZER, 49407).toArrow().combine_chunks()
+    ids = rows.column("ids").combine_chunks()
+    size = Tokenizer.from_file(TOKENIZER).get_vocab_size()
+    return piece_windows(ids, rows.column("first").to_numpy()), target_counts(ids, size), [Tokenizer.from_file(TOKENIZER).encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_lm_learns_whole_texts(spark):
+    """Each id of a long text is a target once, in order, after the ids that stand before it; all ids are counted."""
+    (windows, absent), counts, (ids,) = learned(spark, [words(4000, 7)])
+    assert len(ids) > 2 * PIECE * HALF
+    got = windows[:, HALF + 1 :].ravel().tolist()[: len(ids)]
+    assert len(got) >= len(ids) - HALF + 1 and got == ids[: len(got)]
+    assert windows[1:, : HALF + 1].tolist() == windows[:-1, HALF:].tolist() and absent.tolist() == [HALF] + [0] * (len(windows) - 1)
+    assert all(counts[i] == ids.count(i) for i in set(ids))
+
+
 def test_lm_beats_subword_frequencies_on_held_out_texts(spark):
     """In prose, context must help: a better score than the subword ids' own frequencies in the training texts give."""
     from tokenizers import Tokenizer
