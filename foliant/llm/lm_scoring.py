@@ -52,17 +52,20 @@ class Model:
         r = h + z
         return x, q, k, v, a, h, z, r, r @ w["out"] + w["out_bias"]
 
-    def step(self, ids: np.ndarray, absent: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean loss over the latter half of positions, and its gradients."""
+    def step(self, ids: np.ndarray, absent: np.ndarray, targets: np.ndarray, many: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss over the first ``many`` targets of each window, and its gradients."""
         w, d = self.weights, np.float32(1 / np.sqrt(WIDTH))
         x, q, k, v, a, h, z, r, y = self.logits(ids, absent)
         y = y - y.max(axis=2, keepdims=True)
         p = np.exp(y)
         p /= p.sum(axis=2, keepdims=True)
-        n = targets.size
+        there = np.arange(HALF) < many[:, None]
+        n = there.sum()
         hit = np.take_along_axis(p, targets[:, :, None], 2)[:, :, 0]
-        loss = float(-np.log(hit + 1e-12).mean())
+        loss = float(-np.log(hit[there] + 1e-12).mean())
         np.put_along_axis(p, targets[:, :, None], (hit - 1)[:, :, None], 2)
+        if not there.all():
+            p[~there] = 0
         dy = p / np.float32(n)
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g = {"out": flat(r).T @ flat(dy), "out_bias": flat(dy).sum(axis=0)}
@@ -151,10 +154,10 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def training_pieces(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """ids (numbers of 16 bits) and first: the whole training texts, in pieces of PIECE windows.
+    """ids (numbers of 16 bits) and first: the whole training texts and the end of each, in pieces of PIECE windows.
 
-    A piece has the HALF + 1 ids before its first target, then its targets; so each id of a text is a target in one window
-    of one piece. Before a text's first target stand HALF positions without text and the end (``first``).
+    A piece has the HALF + 1 ids before its first target, then its targets; so each id of a text and the end are targets in
+    one window of one piece. A text without ids has the end alone. Before a text's first target stand HALF positions without text and the end (``first``).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,7 @@ def training_pieces(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             for _, _, part, near in pieces(data, offsets, CHUNK_BYTES):
-                ids, at = encoder(tokenizer).encode(part, near)
+                ids, at = encoder(tokenizer).encode(part, near, end)
                 rows, first = [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = np.concatenate([front, ids[a:b].astype("<u2")])
@@ -174,14 +177,20 @@ def training_pieces(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     return docs.mapInArrow(work, "ids binary, first boolean")
 
 
-def piece_windows(ids: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of pieces: WINDOW + 1 ids each, and how many positions at the front are no text."""
+def piece_windows(ids: pa.Array, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of pieces: WINDOW + 1 ids each, how many positions at the front are no text, and how many targets they have.
+
+    A piece's last window is filled with ends, which are no targets.
+    """
     data, offsets = column_bytes(ids)
-    flat, at = data.view("<u2"), offsets // 2
-    many = np.maximum(np.diff(at) - HALF - 1, 0) // HALF
+    flat, at = np.append(data.view("<u2"), np.uint16(end)), offsets // 2
+    targets = np.diff(at) - HALF - 1
+    many = -(-targets // HALF)
     piece, begin = np.repeat(np.arange(len(many)), many), np.repeat(np.cumsum(many) - many, many)
     k = np.arange(len(piece)) - begin
-    return flat[(at[piece] + k * HALF)[:, None] + np.arange(WINDOW + 1)], np.where(first[piece] & (k == 0), HALF, 0)
+    place = (k * HALF)[:, None] + np.arange(WINDOW + 1)
+    place = np.where(place < np.diff(at)[piece][:, None], at[piece][:, None] + place, len(flat) - 1)
+    return flat[place], np.where(first[piece] & (k == 0), HALF, 0), np.minimum(targets[piece] - k * HALF, HALF)
 
 
 def target_counts(ids: pa.Array, size: int) -> np.ndarray:
@@ -192,7 +201,7 @@ def target_counts(ids: pa.Array, size: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int = ROUNDS) -> Model:
-    """docs: text of the training texts. All ids of all texts are counted and learned; tasks train on their pieces and their weights are averaged in each round."""
+    """docs: text of the training texts. All ids of all texts and their ends are counted and learned; tasks train on their pieces and their weights are averaged in each round."""
     size = encoder(tokenizer).size
     spark = docs.sparkSession
     learned = stored(training_pieces(docs, tokenizer, end).repartition(tasks(spark)), "pieces")
@@ -207,8 +216,8 @@ def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int
     counts = np.ones(size)
     for r in learned.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary
         counts[r[0]] += r[1]
-    counts[end] = counts.max() + 1  # a class of its own
     order = np.argsort(-counts, kind="stable")
+    order = np.append(end, order[order != end])  # the end has a class of its own
     classes = np.full(size, CLASSES - 1)
     classes[order[: CLASSES - 1]] = np.arange(CLASSES - 1)
     rest = order[CLASSES - 1 :]
@@ -223,13 +232,14 @@ def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int
             own, n, m, v = Model(_shaped(flat), classes, within, end), 0, 0.0, 0.0
             kept, size, rng = [], 0, np.random.default_rng([seed, k])
 
-            def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            def steps() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
                 nonlocal size
                 for batch in batches:
-                    rows, absent = piece_windows(batch.column("ids"), batch.column("first").to_numpy(zero_copy_only=False))
+                    rows, absent, many = piece_windows(batch.column("ids"), batch.column("first").to_numpy(zero_copy_only=False), end)
                     order = rng.permutation(len(rows))  # a step has windows of many texts
                     for a in range(0, len(rows), STEP):
-                        part = classes[rows[order[a : a + STEP]]], absent[order[a : a + STEP]]
+                        at = order[a : a + STEP]
+                        part = classes[rows[at]], absent[at], many[at]
                         if size < KEPT:
                             kept.append(part)
                             size += len(part[0])
@@ -237,8 +247,8 @@ def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int
                 while kept and n < STEPS:
                     yield kept[n % len(kept)]
 
-            for rows, absent in steps():
-                _, g = own.step(rows[:, :-1], absent, rows[:, HALF + 1 :])
+            for rows, absent, many in steps():
+                _, g = own.step(rows[:, :-1], absent, rows[:, HALF + 1 :], many)
                 n += 1
                 grad = _flat(g)
                 m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad

@@ -14,7 +14,7 @@ from foliant.llm.decontaminate import decontaminate, find_leaks
 from foliant.llm.exact_dedup import build_index, exact_dedup
 from foliant.llm.jaccard_join import jaccard_components, near_dedup
 from foliant.llm.line_dedup import line_dedup
-from foliant.llm.lm_scoring import HALF, PIECE, lm_scores, piece_windows, target_counts, training_pieces
+from foliant.llm.lm_scoring import CLASSES, HALF, PIECE, WINDOW, Model, _first_weights, lm_scores, piece_windows, target_counts, training_pieces
 from foliant.llm.mixing import mix, mixed_documents, split_tree, taken, targets
 from foliant.llm.queries import TOKENIZER
 from foliant.llm.suffix_dedup import suffix_dedup
@@ -245,12 +245,12 @@ def learned(spark, texts):
     rows = training_pieces(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), TOKENIZER, 49407).toArrow().combine_chunks()
     ids = rows.column("ids").combine_chunks()
     size = Tokenizer.from_file(TOKENIZER).get_vocab_size()
-    return piece_windows(ids, rows.column("first").to_numpy()), target_counts(ids, size), [Tokenizer.from_file(TOKENIZER).encode(t or "", add_special_tokens=False).ids for t in texts]
+    return piece_windows(ids, rows.column("first").to_numpy(), 49407), target_counts(ids, size), [Tokenizer.from_file(TOKENIZER).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_lm_learns_whole_texts(spark):
     """Each id of a long text is a target once, in order, after the ids that stand before it; all ids are counted."""
-    (windows, absent), counts, (ids,) = learned(spark, [words(4000, 7)])
+    (windows, absent, _), counts, (ids,) = learned(spark, [words(4000, 7)])
     assert len(ids) > 2 * PIECE * HALF
     got = windows[:, HALF + 1 :].ravel().tolist()[: len(ids)]
     assert len(got) >= len(ids) - HALF + 1 and got == ids[: len(got)]
@@ -258,6 +258,24 @@ def test_lm_learns_whole_texts(spark):
     assert all(counts[i] == ids.count(i) for i in set(ids))
 
 
+def test_lm_learns_ends_tails_and_short_texts(spark):
+    """Targets are all ids and the end of each text, short, empty and without blanks too; what fills a window is none."""
+    texts = ["x", None, words(3, 8), "z" * 3000, "\u4e2d" * 700, words(500, 9)]
+    (windows, absent, many), counts, encoded = learned(spark, texts)
+    got = [w[HALF + 1 : HALF + 1 + n].tolist() for w, n in zip(windows, many, strict=True)]
+    assert [i for w in got for i in w] == [i for ids in encoded for i in [*ids, 49407]]
+    assert (absent == HALF).sum() == len(texts) and counts[49407] == len(texts) and counts.sum() == sum(len(x) + 1 for x in encoded)
+
+
+def test_lm_step_ignores_what_fills_a_window():
+    model, rng = Model(_first_weights(1, np.zeros(CLASSES)), None, None, 0), np.random.default_rng(2)
+    one = rng.integers(0, CLASSES, (3, WINDOW + 1))
+    two, many, none = one.copy(), np.array([HALF, 5, 1]), np.array([HALF, 0, 0])
+    two[1, HALF + 6 :], two[2, HALF + 2 :] = 0, 0
+    (a, g), (b, h) = (model.step(x[:, :-1], none, x[:, HALF + 1 :], many) for x in (one, two))
+    assert abs(a - b) < 1e-6 and all(np.allclose(g[k], h[k], atol=1e-6) for k in g)
+
+
 def test_lm_beats_subword_frequencies_on_held_out_texts(spark):
     """In prose, context must help: a better score than the subword ids' own frequencies in the training texts give."""
     from tokenizers import Tokenizer
