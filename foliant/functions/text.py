@@ -9,6 +9,9 @@ from foliant.sources.corpus import MISSING
 
 REFERENCE = r"(?i)\b(?:turn|go)\s+to\s+(?:the\s+)?(\d{1,4})\b"
 CHOICE_LINE = r"(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{1,4})[.!]?\s*$"
+TURN = r"(?i)\bturn\s+to\s+(?:the\s+)?\d{1,4}\b"
+#: The tail of a narrative sentence before "turn to N": in lower case, after a blank line and text that does not end a sentence.
+CONTINUATION = r"""[^\s.!?:;)\]"”’»]\s*\n[^\S\n]*\n[^\S\n]*\p{Ll}(?:[^\n]*[^\s,;?])?[ \t]*\b(?i:turn\s+to\s+(?:the\s+)?)\d{1,4}[.!]?[^\S\n]*(?:\n|$)"""
 STAT = r"(?i)(lose|gain|add|deduct|restore|increase|decrease|take)\s+(\d+)\s+(?:points?\s+)?(?:of\s+|from\s+|in\s+)?(skill|stamina|luck|crew strike|crew strength)"
 LOG = r"(?i)(add|gain|increase|deduct|lose|subtract)\s+(\d+)\s+days?\s+(?:to\s+|from\s+|in\s+)?(?:your\s+)?log\b"
 BOOTY = r"(?i)(?:add|gain|receive|find|deduct|lose|spend)\s+(?:\d+|one|two|three|four|five)\s+(?:gold pieces|gp|pieces of gold|slaves)"
@@ -34,16 +37,25 @@ def prose(text: Column) -> Column:
     return normalize(F.regexp_replace(text, r"(\w)-\r?\n\s*(\w)", "$1$2"))
 
 
+def continued(text: Column) -> Column:
+    """Whether the text's only choice line is the tail of a narrative sentence."""
+    once = lambda pattern: F.regexp_count(text, F.lit(pattern)) == 1
+    return once(TURN) & once(CHOICE_LINE) & F.rlike(text, F.lit(CONTINUATION))
+
+
 def choices(text: Column) -> Column:
-    """Array of (label, target): labelled "turn to N" lines; a blank label is null. A bare "Turn to N" line is none."""
+    """Array of (label, target): labelled "turn to N" lines; a blank label is null. A bare "Turn to N" line is none, nor is the tail of a sentence."""
     labels, numbers = (F.regexp_extract_all(text, F.lit(CHOICE_LINE), F.lit(k)) for k in (1, 2))
     label = lambda x: F.when(F.trim(x) == "", None).otherwise(F.trim(F.regexp_replace(x, r"[,;:\s]+$", "")))
-    return F.zip_with(labels, numbers, lambda a, b: F.struct(label(a).alias("label"), b.cast("int").alias("target")))
+    found = F.zip_with(labels, numbers, lambda a, b: F.struct(label(a).alias("label"), b.cast("int").alias("target")))
+    return F.filter(found, lambda _: ~continued(text))
 
 
 def clean(text: Column) -> Column:
-    """The text without choice lines, on one line."""
-    return normalize(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.rlike(x, F.lit(CHOICE_LINE))), " "))
+    """The text without choice lines, on one line; of the tail of a sentence only its "turn to N" goes."""
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.rlike(x, F.lit(CHOICE_LINE)) | continued(text))
+    tail = F.transform(kept, lambda x: F.when(F.rlike(x, F.lit(CHOICE_LINE)), F.regexp_extract(x, CHOICE_LINE, 1)).otherwise(x))
+    return normalize(F.array_join(tail, " "))
 
 
 def has_combat(text: Column) -> Column:

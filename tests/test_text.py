@@ -19,6 +19,16 @@ def test_references_and_choices(spark):
     assert one(spark, T.references, "") == []
 
 
+def test_tail_of_a_sentence_is_no_choice(spark):
+    tail = "You follow the winding passage\n\nuntil it ends, then turn to 9."
+    assert one(spark, T.choices, tail) == [] and one(spark, T.clean, tail) == "You follow the winding passage until it ends, then"
+    assert one(spark, T.choices, tail.replace("\n\n", "\r\n \r\n")) == []
+    options = ["You follow the passage.\n\nuntil it ends, then turn to 9.", "You follow the passage\nuntil it ends, then turn to 9.", "You follow the passage\n\nUntil it ends turn to 9.", "You follow the passage\n\nif it ends, turn to 9.", tail + "\nIf not, turn to 8.", tail + " You may turn to 8 or wait.", "\n\nuntil it ends turn to 9."]
+    for text in options:
+        assert len(one(spark, T.choices, text)) == len(one(spark, lambda t: F.regexp_extract_all(t, F.lit(T.CHOICE_LINE), F.lit(2)), text)), text
+    assert one(spark, T.clean, options[0]) == "You follow the passage." and one(spark, T.clean, options[3]) == "You follow the passage"
+
+
 def test_features(spark):
     assert one(spark, T.log_days, "Add 3 days to your LOG. Lose 1 day from your log.") == 2
     assert one(spark, T.log_days, "nothing") is None
