@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.lore import is_junk_line
-from foliant.functions.text import is_noise_line
+from foliant.functions.text import choices, is_noise_line
 from foliant.sources.corpus import MISSING
 
 #: Blocks further up or down than this share of the page are headers or footers.
@@ -130,6 +130,27 @@ def missing_numbers(sections: DataFrame, most: DataFrame) -> DataFrame:
     return every.join(sections.select("book_id", "section_number"), ["book_id", "section_number"], "left_anti")
 
 
+def book_quality(sections: DataFrame, most: int = 400) -> DataFrame:
+    """book_id, present, top, total_chars, mean_chars, combat, needs_attention: a row per book, also for those of placeholders alone.
+
+    needs_attention: the highest number is under 200, under 100 sections have text, their mean length is not 300..2500, a
+    choice leads out of 1..``most``, or over 5 choices lead to placeholders. Choices are counted one by one; top and sums
+    are of sections with text, the highest number is of all.
+    """
+    real = F.col("content") != MISSING
+    size = F.when(real, F.length("content"))
+    targets = F.transform(choices(F.col("content")), lambda c: c["target"])
+    outside = F.size(F.filter(targets, lambda t: ~t.between(1, most)))
+    gone = sections.where(~real).select("book_id", F.col("section_number").alias("target"))
+    led = sections.select("book_id", F.explode(targets).alias("target")).join(gone, ["book_id", "target"], "left_semi").groupBy("book_id").agg(F.count(F.lit(1)).alias("astray"))
+    mean = F.floor(F.avg(size)).cast("long")
+    books = sections.groupBy("book_id").agg(
+        F.count(size).alias("present"), F.max(F.when(real, F.col("section_number"))).alias("top"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_chars"), mean.alias("mean_chars"),
+        F.count_if(real & F.col("content").contains("SKILL")).alias("combat"), F.max("section_number").alias("highest"), F.sum(outside).alias("outside"))
+    bad = (F.col("highest") < 200) | (F.col("present") < 100) | (F.col("outside") > 0) | (F.coalesce("astray", F.lit(0)) > 5) | F.coalesce(~F.col("mean_chars").between(300, 2500), F.lit(False))
+    return books.join(led, "book_id", "left").select("book_id", "present", "top", "total_chars", "mean_chars", "combat", bad.alias("needs_attention"))
+
+
 def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:
     """Recovers section n + 1 from the text of n where it is absent: the text is cut after its last garbled number line.
 

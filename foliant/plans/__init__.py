@@ -182,9 +182,7 @@ def trimmed_lines(s, d):
 @query(f"""SELECT book_id, count(*) AS present, max(section_number) AS top, CAST(sum(length(content)) AS BIGINT) AS total_chars, CAST(floor(avg(length(content))) AS BIGINT) AS mean_chars,
   count(*) FILTER (contains(content, 'SKILL')) AS combat, max(section_number) < 200 OR avg(length(content)) NOT BETWEEN 300 AND 2500 AS needs_attention FROM S WHERE content <> '{MISSING}' GROUP BY ALL""")
 def book_quality(s, d):
-    size = F.length(F.col("content"))
-    attention = (F.max("section_number") < 200) | ~F.avg(size).between(300, 2500)
-    return sections(s, d).where(F.col("content") != MISSING).groupBy("book_id").agg(F.count(F.lit(1)).alias("present"), F.max("section_number").alias("top"), F.sum(size).cast("long").alias("total_chars"), F.floor(F.avg(size)).cast("long").alias("mean_chars"), F.count_if(F.col("content").contains("SKILL")).alias("combat"), attention.alias("needs_attention"))
+    return segment.book_quality(sections(s, d))
 
 
 @query(rf"SELECT {KEY}, regexp_replace(replace(content, 'turn to', 'tum to'), '(?i)\b(?:tum to|turnto)\s+(\d{{1,3}})', 'turn to \1', 'g') AS content FROM S")

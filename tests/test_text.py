@@ -58,6 +58,22 @@ def test_split_orphans(spark):
     assert got == {1: f"{long}\nA door.", 2: f"{long}\nAnother door."}
 
 
+def test_book_quality(spark):
+    """Each check alone makes a book need attention."""
+    fine = lambda n: {k: "x" * 400 for k in range(1, n + 1)}
+    gap = segment.MISSING
+    choice = lambda *to: "\n".join(f"If so, turn to {t}." for t in to) + "\n" + "x" * 300
+    books = [
+        (fine(400), False), (fine(199), True), ({k: "x" * 400 if k <= 90 else gap for k in range(1, 401)}, True), (fine(400) | {5: choice(401)}, True), (fine(400) | {5: choice(0)}, True),
+        (fine(400) | {5: choice(7, 7, 7), 6: choice(7, 7), 7: gap}, False), (fine(400) | {5: choice(7, 7, 7), 6: choice(7, 7, 7), 7: gap}, True),
+        ({k: "x" * 299 for k in range(1, 401)}, True), ({k: gap for k in range(1, 401)}, True), (fine(99) | {k: gap for k in range(100, 401)}, True), (fine(100) | {k: gap for k in range(101, 401)}, False),
+    ]
+    rows = [(i, k, t) for i, (book, _) in enumerate(books) for k, t in book.items()]
+    got = {r["book_id"]: r for r in segment.book_quality(spark.createDataFrame(rows, "book_id long, section_number int, content string")).collect()}
+    assert [got[i]["needs_attention"] for i in range(len(books))] == [bad for _, bad in books]
+    assert tuple(got[8])[1:6] == (0, None, 0, None, 0) and tuple(got[2])[1:5] == (90, 90, 36000, 400)
+
+
 def test_graph_with_a_cycle(spark):
     rows = [(1, 1, 3, "turn to 2."), (1, 2, 3, "turn to 1. turn to 9."), (1, 3, 3, "end")]
     s = spark.createDataFrame(rows, "book_id long, section_number int, n_sections int, content string")
