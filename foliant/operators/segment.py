@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.functions.lore import is_junk_line
+from foliant.functions.lore import is_junk_line, is_terminator
 from foliant.functions.text import choices, is_noise_line
 from foliant.sources.corpus import MISSING
 
@@ -152,32 +152,60 @@ def book_quality(sections: DataFrame, most: int = 400) -> DataFrame:
 
 
 def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:
-    """Recovers section n + 1 from the text of n where it is absent: the text is cut after its last garbled number line.
+    """Recovers section n + 1 from the text of n where it is absent, by the first of three signals that gives a plausible text.
 
-    Sections of a book are walked in order, so a run of gaps can be recovered in one pass; both parts must be plausible.
+    The text after the last garbled number line; after the last folio that starts with n + 1; after the line that closes n (the
+    last terminator, or the one before it if the text ends on one). Junk lines go at the ends of both parts, and numbers in
+    front of the new one; n keeps some text. Sections of a book are walked in order by one task, so a run of gaps can be recovered in one pass.
     """
     import re
 
-    def plausible(text: str) -> bool:
-        lines = [x for x in text.split("\n") if x.strip()]
-        return 60 <= len(text) <= 1200 and 2 <= len(lines) <= 24 and text.lstrip()[:1].isupper()
+    def plausible(parts: list[dict]) -> bool:
+        text = "\n\n".join(x["line"] for x in parts)
+        return 60 <= len(text) <= 1200 and 2 <= len(parts) <= 24 and text[:1].isupper()
+
+    def without_junk(parts: list[dict], front: bool) -> list[dict]:
+        a, b = 0, len(parts)
+        while front and a < b and (parts[a]["junk"] or re.fullmatch(r"\W*\d{1,4}\W*", parts[a]["line"])):
+            a += 1
+        while a < b and parts[b - 1]["junk"]:
+            b -= 1
+        return parts[a:b]
+
+    def split(parts: list[dict], number: int) -> tuple[list[dict], list[dict]] | None:
+        if len(parts) < 3:
+            return None
+        parts = without_junk(parts, False)
+        if len(parts) < 3:
+            return None
+        last = lambda found: [i for i, x in enumerate(parts) if found(x)]
+        garbled = last(lambda x: re.fullmatch(r"[0-9][0-9A-Za-z]?", x["line"]))
+        folio = last(lambda x: (m := re.fullmatch(r"([0-9]{1,3})[-–—][0-9]{1,3}", x["line"])) and int(m[1]) == number)
+        ends = last(lambda x: x["ends"])
+        cuts = [(f[-1], f[-1] + 1) for f in (garbled, folio) if f]
+        if ends and ends[-1] < len(parts) - 1:
+            cuts.append((ends[-1] + 1, ends[-1] + 1))
+        elif len(ends) > 1:
+            cuts.append((ends[-2] + 1, ends[-2] + 1))
+        for a, b in cuts:
+            own, orphan = without_junk(parts[:a], False), without_junk(parts[b:], True)
+            if own and plausible(orphan):
+                return own, orphan
+        return None
 
     def walk(book: list[dict]) -> list[tuple]:
-        have = {r["section_number"]: r["content"] for r in book if r["content"] and r["content"] != MISSING}
-        top = book[0]["n_sections"]
-        for n in range(1, top):
-            if n not in have or n + 1 in have:
-                continue
-            lines = have[n].split("\n")
-            for i in range(len(lines) - 1, 0, -1):
-                if re.fullmatch(r"\W*\d+\w?\W*", lines[i].strip()):
-                    own, orphan = "\n".join(lines[:i]).strip(), "\n".join(lines[i + 1 :]).strip()
-                    if own and plausible(orphan):
-                        have[n], have[n + 1] = own, orphan
-                    break
+        real = [r for r in book if r["content"] and r["content"] != MISSING]
+        have, parts = {r["section_number"]: r["content"] for r in real}, {r["section_number"]: r["parts"] for r in real}
+        for n in range(1, book[0]["n_sections"]):
+            found = split(parts[n], n + 1) if n in have and n + 1 not in have else None
+            if found:
+                for k, own in zip((n, n + 1), found, strict=True):
+                    parts[k], have[k] = own, "\n".join(x["line"] for x in own)
         return [(n, have[n]) for n in sorted(have)]
 
-    rows = sections.drop("n_sections").join(most, "book_id").select("book_id", "section_number", "content", "n_sections")
+    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    flagged = F.transform(lines, lambda x: F.struct(x.alias("line"), is_junk_line(x).alias("junk"), is_terminator(x).alias("ends")))
+    rows = sections.drop("n_sections").join(most, "book_id").select("book_id", "section_number", "content", flagged.alias("parts"), "n_sections")
     return by_book(rows, "section_number", walk, "section_number int, content string")
 
 

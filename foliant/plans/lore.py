@@ -123,6 +123,17 @@ def shifted_sections(s, d):
     return segment.rebalance_shifted(segment.with_junk(rows).withColumn("discarded", F.lit(None).cast("string")))
 
 
+@query()
+def orphan_sections(s, d):
+    """Whole books in which each third section stands behind the one before it, its header garbled, left as a folio or lost; they are cut apart again."""
+    every, n = sections(s, d), F.col("section_number")
+    lost = (n % 3 == 2) & (F.col("content") != segment.MISSING)
+    signal = F.when(F.col("book_id") % 3 == 0, F.concat(F.lit("\n"), F.left(n.cast("string"), F.lit(1)), F.lit("o"))).when(F.col("book_id") % 3 == 1, F.concat(F.lit("\n"), n.cast("string"), F.lit("-"), (n + 2).cast("string"))).otherwise("")
+    gone = every.where(lost).select("book_id", (n - 1).alias("section_number"), F.concat(signal, F.lit("\n"), F.col("content")).alias("tail"))
+    merged = every.where(~lost).join(gone, IDS, "left").select(*IDS, F.concat("content", F.coalesce("tail", F.lit(""))).alias("content"))
+    return segment.split_orphans(merged, every.select("book_id", "n_sections").distinct())
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS page_id, 'p' || n_nationkey || '.png' AS name, 0 AS \"left\", CAST(8 * (n_nationkey + 1) AS INT) AS top, 100 AS width, CAST(160 + 8 * n_nationkey AS INT) AS height FROM nation", books=False)
 def art_crops(s, d):
     """Pages with one dark area each, 100 x 800 bytes of luminance."""

@@ -58,6 +58,37 @@ def test_split_orphans(spark):
     assert got == {1: f"{long}\nA door.", 2: f"{long}\nAnother door."}
 
 
+def test_orphans_by_three_signals(spark):
+    a, b, turn = "The room is dark and the way goes on and on without an end.", "You hear a quiet voice that sings behind the door.", "If you dare, turn to 30."
+    cases = [
+        (f"{a}\n8\n{b}\n2o\n12-14\n2.\n{a}\n{b}\n//.:", f"{a}\n8\n{b}", f"{a}\n{b}"),  # the last garbled number; junk goes
+        (f"{a}\nab\n2-4\n{b}\n{a}", a, f"{b}\n{a}"),  # a folio
+        (f"{a}\n3-4\n{b}\n{a}", None, None),  # a folio of another section
+        (f"{a}\n{turn}\n{b}\n{a}", f"{a}\n{turn}", f"{b}\n{a}"),  # the last terminator
+        (f"{a}\n{turn}\n{b}\n{turn}", f"{a}\n{turn}", f"{b}\n{turn}"),  # the text ends on one
+        (f"{a}\n{b}\n{turn}", None, None),
+        (f"{a}\n{turn}\n{b}\n{a}\n7\nshort", f"{a}\n{turn}", f"{b}\n{a}\n7\nshort"),  # what follows the garbled number is implausible
+        (f"{a}\n2-3\n{b}\n{a}\n7\nshort", a, f"{b}\n{a}\n7\nshort"),
+    ]
+    rows = [(i, 1, t) for i, (t, _, _) in enumerate(cases)] + [(50, 1, f"{a}\n{turn}\n{b}\n{a}\n3o\n{b}\n{a}"), (50, 4, a), (51, 2, segment.MISSING), (51, 1, cases[1][0])]
+    most = spark.createDataFrame([(i, 2) for i in range(len(cases))] + [(50, 4), (51, 2)], "book_id long, n_sections int")
+    got = {r[:2]: r[2] for r in map(tuple, segment.split_orphans(spark.createDataFrame(rows, "book_id long, section_number int, content string"), most).collect())}
+    for i, (text, own, orphan) in enumerate(cases):
+        assert (got[i, 1], got.get((i, 2))) == ((own, orphan) if own else (text, None)), i
+    assert got[51, 2] == cases[1][2] and got[50, 4] == a and (50, 2) in got
+
+
+def test_orphan_query_recovers_sections(spark):
+    from foliant.plans import QUERIES
+    from foliant.sources.corpus import sections
+
+    d = "/root/testdata/sf0.001"
+    true = {(r[0], r[1]): r[2] for r in sections(spark, d).select("book_id", "section_number", "content").collect()}
+    got = {(r[0], r[1]): r[2] for r in QUERIES["orphan_sections"](spark, d).collect()}
+    for kind in range(3):
+        assert sum(got.get(k) == t for k, t in true.items() if k[1] % 3 == 2 and k[0] % 3 == kind and t != segment.MISSING) >= 10, kind
+
+
 def test_book_quality(spark):
     """Each check alone makes a book need attention."""
     fine = lambda n: {k: "x" * 400 for k in range(1, n + 1)}
