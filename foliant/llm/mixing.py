@@ -16,8 +16,8 @@ from foliant.llm.shared import stored
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a share of all words, and of a source's target as a share of the source's words.
 SHARE, LIMIT = 1.5, 2.0
-#: A source is cut into so many blocks, or into blocks of LEAST words if those are larger.
-BLOCKS, LEAST = 4096, 16
+#: A source is cut into so many blocks at most; smaller sources into single words.
+BLOCKS = 4096
 #: Parts of a source's permuted order whose words are summed before they are placed (prefix sums in two levels).
 PARTS = 1024
 #: The plan has a row per source, held by the driver; more sources than this are refused rather than gathered.
@@ -77,12 +77,18 @@ def plan(totals: list[tuple[str | None, int]], shards: int, seed: int, weights:
     sizes = [s for _, s in order]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(order))], share, limit)
     made = []
-    for (name, size), target in zip(order, want, strict=True):
-        block = max(LEAST, -(-size // blocks))
+    carry = [0.0] * len(weights)  # parts of words that sources of single words were short of, by weight
+    for i, ((name, size), target) in enumerate(zip(order, want, strict=True)):
+        block = max(1, -(-size // blocks))
         count = -(-size // block) if size else 0
-        drawn = min(round(target / block), math.floor(limit) * count)
         if size and target >= limit * size:
             drawn = math.floor(limit) * count
+        elif size and block == 1:
+            due = target + carry[i % len(weights)]
+            drawn = max(0, min(round(due), math.floor(limit) * count))
+            carry[i % len(weights)] = due - drawn
+        else:
+            drawn = min(round(target / block), math.floor(limit) * count)
         made.append((name, size, target, block, count, drawn))
     quotas = np.array([m[5] for m in made], dtype=np.int64)
     ends = np.cumsum(split_tree(quotas, shards, np.random.default_rng(seed)), axis=0) if made else np.zeros((shards, 0), int)

@@ -15,7 +15,7 @@ from foliant.llm.exact_dedup import build_index, exact_dedup
 from foliant.llm.jaccard_join import jaccard_components, near_dedup
 from foliant.llm.line_dedup import line_dedup
 from foliant.llm.lm_scoring import CLASSES, HALF, PIECE, WINDOW, Model, _first_weights, lm_scores, piece_windows, target_counts, training_pieces
-from foliant.llm.mixing import mix, mixed_documents, split_tree, taken, targets
+from foliant.llm.mixing import mix, mixed_documents, plan, split_tree, taken, targets
 from foliant.llm.queries import TOKENIZER
 from foliant.llm.suffix_dedup import suffix_dedup
 from foliant.llm.toxicity import fit, toxicity
@@ -121,6 +121,17 @@ def test_mix(spark):
     assert mixed_documents(frame(spark, rows)).columns == frame(spark, []).columns
 
 
+def test_small_sources_take_their_words(spark):
+    """Sources of a few words take their targets to a word; many of them together take 150 %."""
+    for size in (1, 2, 5, 10, 40):
+        rows = plan([(f"s{k:04}", size) for k in range(999)], 16, 7).rows
+        assert all(abs(r[3] * r[5] - r[2]) <= 1 and r[5] <= 2 * size for r in rows)
+        assert abs(sum(r[3] * r[5] for r in rows) - 1.5 * size * 999) <= 2
+    docs = [(k, words(10, k), f"s{k}") for k in range(3)]
+    got = [tuple(r) for r in mix(frame(spark, docs)).select("target", taken(F.col("draws"))).collect()]
+    assert all(abs(t - n) <= 1 for t, n in got) and sum(n for _, n in got) == 45
+
+
 def test_suffix_dedup_against_brute_force(spark):
     shared = words(40, 50)
     rows = ROWS + [(40 + k, words(10, 60 + k) + shared[k : 140 + k * 7] + words(12, 80 + k) + "é" * k + shared[:130], "s") for k in range(12)] + [(60, "ab" * 400, "s"), (61, "x" * 100, "t"), (62, "x" * 99, "t")]
