@@ -141,6 +141,16 @@ def art_crops(s, d):
     area = lambda c, n: F.repeat(F.lit(c * 800), n)  # noqa: E731  # n bands of 8 rows
     pixels = F.rpad(F.concat(area("z", k + 1), area(" ", k + 20)), 80_000, "z").cast("binary")
     pages = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit(100).alias("width"), F.lit(800).alias("height"), pixels.alias("pixels"))
+    return layout.art_crops(pages, find=layout.blocks).drop("png")  # the reduced rule, which its SQL has
+
+
+@query()
+def art_illustrations(s, d):
+    """Pages with one drawing each, which has lighter bands, a gap, and light strokes around; found by the whole rule."""
+    k = F.col("n_nationkey").cast("int")
+    rows = lambda ink, n: F.repeat(F.rpad(F.concat(F.lit("z" * 20), F.repeat(F.lit(" "), ink)), 100, "z"), n)  # noqa: E731  # n rows with so much ink of 100
+    pixels = F.rpad(F.concat(rows(F.lit(0), F.lit(160)), rows(F.lit(4), F.lit(16)), rows(F.lit(10), 40 + 8 * (k % 8)), rows(F.lit(50), F.lit(64)), rows(F.lit(0), F.lit(8)), rows(F.lit(10), F.lit(40))), 80_000, "z").cast("binary")
+    pages = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit(100).alias("width"), F.lit(800).alias("height"), pixels.alias("pixels"))
     return layout.art_crops(pages).drop("png")
 
 

@@ -123,6 +123,32 @@ def test_ink_regions():
     assert layout.regions(thin) == []
 
 
+def test_whole_drawings_are_found():
+    """Lighter bands and a gap of one band are inside a drawing; light strokes around it are taken in, with a margin."""
+    page = np.zeros((800, 600), dtype=bool)
+    page[200:280, 100:160] = True  # bands of a tenth
+    page[280:344, 100:400] = True  # strong ones
+    page[352:400, 100:160] = True  # after a gap of one band
+    assert layout.blocks(page) == [] and len(layout.regions(page)) == 1
+    x, y, w, h = layout.regions(page)[0]
+    assert (x, y, w, h) == (100 - 8 - 6, 200 - 32 - 6, 400 + 8 - (100 - 8) + 1 + 12, 408 + 32 - (200 - 32) + 12)  # the run ends on a band without ink
+    page[168:200, 100:130] = True  # light strokes above and to the left
+    page[200:208, 60:64] = True
+    x2, y2, w2, h2 = layout.regions(page)[0]
+    assert y2 == 168 - 32 - 6 and y2 + h2 == y + h and x2 == x  # strokes behind over 3 empty steps of columns stay out
+    page[200:208, 94:98] = True
+    assert layout.regions(page)[0][0] == 94 - 8 - 6
+    page[200:280] = False  # too short without the lighter bands
+    assert layout.regions(page) == []
+
+
+def test_illustrations_query(spark):
+    from foliant.plans import QUERIES
+
+    got = {r["page_id"]: (r["top"], r["height"]) for r in QUERIES["art_illustrations"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 25 and all(top <= 160 - 6 and top + height >= 328 + 8 * (k % 8) for k, (top, height) in got.items())
+
+
 def test_lines_and_paragraphs(spark):
     words = [(1, 10.0, 100.0, 90.0, "b"), (1, 0.0, 101.0, 90.5, "a"), (1, 0.0, 80.0, 70.0, "c")]
     got = [tuple(r)[1:] for r in layout.group_lines(spark.createDataFrame(words, "page_id long, left double, top double, bottom double, text string")).orderBy("line").collect()]
