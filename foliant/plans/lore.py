@@ -123,6 +123,21 @@ def shifted_sections(s, d):
     return segment.rebalance_shifted(segment.with_junk(rows).withColumn("discarded", F.lit(None).cast("string")))
 
 
+@query()
+def shifted_books(s, d):
+    """Whole books in which the header of each third section is misread: its own text and that of the one before it stand under the next number, whose text is discarded."""
+    n = F.col("section_number")
+    every = sections(s, d).where(F.col("content") != segment.MISSING)
+    near = lambda k: every.select("book_id", (n - k).alias("section_number"), F.col("content").alias(f"next{k}"))
+    three = every.where(n % 3 == 1).join(near(1), IDS).join(near(2), IDS)
+    fragment = F.substring_index("content", "\n", 1)
+    moved = F.concat("content", F.lit("\n"), (n + 1).cast("string"), F.lit(".\n"), F.col("next1"))
+    rows = three.select("book_id", F.inline(F.array(F.struct(n, fragment.alias("content"), F.lit(None).cast("string").alias("discarded")), F.struct((n + 2).alias("section_number"), moved.alias("content"), F.col("next2").alias("discarded")))))
+    taken = three.select("book_id", F.explode(F.array(n, n + 1, n + 2)).alias("section_number"))
+    others = every.join(taken, IDS, "left_anti").select(*IDS, "content", F.lit(None).cast("string").alias("discarded"))
+    return segment.rebalance_shifted(segment.with_junk(rows.unionByName(others)))
+
+
 @query()
 def orphan_sections(s, d):
     """Whole books in which each third section stands behind the one before it, its header garbled, left as a folio or lost; they are cut apart again."""

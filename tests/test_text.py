@@ -209,6 +209,31 @@ def test_rebalance_keeps_healthy_sections(spark):
     assert got[2, 1] == f"{a}\n\n{b}" and got[2, 2] == f"{b}\n\n{a}" and got[2, 3] == f"{b}\n{a}" and got[1, 1] == rows[0][2]
 
 
+def test_shifted_books_get_their_own_texts_back(spark):
+    """Against what a plain look at the sections says: where both moved texts are plausible they return, else nothing moves."""
+    from foliant.plans import QUERIES
+    from foliant.sources.corpus import sections
+
+    d = "/root/testdata/sf0.001"
+    rows = sections(spark, d).where(F.col("content") != segment.MISSING)
+    true = {r[:2]: (r[2].split("\n"), r[3]) for r in map(tuple, segment.with_junk(rows).select("book_id", "section_number", "content", "junk").collect())}
+    assert not any(any(junk) for _, junk in true.values())
+    fits = lambda x: 60 <= len("\n\n".join(x)) <= 1200 and 2 <= len(x) <= 24
+    want = {k: "\n".join(x) for k, (x, _) in true.items()}
+    back = 0
+    for (b, n), (x, _) in true.items():
+        if n % 3 == 1 and (b, n + 1) in true and (b, n + 2) in true:
+            y, z = true[b, n + 1][0], true[b, n + 2][0]
+            if fits(x) and fits(y) and len(x[0]) < 250:
+                want[b, n], want[b, n + 1], back = "\n\n".join(x), "\n\n".join(y), back + 1
+                want[b, n + 2] = "\n".join(z) if fits(z) else segment.MISSING
+            else:
+                want[b, n], want[b, n + 2] = x[0], "\n".join([*x, f"{n + 1}.", *y])
+                del want[b, n + 1]
+    got = {r[:2]: r[2] for r in map(tuple, QUERIES["shifted_books"](spark, d).collect())}
+    assert back > 50 and got == want
+
+
 def test_crops_are_png(spark):
     import zlib
 
