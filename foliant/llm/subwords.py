@@ -6,12 +6,12 @@ import os
 
 import numpy as np
 
-from foliant.llm.kernels import BLANK, LOWER, pieces, ragged, span_hashes, spans
+from foliant.llm.kernels import BLANK, pieces, ragged, span_hashes, spans
 
 #: Units whose ids an encoder remembers (some 30 bytes each).
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 #: Bytes encoded at once.
-ENCODED = 1 << 22
+ENCODED = 1 << 21
 #: Units in one call of the tokenizer.
 CALL = 5_000
 
@@ -114,7 +114,7 @@ class Encoder:
             found, units = [], 0
             for a, _, small, near in pieces(part, at):  # what fits a CPU's cache
                 starts, ends, rows, careful = _split(small, near)
-                found.append((starts + at[a], ends + at[a], rows[:-1] + units, careful, span_hashes(LOWER[small], starts, ends)))
+                found.append((starts + at[a], ends + at[a], rows[:-1] + units, careful, span_hashes(small, starts, ends)))
                 units += len(starts)
             starts, ends, rows, careful, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
             rows = np.append(rows, units)
