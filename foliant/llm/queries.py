@@ -50,7 +50,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", taken(F.col("draws")).alias("taken"))
+    shards = F.array_distinct(F.col("draws.shard"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken(F.col("draws")).alias("taken"), F.array_sort(shards).alias("shards"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
