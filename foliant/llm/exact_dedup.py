@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from foliant.llm.shared import lookup, scratch, tasks
+from foliant.llm.shared import lookup, remove, scratch, small, stored, tasks
 
 #: The white space that equality ignores, [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
-#: Distinct keys that a bucket file holds before it is split.
-BUCKET_KEYS = 2_000_000
+#: Distinct texts that a bucket file holds before it is split, and bits of the directory at first.
+BUCKET_KEYS, DEPTH = 500_000, 2
+#: Bits of the directory at most; a bucket that is still too full then stays, as one long chain.
+DEEPEST = 24
 
 
 def normalised(text: Column) -> Column:
@@ -31,53 +33,58 @@ class Directory:
         self.depth, self.root = depth, root
         self.buckets = {(i, depth): f"{root}/depth={depth}/slot={i}" for i in range(1 << depth)}
 
-    def split(self, full: list[tuple[int, int]]) -> None:
-        """Each full bucket becomes two, told apart by one more bit; the directory doubles when one was as deep as it."""
-        for bits, local in full:
-            del self.buckets[bits, local]
-            self.depth = max(self.depth, local + 1)
-            for high in (0, 1):
-                i = bits | high << local
-                self.buckets[i, local + 1] = f"{self.root}/depth={local + 1}/slot={i}"
+    def split(self, bits: int, local: int, more: int) -> list[tuple[int, int]]:
+        """A full bucket becomes 2^more, told apart by so many more bits; the directory doubles until it is as deep as they."""
+        del self.buckets[bits, local]
+        self.depth = max(self.depth, local + more)
+        made = [(bits | high << local, local + more) for high in range(1 << more)]
+        self.buckets |= {(i, depth): f"{self.root}/depth={depth}/slot={i}" for i, depth in made}
+        return made
 
-    def paths(self) -> list[str]:
-        return list(self.buckets.values())
+    def owners(self, spark: SparkSession) -> DataFrame:
+        """at (a slot of the directory), depth, slot (the bucket that it shares): what a key is looked up in."""
+        own = spark.createDataFrame([(b, d) for b, d in self.buckets], "slot long, depth int")
+        step = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth"))
+        return own.select("slot", "depth", F.explode(F.sequence(F.col("slot"), F.lit((1 << self.depth) - 1).cast("long"), step)).alias("at"))
 
+    def located(self, rows: DataFrame) -> DataFrame:
+        """rows (with a column key) and the bucket of each: depth, slot."""
+        at = rows.withColumn("at", F.col("key").bitwiseAND(F.lit((1 << self.depth) - 1)))
+        return at.join(small(self.owners(rows.sparkSession)), "at").drop("at")
 
-def build_index(keys: DataFrame, root: str, rows: int, bucket_keys: int = BUCKET_KEYS) -> tuple[Directory, DataFrame]:
-    """Writes keys (column key: 64-bit hash) into bucket files under root and splits those that hold too many.
 
-    Owner tasks hold key ranges: a bucket's rows are dealt by its low key bits, and one task writes each bucket's file.
-    A bucket whose keys agree in all 64 bits cannot be split further: it stays, as a chain.
+def build_index(records: DataFrame, root: str, bucket_keys: int = BUCKET_KEYS) -> tuple[Directory, DataFrame]:
+    """Writes records (column key: 64-bit hash) into bucket files under root and splits those that hold too many.
+
+    Returns the directory and the records of its buckets, with columns depth and slot. It begins with DEPTH bits. Owner tasks
+    hold key ranges: a bucket's records are dealt by its low key bits, and one task writes each bucket's file. A full
+    bucket is told apart by as many more bits as its size calls for, again and again; what agrees in DEEPEST bits stays together.
     """
-    spark = keys.sparkSession
-    depth = max(2, (max(rows, 1) // bucket_keys).bit_length())
-    directory = Directory(depth, root)
-    stored_schema = StructType([*keys.schema.fields, StructField("depth", IntegerType()), StructField("slot", LongType())])
+    spark = records.sparkSession
+    directory = Directory(DEPTH, root)
+    schema = StructType([*records.schema.fields, StructField("depth", IntegerType()), StructField("slot", LongType())])
 
     def write(df: DataFrame, depth: int) -> None:
         slot = F.col("key").bitwiseAND(F.lit((1 << depth) - 1))
         n = max(1, min(1 << depth, tasks(spark)))
         df.withColumn("depth", F.lit(depth)).withColumn("slot", slot).repartition(n, "depth", "slot").write.mode("append").partitionBy("depth", "slot").parquet(root)
 
-    write(keys, depth)
-    fresh = None
-    while True:
-        held = spark.read.schema(stored_schema).parquet(root)
-        if fresh is not None:
-            held = held.where(fresh)
-        counts = held.groupBy("depth", "slot").count().where(F.col("count") > bucket_keys).collect()  # bucket totals only
-        full = [(r["slot"], r["depth"]) for r in counts if r["depth"] < 63 and (r["slot"], r["depth"]) in directory.buckets]
-        if not full:
-            break
-        for local in sorted({d for _, d in full}):
-            slots = [b for b, d in full if d == local]
-            write(spark.read.schema(keys.schema).parquet(*(directory.buckets[b, local] for b in slots)), local + 1)
-        directory.split(full)
-        fresh = F.col("depth") > min(d for _, d in full)
-    seen = {(r["slot"], r["depth"]) for r in spark.read.schema(stored_schema).parquet(root).select("depth", "slot").distinct().collect()}
-    paths = [p for k, p in directory.buckets.items() if k in seen]
-    return directory, spark.read.schema(keys.schema).parquet(*paths) if paths else spark.createDataFrame([], keys.schema)
+    def held(buckets: list[tuple[int, int]] | None = None) -> DataFrame:
+        every = spark.read.schema(schema).parquet(root)
+        return every if buckets is None else every.join(small(spark.createDataFrame(buckets, "slot long, depth int")), ["slot", "depth"], "left_semi")
+
+    write(records, DEPTH)
+    fresh = list(directory.buckets)
+    while fresh:
+        counts = held(fresh).groupBy("depth", "slot").count().where(F.col("count") > bucket_keys).collect()  # bucket totals only
+        full = [(r["slot"], r["depth"], min((r["count"] // bucket_keys).bit_length(), DEEPEST - r["depth"])) for r in counts if r["depth"] < DEEPEST]
+        for local, more in sorted({(d, m) for _, d, m in full}):
+            paths = [directory.buckets[b, d] for b, d, m in full if (d, m) == (local, more)]
+            write(spark.read.schema(records.schema).parquet(*paths), local + more)
+            for path in paths:
+                remove(spark, path)
+        fresh = [b for one in full for b in directory.split(*one)]
+    return directory, held()
 
 
 def exact_dedup(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -87,21 +94,28 @@ def exact_dedup(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     the most code points stays, then the smallest doc_id (null last), then one of the rows that repeat it. Other columns are
     ignored, so they may have any name. An empty table gives no rows.
 
-    The index has a record per distinct text, filled by partial aggregation, so a text that a third of the rows share
-    reaches its owner as one record per task. The 64-bit key picks bucket and chain; within a chain, records are told
-    apart by comparing the 32 bytes of SHA-256 and the length of the normalised text, which stand for the text's bytes.
+    The index has a record per distinct text. Texts with one 64-bit key are a chain; the owner of a key compares their whole
+    bytes, so that each text of a chain has its record. Partial aggregation comes before: a text that a third of the rows
+    share reaches its owner once per task. A row finds its record by the directory, the key and, in the chain, its SHA-256.
     """
     spark = docs.sparkSession
     root = scratch(spark, "exact-dedup")
     norm = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised(F.col("text")).alias("norm"))
-    rows = norm.select("doc_id", "points", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").alias("bytes"), F.monotonically_increasing_id().alias("row"))
+    norm = norm.withColumn("key", F.xxhash64("norm"))
+    digest = F.unhex(F.sha2("norm", 256)).alias("digest")
+    rows = norm.select("doc_id", "points", "key", digest, F.monotonically_increasing_id().alias("row"))
     rows.write.parquet(f"{root}/rows")
     rows = spark.read.schema(rows.schema).parquet(f"{root}/rows")
     # the complement of a number orders the other way round, without overflow
-    best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("doc"), F.bitwise_not("row").alias("row")))
-    keys = rows.groupBy("key", "digest", "bytes").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    keys = keys.select("key", "digest", "bytes", F.bitwise_not("best.doc").alias("keep_id"), F.bitwise_not("best.row").alias("keep_row"), "group_size")
-    _, index = build_index(keys, f"{root}/index", rows.count(), bucket_keys)
-
-    joined = lookup(rows, index, ["key", "digest", "bytes"], "group_size")
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("doc"))).alias("best")
+    chains = norm.groupBy("key", "norm").agg(best, F.count(F.lit(1)).alias("group_size"))
+    records = chains.select("key", digest, F.col("best.points").alias("most"), F.bitwise_not("best.doc").alias("keep_id"), "group_size")
+    directory, index = build_index(records, f"{root}/index", bucket_keys)
+
+    found = stored(lookup(directory.located(rows), index, ["depth", "slot", "key", "digest"], "group_size"), "found", root)
+    # rows that repeat the one that stays: the first of them does
+    first = (F.col("points") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    several = found.where((F.col("group_size") > 1) & first).groupBy("key", "digest").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
+    joined = found.join(several, "row", "left")
+    kept = (F.col("group_size") == 1) | F.coalesce("stays", F.lit(False))
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
