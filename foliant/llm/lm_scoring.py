@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,18 +14,20 @@ from pyspark.sql import functions as F
 
 from foliant.llm.jaccard_join import _pack, _unpack
 from foliant.llm.kernels import column_bytes, pieces, word_hashes
-from foliant.llm.shared import stored, tasks
+from foliant.llm.shared import release, stored, tasks
 from foliant.llm.subwords import encoder
 
 #: Classes of ids: the most frequent ones, and one for the rest (the last); width of vectors; positions of a window, half of them context.
-CLASSES, WIDTH, WINDOW = 384, 32, 32
+CLASSES, WIDTH, WINDOW = 256, 32, 32
 HALF = WINDOW // 2
-#: Training: windows in a stored row at most, rounds of averaging, windows in a step, and its rate.
-PIECE, ROUNDS, STEP, RATE = 16, 3, 16, 0.02
-#: Steps of a task in a round at least; a task with fewer windows goes over its first KEPT ones again.
-STEPS, KEPT = 40, 4096
-#: Windows scored at once (their logits stay in a core's cache), text bytes counted together, rows at most, and texts of a chunk from which a word is dealt as a count.
+#: Training: windows of a piece of a text at most, rounds of averaging, pieces that are shuffled together, windows in a step, and its rate.
+PIECE, ROUNDS, BLOCK, STEP, RATE = 16, 3, 64, 64, 0.02
+#: Ids that one model is trained on in all rounds; the models of a round's shards are averaged.
+SHARD_IDS = 4_000_000
+#: Windows scored at once (their logits stay in a core's cache), text bytes encoded or counted together, rows at most, and texts of a chunk from which a word is dealt as a count.
 SCORED, CHUNK_BYTES, CHUNK_ROWS, SHARED = 64, 8 << 20, 60_000, 32
+#: Logits under this need no shift before they are exponentiated.
+SAFE = 60
 SHAPES = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "mix_bias": (WIDTH,), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,)}
 CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(HALF, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 
@@ -56,8 +59,7 @@ class Model:
         """The mean loss over the first ``many`` targets of each window, and its gradients."""
         w, d = self.weights, np.float32(1 / np.sqrt(WIDTH))
         x, q, k, v, a, h, z, r, y = self.logits(ids, absent)
-        y = y - y.max(axis=2, keepdims=True)
-        p = np.exp(y)
+        p = _exp(y)
         p /= p.sum(axis=2, keepdims=True)
         there = np.arange(HALF) < many[:, None]
         n = there.sum()
@@ -80,9 +82,11 @@ class Model:
         dx = dk @ w["key"].T + dv @ w["value"].T
         dx[:, HALF:] += dh + dq @ w["query"].T
         g["place"] = dx.sum(axis=0)
-        hot = np.zeros((ids.size, CLASSES), dtype=np.float32)
-        hot[np.arange(ids.size), ids.ravel()] = 1
-        g["embed"] = hot.T @ flat(dx)
+        order = np.argsort(ids, axis=None, kind="stable")
+        sorted_ids = ids.ravel()[order]
+        first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+        g["embed"] = np.zeros((CLASSES, WIDTH), np.float32)
+        g["embed"][sorted_ids[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
         return loss, g
 
     def score(self, ids: np.ndarray) -> float:
@@ -126,14 +130,21 @@ class Model:
             y = np.matmul(h + np.tanh(h @ w["mix"] + w["mix_bias"]), w["out"], out=space[: len(h)])
             y += w["out_bias"]
             to = np.minimum(at[:, HALF:] + 1, len(padded) - 1)
-            hit, top = y[np.arange(len(y)), table[to].ravel()], y.max(axis=1)
-            y -= top[:, None]
+            hit = y[np.arange(len(y)), table[to].ravel()]
+            top = y.max(axis=1) if y.max() > SAFE else np.float32(0)
+            if np.ndim(top):
+                y -= top[:, None]
             np.exp(y, out=y)
             log = (hit - top - np.log(y @ np.ones(CLASSES, np.float32))).reshape(to.shape) / np.log(10) + inner[to]
             total += np.bincount(t, weights=np.where(there, log, 0).sum(axis=1), minlength=len(n))
         return total
 
 
+def _exp(y: np.ndarray) -> np.ndarray:
+    """Exponentials up to a factor of each row."""
+    return np.exp(y - y.max(axis=-1, keepdims=True)) if y.max() > SAFE else np.exp(y)
+
+
 def _first_weights(seed: int, bias: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     out = {k: (rng.normal(0, 0.5 if k == "embed" else 0.2, s)).astype(np.float32) for k, s in SHAPES.items()}
@@ -153,28 +164,45 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def training_pieces(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """ids (numbers of 16 bits) and first: the whole training texts and the end of each, in pieces of PIECE windows.
+ENCODED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary())])
 
-    A piece has the HALF + 1 ids before its first target, then its targets; so each id of a text and the end are targets in
-    one window of one piece. A text without ids has the end alone. Before a text's first target stand HALF positions without text and the end (``first``).
-    """
+
+def encoded(rows: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """doc_id, tie, held_out, ids: the ids of each whole text and the end, as numbers of 16 bits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        front, long = np.full(HALF + 1, end, "<u2"), PIECE * HALF
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            for _, _, part, near in pieces(data, offsets, CHUNK_BYTES):
+            for x, y, part, near in pieces(data, offsets, CHUNK_BYTES):
                 ids, at = encoder(tokenizer).encode(part, near, end)
-                rows, first = [], []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    own = np.concatenate([front, ids[a:b].astype("<u2")])
-                    for k in range(0, b - a, long):
-                        rows.append(own[k : k + long + HALF + 1].tobytes())
-                        first.append(k == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(first, pa.bool_())], names=["ids", "first"])
+                raw = ids.astype("<u2").tobytes()
+                own = pa.array([raw[2 * a : 2 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in ("doc_id", "tie", "held_out")), own], schema=ENCODED)
+
+    return rows.mapInArrow(work, "doc_id long, tie long, held_out boolean, ids binary")
+
+
+def training_pieces(texts: DataFrame, end: int) -> DataFrame:
+    """texts: ids. Rows (place, ids, first): the whole training texts with their ends, in pieces of PIECE windows.
+
+    A piece has the HALF + 1 ids before its first target, then its targets; so each id of a text and the end are targets in
+    one window of one piece. A text without ids has the end alone. Before a text's first target stand HALF positions without
+    text and the end (``first``). place: a hash of the piece, by which pieces are dealt and ordered.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        front, long, lead = np.full(HALF + 1, end, "<u2").tobytes(), 2 * PIECE * HALF, 2 * (HALF + 1)
+        for batch in batches:
+            rows, first = [], []
+            for ids in batch.column("ids").to_pylist():
+                own = front + ids
+                for k in range(0, len(ids), long):
+                    rows.append(own[k : k + long + lead])
+                    first.append(k == 0)
+            place = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(rows, pa.binary()), pa.array(first, pa.bool_())], names=["place", "ids", "first"])
 
-    return docs.mapInArrow(work, "ids binary, first boolean")
+    return texts.select("ids").mapInArrow(work, "place long, ids binary, first boolean")
 
 
 def piece_windows(ids: pa.Array, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,29 +221,57 @@ def piece_windows(ids: pa.Array, first: np.ndarray, end: int) -> tuple[np.ndarra
     return flat[place], np.where(first[piece] & (k == 0), HALF, 0), np.minimum(targets[piece] - k * HALF, HALF)
 
 
-def target_counts(ids: pa.Array, size: int) -> np.ndarray:
-    """How often each id is a target in pieces."""
-    data, offsets = column_bytes(ids)
-    flat, at = data.view("<u2"), offsets[:-1] // 2
-    return np.bincount(flat, minlength=size) - np.bincount(flat[at[:, None] + np.arange(HALF + 1)].ravel(), minlength=size)
-
-
-def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int = ROUNDS) -> Model:
-    """docs: text of the training texts. All ids of all texts and their ends are counted and learned; tasks train on their pieces and their weights are averaged in each round."""
-    size = encoder(tokenizer).size
-    spark = docs.sparkSession
-    learned = stored(training_pieces(docs, tokenizer, end).repartition(tasks(spark)), "pieces")
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """From rows in order of shard and place: the shard, ids and first of BLOCK pieces at a time."""
+    kept, shard = [], None
+    for batch in batches:
+        of = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if kept and of[a] != shard:
+                yield from _blocks(kept, shard, 1)
+            shard = int(of[a])
+            kept.append(batch.select(["ids", "first"]).slice(a, b - a))
+            yield from _blocks(kept, shard, BLOCK)
+    if kept:
+        yield from _blocks(kept, shard, 1)
+
+
+def _blocks(kept: list[pa.RecordBatch], shard: int, least: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Blocks of the rows kept while there are at least so many; the rest stays in the list."""
+    if sum(k.num_rows for k in kept) < least:
+        return
+    rows = pa.Table.from_batches(kept).combine_chunks()
+    kept.clear()
+    at = 0
+    while rows.num_rows - at >= least:
+        part = rows.slice(at, BLOCK)
+        yield shard, part.column("ids").combine_chunks(), part.column("first").to_numpy()
+        at += part.num_rows
+    if at < rows.num_rows:
+        kept.extend(rows.slice(at).to_batches())
+
+
+def train(texts: DataFrame, size: int, end: int, seed: int = 11, rounds: int = ROUNDS, shard_ids: int = SHARD_IDS) -> Model:
+    """texts: ids of the training texts (see encoded); size: of the vocabulary.
+
+    All ids of all texts and their ends are counted, and each is a target once. Pieces are dealt by their hashes to rounds and
+    to shards, whose number follows the number of ids alone. In a round each shard trains on its pieces in order of their
+    hashes, and their models are averaged; so the model doesn't depend on how rows lie or how many tasks there are.
+    """
+    spark = texts.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            total += target_counts(batch.column("ids"), size)
+            total += np.bincount(column_bytes(batch.column("ids"))[0].view("<u2"), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
     counts = np.ones(size)
-    for r in learned.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary
+    for r in texts.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary
         counts[r[0]] += r[1]
+    shards = int(-(-(counts.sum() - size) // shard_ids)) or 1
     order = np.argsort(-counts, kind="stable")
     order = np.append(end, order[order != end])  # the end has a class of its own
     classes = np.full(size, CLASSES - 1)
@@ -225,53 +281,71 @@ def train(docs: DataFrame, tokenizer: str, end: int, seed: int = 11, rounds: int
     within[rest] = np.log10(counts[rest] / counts[rest].sum())
     mass = np.bincount(classes, weights=counts, minlength=CLASSES)
     model = Model(_first_weights(seed, np.log(mass / mass.sum())), classes, within, end)
+    dealt = training_pieces(texts, end).withColumns({"round": F.pmod("place", F.lit(rounds)), "shard": F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int")})
     for k in range(rounds):
         flat = _flat(model.weights)
 
         def local(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, k: int = k) -> Iterator[pa.RecordBatch]:
-            own, n, m, v = Model(_shaped(flat), classes, within, end), 0, 0.0, 0.0
-            kept, size, rng = [], 0, np.random.default_rng([seed, k])
-
-            def steps() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-                nonlocal size
-                for batch in batches:
-                    rows, absent, many = piece_windows(batch.column("ids"), batch.column("first").to_numpy(zero_copy_only=False), end)
-                    order = rng.permutation(len(rows))  # a step has windows of many texts
-                    for a in range(0, len(rows), STEP):
-                        at = order[a : a + STEP]
-                        part = classes[rows[at]], absent[at], many[at]
-                        if size < KEPT:
-                            kept.append(part)
-                            size += len(part[0])
-                        yield part
-                while kept and n < STEPS:
-                    yield kept[n % len(kept)]
-
-            for rows, absent, many in steps():
-                _, g = own.step(rows[:, :-1], absent, rows[:, HALF + 1 :], many)
-                n += 1
-                grad = _flat(g)
-                m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-                move = RATE / 2**k * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-7)
-                own.weights = _shaped(_flat(own.weights) - move)
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([_flat(own.weights).astype("<f4").tobytes()])], names=["n", "weights"])
+            shard, own, n, m, v = None, None, 0, 0.0, 0.0
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([_flat(own.weights).astype("<f4").tobytes()])], names=["shard", "n", "weights"])
+
+            for of, ids, first in _shards(batches):
+                if of != shard:
+                    if shard is not None:
+                        yield done()
+                    shard, own, n, m, v = of, Model(_shaped(flat), classes, within, end), 0, 0.0, 0.0
+                rows, absent, many = piece_windows(ids, first, end)
+                order = np.random.default_rng([seed, k, shard, n]).permutation(len(rows))  # a step has windows of many texts
+                rows, absent, many = classes[rows[order]], absent[order], many[order]
+                for a in range(0, len(rows), STEP):
+                    part = slice(a, a + STEP)
+                    _, g = own.step(rows[part, :-1], absent[part], rows[part, HALF + 1 :], many[part])
+                    n += 1
+                    grad = _flat(g)
+                    m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+                    move = RATE / 2**k * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-7)
+                    own.weights = _shaped(_flat(own.weights) - move)
+            if shard is not None:
+                yield done()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = 0.0, 0
+            total, n, least = 0.0, 0, None
             for batch in batches:
-                for steps, w in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                    total, n = total + steps * np.frombuffer(w, "<f4").astype(np.float64), n + steps
+                for shard, steps, w in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "weights")), strict=True):
+                    total, n, least = total + steps * np.frombuffer(w, "<f4").astype(np.float64), n + steps, shard if least is None else least
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()])], names=["n", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([least], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()])], names=["shard", "n", "weights"])
 
-        # averages of averages: the driver gets 16 weight vectors at most
-        parts = learned.mapInArrow(local, "n long, weights binary").where("n > 0").repartition(16).mapInArrow(average, "n long, weights binary").collect()
+        made = dealt.where(F.col("round") == k).repartition(min(shards, tasks(spark)), "shard").sortWithinPartitions("shard", "place").select("shard", "ids", "first")
+        made = made.mapInArrow(local, "shard int, n long, weights binary")
+        # averages of averages, always in the order of shards: the driver gets 16 weight vectors at most
+        ranges = made.repartition(16, F.expr(f"shard * 16L div {shards}")).sortWithinPartitions("shard")
+        parts = sorted(tuple(r) for r in ranges.mapInArrow(average, "shard int, n long, weights binary").collect())
         if parts:
-            total = sum(r[0] for r in parts)
-            model.weights = _shaped(sum(r[0] / total * np.frombuffer(r[1], "<f4").astype(np.float64) for r in parts))
+            total = sum(r[1] for r in parts)
+            model.weights = _shaped(sum(r[1] / total * np.frombuffer(r[2], "<f8") for r in parts))
     return model
 
 
+def scored(texts: DataFrame, model: Model) -> DataFrame:
+    """texts: doc_id, tie, ids (the end last); adds score."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("ids"))
+            out = [np.zeros(0)]
+            for _, _, part, at in pieces(data, offsets):
+                at = at // 2
+                inner = np.ones(at[-1], dtype=bool)
+                inner[at[1:] - 1] = False  # the model adds the ends itself
+                out.append(model.scores(part.view("<u2")[inner].astype(np.int64), at - np.arange(len(at))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(np.concatenate(out))], names=["doc_id", "tie", "score"])
+
+    return texts.select("doc_id", "tie", "ids").mapInArrow(work, "doc_id long, tie long, score double")
+
+
 DEALT = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 DEALT_DDL = "to int, chunk long, kind int, payload binary"
 OWN, META, ANSWER, TOTALS = range(4)
@@ -281,18 +355,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(DEALT)], schema=DEALT)
 
 
-def _deal(ranges: int, model: Model, tokenizer: str):
-    """Deals each chunk's words by hash range (a row's count and whether it trains), and scores its texts."""
+def _deal(ranges: int):
+    """Deals each chunk's words by hash range (a row's count and whether it trains)."""
     bounds = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
 
-    def chunk_rows(chunk: int, text: pa.Array, ids: pa.Array, held: np.ndarray) -> list[tuple]:
+    def chunk_rows(chunk: int, text: pa.Array, ids: pa.Array, ties: pa.Array, held: np.ndarray) -> list[tuple]:
         data, offsets = column_bytes(text)
-        hashes, rows, scores = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, b, part, at in pieces(data, offsets):
             h, own = word_hashes(part, at)
             hashes.append(h)
             rows.append(np.repeat(np.arange(a, b), np.diff(own)))
-            scores.append(model.scores(*encoder(tokenizer).encode(part, at)))
         h, row = np.concatenate(hashes), np.concatenate(rows)
         words = np.bincount(row, minlength=len(held))
         order = np.argsort(h, kind="stable")
@@ -310,7 +383,7 @@ def _deal(ranges: int, model: Model, tokenizer: str):
         hot_keys = h[word[hot_word]]
         hot_counts = np.add.reduceat(np.where(trains, times, 0), word)[hot_word] if len(word) else np.zeros(0, np.int64)
         present = np.array([x is not None for x in ids.to_pylist()], dtype=np.uint8)
-        meta = _pack(ids.fill_null(0).to_numpy(), present, held.astype("u1"), words.astype("<i8"), np.concatenate(scores), h[hot], row[hot].astype("<u2"), times[hot].astype("<u4"))
+        meta = _pack(ids.fill_null(0).to_numpy(), present, held.astype("u1"), words.astype("<i8"), ties.to_numpy(), h[hot], row[hot].astype("<u2"), times[hot].astype("<u4"))
         out = [(chunk % ranges, chunk, META, meta)]
         h, row, times, trains = h[~hot], row[~hot].astype("<u2"), times[~hot], trains[~hot]
         coded = (times | (trains << 15)).astype("<u2")
@@ -331,7 +404,7 @@ def _deal(ranges: int, model: Model, tokenizer: str):
             for a, b, _, _ in pieces(np.zeros(0, np.uint8), offsets, CHUNK_BYTES):
                 for x in range(a, b, CHUNK_ROWS):
                     y = min(b, x + CHUNK_ROWS)
-                    yield _batch(chunk_rows(chunk, batch.column("text").slice(x, y - x), batch.column("doc_id").slice(x, y - x), held[x:y]))
+                    yield _batch(chunk_rows(chunk, batch.column("text").slice(x, y - x), batch.column("doc_id").slice(x, y - x), batch.column("tie").slice(x, y - x), held[x:y]))
                     chunk += 1
 
     return work
@@ -365,7 +438,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch([(to, chunk, ANSWER, _pack(rows.astype("<u2"), logs, known, p[3], total[np.searchsorted(words, p[3])]))])
 
 
-SCORES = "doc_id long, held_out boolean, n_words long, n_known_words long, logs double, score double"
+COUNTED = "doc_id long, tie long, held_out boolean, n_words long, n_known_words long, logs double"
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +453,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if answers.keys() - metas.keys():
         raise RuntimeError("a chunk of texts changed while it was counted; run the query again")
     for chunk in list(metas):
-        ids, present, held, words, scores, hot, hot_row, hot_times = _unpack(metas.pop(chunk), "<i8", "u1", "u1", "<i8", "<f8", "<u8", "<u2", "<u4")
+        ids, present, held, words, ties, hot, hot_row, hot_times = _unpack(metas.pop(chunk), "<i8", "u1", "u1", "<i8", "<i8", "<u8", "<u2", "<u4")
         logs, known = np.zeros(len(ids)), np.zeros(len(ids))
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for p in answers.pop(chunk, []):
@@ -396,8 +469,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             logs += np.bincount(hot_row, weights=hot_times * np.log10(c + 1.0), minlength=len(ids))
             known += np.bincount(hot_row, weights=hot_times * (c > 0), minlength=len(ids))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=present == 0), pa.array(held.astype(bool)), pa.array(words), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(scores)],
-            names=["doc_id", "held_out", "n_words", "n_known_words", "logs", "score"])
+            [pa.array(ids, mask=present == 0), pa.array(ties), pa.array(held.astype(bool)), pa.array(words), pa.array(known.astype(np.int64)), pa.array(logs)],
+            names=["doc_id", "tie", "held_out", "n_words", "n_known_words", "logs"])
 
 
 def lm_scores(docs: DataFrame, tokenizer: str, end: int = 49407, folds: int = 7, held_fold: int = 2) -> DataFrame:
@@ -411,15 +484,21 @@ def lm_scores(docs: DataFrame, tokenizer: str, end: int = 49407, folds: int = 7,
     spark = docs.sparkSession
     ranges = tasks(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    model = train(rows.where("not held_out").select("text"), tokenizer, end)
-    dealt = rows.mapInArrow(_deal(ranges, model, tokenizer), DEALT_DDL).repartitionById(ranges, F.col("to"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), held.alias("held_out"))
+    dealt = rows.mapInArrow(_deal(ranges), DEALT_DDL).repartitionById(ranges, F.col("to"))
     answers = stored(dealt.mapInArrow(_count, DEALT_DDL), "counts")
     totals = [_unpack(bytes(r[0]), "<i8")[0] for r in answers.where(F.col("kind") == TOTALS).select("payload").collect()]  # a row per range
-    words = stored(answers.where(F.col("kind") != TOTALS).repartition(ranges, "chunk").mapInArrow(_sum, SCORES), "scores")
+    words = stored(answers.where(F.col("kind") != TOTALS).repartition(ranges, "chunk").mapInArrow(_sum, COUNTED), "words")
+    release(spark)
+    texts = stored(encoded(rows, tokenizer, end), "ids")
+    model = train(texts.where("not held_out"), encoder(tokenizer).size, end)
+    scores = stored(scored(texts, model), "scores")
     ends = words.where("not held_out").count()
     distinct, tokens = sum(int(t[0]) for t in totals) + (ends > 0), sum(int(t[1]) for t in totals) + ends
     n = F.col("n_words") + 1
     base = F.col("logs") + F.log10(F.lit(ends + 1.0)) - n * F.log10(F.lit(float(tokens + distinct + 1)))
     known = F.col("n_known_words") + F.lit(int(ends > 0))
-    return words.select("doc_id", "held_out", n.alias("n_tokens"), known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    # rows that repeat one have its score
+    of = scores.groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("of")).agg(F.max("score").alias("score"))
+    both = words.join(of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("of")))
+    return both.select("doc_id", "held_out", n.alias("n_tokens"), known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
