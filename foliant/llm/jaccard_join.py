@@ -6,8 +6,9 @@
 2. All shingles are ordered by that frequency, rarest first. A text of n shingles must share 0.75 n with any partner, so
    a text with fewer shingles that another has is done. Texts with the same set are one node from here on.
 3. Of two linked nodes, the first n - ceil(0.75 n) + l shingles share l at least, for any l. A node takes the l that makes
-   lookups and expected verifications cheapest (adaptive prefixes), and a pair is verified if the prefixes share
-   min(l, l') shingles. Some pair of shared ones is among the prefixes for l = 1, so these make the candidates.
+   lookups and expected verifications cheapest (adaptive prefixes). Some shared shingle is among both prefixes for l = 1, so
+   nodes meet in the lists of those; two that met must share min(l, l') shingles of their own, longer prefixes. Only
+   prefixes are moved to count these; the other shingles only follow for pairs that have enough.
 4. Nodes that share a prefix shingle are compared with a few pivots of its list at a time; links join components, and pairs
    within a component need no comparison. Pivots leave the list once compared with all of it, until no list
    spans components. So copies of one text cost a comparison each, and no pair is left out.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm.components import roots
-from foliant.llm.kernels import M1, M2, column_bytes, mixed, pieces, shingles, word_hashes
-from foliant.llm.shared import cut, lookup, release, stored, tasks
+from foliant.llm.kernels import M1, M2, column_bytes, mixed, pieces, ragged, shingles, word_hashes
+from foliant.llm.shared import cut, lookup, release, remove, scratch, stored, tasks
 
 #: Words of a shingle; two texts are linked when the share of common shingles is PERCENT / 100 at least.
 WIDTH, PERCENT = 5, 75
@@ -40,6 +41,8 @@ VERIFY = 16.0
 PIVOTS = 32
 LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16])
 LOW48 = np.uint64((1 << 48) - 1)
+#: Stands for a step between sorted hashes that 32 bits can't hold.
+WIDE = np.uint64((1 << 32) - 1)
 NO_ROW = 0xFFFF
 
 
@@ -55,12 +58,17 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(16)).astype("<u4"), (h & np.uint64(0xFFFF)).astype("<u2")
+def _steps(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes as steps of 32 bits, and the steps that are too wide for these."""
+    step = np.diff(h, prepend=np.uint64(0))
+    wide = step >= WIDE
+    return np.where(wide, WIDE, step).astype("<u4"), step[wide]
 
 
-def _whole(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return (high.astype(np.uint64) << np.uint64(16)) | low
+def _walked(step: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    out = step.astype(np.uint64)
+    out[out == WIDE] = wide
+    return np.cumsum(out, dtype=np.uint64)
 
 
 DEALT = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -125,7 +133,7 @@ def _chunk(chunk: int, hashes: np.ndarray, row: np.ndarray, sizes: np.ndarray, i
     for r in range(ranges):
         a, b, c, d = at[r], at[r + 1], hot_at[r], hot_at[r + 1]
         if a < b or c < d:
-            out.append((r, chunk, 0, _pack(*_halves(h[a:b] >> np.uint64(16)), row[a:b], *_halves(hot[c:d]), counts[many][c:d].astype("<u4"))))
+            out.append((r, chunk, 0, _pack(*_steps(h[a:b] >> np.uint64(16)), row[a:b], *_steps(hot[c:d]), counts[many][c:d].astype("<u4"))))
     return out
 
 
@@ -142,8 +150,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 asked[t].append((c, p))
     for t in list(asked):
         chunks, payloads = zip(*asked.pop(t), strict=True)
-        parts = [_unpack(p, "<u4", "<u2", "<u2", "<u4", "<u2", "<u4") for p in payloads]
-        h = np.concatenate([x for p in parts for x in (_whole(p[0], p[1]), _whole(p[3], p[4]))])
+        parts = [_unpack(p, "<u4", "<u8", "<u2", "<u4", "<u8", "<u4") for p in payloads]
+        h = np.concatenate([x for p in parts for x in (_walked(p[0], p[1]), _walked(p[3], p[4]))])
         row = np.concatenate([x for p in parts for x in (p[2], np.full(len(p[3]), NO_ROW, "<u2"))])
         n = np.concatenate([x for p in parts for x in (np.ones(len(p[0]), "<u4"), p[5])])
         at = np.cumsum([0] + [len(p[0]) + len(p[3]) for p in parts])
@@ -155,7 +163,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = slice(at[i], at[i + 1])
             some = several[own]
             if some.any():
-                yield _batch([(t, c, 2, _pack(*_halves(h[own][some]), row[own][some], rank[own][some]))], DEALT)
+                shared = h[own][some]
+                order = np.argsort(shared, kind="stable")
+                yield _batch([(t, c, 2, _pack(*_steps(shared[order]), row[own][some][order], rank[own][some][order]))], DEALT)
 
 
 def _gather(percent: int):
@@ -175,8 +185,8 @@ def _gather(percent: int):
             raise RuntimeError("a chunk of texts changed while it was asked for; run the query again")
         for c in list(metas):
             ids, present, ties, sizes, node, node2, hot, hot_row = _unpack(metas.pop(c), "<i8", "u1", "<i8", "<i8", "<u8", "<u8", "<u8", "<u2")
-            parts = [_unpack(p, "<u4", "<u2", "<u2", "u1") for p in answers.pop(c, [])]
-            token = np.concatenate([np.zeros(0, np.uint64), *((p[3].astype(np.uint64) << np.uint64(48)) | _whole(p[0], p[1]) for p in parts)])
+            parts = [_unpack(p, "<u4", "<u8", "<u2", "u1") for p in answers.pop(c, [])]
+            token = np.concatenate([np.zeros(0, np.uint64), *((p[3].astype(np.uint64) << np.uint64(48)) | _walked(p[0], p[1]) for p in parts)])
             row = np.concatenate([np.zeros(0, "<u2"), *(p[2] for p in parts)])
             whole = row == NO_ROW
             if len(hot):
@@ -210,67 +220,93 @@ def prefix(tokens: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int
 
 
 def linked(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int = PERCENT) -> bool:
-    """Whether two nodes, given by their shared shingles in order and their numbers of all shingles, are linked."""
-    (fa, la), (fb, lb) = prefix(a, na, percent), prefix(b, nb, percent)
-    need = min(la, lb)
-    if len(np.intersect1d(a[: fa + la - 1], b[: fb + lb - 1], assume_unique=True)) < need:
-        return False
+    """Whether two nodes, given by their shared shingles and their numbers of all shingles, are linked."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (na + nb - both)
 
 
-def _postings(percent: int):
+NODES_DDL = "node long, n long, l int, first long, prefix binary, rest binary"
+
+
+def _prefixes(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, node, size, alone, rest = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(4))
+            rows = []
             for k, n, t in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
-                own = np.frombuffer(t, "<u8")
-                first, _ = prefix(own, n, percent)
-                token.append(own[:first])
-                node.append(np.full(first, k))
-                size.append(np.full(first, n))
-                alone.append(np.full(first, n - len(own)))
-                rest.append(len(own) - np.arange(first))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (token, node, size, alone, rest)], names=["token", "node", "n", "alone", "rest"])
+                first, length = prefix(np.frombuffer(t, "<u8"), n, percent)
+                rows.append((k, n, length, first, t[: 8 * (first + length - 1)], t[8 * (first + length - 1) :]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "n", "l", "first", "prefix", "rest"])
 
     return work
 
 
-def _verified(percent: int):
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of the prefixes for l = 1: token, node, n, alone (shingles of no other text) and rest (shared ones from there on)."""
+    for batch in batches:
+        token, offsets = column_bytes(batch.column("prefix"))
+        node, n, first, shared = (batch.column(c).to_numpy() for c in ("node", "n", "first", "shared"))
+        at = ragged(offsets[:-1] // 8, first)
+        k = ragged(np.zeros(len(first), np.int64), first)
+        made = token.view("<i8")[at], np.repeat(node, first), np.repeat(n, first), np.repeat(n - shared, first), np.repeat(shared, first) - k
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["token", "node", "n", "alone", "rest"])
+
+
+def _pairs(keep):
+    """The pairs a, b of the rows for which keep(row) holds; columns of bytes are arrays of shingles."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ta", "tb"))
-            same = [linked(np.frombuffer(x, "<u8"), m, np.frombuffer(y, "<u8"), n, percent) for x, m, y, n in zip(ta, na, tb, nb, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+            columns = [[np.frombuffer(x, "<u8") for x in c.to_pylist()] if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns]
+            stay = [keep(**dict(zip(batch.schema.names, r, strict=True))) for r in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
     return work
 
 
+def enough(a: int, b: int, la: int, lb: int, pa: np.ndarray, pb: np.ndarray) -> bool:
+    """Whether two prefixes share as many shingles as linked nodes must, by the shorter of their lengthenings."""
+    return len(np.intersect1d(pa, pb, assume_unique=True)) >= min(la, lb)
+
+
 def shingle_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, tie (a hash of the text), n (shingles), node and node2 (128 bits that name the set), tokens (null: no partner)."""
+    """One row per row of docs: doc_id, tie (a hash of the text), n (shingles), node and node2 (128 bits that name the set), tokens (null: no partner)."""
     ranges = tasks(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
     dealt = rows.mapInArrow(_deal(ranges, width), "to int, chunk long, kind int, payload binary").repartitionById(ranges, F.col("to"))
     answers = dealt.mapInArrow(_answer, "to int, chunk long, kind int, payload binary").repartition(ranges, "chunk")
-    return stored(answers.mapInArrow(_gather(percent), "doc_id long, tie long, n long, node long, node2 long, tokens binary"), "sets")
+    return answers.mapInArrow(_gather(percent), "doc_id long, tie long, n long, node long, node2 long, tokens binary")
+
+
+def _components(nodes: DataFrame, percent: int, root: str) -> DataFrame:
+    """node, comp for the nodes that have links. Each round's tables go below root and are deleted once the next has its own."""
+    spark = nodes.sparkSession
+
+    def verify(a: int, b: int, na: int, nb: int, pa: np.ndarray, pb: np.ndarray, ra: np.ndarray, rb: np.ndarray) -> bool:
+        return linked(np.concatenate([pa, ra]), na, np.concatenate([pb, rb]), nb, percent)
 
+    def side(c: str, **columns: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(c), *(F.col(v).alias(f"{k}{c}") for k, v in columns.items()))
 
-def _components(nodes: DataFrame, percent: int) -> DataFrame:
-    """node, comp for the nodes that have links."""
-    live = stored(nodes.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node long, n long, alone long, rest long"), "postings")
-    comp, pivots = None, 1
+    whole = nodes.select("node", "n", "first", "prefix", ((F.octet_length("prefix") + F.octet_length("rest")) / 8).cast("long").alias("shared"))
+    live = stored(whole.mapInArrow(_postings, "token long, node long, n long, alone long, rest long"), "postings", root)
+    comp, pivots, folder = None, 1, f"{root}/postings"
     while not live.isEmpty():
+        mine = f"{root}/round-{pivots}"
         now = live.withColumn("comp", F.col("node")) if comp is None else live.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_lists = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        now = stored(now.join(open_lists, "token").select("token", "node", "n", "alone", "rest", "comp"), "open")
+        now = stored(now.join(open_lists, "token").select("token", "node", "n", "alone", "rest", "comp"), "open", mine)
+        remove(spark, folder)
         # what the copies of a text were made from has few shingles of its own, and is linked with most of them
         order = Window.partitionBy("token").orderBy(F.col("alone") / F.col("n"), F.xxhash64("node"), "node")
-        chosen = stored(now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp")), "pivots")
+        chosen = stored(now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp")), "pivots", mine)
         # where two linked nodes meet first, what both have from there on holds all they share; other meetings may be dropped
         met = now.join(chosen, "token").where(f"comp <> pcomp and 100 * n >= {percent} * pn and 100 * pn >= {percent} * n and {100 + percent} * least(rest, prest) >= {percent} * (n + pn)")
         pairs = cut(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
-        links = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent), "a long, b long"))
+        likely = pairs.join(side("a", l="l", p="prefix"), "a").join(side("b", l="l", p="prefix"), "b").select("a", "b", "la", "lb", "pa", "pb").mapInArrow(_pairs(enough), "a long, b long")
+        likely = cut(likely)
+        sides = likely.join(side("a", n="n", p="prefix", r="rest"), "a").join(side("b", n="n", p="prefix", r="rest"), "b")
+        links = cut(sides.select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_pairs(verify), "a long, b long"))
         if comp is not None:
             of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
             joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -283,8 +319,8 @@ def _components(nodes: DataFrame, percent: int) -> DataFrame:
             fresh = found.select("node", F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
             comp = cut(grown.unionByName(fresh))
         live = now.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n", "alone", "rest")
-        pivots *= PIVOTS
-        release(nodes.sparkSession)
+        pivots, folder = pivots * PIVOTS, mine
+        release(spark)
     return comp if comp is not None else nodes.select("node", F.col("node").alias("comp")).limit(0)
 
 
@@ -296,17 +332,22 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     shingles and no links. component_id is the smallest doc_id that links reach, that of the row itself included; null ids
     count as the largest. Repeated rows and texts are linked. An empty table gives no rows.
     """
-    sets = shingle_sets(docs, width, percent)
-    release(docs.sparkSession)
+    spark = docs.sparkSession
+    root = scratch(spark, "jaccard")
+    sets = stored(shingle_sets(docs, width, percent), "sets", root)
+    release(spark)
+    whole = sets.where(F.col("tokens").isNotNull()).select("node", "n", "tokens").dropDuplicates(["node"])
+    nodes = stored(whole.mapInArrow(_prefixes(percent), NODES_DDL), "nodes", root)
+    sets = stored(sets.drop("tokens"), "rows", root)
+    remove(spark, f"{root}/sets")
+    release(spark)
     full = sets.where("n > 0")
-    classes = full.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("tokens").alias("tokens"))
-    classes = cut(classes)
-    nodes = classes.where(F.col("tokens").isNotNull()).select("node", "n", "tokens")
-    comp = _components(nodes, percent)
-    own = classes.select("node", "node2", "n", "first", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classes = cut(full.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    comp = _components(nodes, percent, root)
+    own = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = own.groupBy("comp").agg(F.min("first").alias("component_id"))
     placed = cut(own.join(lowest, "comp").select("node", "node2", "n", "copies", "component_id"))
-    found = lookup(full.drop("tokens"), placed, ["node", "node2", "n"], "copies")
+    found = lookup(full, placed, ["node", "node2", "n"], "copies")
     blank = sets.where("n = 0").select("doc_id", "tie", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", "tie", F.col("n").alias("n_shingles"), "component_id").unionByName(blank)
 
