@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import cut, stored
+from foliant.llm.shared import cut, small, stored
 
 #: A line on so many distinct sites is boilerplate.
 SITES = 5
@@ -13,8 +13,6 @@ SITES = 5
 LG_K = 10
 #: Estimates within this share of the threshold are counted exactly: over four standard errors.
 MARGIN = 0.15
-#: Sets of line keys up to so many (some 50 MB) are broadcast, larger ones joined by a shuffle.
-BROADCAST_KEYS = 500_000
 
 
 def lines_of(text: Column) -> Column:
@@ -41,11 +39,6 @@ def spread_lines(seen: DataFrame, sites: int = SITES, lg_k: int = LG_K, margin:
     return spread.where(high).select("key").unionByName(exact.where(F.col("n") >= sites).select("key"))
 
 
-def small(keys: DataFrame) -> DataFrame:
-    """keys with a broadcast hint if they are at most BROADCAST_KEYS (8 bytes each), else as they are."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
 def line_dedup(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, clean_text.
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests on one machine) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, in tests on one machine, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if root is None:
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
         root = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:
@@ -38,13 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder (below ``root``, if given) and read again."""
+    path = f"{root}/{name}" if root else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one whose rows no later step reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps whose results are cut off; it does so when the driver's garbage is collected."""
     gc.collect()
@@ -62,6 +70,11 @@ HOT_ROWS = 1_000
 HOT_KEYS = 500_000
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """keys with a broadcast hint if they are at most HOT_KEYS (a few numbers each), else as they are."""
+    return F.broadcast(keys) if keys.limit(HOT_KEYS + 1).count() <= HOT_KEYS else keys
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
     """rows joined with table (inner; one row per key), which has in column ``count`` how many rows a key has.
 
