@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import is_missing, references
+from foliant.functions.text import death, is_missing, references, victory
+from foliant.sources.corpus import shared_root
 
 
 def edges(sections: DataFrame) -> DataFrame:
@@ -24,6 +25,12 @@ def dead_ends(sections: DataFrame) -> DataFrame:
     return sections.where((F.size(references(F.col("content"))) == 0) & ~is_missing(F.col("content"))).select("book_id", "section_number")
 
 
+def terminal(sections: DataFrame) -> DataFrame:
+    """Dead ends that are a death or a victory."""
+    content = F.col("content")
+    return sections.where(death(content) | victory(content)).select("book_id", "section_number")
+
+
 def orphan_links(sections: DataFrame) -> DataFrame:
     """References out of 1..n_sections."""
     return edges(sections).where(~F.col("dst").between(1, F.col("n_sections"))).select("book_id", F.col("src"), F.col("dst"))
@@ -31,16 +38,12 @@ def orphan_links(sections: DataFrame) -> DataFrame:
 
 def depths(sections: DataFrame, entry: int = 1) -> DataFrame:
     """book_id, section_number, depth: shortest distance from the entry, of all books at once, a level in each round."""
-    spark = sections.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-"))
+    shared_root(sections.sparkSession)
     links = edges(sections).where(F.col("dst").between(1, F.col("n_sections"))).select("book_id", "src", "dst").distinct().checkpoint()
-    seen = sections.where(F.col("section_number") == entry).select("book_id", F.col("section_number").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
-    front = seen
+    front = sections.where(F.col("section_number") == entry).select("book_id", F.col("section_number").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
+    seen = front  # each level is written once
     while not front.isEmpty():
         step = front.withColumnRenamed("node", "src").join(links, ["book_id", "src"]).select("book_id", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         front = step.join(seen.select("book_id", "node"), ["book_id", "node"], "left_anti").checkpoint()
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)
     return seen.select("book_id", F.col("node").alias("section_number"), "depth")

@@ -42,9 +42,10 @@ def paragraphs(lines: DataFrame, factor: float = 1.4) -> DataFrame:
     return joined.select("page_id", "paragraph", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["text"]), " "), "- ", "").alias("text"))
 
 
-def is_double_page(ratio: DataFrame) -> DataFrame:
-    """page_id, is_double: two columns on a page that is more than 1.15 times as wide as high."""
-    return ratio.select("page_id", (F.col("width") / F.col("height") > 1.15).alias("is_double"))
+def is_double_page(pages: DataFrame) -> DataFrame:
+    """book_id, is_double: by the votes of pages 6 to 8 (book_id, page, width, height), of which half or one at least must be more than 1.15 times as wide as high."""
+    votes = pages.groupBy("book_id").agg(F.count_if(F.col("page").between(6, 8)).alias("n"), F.count_if(F.col("page").between(6, 8) & (F.col("width") > F.col("height") * 1.15)).alias("wide"))
+    return votes.select("book_id", ((F.col("n") > 0) & (F.col("wide") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2)))).alias("is_double"))
 
 
 def ink_runs(bands: DataFrame, least: float, max_gap: int) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from foliant.functions.text import code
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -67,3 +70,79 @@ def best_source(candidates: DataFrame, missing: str) -> DataFrame:
     counts = candidates.groupBy("book_id", "pass_id").agg(F.count_if(F.col("content") != missing).alias("present"))
     best = F.max_by(F.struct("pass_id", "present"), F.struct("present", (-F.col("pass_id")).alias("early")))
     return counts.groupBy("book_id").agg(best.alias("b")).select("book_id", "b.*")
+
+
+def nested_profile(users: DataFrame, **children: DataFrame) -> DataFrame:
+    """users with an array of rows of each child table (by user_id, sorted); children are gathered before they are joined, so they don't multiply."""
+    out = users
+    for name, child in children.items():
+        rest = [c for c in child.columns if c != "user_id"]
+        rows = child.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+        empty = F.array().cast(rows.schema[name].dataType)
+        out = out.join(rows, "user_id", "left").withColumn(name, F.coalesce(name, empty))
+    return out
+
+
+def medallions(runs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """user_id, code, title: one for each user and book (user_id, book_title) that was completed; titles by the catalog (book_title, medallion_title), else by the book."""
+    found = runs.select("user_id", "book_title").distinct().join(catalog, "book_title", "left")
+    return found.select("user_id", F.concat(F.lit("MEDALLION_"), code(F.trim("book_title"))).alias("code"), F.coalesce("medallion_title", F.concat(F.lit("Medallion of "), F.col("book_title"))).alias("title"))
+
+
+def rewritten(stored: DataFrame, titles: DataFrame, protected: list[str]) -> DataFrame:
+    """stored (name) without the files of the titles (title) that are written again: "title" and "title (*", whatever their case; protected titles stay."""
+    again = titles.where(~F.lower("title").isin([p.lower() for p in protected])).select(F.lower("title").alias("front")).distinct()
+    parts = F.split(F.lower("name"), r" \(")
+    fronts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), " ("))
+    gone = stored.select("name", F.explode(fronts).alias("front")).join(again, "front", "left_semi").select("name").distinct()
+    return stored.join(gone, "name", "left_anti")
+
+
+def parser_for(title: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The parser of the first rule (parser, words) whose words the title holds, whatever its case; else the default. A null title has the default."""
+    out = F.lit(default)
+    for parser, words in reversed(rules):
+        out = F.when(F.lower(title).contains(words.lower()), parser).otherwise(out)
+    return out
+
+
+def session_states(moves: DataFrame) -> DataFrame:
+    """user_id, current, history, moves: where each reader is, by their moves (user_id, ts, tie, section; a null section is a reset).
+
+    A reset goes back to section 1 and clears the history; each move adds to it. tie orders moves of one time.
+    """
+    order = ["ts", "tie"]
+    every = moves.withColumn("since", F.sum(F.col("section").isNull().cast("int")).over(Window.partitionBy("user_id").orderBy(*order)))
+    last = every.groupBy("user_id", "since").agg(F.array_sort(F.collect_list(F.struct(*order, F.coalesce("section", F.lit(1)).alias("section")))).alias("l"), F.count(F.lit(1)).alias("n"))
+    whole = last.groupBy("user_id").agg(F.max_by("l", "since").alias("l"), F.sum("n").alias("moves"))
+    history = F.transform("l", lambda x: x["section"])
+    return whole.select("user_id", F.element_at(history, -1).alias("current"), history.alias("history"), "moves")
+
+
+FIGHT = "struct<skill:int,stamina:int,luck:int,foe:int,wounds:int,rounds:int>"
+
+
+def fights(rows: DataFrame, rounds: int = 60) -> DataFrame:
+    """rows (id, skill, stamina, luck, foes: array of (skill, stamina, special)) with the state after the fight: left (skill, stamina, luck), foes slain, rounds, outcome.
+
+    Each round both sides throw two dice and add their skill; the loser gets 2 wounds, equals miss. A foe's wounds last; the
+    next one steps forward when it falls. A hit of a special foe throws a die: 1 or 2 wounds, 3 or 4 costs a point of
+    skill, else of luck. Dice follow from id and round. Outcome: won, lost, or open after ``rounds`` rounds.
+    """
+    die = lambda i, k: (F.col("id") * 31 + i * 17 + k * 7) % 6 + 1
+
+    def step(s: Column, i: Column) -> Column:
+        foe = F.try_element_at("foes", s["foe"] + 1)
+        own, other = die(i, 0) + die(i, 1) + s["skill"], die(i, 2) + die(i, 3) + foe["skill"]
+        hit, special = own < other, foe["special"]
+        kind = F.when(hit & special, F.when(die(i, 4) <= 2, 0).when(die(i, 4) <= 4, 1).otherwise(2)).otherwise(F.when(hit, 0).otherwise(3))
+        less = lambda name, k, n: F.greatest(F.lit(0), s[name] - F.when(kind == k, n).otherwise(0)).cast("int").alias(name)
+        wounds = s["wounds"] + F.when(own > other, 2).otherwise(0)
+        slain = wounds >= foe["stamina"]
+        made = F.struct(less("skill", 1, 1), less("stamina", 0, 2), less("luck", 2, 1), F.when(slain, s["foe"] + 1).otherwise(s["foe"]).cast("int").alias("foe"), F.when(slain, 0).otherwise(wounds).cast("int").alias("wounds"), (s["rounds"] + 1).alias("rounds"))
+        return F.when((s["stamina"] > 0) & foe.isNotNull(), made).otherwise(s)
+
+    first = F.struct(*(F.col(c).cast("int").alias(c) for c in ("skill", "stamina", "luck")), F.lit(0).alias("foe"), F.lit(0).alias("wounds"), F.lit(0).alias("rounds"))
+    end = rows.withColumn("end", F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), first, step))
+    outcome = F.when(F.col("end.stamina") <= 0, "lost").when(F.col("end.foe") >= F.size("foes"), "won").otherwise("open")
+    return end.select("id", F.col("end.skill").alias("skill"), F.col("end.stamina").alias("stamina"), F.col("end.luck").alias("luck"), F.col("end.foe").alias("slain"), F.col("end.rounds").alias("rounds"), outcome.alias("outcome"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.lore import is_junk_line, is_terminator
-from foliant.functions.text import choices, is_noise_line
+from foliant.functions.text import DANGLING, TURN_TARGET, choices, is_noise_line, section_number
 from foliant.sources.corpus import MISSING
 
 #: Blocks further up or down than this share of the page are headers or footers.
@@ -93,10 +93,57 @@ def manifest_sections(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     return text.select("book_id", "section_number", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("content"))
 
 
+def apply_manifest(lines: DataFrame, manifest: DataFrame) -> DataFrame:
+    """book_id, section_number, content, image_path: sections cut from lines (book_id, page, side, n, text; n counts a page's lines) by a manifest (book_id, section_number, page, side, line, end).
+
+    Lines of a page half without a start count only if at least five of the half's lines have three words of four characters or
+    more with a letter. A section goes from its line to its ``end`` on the same page (one line, if that is not there), else to
+    the start of the next number, else to the end of the book; starts that are not there are left out. Contents are trimmed
+    by trim_lines. A slice becomes an equi join by its line numbers.
+    """
+    words = F.filter(F.split("text", " "), lambda w: (F.length(w) >= 4) & F.rlike(w, F.lit(r"\p{L}")))
+    wordy = lines.groupBy("book_id", "page", "side").agg(F.count_if(F.size(words) >= 3).alias("wordy"))
+    halves = manifest.select("book_id", "page", "side").distinct().withColumn("entry", F.lit(True))
+    kept = wordy.join(halves, ["book_id", "page", "side"], "left").where(F.col("entry") | (F.col("wordy") >= 5)).select("book_id", "page", "side")
+    order = Window.partitionBy("book_id").orderBy("page", "n")
+    placed = lines.join(kept, ["book_id", "page", "side"]).withColumn("at", F.row_number().over(order) - 1)
+    where = placed.select("book_id", "page", F.col("n").alias("line"), "at")
+    total = placed.groupBy("book_id").agg(F.count(F.lit(1)).alias("total"))
+    starts = manifest.join(where, ["book_id", "page", "line"], "left")
+    ends = where.select("book_id", "page", F.col("line").alias("end"), F.col("at").alias("end_at"))
+    after = F.lead("at").over(Window.partitionBy("book_id").orderBy("section_number"))
+    bounds = starts.withColumn("next", after).join(ends, ["book_id", "page", "end"], "left").join(total, "book_id")
+    stop = F.when(F.col("end").isNotNull(), F.coalesce("end_at", "at") + 1).otherwise(F.coalesce("next", "total"))
+    spans = bounds.where(F.col("at").isNotNull()).select("book_id", "section_number", F.concat(F.lit("p"), F.col("page").cast("string")).alias("image_path"), F.when(stop > F.col("at"), F.sequence(F.col("at"), stop.cast("int") - 1)).alias("own"))
+    rows = spans.withColumn("at", F.explode_outer("own")).drop("own").join(placed.select("book_id", "at", "text"), ["book_id", "at"], "left")
+    held = rows.groupBy("book_id", "section_number", "image_path").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))).alias("l"))
+    return held.select("book_id", "section_number", F.array_join(trim_lines(F.transform("l", lambda x: x["text"])), "\n").alias("content"), "image_path")
+
+
+def introduction(blocks: DataFrame, page_number_band: float = 0.9, most: int = 400) -> DataFrame:
+    """book_id, introduction: the blocks (book_id, seq, text, top_fraction) before the first section number, those below the band of page numbers left out."""
+    inner = blocks.where(F.col("top_fraction") <= page_number_band)
+    first = inner.groupBy("book_id").agg(F.min(F.when(section_number(F.col("text"), most).isNotNull(), F.col("seq"))).alias("first"))
+    front = inner.join(first, "book_id").where(F.col("first").isNull() | (F.col("seq") < F.col("first")))
+    return _in_order(front, "seq", "\n\n")
+
+
+def page_introduction(lines: DataFrame, pages: list[int]) -> DataFrame:
+    """book_id, introduction: the non-blank lines (book_id, page, n, text) of the given pages, in the order given."""
+    wanted = F.array(*map(F.lit, pages)).cast("array<int>")
+    front = lines.where(F.col("page").isin(pages) & (F.trim("text") != "")).select("book_id", F.struct(F.array_position(wanted, F.col("page").cast("int")).alias("k"), "n").alias("seq"), F.trim("text").alias("text"))
+    return _in_order(front, "seq", "\n")
+
+
+def _in_order(rows: DataFrame, order: str, between: str) -> DataFrame:
+    held = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("l"))
+    return held.select("book_id", F.trim(F.array_join(F.transform("l", lambda x: x["text"]), between)).alias("introduction"))
+
+
 def trim_lines(lines: Column) -> Column:
     """A fold over lines: blank ones go, a dangling "turn to" takes the short number after it, noise goes, and headers at the end."""
-    target = lambda x: F.rlike(F.trim(x), F.lit(r"^[A-Za-z]?\s?\d{1,3}[.!]?$"))
-    dangling = lambda kept: (F.size(kept) > 0) & F.rlike(F.element_at(kept, -1), F.lit(r"(?i)\bt[uo]r?[nm](?: to)?\s*$"))
+    target = lambda x: F.rlike(F.trim(x), F.lit(TURN_TARGET))
+    dangling = lambda kept: (F.size(kept) > 0) & F.rlike(F.element_at(kept, -1), F.lit(DANGLING))
 
     def step(kept: Column, line: Column) -> Column:
         joined = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(F.concat(F.element_at(kept, -1), F.lit(" "), F.trim(line))))
@@ -130,11 +177,12 @@ def missing_numbers(sections: DataFrame, most: DataFrame) -> DataFrame:
     return every.join(sections.select("book_id", "section_number"), ["book_id", "section_number"], "left_anti")
 
 
-def book_quality(sections: DataFrame, most: int = 400) -> DataFrame:
+def book_quality(sections: DataFrame, most: int = 400, introductions: DataFrame | None = None) -> DataFrame:
     """book_id, present, top, total_chars, mean_chars, combat, needs_attention: a row per book, also for those of placeholders alone.
 
     needs_attention: the highest number is under 200, under 100 sections have text, their mean length is not 300..2500, a
-    choice leads out of 1..``most``, or over 5 choices lead to placeholders. Choices are counted one by one; top and sums
+    choice leads out of 1..``most``, over 5 choices lead to placeholders, or the book has no introduction (book_id,
+    introduction; not tested where none are given). Choices are counted one by one; top and sums
     are of sections with text, the highest number is of all.
     """
     real = F.col("content") != MISSING
@@ -148,7 +196,11 @@ def book_quality(sections: DataFrame, most: int = 400) -> DataFrame:
         F.count(size).alias("present"), F.max(F.when(real, F.col("section_number"))).alias("top"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_chars"), mean.alias("mean_chars"),
         F.count_if(real & F.col("content").contains("SKILL")).alias("combat"), F.max("section_number").alias("highest"), F.sum(outside).alias("outside"))
     bad = (F.col("highest") < 200) | (F.col("present") < 100) | (F.col("outside") > 0) | (F.coalesce("astray", F.lit(0)) > 5) | F.coalesce(~F.col("mean_chars").between(300, 2500), F.lit(False))
-    return books.join(led, "book_id", "left").select("book_id", "present", "top", "total_chars", "mean_chars", "combat", bad.alias("needs_attention"))
+    books = books.join(led, "book_id", "left")
+    if introductions is not None:
+        books = books.join(introductions, "book_id", "left")
+        bad |= F.coalesce(F.length("introduction"), F.lit(0)) == 0
+    return books.select("book_id", "present", "top", "total_chars", "mean_chars", "combat", bad.alias("needs_attention"))
 
 
 def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:

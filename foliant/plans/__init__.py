@@ -61,13 +61,12 @@ def clean_text(s, d):
 @query(rf"""SELECT {KEY},
   list_bool_or(list_transform(string_split(content, chr(10)), lambda x: regexp_matches(x, '\bSKILLS?\b') AND regexp_matches(x, '\bSTAMINAS?\b'))) AS has_combat,
   regexp_matches(content, '(?i)\btest your luck\b') AS luck_test,
-  array_to_string(list_transform(regexp_extract_all(content, '(?i)(?:lose|gain|add|deduct|restore|increase|decrease|take)\s+\d+\s+(?:points?\s+)?(?:of\s+|from\s+|in\s+)?(?:skill|stamina|luck|crew strike|crew strength)'), lambda x: upper(x)), '|') AS stat_list,
+  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(content, 'Lose \d STAMINA|Lose \d LUCK'), lambda x: upper(x)))), '|') AS stat_list,
   len({REFS}) = 0 AND NOT contains(content, '{MISSING}') AS is_end,
   len({REFS}) = 0 AND NOT contains(content, '{MISSING}') AND contains(content, 'Your adventure ends') AS death,
   contains(content, '{MISSING}') AS is_missing FROM S""")
 def section_features(s, d):
-    stats = F.regexp_extract_all(F.col("content"), F.lit("(" + T.STAT.replace("(?i)", "(?i:", 1) + "))"), F.lit(1))
-    return sections(s, d).select(*IDS, T.has_combat(F.col("content")).alias("has_combat"), T.luck_test(F.col("content")).alias("luck_test"), F.array_join(F.transform(stats, F.upper), "|").alias("stat_list"), T.is_end(F.col("content")).alias("is_end"), T.death(F.col("content")).alias("death"), T.is_missing(F.col("content")).alias("is_missing"))
+    return sections(s, d).select(*IDS, T.has_combat(F.col("content")).alias("has_combat"), T.luck_test(F.col("content")).alias("luck_test"), F.array_join(F.array_sort(T.stat_changes(F.col("content"))), "|").alias("stat_list"), T.is_end(F.col("content")).alias("is_end"), T.death(F.col("content")).alias("death"), T.is_missing(F.col("content")).alias("is_missing"))
 
 
 @query(rf""", X AS (SELECT {KEY}, unnest(regexp_extract_all(content, '(?i)(?:add|gain|increase|deduct|lose|subtract)\s+\d+\s+days?\s+(?:to\s+|from\s+|in\s+)?(?:your\s+)?log\b')) AS m FROM S)
@@ -293,4 +292,4 @@ def cascade_delete(s, d):
     return left.agg(F.count(F.lit(1)).alias("n_orders"), F.count_distinct("user_id").alias("n_books"))
 
 
-from foliant.plans import lore  # noqa: E402, F401  registers its queries here
+from foliant.plans import catalog, lore, variants  # noqa: E402, F401  register their queries here

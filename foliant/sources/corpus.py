@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; in tests on one machine, where it is unset, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if root is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="foliant-"))
+    return root or sc.getCheckpointDir()
+
+
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The corpus is made once for a session and folder, and kept as a table in the shared folder until the session ends."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _made:
+        path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+        make().write.parquet(path)
+        _made[key] = path
+    return spark.read.parquet(_made[key])
+
+
 def _say(*parts: Column | str) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
@@ -27,6 +57,10 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, section_number, n_sections, n (0, 1, ...), text."""
+    return _once(spark, sf_dir, "lines", lambda: _lines(spark, sf_dir))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     rows = items.join(parts, "l_partkey").join(numbered(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -57,6 +91,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, section_number, n_sections, content: all sections, those without lines with the placeholder."""
+    return _once(spark, sf_dir, "sections", lambda: _sections(spark, sf_dir))
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lines(spark, sf_dir).groupBy("book_id", "section_number").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("l"))
     every = numbered(spark, sf_dir).drop("o_orderkey")
     content = F.coalesce(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.lit(MISSING))
