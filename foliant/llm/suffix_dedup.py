@@ -11,11 +11,12 @@ would move each byte many times over, so only suffixes whose passage may occur t
    passages, one bucket of suffixes at a time: it sorts a bucket by the first PERIOD bytes, and resolves ties by the
    ranks of a difference-cover sample, which are computed once. Neighbours that agree in ``length`` bytes are the same
    passage; all but the first occurrence are repeated.
+3. An anchor of more cells than HOT_CELLS, as around the ends of a passage that many texts have, would keep one task busy. The
+   passages of its cells are named by 128-bit hashes (as cells are) and counted by Spark instead, pre-aggregated.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.kernels import M1, M2, column_bytes, mixed, pieces, powers, ragged
-from foliant.llm.shared import stored, tasks
+from foliant.llm.kernels import LOW_BYTES, M1, M2, PIECE, column_bytes, eights, mixed, pieces, powers, ragged
+from foliant.llm.shared import lookup, release, small, stored, tasks
 
 #: Bytes of a passage, of a gram, and of a period of the difference cover.
 LENGTH, GRAM, PERIOD = 100, 24, 32
 #: Text bytes whose equal cells are told apart in one go, and suffixes sorted as one bucket at most (more if they tie).
-CHUNK_BYTES, BUCKET = 4 << 20, 1 << 17
+CHUNK_BYTES, BUCKET = 2 << 20, 1 << 17
 #: Bytes of cells whose passages are sorted together (more if they share an anchor).
 BLOCK = 2 << 20
-#: Bits of a position in a piece; a longer text is cut into overlapping segments.
-POSITION = 25
+#: An anchor with more different cells than this is dealt by passages, those of so many cells in a batch.
+HOT_CELLS, CELLS_AT_ONCE = 1000, 4096
+#: Bits of a position in a piece; a longer text is cut into overlapping segments of SEGMENT passages.
+POSITION, SEGMENT = 20, 1 << 18
 
 
 def difference_cover(period: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +151,12 @@ def cells(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     if not counts.sum():
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), out=total[1:])
-    inverse = powers(n + 1, inverse=True)
-    gram = mixed((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
+    view = eights(data)
+    gram = mixed(mixed(mixed(view[: n - GRAM + 1]) ^ view[8 : n - GRAM + 9]) ^ view[16 : n - GRAM + 17])
+    # a span's hash is made of those of its grams, which aren't linear in its bytes
+    total = np.zeros(len(gram) + 1, dtype=np.uint64)
+    np.cumsum(gram * powers(len(gram)), out=total[1:])
+    inverse = powers(len(gram) + 1, inverse=True)
     least = (gram & ~np.uint64((1 << POSITION) - 1)) | np.arange(len(gram), dtype=np.uint64)
     width, wide = 1, length - GRAM + 1
     while 2 * width <= wide:
@@ -167,40 +172,35 @@ def cells(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     begin, end = at[first], at[last]
     row = np.searchsorted(offsets, begin, side="right") - 1
     shape = (end - begin).astype(np.uint64) * M1 + (anchor[first] - begin).astype(np.uint64) * M2
-    span = mixed(((total[end + length] - total[begin]) * inverse[begin]) ^ shape)
+    span = mixed(((total[end + length - GRAM + 1] - total[begin]) * inverse[begin]) ^ shape)
     return gram[anchor[first]], span, row, begin - offsets[row], end - begin
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     for a, _, part, own in pieces(data, offsets):
-        most = 1 << (POSITION - 1)
-        if len(part) <= most:
+        if len(part) <= PIECE:
             anchor, span, row, start, more = cells(part, own, length)
             yield anchor, span, row + a, start, more
         else:  # one long text
-            for x in range(0, len(part) - length + 1, most):
-                seg = part[x : x + most + length - 1]
+            for x in range(0, len(part) - length + 1, SEGMENT):
+                seg = part[x : x + SEGMENT + length - 1]
                 anchor, span, row, start, more = cells(seg, np.array([0, len(seg)]), length)
                 yield anchor, span, row + a, start + x, more
 
 
-DEALT = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("anchor", pa.binary()), ("span", pa.binary()), ("key", pa.binary()), ("start", pa.binary()), ("more", pa.binary())])
-DEALT_DDL = "to int, kind int, anchor binary, span binary, key binary, start binary, more binary"
+CELLS = pa.schema([("anchor", pa.int64()), ("span", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("more", pa.int16()), ("again", pa.bool_())])
+CELLS_DDL = "anchor long, span long, key long, start int, more short, again boolean"
 FOUND = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("start", pa.int64()), ("more", pa.int64()), ("anchor", pa.int64())])
 FOUND_DDL = "key long, kind int, start long, more long, anchor long"
-REPEAT, ASK = 0, 1
-
-
-def _bounds(ranges: int) -> np.ndarray:
-    return (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
+REPEAT, ASK, SPREAD = range(3)
 
 
 def _found(key: np.ndarray, kind: int, start: np.ndarray, more: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.full(len(key), kind, np.int32)), pa.array(start.astype(np.int64)), pa.array(more.astype(np.int64)), pa.array(anchor.view(np.int64))], schema=FOUND)
 
 
-def _deal(ranges: int, length: int):
-    bounds = _bounds(ranges)
+def _cells_of(length: int):
+    """The cells of all texts; again: one of the same chunk that equals it comes earlier."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,54 +215,91 @@ def _deal(ranges: int, length: int):
                 order = np.lexsort((start, key, span, anchor))
                 anchor, span, key, start, more = (x[order] for x in (anchor, span, key, start, more))
                 again = np.r_[False, (span[1:] == span[:-1]) & (anchor[1:] == anchor[:-1])]
-                at = np.r_[0, np.searchsorted(anchor, bounds), len(anchor)]
-                rows = []
-                for r in range(ranges):
-                    for kind, some in ((0, ~again[at[r] : at[r + 1]]), (1, again[at[r] : at[r + 1]])):
-                        if some.any():
-                            own_part = [x[at[r] : at[r + 1]][some] for x in (anchor, span, key, start.astype("<u4"), more.astype("u1"))]
-                            rows.append((r, kind, *(x.tobytes() if kind == 0 or i > 1 else b"" for i, x in enumerate(own_part))))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(DEALT)], schema=DEALT)
+                made = anchor.view(np.int64), span.view(np.int64), key, start.astype(np.int32), more.astype(np.int16), again
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, CELLS, strict=True)], schema=CELLS)
 
     return work
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In the task of a range of anchors: cells that repeat an earlier one, and the first ones of several with an anchor."""
-    parts: dict[int, list] = defaultdict(list)
+    """Cells in order of anchor, span, key and start: those that repeat an earlier one, and the first ones of several with an anchor.
+
+    A batch at a time: from the one before stay the last anchor and span, how many first ones the anchor has (two stand for
+    more), and the only first one, which is asked for once a second one comes.
+    """
+    last, count, alone = None, 0, None
     for batch in batches:
-        for to, kind, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key, start, more = (np.frombuffer(x, k) for x, k in zip(raw[2:], ("<i8", "<u4", "u1"), strict=True))
-            if kind == 1:
-                yield _found(key, REPEAT, start, more, np.zeros(len(key), np.uint64))
-            else:
-                parts[to].append((np.frombuffer(raw[0], "<u8"), np.frombuffer(raw[1], "<u8"), key, start, more))
-    for to in list(parts):
-        anchor, span, key, start, more = (np.concatenate(x) for x in zip(*parts.pop(to), strict=True))
-        order = np.lexsort((start, key, span, anchor))
-        anchor, span, key, start, more = (x[order] for x in (anchor, span, key, start, more))
-        same_anchor = np.r_[False, anchor[1:] == anchor[:-1]]
-        again = same_anchor & np.r_[False, span[1:] == span[:-1]]
-        yield _found(key[again], REPEAT, start[again], more[again], np.zeros(int(again.sum()), np.uint64))
-        group = np.cumsum(~same_anchor) - 1
-        first = ~again
-        several = first & (np.bincount(group[first])[group] > 1)
+        if not batch.num_rows:
+            continue
+        anchor, span, key, start, more = (batch.column(c).to_numpy() for c in ("anchor", "span", "key", "start", "more"))
+        goes_on = last is not None and anchor[0] == last[0]
+        same_anchor = np.r_[goes_on, anchor[1:] == anchor[:-1]]
+        again = same_anchor & np.r_[goes_on and span[0] == last[1], span[1:] == span[:-1]]
+        group = np.cumsum(~same_anchor) - (0 if goes_on else 1)
+        many = np.bincount(group[~again], minlength=group[-1] + 1)
+        if goes_on:
+            if count == 1 and many[0]:
+                first, *rest = (np.array([x], dtype=np.int64) for x in alone)
+                yield _found(first, ASK, *rest)
+            many[0] += count
+        yield _found(key[again], REPEAT, start[again], more[again], np.zeros(int(again.sum()), np.int64))
+        several = ~again & (many[group] > 1)
         yield _found(key[several], ASK, start[several], more[several], anchor[several])
+        last, count = (anchor[-1], span[-1]), min(int(many[-1]), 2)
+        own = np.flatnonzero(~again & (group == group[-1]))
+        if count == 1 and len(own):
+            alone = key[own[0]], start[own[0]], more[own[0]], anchor[own[0]]
+
+
+def passage_hashes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``length`` bytes at each position."""
+    view, one, two = eights(data), np.full(len(at), M1), np.full(len(at), M2)
+    for k in range(0, length, 8):
+        part = view[at + k] & LOW_BYTES[min(8, length - k)]
+        one, two = mixed(one ^ part), mixed(two + part * M1)
+    return one, two
 
 
-def _fetch(ranges: int, length: int):
-    bounds = _bounds(ranges)
+FETCHED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("more", pa.int64()), ("anchor", pa.int64()), ("bytes", pa.binary()), ("one", pa.int64()), ("two", pa.int64())])
+FETCHED_DDL = "kind int, key long, start long, more long, anchor long, bytes binary, one long, two long"
+
+
+def _rows(kind: int, key: np.ndarray, start: np.ndarray, more: np.ndarray, **others: pa.Array) -> pa.RecordBatch:
+    made = {"kind": np.full(len(key), kind), "key": key, "start": start, "more": more} | others
+    return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(len(key), f.type) for f in FETCHED], schema=FETCHED)
+
+
+def _fetch(length: int):
+    """The bytes of the cells asked for (ASK); of those with a hot anchor the passages with their hashes (SPREAD), without those that equal an earlier one of the same batch (REPEAT, in runs)."""
+
+    def spread(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, key: np.ndarray, start: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        many = more + 1
+        begin, key = ragged(start, many), np.repeat(key, many)
+        one, two = passage_hashes(data, begin + np.repeat(offsets[row], many), length)
+        order = np.lexsort((begin, key, two, one))
+        key, begin, one, two = (x[order] for x in (key, begin, one, two))
+        again = np.r_[False, (one[1:] == one[:-1]) & (two[1:] == two[:-1])]
+        yield _rows(SPREAD, key[~again], begin[~again], np.zeros(int((~again).sum()), np.int64), one=one[~again].view(np.int64), two=two[~again].view(np.int64))
+        if again.any():
+            order = np.lexsort((begin[again], key[again]))
+            key, begin = key[again][order], begin[again][order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (begin[1:] != begin[:-1] + 1)])
+            yield _rows(REPEAT, key[first], begin[first], begin[np.append(first[1:], len(begin)) - 1] - begin[first])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            raw = data.tobytes()
-            out: list[tuple] = []
-            for i, (key, asked) in enumerate(zip(batch.column("key").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
-                for x in asked:
-                    a = int(offsets[i]) + x["start"]
-                    out.append((int(np.searchsorted(bounds, np.uint64(x["anchor"] % (1 << 64)), side="right")), key, x["start"], x["more"], x["anchor"], raw[a : a + x["more"] + length]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["to", "key", "start", "more", "anchor", "bytes"])
+            asked = batch.column("asked")
+            row = np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy())
+            key, (start, more, anchor) = batch.column("key").to_numpy()[row], (asked.flatten().field(c).to_numpy() for c in ("start", "more", "anchor"))
+            hot = asked.flatten().field("hot").to_numpy(zero_copy_only=False)
+            raw, at = data.tobytes(), (offsets[row] + start)[~hot]
+            cells = [raw[a : a + n + length] for a, n in zip(at.tolist(), more[~hot].tolist(), strict=True)]
+            yield _rows(ASK, key[~hot], start[~hot], more[~hot], anchor=anchor[~hot], bytes=pa.array(cells, pa.binary()))
+            own = np.flatnonzero(hot)
+            for a in range(0, len(own), CELLS_AT_ONCE):
+                some = own[a : a + CELLS_AT_ONCE]
+                yield from spread(data, offsets, *(x[some] for x in (row, key, start, more)))
 
     return work
 
@@ -296,7 +333,7 @@ def _sorted_cells(length: int):
                         block.append(batch.slice(a, x - a))
                     yield passages(block)
                     block, size, a = [], 0, x
-                size += (y - x) * (length + 32)
+                size += int(batch.column("more").slice(x, y - x).to_numpy().sum()) + (y - x) * length
                 last = anchor[x]
             if a < batch.num_rows:
                 block.append(batch.slice(a))
@@ -348,12 +385,22 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     ranges = tasks(docs.sparkSession)
     rows = _keyed(docs)
-    dealt = rows.select("key", "text").mapInArrow(_deal(ranges, length), DEALT_DDL).repartitionById(ranges, F.col("to"))
-    judged = stored(dealt.mapInArrow(_judge, FOUND_DDL), "cells")
-    asked = judged.where(F.col("kind") == ASK).groupBy("key").agg(F.collect_list(F.struct("start", "more", "anchor")).alias("asked"))
-    fetched = rows.select("key", "text").join(asked, "key").mapInArrow(_fetch(ranges, length), "to int, key long, start long, more long, anchor long, bytes binary")
-    sorted_ = stored(fetched.repartitionById(ranges, F.col("to")).sortWithinPartitions("anchor").mapInArrow(_sorted_cells(length), FOUND_DDL), "sorted")
-    repeats = judged.where(F.col("kind") == REPEAT).unionByName(sorted_)
+    cells = stored(rows.select("key", "text").mapInArrow(_cells_of(length), CELLS_DDL), "cells")
+    dealt = cells.where("not again").drop("again").repartition(ranges, "anchor").sortWithinPartitions("anchor", "span", "key", "start")
+    judged = stored(dealt.mapInArrow(_judge, FOUND_DDL), "judged")
+    asks = judged.where(F.col("kind") == ASK).select("key", "start", "more", "anchor")
+    hot = small(asks.groupBy("anchor").count().where(F.col("count") > HOT_CELLS).select("anchor", F.lit(True).alias("hot")))
+    told = F.struct("start", "more", "anchor", F.col("hot").isNotNull().alias("hot"))
+    asked = asks.join(hot, "anchor", "left").groupBy("key").agg(F.collect_list(told).alias("asked"))
+    fetched = stored(rows.select("key", "text").join(asked, "key").mapInArrow(_fetch(length), FETCHED_DDL), "fetched")
+    release(docs.sparkSession)
+    of_kind = lambda df, kind: df.where(F.col("kind") == kind)
+    alone = of_kind(fetched, ASK).select("key", "start", "more", "anchor", "bytes").repartition(ranges, "anchor").sortWithinPartitions("anchor")
+    sorted_ = stored(alone.mapInArrow(_sorted_cells(length), FOUND_DDL), "sorted")
+    spread = of_kind(fetched, SPREAD).select("key", "start", "more", "one", "two")
+    firsts = spread.groupBy("one", "two").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    later = lookup(spread, stored(firsts, "firsts"), ["one", "two"], "times").where(F.struct("key", "start") != F.col("first"))
+    repeats = cells.where("again").unionByName(of_kind(judged, REPEAT), True).unionByName(of_kind(fetched, REPEAT), True).unionByName(sorted_, True).unionByName(later, True).select("key", "start", "more")
     found = repeats.groupBy("key").agg(F.collect_list(F.struct("start", "more")).alias("found"))
     joined = rows.join(found, "key", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_kept(length), "doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary")
