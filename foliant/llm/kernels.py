@@ -125,7 +125,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, width: int = 5) -> tuple[np.nd
     h = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         part = np.zeros(n, dtype=np.uint64)
-        part[: n - k] = words[k:] if k else words
+        part[: max(n - k, 0)] = words[k:]
         h = h * BASE + part
     h = mixed(h)
     first = np.repeat(rows[:-1] - out_rows[:-1], many) + np.arange(out_rows[-1])
