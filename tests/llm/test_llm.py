@@ -399,11 +399,13 @@ def render(roles, texts):
                     elif r not in chat.LEGAL[last]:
                         good = False
                     turns.append((r, t))
+                if not (good and turns) or gaps[-1]:
+                    continue
                 last = turns[-1][0]
                 for x in {"assistant": [], "user": ["assistant"], "system": ["user", "assistant"]}[last]:
                     turns.append((x, ""))
                     paid += chat.INSERT
-                if good and paid == cost and not gaps[-1]:
+                if paid == cost:
                     best.add("".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns))
     return best
 
