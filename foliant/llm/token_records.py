@@ -160,29 +160,64 @@ def write_records(docs: DataFrame, root: str, tokenizer: str, end: int = END, fi
     return stored(rows.mapInArrow(write, FILES), "token-files")
 
 
+def placed(files: DataFrame) -> DataFrame:
+    """files with start: the ids in all files before. Files are summed by part first, so that a part's files are numbered apart."""
+    parts = files.groupBy("part").agg(F.sum("ids").alias("in_part"))  # a row per task that wrote
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("in_part").over(earlier), F.lit(0))).drop("in_part")
+    within = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    return files.withColumn("within", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(parts, "part").withColumn("start", F.col("before") + F.col("within")).drop("before", "within")
+
+
+def _indexed(name: str) -> tuple[bytes, np.ndarray]:
+    """A data file's bytes, and the offset and length of each frame by its index; ValueError where the index doesn't cover the file."""
+    store, path = file_system(name)
+    with store.open_input_file(path) as f:
+        data = f.read()
+    with store.open_input_file(path.removesuffix(".rec") + ".idx") as f:
+        index = np.frombuffer(f.read(), "<u8").reshape(-1, 2)
+    ends = index.sum(axis=1)
+    if not np.array_equal(index[1:, 0], ends[:-1]) or (len(index) and (index[0, 0] != 0 or ends[-1] != len(data))) or (not len(index) and data):
+        raise ValueError(f"the index of {name} doesn't fit")
+    return data, index
+
+
 def read_records(files: DataFrame) -> DataFrame:
-    """Reads the data files back, with all checks: doc_id, start, n_tokens, ids_crc32. A damaged file fails the query."""
-    before = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)  # a row per file, not per document
-    placed = files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    """Reads the data files back by their indexes, with all checks: doc_id, start, n_tokens, ids_crc32. A damaged file fails the query."""
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                store, path = file_system(name)
-                with store.open_input_file(path) as f:
-                    data = f.read()
+                data, index = _indexed(name)
                 rows = []
-                for payload in frames(data):
-                    doc, ids = unpack_ids(payload)
+                for at in index[:, 0].tolist():
+                    doc, ids = unpack_ids(unframe(data, at)[0])
                     rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                 yield _table(rows, arrow)
 
-    dealt = placed.select("file", "start").repartition(max(1, tasks(files.sparkSession)), "file")
+    dealt = placed(files).select("file", "start").repartition(max(1, tasks(files.sparkSession)), "file")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def shuffled_records(files: DataFrame, seed: int) -> DataFrame:
+    """doc_id, ids of all records in an order by seed: files are dealt at random, and the records of each are drawn by its index in a permuted order. Reruns agree."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, part, k in zip(*(batch.column(c).to_pylist() for c in ("file", "part", "k")), strict=True):
+                data, index = _indexed(name)
+                order = np.random.default_rng([seed, part, k]).permutation(len(index))
+                rows = [unpack_ids(unframe(data, at)[0]) for at in index[order, 0].tolist()]
+                yield _table([(doc, ids.tolist()) for doc, ids in rows], arrow)
+
+    place = F.xxhash64(F.lit(seed), "part", "k")
+    dealt = files.select("file", "part", "k").repartition(max(1, tasks(files.sparkSession)), place).sortWithinPartitions(place)
+    return dealt.mapInArrow(read, "doc_id long, ids array<long>")
+
+
 def token_records(docs: DataFrame, tokenizer: str, root: str | None = None, end: int = END) -> DataFrame:
     """Writes docs to record files and reads them back: one row per row of docs, doc_id, start, n_tokens, ids_crc32."""
     return read_records(write_records(docs, root or scratch(docs.sparkSession, "tokens"), tokenizer, end))

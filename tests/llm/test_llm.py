@@ -282,7 +282,17 @@ def test_token_records(spark, tmp_path):
     want = sorted((r[0] or -1, *(lambda ids: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))(tok.encode(r[1] or "", add_special_tokens=False).ids + [1])) for r in rows)
     assert sorted((g[0] or -1, g[2], g[3]) for g in got) == want
     name = [r["file"] for r in files.collect() if r["records"] > 1][0]
-    assert len(records.read_record(name, 1)[1]) > 0
+    by_id = {(i or -1, len(x)): x for i, x in ((r[0], tok.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in rows)}
+    doc, ids = records.read_record(name, 1)
+    assert ids.tolist() == by_id[doc or -1, len(ids)]
+    one, two, other = ([(r["doc_id"] or -1, r["ids"]) for r in records.shuffled_records(files, k).collect()] for k in (1, 1, 2))
+    assert one == two != other and sorted(one) == sorted(other) and all(x == by_id[i, len(x)] for i, x in one) and len(one) == len(rows)
+    index = name.replace("file:", "").replace(".rec", ".idx")
+    whole = open(index, "rb").read()
+    open(index, "wb").write(whole[:-16])
+    with pytest.raises(Exception, match="doesn't fit"):
+        records.read_records(files).collect()
+    open(index, "wb").write(whole)
     with pytest.raises(ValueError):
         list(records.frames(records.frame(b"abc")[:-1] + b"!"))
     assert records.read_records(records.write_records(frame(spark, []), str(tmp_path / "e"), TOKENIZER)).count() == 0
