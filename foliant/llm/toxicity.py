@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from foliant.llm.decontaminate import APART
 from foliant.llm.kernels import column_bytes, pieces, word_hashes
+from foliant.llm.shared import stored
 
 #: Labelled rows that the classifier is fitted on at most (the least hashes of doc_id), and grades.
 SAMPLE, GRADES = 12_000, 3
 #: A word is a feature if labelled toxic texts have it more often than others by so many standard errors, and at least so many of them.
 SCORE, LEAST = 5.0, 4
+#: Features at most: the words of the highest scores.
+FEATURES = 4096
 #: Texts of this expected severity or more are rejected.
 REJECT = 0.5
 
@@ -43,32 +46,22 @@ class Ordinal:
         return np.bincount(pair // len(self.words), weights=np.log1p(count) * self.weights[pair % len(self.words)], minlength=rows)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grades: int = GRADES, steps: int = 400, rate: float = 0.1, decay: float = 1e-3) -> Ordinal:
-    """rows: word hashes and counts of each labelled text; toxic: 0 or 1.
+def fit(words: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grades: int = GRADES, steps: int = 400, rate: float = 0.1, decay: float = 1e-3) -> Ordinal:
+    """words: the sorted hashes of the features; rows: which of them each labelled text has, and how often; toxic: 0 or 1.
 
     Labels say toxic or not; the grade of a toxic text is 1 plus how many of the middle quantiles (of toxic texts) its count
-    of toxic words exceeds. Without toxic or without other texts nothing is a feature and every grade is 0.
+    of toxic words exceeds. Without features every grade is 0.
     """
-    sizes = np.array([len(r[0]) for r in rows], dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    hashes = np.concatenate([np.zeros(0, np.uint64), *(r[0] for r in rows)])
-    counts = np.concatenate([np.zeros(0), *(r[1] for r in rows)])
-    words, which = np.unique(hashes, return_inverse=True)
-    bad, good = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    with_bad = np.bincount(which, weights=toxic[row], minlength=len(words))
-    p, q = with_bad / bad, (np.bincount(which, minlength=len(words)) - with_bad) / good
-    both = (p * bad + q * good) / (bad + good)
-    z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / bad + 1 / good))
-    chosen = (z >= SCORE) & (with_bad >= LEAST)
-    if not toxic.any() or toxic.all() or not chosen.any():
+    if not len(words):
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, 60.0))
-    index = np.cumsum(chosen) - 1
-    some = chosen[which]
-    r, f, c = row[some], index[which[some]], counts[some]
+    sizes = np.array([len(r[0]) for r in rows], dtype=np.int64)
+    r = np.repeat(np.arange(len(rows)), sizes)
+    f = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in rows)])
+    c = np.concatenate([np.zeros(0), *(r[1] for r in rows)])
     hits = np.bincount(r, weights=c, minlength=len(rows))
     cuts = np.quantile(hits[toxic == 1], np.arange(1, grades - 1) / (grades - 1))
     y = np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
-    x, n = np.log1p(c), int(chosen.sum())
+    x, n = np.log1p(c), len(words)
     # thresholds are the first one and the logs of the steps between them, so they keep their order
     theta = np.concatenate([np.zeros(n), [1.0], np.zeros(grades - 2)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -89,7 +82,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, grades: in
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     thresholds = np.cumsum(np.concatenate([theta[n : n + 1], np.exp(theta[n + 1 :])]))
-    return Ordinal(words[chosen], theta[:n], thresholds)
+    return Ordinal(words, theta[:n], thresholds)
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -99,31 +92,68 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield a, b, hashes, rows
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """Fits on at most ``sample`` labelled rows; labels: doc_id, toxic (null: no label; of several labels the highest)."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """toxic, text: at most ``sample`` labelled texts, those with the least hashes of doc_id; of rows with one id the least text, of several labels the highest."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return stored(found.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), "labelled")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> Ordinal:
+    """Fits on at most ``sample`` labelled rows; labels: doc_id, toxic (null: no label).
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Words are counted and chosen by Spark; the driver gets the chosen ones (``most`` at most, by score) and, of each labelled text,
+    which of them it has.
+    """
+    texts = labelled(docs, labels, sample)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy()
+            for a, b, hashes, rows in _words(batch.column("text")):
+                row = np.repeat(np.arange(a, b), np.diff(rows))
+                order = np.lexsort((row, hashes))
+                word, row = hashes[order], row[order]
+                new = np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])] if len(word) else np.zeros(0, bool)
+                words, which = np.unique(word[new], return_inverse=True)
+                bad = np.bincount(which, weights=toxic[row[new]], minlength=len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(bad), pa.array(np.bincount(which, minlength=len(words)) - bad)], names=["word", "bad", "good"])
+
+    totals = dict(texts.groupBy("toxic").count().collect())
+    bad, good = totals.get(1, 0), totals.get(0, 0)
+    if not bad or not good:
+        return fit(np.zeros(0, np.uint64), [], np.zeros(0))
+    both = (F.col("bad") + F.col("good")) / (bad + good)
+    z = (F.col("bad") / bad - F.col("good") / good) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / bad + 1 / good))
+    words = texts.mapInArrow(counted, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    chosen = words.where((F.col("bad") >= LEAST) & (z >= SCORE)).orderBy(z.desc(), "word").limit(most).select("word").collect()
+    features = np.sort(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, out = batch.column("toxic").to_pylist(), []
             for a, b, hashes, rows in _words(batch.column("text")):
                 for i in range(a, b):
-                    words, counts = np.unique(hashes[rows[i - a] : rows[i - a + 1]], return_counts=True)
-                    out.append((toxic[i], words.tobytes(), counts.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["toxic", "words", "counts"])
+                    own = hashes[rows[i - a] : rows[i - a + 1]]
+                    at, counts = np.unique(np.searchsorted(features, own[np.isin(own, features)]), return_counts=True)
+                    out.append((toxic[i], at.astype("<i4").tobytes(), counts.astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["toxic", "at", "counts"])
 
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, words binary, counts binary").limit(2 * sample).collect()
-    return fit([(np.frombuffer(r[1], "<u8"), np.frombuffer(r[2], "<u4").astype(float)) for r in rows], np.array([r[0] for r in rows], dtype=np.int64))
+    if not len(features):
+        return fit(features, [], np.zeros(0))
+    rows = sorted(tuple(r) for r in texts.mapInArrow(held, "toxic int, at binary, counts binary").collect())  # an order that does not depend on the layout
+    return fit(features, [(np.frombuffer(r[1], "<i4").astype(np.int64), np.frombuffer(r[2], "<u4").astype(float)) for r in rows], np.array([r[0] for r in rows], dtype=np.int64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
     """The rows of docs with severity (expected grade, 0 to 2), grade (the likeliest) and rejected added.
 
-    docs: doc_id, text and any columns but those added. A null or blank text has no features, like a text without any
+    docs: doc_id, text and any other columns; those named like an added one give way to it. A null or blank text has no features, like a text without any
     toxic word. Repeated rows get the same result; an empty table gives no rows; without usable labels nothing is rejected.
     """
     model = train(docs, labels, sample)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("severity", "grade", "rejected")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
