@@ -32,7 +32,7 @@ LENGTH, GRAM, PERIOD = 100, 24, 32
 #: Text bytes whose equal cells are told apart in one go, and suffixes sorted as one bucket at most (more if they tie).
 CHUNK_BYTES, BUCKET = 2 << 20, 1 << 17
 #: Bytes of cells whose passages are sorted together (more if they share an anchor).
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: An anchor with more different cells than this is dealt by passages, those of so many cells in a batch.
 HOT_CELLS, CELLS_AT_ONCE = 1000, 4096
 #: Bits of a position in a piece; a longer text is cut into overlapping segments of SEGMENT passages.
@@ -58,8 +58,9 @@ INSIDE, SHIFT = difference_cover(PERIOD)
 
 
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The PERIOD bytes at each position, as rows of big-endian numbers."""
-    return np.ascontiguousarray(text[at[:, None] + np.arange(PERIOD)]).view(">u8")
+    """The PERIOD bytes at each position, as rows of numbers in the order of the bytes."""
+    view = eights(text)
+    return np.stack([view[at + k].byteswap() for k in range(0, PERIOD, 8)], axis=1)
 
 
 def _order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ def sort_suffixes(text: np.ndarray, n: int, at: np.ndarray, length: int, bucket:
     Equal suffixes (in that many bytes) are neighbours and in one bucket. text has 4 x length bytes more than n.
     """
     rank = sample_ranks(text, n, length)
-    lead = np.ascontiguousarray(text[at[:, None] + np.arange(8)]).view(">u8")[:, 0]
+    lead = eights(text)[at].byteswap()
     by_lead = np.argsort(lead, kind="stable")
     at, lead = at[by_lead], lead[by_lead]
     a = 0
