@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,12 @@ from foliant.llm.kernels import column_bytes, pieces, word_hashes
 from foliant.llm.shared import release, stored, tasks
 from foliant.llm.subwords import encoder
 
-#: Classes of ids: the most frequent ones, and one for the rest (the last); width of vectors; positions of a window, half of them context.
-CLASSES, WIDTH, WINDOW = 256, 32, 32
+#: Classes of ids: OWN for the most frequent ones, half of the others for ids that end a word and half for those that don't, by
+#: bands of frequency of equal mass; width of vectors; positions of a window, half of them context.
+CLASSES, OWN, WIDTH, WINDOW = 256, 128, 32, 32
 HALF = WINDOW // 2
 #: Training: windows of a piece of a text at most, rounds of averaging, pieces that are shuffled together, windows in a step, and its rate.
-PIECE, ROUNDS, BLOCK, STEP, RATE = 16, 3, 64, 64, 0.02
+PIECE, ROUNDS, BLOCK, STEP, RATE = 16, 3, 64, 64, 0.01
 #: Ids that one model is trained on in all rounds; the models of a round's shards are averaged.
 SHARD_IDS = 4_000_000
 #: Windows scored at once (their logits stay in a core's cache), text bytes encoded or counted together, rows at most, and texts of a chunk from which a word is dealt as a count.
@@ -29,38 +30,49 @@ SCORED, CHUNK_BYTES, CHUNK_ROWS, SHARED = 64, 8 << 20, 60_000, 32
 #: Logits under this need no shift before they are exponentiated.
 SAFE = 60
 SHAPES = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "mix_bias": (WIDTH,), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,)}
+SCALE = np.float32(1 / np.sqrt(WIDTH))
 CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(HALF, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 
 
 @dataclass
 class Model:
-    """One block: x = embed + place, h = x + attention(x), r = h + tanh(h mix), then class logits; ids within the rest by their counts."""
+    """One block: x = embed + place, h = x + attention(x), r = h + tanh(h mix), then class logits; ids within a class by their counts."""
 
     weights: dict[str, np.ndarray]
     classes: np.ndarray  # of each id
     within: np.ndarray  # log10 probability of each id within its class
     end: int  # the id before and after each text
+    spaces: dict[str, np.ndarray] = field(default_factory=dict)  # large arrays that each step fills anew
+
+    def space(self, name: str, rows: int, columns: int) -> np.ndarray:
+        if name not in self.spaces or len(self.spaces[name]) < rows:
+            self.spaces[name] = np.empty((rows, columns), np.float32)
+        return self.spaces[name][:rows]
 
     def logits(self, ids: np.ndarray, absent: np.ndarray) -> tuple:
         """ids: classes of windows; absent: how many positions at the front are no text. Of the latter half of positions."""
-        w, d = self.weights, np.float32(1 / np.sqrt(WIDTH))
-        x = w["embed"][ids] + w["place"]
-        q, k, v = x[:, HALF:] @ w["query"], x @ w["key"], x @ w["value"]
-        s = q @ k.transpose(0, 2, 1) * d + CAUSAL
-        s += np.where(np.arange(WINDOW) < absent[:, None], np.float32(-1e9), np.float32(0))[:, None, :]
-        a = np.exp(s - s.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
+        w = self.weights
+        x = w["embed"].take(ids, axis=0)
+        x += w["place"]
+        qkv = np.matmul(_rows(x), self.projections(), out=self.space("qkv", ids.size, 3 * WIDTH)).reshape(len(ids), WINDOW, 3 * WIDTH)
+        q, k, v = qkv[:, HALF:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+        a = _attention(q, k, absent)
         h = x[:, HALF:] + a @ v
-        z = np.tanh(h @ w["mix"] + w["mix_bias"])
+        z = np.tanh((_rows(h) @ w["mix"] + w["mix_bias"]).reshape(h.shape))
         r = h + z
-        return x, q, k, v, a, h, z, r, r @ w["out"] + w["out_bias"]
+        y = np.matmul(_rows(r), w["out"], out=self.space("logits", len(ids) * HALF, CLASSES))
+        y += w["out_bias"]
+        return x, q, k, v, a, h, z, r, y.reshape(*r.shape[:2], CLASSES)
+
+    def projections(self) -> np.ndarray:
+        return np.hstack([self.weights[c] for c in ("query", "key", "value")])
 
     def step(self, ids: np.ndarray, absent: np.ndarray, targets: np.ndarray, many: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss over the first ``many`` targets of each window, and its gradients."""
-        w, d = self.weights, np.float32(1 / np.sqrt(WIDTH))
-        x, q, k, v, a, h, z, r, y = self.logits(ids, absent)
-        p = _exp(y)
-        p /= p.sum(axis=2, keepdims=True)
+        w = self.weights
+        x, q, k, v, a, h, z, r, p = self.logits(ids, absent)
+        _exp(p)
+        p *= 1 / p.sum(axis=2, keepdims=True)
         there = np.arange(HALF) < many[:, None]
         n = there.sum()
         hit = np.take_along_axis(p, targets[:, :, None], 2)[:, :, 0]
@@ -68,25 +80,32 @@ class Model:
         np.put_along_axis(p, targets[:, :, None], (hit - 1)[:, :, None], 2)
         if not there.all():
             p[~there] = 0
-        dy = p / np.float32(n)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(r).T @ flat(dy), "out_bias": flat(dy).sum(axis=0)}
-        dr = dy @ w["out"].T
-        dz = dr * (1 - z * z)
-        g |= {"mix": flat(h).T @ flat(dz), "mix_bias": flat(dz).sum(axis=0)}
-        dh = dr + dz @ w["mix"].T
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * d
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"query": flat(x[:, HALF:]).T @ flat(dq), "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv)}
-        dx = dk @ w["key"].T + dv @ w["value"].T
-        dx[:, HALF:] += dh + dq @ w["query"].T
+        p *= np.float32(1 / n)
+        dy = _rows(p)
+        g = {"out": _rows(r).T @ dy, "out_bias": np.ones(len(dy), np.float32) @ dy}
+        dr = (dy @ w["out"].T).reshape(r.shape)
+        dz = z * z
+        np.subtract(1, dz, out=dz)
+        dz *= dr
+        g |= {"mix": _rows(h).T @ _rows(dz), "mix_bias": _rows(dz).sum(axis=0)}
+        dh = dr
+        dh += (_rows(dz) @ w["mix"].T).reshape(dz.shape)
+        dqkv = self.space("dqkv", ids.size, 3 * WIDTH).reshape(len(ids), WINDOW, 3 * WIDTH)
+        dqkv[:, :HALF, :WIDTH] = 0
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= (ds * a).sum(axis=2, keepdims=True)
+        ds *= a
+        ds *= SCALE
+        dqkv[:, HALF:, :WIDTH], dqkv[:, :, WIDTH : 2 * WIDTH], dqkv[:, :, 2 * WIDTH :] = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+        g |= dict(zip(("query", "key", "value"), np.hsplit(_rows(x).T @ _rows(dqkv), 3), strict=True))
+        dx = (_rows(dqkv) @ self.projections().T).reshape(x.shape)
+        dx[:, HALF:] += dh
         g["place"] = dx.sum(axis=0)
         order = np.argsort(ids, axis=None, kind="stable")
         sorted_ids = ids.ravel()[order]
         first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
         g["embed"] = np.zeros((CLASSES, WIDTH), np.float32)
-        g["embed"][sorted_ids[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
+        g["embed"][sorted_ids[first]] = np.add.reduceat(_rows(dx).take(order, axis=0), first, axis=0)
         return loss, g
 
     def score(self, ids: np.ndarray) -> float:
@@ -108,10 +127,11 @@ class Model:
         total = np.zeros(len(n))
         table = self.classes[padded]
         inner = self.within[padded]
-        w, d = self.weights, np.float32(1 / np.sqrt(WIDTH))
+        w = self.weights
         # vectors of a class and of a position are multiplied once, not in each window
         by_class, by_place = {k: w["embed"] @ w[k] for k in ("query", "key", "value")}, {k: w["place"] @ w[k] for k in ("query", "key", "value")}
-        space = np.empty((SCORED * HALF, CLASSES), np.float32)  # one buffer for all blocks
+        space, ones = np.empty((SCORED * HALF, CLASSES), np.float32), np.ones((SCORED * HALF, WIDTH + 1), np.float32)  # buffers for all blocks
+        out = np.vstack([w["out"], w["out_bias"]])
         for a in range(0, len(text), SCORED):
             t, s = text[a : a + SCORED], start[a : a + SCORED]
             at = shift[t][:, None] - 1 + s[:, None] + np.arange(-HALF, HALF)
@@ -119,16 +139,18 @@ class Model:
             there = (s[:, None] + np.arange(HALF)) < n[t][:, None]
             at = np.clip(at, 0, len(padded) - 1)
             own = table[at]
-            q, k, v = (by_class[m][own[:, b:]] + by_place[m][b:] for m, b in (("query", HALF), ("key", 0), ("value", 0)))
-            seen = q @ k.transpose(0, 2, 1) * d + CAUSAL
-            if absent.any():
-                seen += np.where(np.arange(WINDOW) < absent[:, None], np.float32(-1e9), np.float32(0))[:, None, :]
-            seen -= seen.max(axis=2, keepdims=True)
-            np.exp(seen, out=seen)
-            seen /= seen.sum(axis=2, keepdims=True)
-            h = (w["embed"][own[:, HALF:]] + w["place"][HALF:] + seen @ v).reshape(-1, WIDTH)
-            y = np.matmul(h + np.tanh(h @ w["mix"] + w["mix_bias"]), w["out"], out=space[: len(h)])
-            y += w["out_bias"]
+            q, k, v = (by_class[m].take(own[:, b:], axis=0) for m, b in (("query", HALF), ("key", 0), ("value", 0)))
+            q += by_place["query"][HALF:]
+            k += by_place["key"]
+            v += by_place["value"]
+            h = w["embed"].take(own[:, HALF:], axis=0)
+            h += w["place"][HALF:]
+            h += _attention(q, k, absent) @ v
+            h = _rows(h)
+            r = ones[: len(h)]
+            r[:, :WIDTH] = np.tanh(h @ w["mix"] + w["mix_bias"])
+            r[:, :WIDTH] += h
+            y = np.matmul(r, out, out=space[: len(h)])
             to = np.minimum(at[:, HALF:] + 1, len(padded) - 1)
             hit = y[np.arange(len(y)), table[to].ravel()]
             top = y.max(axis=1) if y.max() > SAFE else np.float32(0)
@@ -140,9 +162,28 @@ class Model:
         return total
 
 
-def _exp(y: np.ndarray) -> np.ndarray:
-    """Exponentials up to a factor of each row."""
-    return np.exp(y - y.max(axis=-1, keepdims=True)) if y.max() > SAFE else np.exp(y)
+def _rows(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
+
+
+def _exp(y: np.ndarray) -> None:
+    """Exponentials up to a factor of each row, in place."""
+    if y.max() > SAFE:
+        y -= y.max(axis=-1, keepdims=True)
+    np.exp(y, out=y)
+
+
+def _attention(q: np.ndarray, k: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """Weights of all positions before and at each of the latter half, of those that are text."""
+    a = q @ k.transpose(0, 2, 1)
+    a *= SCALE
+    a += CAUSAL
+    if absent.any():
+        a += np.where(np.arange(WINDOW) < absent[:, None], np.float32(-1e9), np.float32(0))[:, None, :]
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= 1 / a.sum(axis=2, keepdims=True)
+    return a
 
 
 def _first_weights(seed: int, bias: np.ndarray) -> dict[str, np.ndarray]:
@@ -252,14 +293,14 @@ def _blocks(kept: list[pa.RecordBatch], shard: int, least: int) -> Iterator[tupl
         kept.extend(rows.slice(at).to_batches())
 
 
-def train(texts: DataFrame, size: int, end: int, seed: int = 11, rounds: int = ROUNDS, shard_ids: int = SHARD_IDS) -> Model:
-    """texts: ids of the training texts (see encoded); size: of the vocabulary.
+def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds: int = ROUNDS, shard_ids: int = SHARD_IDS) -> Model:
+    """texts: ids of the training texts (see encoded); last: for each id of the vocabulary whether it ends a word.
 
     All ids of all texts and their ends are counted, and each is a target once. Pieces are dealt by their hashes to rounds and
     to shards, whose number follows the number of ids alone. In a round each shard trains on its pieces in order of their
     hashes, and their models are averaged; so the model doesn't depend on how rows lie or how many tasks there are.
     """
-    spark = texts.sparkSession
+    spark, size = texts.sparkSession, len(last)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
@@ -274,12 +315,14 @@ def train(texts: DataFrame, size: int, end: int, seed: int = 11, rounds: int = R
     shards = int(-(-(counts.sum() - size) // shard_ids)) or 1
     order = np.argsort(-counts, kind="stable")
     order = np.append(end, order[order != end])  # the end has a class of its own
-    classes = np.full(size, CLASSES - 1)
-    classes[order[: CLASSES - 1]] = np.arange(CLASSES - 1)
-    rest = order[CLASSES - 1 :]
-    within = np.zeros(size)
-    within[rest] = np.log10(counts[rest] / counts[rest].sum())
+    classes, bands = np.zeros(size, dtype=np.int64), (CLASSES - OWN) // 2
+    classes[order[:OWN]] = np.arange(OWN)
+    for kind, some in enumerate((order[OWN:][last[order[OWN:]]], order[OWN:][~last[order[OWN:]]])):
+        upto = np.cumsum(counts[some])
+        classes[some] = OWN + kind * bands + np.minimum(upto * bands // max(upto[-1] if len(upto) else 1, 1), bands - 1).astype(np.int64)
     mass = np.bincount(classes, weights=counts, minlength=CLASSES)
+    within = np.log10(counts / mass[classes])
+    mass = np.maximum(mass, 1)
     model = Model(_first_weights(seed, np.log(mass / mass.sum())), classes, within, end)
     dealt = training_pieces(texts, end).withColumns({"round": F.pmod("place", F.lit(rounds)), "shard": F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int")})
     for k in range(rounds):
@@ -491,7 +534,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, end: int = 49407, folds: int = 7,
     words = stored(answers.where(F.col("kind") != TOTALS).repartition(ranges, "chunk").mapInArrow(_sum, COUNTED), "words")
     release(spark)
     texts = stored(encoded(rows, tokenizer, end), "ids")
-    model = train(texts.where("not held_out"), encoder(tokenizer).size, end)
+    model = train(texts.where("not held_out"), encoder(tokenizer).last, end)
     scores = stored(scored(texts, model), "scores")
     ends = words.where("not held_out").count()
     distinct, tokens = sum(int(t[0]) for t in totals) + (ends > 0), sum(int(t[1]) for t in totals) + ends
