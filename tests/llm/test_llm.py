@@ -489,6 +489,24 @@ def test_lm_learns_ends_tails_and_short_texts(spark):
     assert (absent == HALF).sum() == len(texts)
 
 
+def test_lm_gradients():
+    """Gradients are those of the loss, by small changes of weights."""
+    rng = np.random.default_rng(6)
+    model = Model({k: v.astype(np.float32) for k, v in _first_weights(1, rng.normal(0, 1, CLASSES)).items()}, None, None, 0)
+    rows, absent, many = rng.integers(0, CLASSES, (8, WINDOW + 1)), np.array([HALF, 0, 3, 0, 0, 0, 0, 0]), np.array([HALF, 3, HALF, HALF, 1, HALF, HALF, HALF])
+    args = rows[:, :-1], absent, rows[:, HALF + 1 :], many
+    _, g = model.step(*args)
+    for name, weight in model.weights.items():
+        for at in rng.integers(0, weight.size, 6):
+            at = np.unravel_index(int(np.abs(g[name]).argmax()) if at % 2 else at, weight.shape)
+            had, losses = weight[at], []
+            for move in (0.02, -0.02):
+                weight[at] = had + move
+                losses.append(model.step(*args)[0])
+            weight[at] = had
+            assert abs((losses[0] - losses[1]) / 0.04 - g[name][at]) < 2e-3, (name, at)
+
+
 def test_lm_step_ignores_what_fills_a_window():
     model, rng = Model(_first_weights(1, np.zeros(CLASSES)), None, None, 0), np.random.default_rng(2)
     one = rng.integers(0, CLASSES, (3, WINDOW + 1))
@@ -515,11 +533,14 @@ def test_lm_scores_are_those_of_the_windows(spark):
         assert abs(total - score) < 1e-3 * max(1, abs(total))
 
 
+LAST = Encoder(TOKENIZER).last
+
+
 def test_lm_does_not_depend_on_the_layout(spark):
     docs = [words(300, k) for k in range(40)]
     texts = texts_of(spark, docs)
-    one = train(texts, 49408, 49407, shard_ids=4000)
-    two = train(texts.repartition(5), 49408, 49407, shard_ids=4000)
+    one = train(texts, LAST, 49407, shard_ids=4000)
+    two = train(texts.repartition(5), LAST, 49407, shard_ids=4000)
     assert all(np.array_equal(one.weights[k], two.weights[k]) for k in one.weights)
     got = {r["doc_id"]: r["score"] for r in scored(texts.repartition(3), one).collect()}
     assert all(abs(r["score"] - got[r["doc_id"]]) < 1e-6 * abs(r["score"]) for r in scored(texts, two).collect())
