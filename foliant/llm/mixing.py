@@ -31,6 +31,8 @@ PARTS = 1024
 GROUPS = 2048
 #: numpy draws without replacement from fewer things than this.
 URN = 1_000_000_000
+#: Plans of so many sources (some 200 bytes each) are broadcast; in longer ones only large sources are, and others are joined by a shuffle.
+FEW_SOURCES = 100_000
 #: Parts of a word that are summed where sources of single words share rounded draws.
 UNIT = 1 << 20
 
@@ -167,7 +169,12 @@ def _draws(sized: DataFrame, shards: int, seed: int, weights: tuple[float, ...]
     placed = placed.withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("at", name).join(small(offsets), ["at", "part"])
     placed = placed.withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "part", "order")
-    placed = lookup(placed, made.withColumn("at", name).drop("source"), ["at"], "docs").drop("at", "docs")
+    found = made.withColumn("at", name).drop("source")
+    if found.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        placed = placed.join(F.broadcast(found), "at")
+    else:
+        placed = lookup(stored(placed, "placed-rows"), found, ["at"], "docs")
+    placed = placed.drop("at", "docs")
     placed = placed.join(F.broadcast(ends.withColumnRenamed("draws", "group_draws")), "group", "left")
 
     def draw(block: Column, epoch: Column) -> Column:
