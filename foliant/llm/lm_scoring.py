@@ -19,7 +19,7 @@ from foliant.llm.subwords import encoder
 
 #: Classes of ids: OWN for the most frequent ones, half of the others for ids that end a word and half for those that don't, by
 #: bands of frequency of equal mass; width of vectors; positions of a window, half of them context.
-CLASSES, OWN, WIDTH, WINDOW = 256, 128, 32, 32
+CLASSES, OWN, WIDTH, WINDOW = 512, 256, 32, 32
 HALF = WINDOW // 2
 #: Training: windows of a piece of a text at most, rounds of averaging, pieces that are shuffled together, windows in a step, and its rate.
 PIECE, ROUNDS, BLOCK, STEP, RATE = 16, 3, 64, 64, 0.01

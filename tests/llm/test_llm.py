@@ -195,7 +195,9 @@ def test_targets_and_tree(spark):
     assert part.sum() == 2 * 10**9 and (part <= large).all() and (part >= 0).all()
 
 
-def test_mix(spark, tmp_path):
+@pytest.mark.parametrize("few", [100_000, 1])
+def test_mix(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr("foliant.llm.mixing.FEW_SOURCES", few)
     rows = [(k, words(20 + k % 50, 100 + k), f"s{k % 3}") for k in range(300)] + ROWS
     one, two = ([tuple(r) for r in mix(frame(spark, rows)).select("doc_id", "size", "source", "source_size", "target", taken(F.col("draws"))).collect()] for _ in range(2))
     assert sorted(one, key=str) == sorted(two, key=str) and len(one) == len(rows)
