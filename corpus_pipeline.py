@@ -17,28 +17,48 @@ from foliant.llm.toxicity import toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of an expected severity under the limit, by a classifier fitted on the labelled ones among them."""
+    """Documents of an expected severity under the limit, by a classifier fitted on the labelled ones among them.
+
+    All columns stay, whatever their names. Null and blank texts have no severity and stay, as all do without usable labels;
+    repeated rows share their fate; an empty table stays empty.
+    """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
     return toxicity(row, table(spark, sf_dir, "labels")).where("not rejected").select("row.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that with the smallest doc_id (null last), of rows with one id that with the least hash of its text.
+
+    Null and blank texts are linked with nothing and stay; rows that repeat id and text count once; all columns stay; an
+    empty table stays empty.
+    """
     return near_dedup(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item (three quarters of its shingles).
+
+    Null texts hold nothing and stay; items without words are in nothing; repeated rows share their fate; all columns stay; an
+    empty table on either side changes nothing.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix draws, as often as it does."""
+    """The documents that the mix draws, as often as it does (twice at most).
+
+    Documents without words, null ones too, stay once; null sources are one source; repeated rows are drawn apart; all
+    columns stay; an empty table stays empty. Reruns agree.
+    """
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as files of token ids, read back: doc_id, start, n_tokens, ids_crc32 of each document drawn."""
+    """The mix as files of token ids, read back: doc_id, start, n_tokens, ids_crc32 of each document drawn.
+
+    In ascending doc_id order, null last, rows of one id by a hash of their text. Null and empty texts have the end id alone;
+    other columns don't matter; an empty table gives no files and no rows.
+    """
     return token_records(docs, TOKENIZER)
 
 
