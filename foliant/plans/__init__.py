@@ -173,8 +173,9 @@ def header_segmentation(s, d):
     return segment.header_fold(heads.unionByName(body)).select(*IDS, "content")
 
 
-@query()
+@query(f"SELECT {KEY}, array_to_string(list_transform(string_split(content, chr(10)), lambda x: trim(x)), chr(10)) AS content FROM S")
 def trimmed_lines(s, d):
+    """No line of the corpus is noise; trim_phrases has those that are."""
     return sections(s, d).select(*IDS, F.array_join(segment.trim_lines(F.split(F.col("content"), "\n")), "\n").alias("content"))
 
 

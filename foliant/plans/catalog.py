@@ -9,6 +9,7 @@ from foliant.functions import text as T
 from foliant.operators import graph, layout, players, segment
 from foliant.plans import IDS, KEY, REFS, query
 from foliant.sources.corpus import MISSING, lines, sections, table
+from foliant.streaming import progress
 
 
 @query(f"SELECT {KEY} FROM S WHERE len({REFS}) = 0 AND contains(content, 'Your adventure ends')")
@@ -190,3 +191,28 @@ def word_lines(s, d):
     three = F.array(word(9.0, 0.0, F.lit("c")), word(1.0, 0.0, F.lit("a")), word(5.0, 2.0, F.concat(F.lit("b"), F.col("l_linenumber").cast("string"))))
     rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), "l_linenumber").distinct()
     return layout.group_lines(rows.select("page_id", F.inline(three)))
+
+
+@query("""SELECT page_id, k // 3 AS paragraph, string_agg('line ' || n, ' ' ORDER BY n) AS text FROM (SELECT page_id, n, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS k
+  FROM (SELECT DISTINCT l_orderkey AS page_id, l_linenumber AS n FROM lineitem)) GROUP BY page_id, k // 3""", books=False)
+def paragraph_cut(s, d):
+    """Lines of one height, after each third of them a gap of twice as much; found as paragraphs."""
+    page = Window.partitionBy("page_id").orderBy("n")
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("n")).distinct().withColumn("k", F.row_number().over(page) - 1)
+    top = 900.0 - F.col("k") * 12 - F.floor(F.col("k") / 3) * 20
+    placed = rows.select("page_id", "n", top.alias("top"), (top - 10).alias("bottom"), F.concat(F.lit("line "), F.col("n").cast("string")).alias("text"))
+    numbered = layout.paragraphs(placed)
+    return numbered.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("paragraph")) - 1).cast("long").alias("paragraph"), "text")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 3 AND 47", books=False)
+def body_blocks(s, d):
+    """Blocks between the bands of headers and footers."""
+    placed = table(s, d, "part").select("p_partkey", "p_name", (F.col("p_size") / 50).alias("top_fraction"))
+    return segment.inside_band(placed).select("p_partkey", "p_name")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL", books=False)
+def event_windows(s, d):
+    """The tumbling windows of the stream of events, over its table."""
+    return progress.windowed_counts(table(s, d, "events"))

@@ -244,3 +244,58 @@ def test_crops_are_png(spark):
     at = r["png"].index(b"IDAT")
     raw = np.frombuffer(zlib.decompress(r["png"][at + 4 : at + 4 + int.from_bytes(r["png"][at - 4 : at], "big")]), np.uint8).reshape(r["height"], r["width"] + 1)
     assert (raw[:, 0] == 0).all() and (raw[:, 1:] == page[r["top"] : r["top"] + r["height"], r["left"] : r["left"] + r["width"]]).all()
+
+
+def test_books_as_files(spark, tmp_path):
+    import json
+
+    from foliant.sources import files
+
+    (tmp_path / "in").mkdir()
+    for name, text in {"a.json": json.dumps({"title": "A", "introduction": "x", "sections": [{"number": 1, "content": "c", "image_path": None}]}), "b.json": "{no book", "a.cleaned.json": "{}", "c.txt": "{}"}.items():
+        (tmp_path / "in" / name).write_text(text)
+    books = files.read_books(spark, str(tmp_path / "in")).cache()
+    assert sorted((r["title"] or "", r["broken"] is None) for r in books.collect()) == [("", False), ("A", True)]
+    assert [tuple(r) for r in files.exploded(books).collect()] == [("A", 1, "c", None)]
+    files.write_books(books.where("broken IS NULL").select("title"), str(tmp_path / "out"), "one")
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    try:
+        files.write_books(books.select("title"), str(tmp_path / "out"), "one")
+        raise AssertionError("an earlier version was overwritten")
+    except Exception as error:
+        assert "exist" in str(error).lower()
+    (tmp_path / "m.json").write_text(json.dumps({"entries": [{"n": 1, "page": 2, "side": "L", "line": 3}, {"n": 2, "page": 2, "side": "R", "line": 9, "end": 11}]}))
+    assert [tuple(r) for r in files.read_manifest(spark, str(tmp_path / "m.json")).collect()] == [(1, 2, "L", 3, None), (2, 2, "R", 9, 11)]
+
+
+def test_streams_give_what_batches_give(spark, tmp_path):
+    from foliant.streaming import progress
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    progress.upsert_batches(stream, str(tmp_path / "kept"), str(tmp_path / "c1")).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "kept")).drop("batch")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, players.latest(events, ["user_id", "event_type"], ["ts", "value"]).collect()))
+    counts = progress.windowed_counts(stream, late="10000 days").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
+    counts.awaitTermination()
+    assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, progress.windowed_counts(events).collect()))
+    first = progress.unlocks(stream, late="10000 days").writeStream.format("memory").queryName("first").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
+    first.awaitTermination()
+    assert spark.table("first").count() == events.select("user_id", "event_type").distinct().count()
+
+
+def test_double_pages_vote(spark):
+    pages = [(1, k, 200, 100) for k in range(1, 6)] + [(1, k, 100, 100) for k in (6, 7, 8)] + [(2, 6, 116, 100), (2, 7, 100, 100), (2, 8, 115, 100)] + [(3, 1, 200, 100)] + [(4, 6, 100, 100)]
+    got = layout.is_double_page(spark.createDataFrame(pages, "book_id long, page int, width int, height int"))
+    assert dict(got.collect()) == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_manifest_leaves_out_pictures(spark):
+    """Halves without starts count by their wordy lines; an end on the page, an end that isn't there, and a start that isn't."""
+    words = "some longer words here"
+    lines = [(1, 1, "L", 0, words), (1, 1, "L", 1, "tail of the first one"), (1, 1, "R", 2, "a caption"), (1, 2, "L", 0, words)] + [(1, 3, "L", k, f"{words} {k}") for k in range(5)]
+    manifest = [(1, 1, 1, "L", 0, None), (1, 2, 2, "L", 0, None), (1, 3, 9, "L", 0, None), (1, 4, 3, "R", 1, 2), (1, 5, 3, "L", 4, 99)]
+    got = segment.apply_manifest(spark.createDataFrame(lines, "book_id long, page int, side string, n int, text string"), spark.createDataFrame(manifest, "book_id long, section_number int, page int, side string, line int, end int"))
+    want = {1: f"{words}\ntail of the first one", 2: "\n".join([words, *(f"{words} {k}" for k in range(5))]), 4: f"{words} 1\n{words} 2", 5: f"{words} 4"}
+    assert {r["section_number"]: r["content"] for r in got.collect()} == want
