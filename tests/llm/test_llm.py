@@ -17,7 +17,7 @@ from foliant.llm.exact_dedup import build_index, exact_dedup
 from foliant.llm.jaccard_join import jaccard_components, near_dedup
 from foliant.llm.kernels import PIECE as PIECE_BYTES
 from foliant.llm.kernels import column_bytes, word_hashes
-from foliant.llm.line_dedup import line_dedup
+from foliant.llm.line_dedup import line_dedup, spread_lines
 from foliant.llm.lm_scoring import CLASSES, HALF, PIECE, WINDOW, Model, _first_weights, encoded, lm_scores, piece_windows, scored, train, training_pieces
 from foliant.llm.mixing import mix, mixed_documents, source_plan, split_tree, taken, without_replacement, write_shards
 from foliant.llm.queries import TOKENIZER
@@ -158,6 +158,15 @@ def test_line_dedup(spark):
     assert got[9, 4]["clean_text"] == "\nb" and got[9, 4]["n_removed"] == 2
 
 
+def test_spread_is_right_by_sketch_alone(spark):
+    """Of 6,000 lines on 1 to 12 sites each, those on 5 or more; all but those on 5 by the sketch alone."""
+    seen = spark.range(6000).select("id", F.explode(F.sequence(F.lit(1), (F.col("id") % 12 + 1).cast("int"))).alias("site")).select(F.xxhash64("id").alias("key"), F.xxhash64("site", "id").alias("site"), "id")
+    want = {r[0] for r in seen.where("id % 12 >= 4").select("key").distinct().collect()}
+    for margin in (0.15, 0.0):
+        assert {r[0] for r in spread_lines(seen.select("key", "site"), margin=margin).collect()} == want
+    assert line_dedup(frame(spark, [])).count() == 0
+
+
 def targets(sizes, weights, share=1.5, limit=2.0):
     """By the words of the contract, one source after the other."""
     out, free = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
