@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from foliant.functions.text import classify, normalize
 
 # Word lists and patterns that results depend on.
-ITEM_WORDS = "potion sword dagger shield armour armor crossbow helmet helm staff ring amulet key scroll map compass skull idol gem jewel talisman spear axe mace cutlass pistol telescope lamp pouch gold silver crystal chalice goblet crown cape cloak mask lantern provisions treasure".split()
+ITEM_WORDS = ["potion", "sword", "dagger", "shield", "armour", "armor", "crossbow", "helmet", "helm", "staff", "ring", "amulet", "key", "scroll", "map", "compass", "skull", "idol", "gem", "jewel", "talisman", "spear", "axe", "mace", "cutlass", "pistol", "telescope", "lamp", "pouch", "gold", "silver", "crystal", "chalice", "goblet", "crown", "cape", "cloak", "mask", "lantern", "provisions", "treasure"]
 NO_ITEM = ["swordfish", "sword-billed", "dice", "soup", "bread", "corridor", "door", "tunnel", "chimney", "ship", "boat", "vessel", "crew", "slave", "slaves", "statue is", "the sea", "the sky", "gold pieces (each", "gold pieces each", "booty", "statue", "statues", "shrine", "treasure of", "treasures of"]
-BEFORE_ITEM = "its the a an his her your their this that these those some all any other more each no one two".split()
-AFTER_ITEM = "which that with and but from into onto towards against enables allows gives contains will you your if so then of in on for when while the it its a an".split()
+BEFORE_ITEM = ["its", "the", "a", "an", "his", "her", "your", "their", "this", "that", "these", "those", "some", "all", "any", "other", "more", "each", "no", "one", "two"]
+AFTER_ITEM = ["which", "that", "with", "and", "but", "from", "into", "onto", "towards", "against", "enables", "allows", "gives", "contains", "will", "you", "your", "if", "so", "then", "of", "in", "on", "for", "when", "while", "the", "it", "its", "a", "an"]
 ACQUIRED = ["you may take", "take its", "take the", "take a", "take an", "you take the", "you find the", "you find a", "you find an", "you find a small", "you obtain the", "you obtain a", "you receive the", "you receive a", "you gain the", "you gain a", "you discover the", "you discover a", "add the", "add a", "add to your", "give you a", "gives you a", "hand you a", "buy the", "buy a", "purchase the", "purchase a", "seize the", "capture the", "collect the", "collect a"]
 NAME = "[A-Z][A-Za-z'-]*"
 ACQUIRE = rf"(?i)\b(?:{'|'.join(ACQUIRED)})\s+({NAME}(?:\s+(?:of\s+{NAME}|{NAME}|a\s+{NAME}|the\s+{NAME})){{0,3}})"
@@ -68,7 +68,7 @@ def rules(text: Column) -> Column:
 
 def item_mentions(text: Column) -> Column:
     """Distinct clauses in which the reader finds something, three at most."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))), 1, 3)
+    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MENTION), F.lit(1)), normalize)), 1, 3)
 
 
 def combat_note(text: Column) -> Column:
@@ -138,7 +138,7 @@ def foes(text: Column, client: bool = False) -> Column:
     Rows of a box that hold their own stats are lines as well, so they count twice. The client's reading knows no crews,
     looks for a box's stats in its next lines, and calls a foe without a name "The Foe".
     """
-    fixed = F.regexp_replace(text, r"(SKILL|STAMINA|STRIKE|STRENGTH)S\b", "$1")
+    fixed = F.regexp_replace(text, "(SKILL|STAMINA|STRIKE|STRENGTH)S", "$1")
     trimmed = lambda x: normalize(x) if client else F.btrim(x, F.lit(" \t\r"))
     lines = F.filter(F.transform(F.split(fixed, "\n"), trimmed), lambda x: x != "")
     if client:
