@@ -17,26 +17,25 @@ from foliant.llm.kernels import column_bytes, pieces, word_hashes
 from foliant.llm.shared import release, stored, tasks
 from foliant.llm.subwords import encoder
 
-#: Classes of ids: OWN for the most frequent ones, half of the others for ids that end a word and half for those that don't, by
-#: bands of frequency of equal mass; width of vectors; positions of a window, half of them context.
-CLASSES, OWN, WIDTH, WINDOW = 512, 256, 32, 32
-HALF = WINDOW // 2
+#: Groups of classes of ids, and classes of a group; width of vectors; positions of a window, half of them context.
+GROUPS, MEMBERS, WIDTH, WINDOW = 32, 64, 32, 32
+CLASSES, HALF = GROUPS * MEMBERS, WINDOW // 2
 #: Training: windows of a piece of a text at most, rounds of averaging, pieces that are shuffled together, windows in a step, and its rate.
-PIECE, ROUNDS, BLOCK, STEP, RATE = 16, 3, 64, 64, 0.01
+PIECE, ROUNDS, BLOCK, STEP, RATE = 16, 3, 64, 128, 0.01
 #: Ids that one model is trained on in all rounds; the models of a round's shards are averaged.
 SHARD_IDS = 4_000_000
 #: Windows scored at once (their logits stay in a core's cache), text bytes encoded or counted together, rows at most, and texts of a chunk from which a word is dealt as a count.
-SCORED, CHUNK_BYTES, CHUNK_ROWS, SHARED = 64, 8 << 20, 60_000, 32
+SCORED, CHUNK_BYTES, CHUNK_ROWS, SHARED = 256, 8 << 20, 60_000, 32
 #: Logits under this need no shift before they are exponentiated.
 SAFE = 60
-SHAPES = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "mix_bias": (WIDTH,), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,)}
+SHAPES = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "mix_bias": (WIDTH,), "out": (WIDTH, GROUPS), "out_bias": (GROUPS,), "inner": (GROUPS, WIDTH, MEMBERS), "inner_bias": (GROUPS, MEMBERS)}
 SCALE = np.float32(1 / np.sqrt(WIDTH))
 CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(HALF, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 
 
 @dataclass
 class Model:
-    """One block: x = embed + place, h = x + attention(x), r = h + tanh(h mix), then class logits; ids within a class by their counts."""
+    """One block: x = embed + place, h = x + attention(x), r = h + tanh(h mix), then a group of classes, a class of the group, and an id of the class by its counts."""
 
     weights: dict[str, np.ndarray]
     classes: np.ndarray  # of each id
@@ -49,8 +48,8 @@ class Model:
             self.spaces[name] = np.empty((rows, columns), np.float32)
         return self.spaces[name][:rows]
 
-    def logits(self, ids: np.ndarray, absent: np.ndarray) -> tuple:
-        """ids: classes of windows; absent: how many positions at the front are no text. Of the latter half of positions."""
+    def hidden(self, ids: np.ndarray, absent: np.ndarray) -> tuple:
+        """ids: classes of windows; absent: how many positions at the front are no text. What is computed for the latter half of positions, r last."""
         w = self.weights
         x = w["embed"].take(ids, axis=0)
         x += w["place"]
@@ -59,10 +58,31 @@ class Model:
         a = _attention(q, k, absent)
         h = x[:, HALF:] + a @ v
         z = np.tanh((_rows(h) @ w["mix"] + w["mix_bias"]).reshape(h.shape))
-        r = h + z
-        y = np.matmul(_rows(r), w["out"], out=self.space("logits", len(ids) * HALF, CLASSES))
-        y += w["out_bias"]
-        return x, q, k, v, a, h, z, r, y.reshape(*r.shape[:2], CLASSES)
+        return x, q, k, v, a, h, z, h + z
+
+    def chances(self, r: np.ndarray, targets: np.ndarray) -> tuple:
+        """For rows r: probabilities of all groups, and, rows in order of their target's group, of all members of that; that order and where its groups begin."""
+        w = self.weights
+        outer = r @ w["out"]
+        outer += w["out_bias"]
+        _softmax(outer)
+        group = targets // MEMBERS
+        order = np.argsort(group, kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        ranked, inner = r.take(order, axis=0), self.space("inner", len(r), MEMBERS)
+        for g, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if a < b:
+                np.matmul(ranked[a:b], w["inner"][g], out=inner[a:b])
+                inner[a:b] += w["inner_bias"][g]
+        _softmax(inner)
+        return outer, inner, ranked, order, bounds
+
+    def log_chances(self, ids: np.ndarray, absent: np.ndarray) -> np.ndarray:
+        """Natural logs of the probabilities of all classes, at the latter half of positions."""
+        r = self.hidden(ids, absent)[-1].astype(float)
+        log = lambda y: y - np.log(np.exp(y).sum(axis=-1, keepdims=True))
+        outer, inner = log(r @ self.weights["out"] + self.weights["out_bias"]), log(np.einsum("nhw,gwm->nhgm", r, self.weights["inner"]) + self.weights["inner_bias"])
+        return (outer[..., None] + inner).reshape(*r.shape[:2], CLASSES)
 
     def projections(self) -> np.ndarray:
         return np.hstack([self.weights[c] for c in ("query", "key", "value")])
@@ -70,20 +90,29 @@ class Model:
     def step(self, ids: np.ndarray, absent: np.ndarray, targets: np.ndarray, many: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss over the first ``many`` targets of each window, and its gradients."""
         w = self.weights
-        x, q, k, v, a, h, z, r, p = self.logits(ids, absent)
-        _exp(p)
-        p *= 1 / p.sum(axis=2, keepdims=True)
-        there = np.arange(HALF) < many[:, None]
-        n = there.sum()
-        hit = np.take_along_axis(p, targets[:, :, None], 2)[:, :, 0]
-        loss = float(-np.log(hit[there] + 1e-12).mean())
-        np.put_along_axis(p, targets[:, :, None], (hit - 1)[:, :, None], 2)
-        if not there.all():
-            p[~there] = 0
-        p *= np.float32(1 / n)
-        dy = _rows(p)
-        g = {"out": _rows(r).T @ dy, "out_bias": np.ones(len(dy), np.float32) @ dy}
-        dr = (dy @ w["out"].T).reshape(r.shape)
+        x, q, k, v, a, h, z, r = self.hidden(ids, absent)
+        targets = targets.ravel()
+        there = (np.arange(HALF) < many[:, None]).ravel()
+        outer, inner, ranked, order, bounds = self.chances(_rows(r), targets)
+        rows, group, member = np.arange(len(targets)), targets // MEMBERS, targets[order] % MEMBERS
+        n, seen = there.sum(), there[order]
+        loss = float(-(np.log(outer[rows, group][there] + 1e-30).sum() + np.log(inner[rows, member][seen] + 1e-30).sum()) / n)
+        outer[rows, group] -= 1
+        inner[rows, member] -= 1
+        for d, some in ((outer, there), (inner, seen)):
+            if not some.all():
+                d[~some] = 0
+            d *= np.float32(1 / n)
+        g = {"out": _rows(r).T @ outer, "out_bias": outer.sum(axis=0), "inner": np.zeros(SHAPES["inner"], np.float32), "inner_bias": np.zeros(SHAPES["inner_bias"], np.float32)}
+        back = np.empty_like(ranked)
+        for c, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if i < j:
+                np.matmul(ranked[i:j].T, inner[i:j], out=g["inner"][c])
+                g["inner_bias"][c] = inner[i:j].sum(axis=0)
+                np.matmul(inner[i:j], w["inner"][c].T, out=back[i:j])
+        dr = outer @ w["out"].T
+        dr[order] += back
+        dr = dr.reshape(r.shape)
         dz = z * z
         np.subtract(1, dz, out=dz)
         dz *= dr
@@ -130,8 +159,6 @@ class Model:
         w = self.weights
         # vectors of a class and of a position are multiplied once, not in each window
         by_class, by_place = {k: w["embed"] @ w[k] for k in ("query", "key", "value")}, {k: w["place"] @ w[k] for k in ("query", "key", "value")}
-        space, ones = np.empty((SCORED * HALF, CLASSES), np.float32), np.ones((SCORED * HALF, WIDTH + 1), np.float32)  # buffers for all blocks
-        out = np.vstack([w["out"], w["out_bias"]])
         for a in range(0, len(text), SCORED):
             t, s = text[a : a + SCORED], start[a : a + SCORED]
             at = shift[t][:, None] - 1 + s[:, None] + np.arange(-HALF, HALF)
@@ -147,17 +174,15 @@ class Model:
             h += w["place"][HALF:]
             h += _attention(q, k, absent) @ v
             h = _rows(h)
-            r = ones[: len(h)]
-            r[:, :WIDTH] = np.tanh(h @ w["mix"] + w["mix_bias"])
-            r[:, :WIDTH] += h
-            y = np.matmul(r, out, out=space[: len(h)])
+            r = np.tanh(h @ w["mix"] + w["mix_bias"])
+            r += h
             to = np.minimum(at[:, HALF:] + 1, len(padded) - 1)
-            hit = y[np.arange(len(y)), table[to].ravel()]
-            top = y.max(axis=1) if y.max() > SAFE else np.float32(0)
-            if np.ndim(top):
-                y -= top[:, None]
-            np.exp(y, out=y)
-            log = (hit - top - np.log(y @ np.ones(CLASSES, np.float32))).reshape(to.shape) / np.log(10) + inner[to]
+            target = table[to].ravel()
+            outer, inner_p, _, order, _ = self.chances(r, target)
+            rows, log = np.arange(len(target)), np.empty(len(target), np.float64)
+            log[order] = np.log10(np.maximum(inner_p[rows, target[order] % MEMBERS], 1e-30))
+            log += np.log10(np.maximum(outer[rows, target // MEMBERS], 1e-30))
+            log = log.reshape(to.shape) + inner[to]
             total += np.bincount(t, weights=np.where(there, log, 0).sum(axis=1), minlength=len(n))
         return total
 
@@ -166,11 +191,12 @@ def _rows(x: np.ndarray) -> np.ndarray:
     return x.reshape(-1, x.shape[-1])
 
 
-def _exp(y: np.ndarray) -> None:
-    """Exponentials up to a factor of each row, in place."""
-    if y.max() > SAFE:
+def _softmax(y: np.ndarray) -> None:
+    """Rows of logits to probabilities, in place."""
+    if y.size and y.max() > SAFE:
         y -= y.max(axis=-1, keepdims=True)
     np.exp(y, out=y)
+    y *= 1 / (y @ np.ones(y.shape[-1], np.float32))[:, None]
 
 
 def _attention(q: np.ndarray, k: np.ndarray, absent: np.ndarray) -> np.ndarray:
@@ -186,10 +212,30 @@ def _attention(q: np.ndarray, k: np.ndarray, absent: np.ndarray) -> np.ndarray:
     return a
 
 
-def _first_weights(seed: int, bias: np.ndarray) -> dict[str, np.ndarray]:
+def _first_weights(seed: int, mass: np.ndarray) -> dict[str, np.ndarray]:
+    """mass: of each class; the first model knows how frequent groups and their classes are."""
     rng = np.random.default_rng(seed)
     out = {k: (rng.normal(0, 0.5 if k == "embed" else 0.2, s)).astype(np.float32) for k, s in SHAPES.items()}
-    return out | {"mix_bias": np.zeros(WIDTH, np.float32), "out_bias": bias.astype(np.float32)}
+    mass = np.maximum(mass, 0.5).reshape(GROUPS, MEMBERS)
+    groups = mass.sum(axis=1)
+    return out | {"mix_bias": np.zeros(WIDTH, np.float32), "out_bias": np.log(groups / groups.sum()).astype(np.float32), "inner_bias": np.log(mass / groups[:, None]).astype(np.float32)}
+
+
+def classes_of(counts: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The class of each id: half of the groups are of ids that end a word (last), half of others, by frequency.
+
+    Three quarters of the classes are of one id each, the most frequent ones; the rest of ids share the others by bands of equal mass.
+    """
+    classes, half = np.zeros(len(counts), dtype=np.int64), CLASSES // 2
+    alone = half * 3 // 4
+    for kind, ends in enumerate((True, False)):
+        some = np.flatnonzero(last == ends)
+        some = some[np.argsort(-counts[some], kind="stable")]
+        classes[some[:alone]] = kind * half + np.arange(len(some[:alone]))
+        rest, bands = some[alone:], half - alone
+        upto = np.cumsum(counts[rest])
+        classes[rest] = kind * half + alone + np.minimum(((upto - counts[rest] / 2) * bands / max(upto[-1] if len(upto) else 1, 1)).astype(np.int64), bands - 1)
+    return classes
 
 
 def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -200,7 +246,7 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, shape in SHAPES.items():
         n = int(np.prod(shape))
-        out[k] = flat[at : at + n].reshape(shape).astype(np.float32)
+        out[k] = flat[at : at + n].reshape(shape).astype(np.float32, copy=False)
         at += n
     return out
 
@@ -313,23 +359,16 @@ def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds:
     for r in texts.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row per id of the vocabulary
         counts[r[0]] += r[1]
     shards = int(-(-(counts.sum() - size) // shard_ids)) or 1
-    order = np.argsort(-counts, kind="stable")
-    order = np.append(end, order[order != end])  # the end has a class of its own
-    classes, bands = np.zeros(size, dtype=np.int64), (CLASSES - OWN) // 2
-    classes[order[:OWN]] = np.arange(OWN)
-    for kind, some in enumerate((order[OWN:][last[order[OWN:]]], order[OWN:][~last[order[OWN:]]])):
-        upto = np.cumsum(counts[some])
-        classes[some] = OWN + kind * bands + np.minimum(upto * bands // max(upto[-1] if len(upto) else 1, 1), bands - 1).astype(np.int64)
+    classes = classes_of(counts, last)
     mass = np.bincount(classes, weights=counts, minlength=CLASSES)
     within = np.log10(counts / mass[classes])
-    mass = np.maximum(mass, 1)
-    model = Model(_first_weights(seed, np.log(mass / mass.sum())), classes, within, end)
+    model = Model(_first_weights(seed, mass), classes, within, end)
     dealt = training_pieces(texts, end).withColumns({"round": F.pmod("place", F.lit(rounds)), "shard": F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int")})
     for k in range(rounds):
         flat = _flat(model.weights)
 
         def local(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, k: int = k) -> Iterator[pa.RecordBatch]:
-            shard, own, n, m, v = None, None, 0, 0.0, 0.0
+            shard, own, n, m, v = None, None, 0, None, None
 
             def done() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([_flat(own.weights).astype("<f4").tobytes()])], names=["shard", "n", "weights"])
@@ -338,7 +377,7 @@ def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds:
                 if of != shard:
                     if shard is not None:
                         yield done()
-                    shard, own, n, m, v = of, Model(_shaped(flat), classes, within, end), 0, 0.0, 0.0
+                    shard, own, n, m, v = of, Model(_shaped(flat.copy()), classes, within, end), 0, np.zeros_like(flat), np.zeros_like(flat)
                 rows, absent, many = piece_windows(ids, first, end)
                 order = np.random.default_rng([seed, k, shard, n]).permutation(len(rows))  # a step has windows of many texts
                 rows, absent, many = classes[rows[order]], absent[order], many[order]
@@ -346,10 +385,16 @@ def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds:
                     part = slice(a, a + STEP)
                     _, g = own.step(rows[part, :-1], absent[part], rows[part, HALF + 1 :], many[part])
                     n += 1
-                    grad = _flat(g)
-                    m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-                    move = RATE / 2**k * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-7)
-                    own.weights = _shaped(_flat(own.weights) - move)
+                    grad, now = _flat(g), _flat(own.weights)
+                    m *= 0.9
+                    m += 0.1 * grad
+                    v *= 0.99
+                    grad *= grad
+                    v += 0.01 * grad
+                    np.sqrt(v / (1 - 0.99**n), out=grad)
+                    grad += 1e-7
+                    now -= (RATE / 2**k / (1 - 0.9**n)) * m / grad
+                    own.weights = _shaped(now)
             if shard is not None:
                 yield done()
 
@@ -361,7 +406,7 @@ def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([least], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()])], names=["shard", "n", "weights"])
 
-        made = dealt.where(F.col("round") == k).repartition(min(shards, tasks(spark)), "shard").sortWithinPartitions("shard", "place").select("shard", "ids", "first")
+        made = dealt.where(F.col("round") == k).repartitionById(min(shards, tasks(spark)), F.col("shard")).sortWithinPartitions("shard", "place").select("shard", "ids", "first")
         made = made.mapInArrow(local, "shard int, n long, weights binary")
         # averages of averages, always in the order of shards: the driver gets 16 weight vectors at most
         ranges = made.repartition(16, F.expr(f"shard * 16L div {shards}")).sortWithinPartitions("shard")
