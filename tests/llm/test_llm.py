@@ -18,7 +18,7 @@ from foliant.llm.jaccard_join import jaccard_components, near_dedup
 from foliant.llm.kernels import PIECE as PIECE_BYTES
 from foliant.llm.kernels import column_bytes, word_hashes
 from foliant.llm.line_dedup import line_dedup, spread_lines
-from foliant.llm.lm_scoring import CLASSES, HALF, PIECE, WINDOW, Model, _first_weights, encoded, lm_scores, piece_windows, scored, train, training_pieces
+from foliant.llm.lm_scoring import CLASSES, HALF, PIECE, WINDOW, Model, _first_weights, classes_of, encoded, lm_scores, piece_windows, scored, train, training_pieces
 from foliant.llm.mixing import mix, mixed_documents, source_plan, split_tree, taken, without_replacement, write_shards
 from foliant.llm.queries import TOKENIZER
 from foliant.llm.subwords import Encoder
@@ -39,6 +39,7 @@ LONG = words(120, 1)
 ROWS = [(1, LONG, "a"), (2, LONG + " tail", "b"), (3, None, None), (4, "", "a"), (5, " \n ", "b"), (6, LONG.upper(), "c"), (7, words(90, 2), "a"), (7, words(90, 2), "a"), (None, words(40, 3), None), (8, words(3, 4), "a"), (9, words(3, 4), "d"), (10, words(3000, 6), "e"), (11, words(60, 7) + "\n" + LONG, "e")]
 
 
+LAST = Encoder(TOKENIZER).last
 THUE = "a"
 while len(THUE) < 4096:
     THUE += THUE.translate(str.maketrans("ab", "ba"))
@@ -500,10 +501,19 @@ def test_lm_learns_ends_tails_and_short_texts(spark):
     assert (absent == HALF).sum() == len(texts)
 
 
+def test_lm_classes():
+    """Each id has a class, ends of words and other ids never one, and the within-class chances of a class add up to one."""
+    counts = np.random.default_rng(3).zipf(1.3, len(LAST)) + 1.0
+    for some in (counts, np.ones(len(LAST))):
+        classes = classes_of(some, LAST)
+        assert classes.min() >= 0 and classes.max() < CLASSES and not set(classes[LAST]) & set(classes[~LAST])
+        assert (np.bincount(classes, minlength=CLASSES) == 1).sum() >= CLASSES * 3 // 4
+
+
 def test_lm_gradients():
     """Gradients are those of the loss, by small changes of weights."""
     rng = np.random.default_rng(6)
-    model = Model({k: v.astype(np.float32) for k, v in _first_weights(1, rng.normal(0, 1, CLASSES)).items()}, None, None, 0)
+    model = Model({k: v.astype(np.float32) for k, v in _first_weights(1, rng.integers(1, 900, CLASSES)).items()}, None, None, 0)
     rows, absent, many = rng.integers(0, CLASSES, (8, WINDOW + 1)), np.array([HALF, 0, 3, 0, 0, 0, 0, 0]), np.array([HALF, 3, HALF, HALF, 1, HALF, HALF, HALF])
     args = rows[:, :-1], absent, rows[:, HALF + 1 :], many
     _, g = model.step(*args)
@@ -528,25 +538,23 @@ def test_lm_step_ignores_what_fills_a_window():
 
 
 def test_lm_scores_are_those_of_the_windows(spark):
-    """What scores() adds up for whole texts is what logits() says of each window, one window at a time."""
+    """What scores() adds up for whole texts is what log_chances() says of each window, one window at a time; chances add up to one."""
     rng = np.random.default_rng(4)
     classes = rng.integers(0, CLASSES, 500)
-    model = Model(_first_weights(3, rng.normal(0, 1, CLASSES)), classes, rng.normal(-1, 1, 500), 7)
+    model = Model(_first_weights(3, rng.integers(1, 900, CLASSES)), classes, rng.normal(-1, 1, 500), 7)
     texts = [rng.integers(0, 500, n) for n in (0, 1, 15, 16, 17, 33, 200)]
     got = model.scores(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
     for ids, score in zip(texts, got, strict=True):
         line, total = [7] * (HALF + 1) + [*ids, 7], 0.0
         for k in range(0, len(ids) + 1, HALF):
             window = (line[k : k + WINDOW] + [7] * WINDOW)[:WINDOW]
-            y = model.logits(classes[[window]], np.array([max(0, HALF - k)]))[-1][0].astype(float)
+            y = model.log_chances(classes[[window]], np.array([max(0, HALF - k)]))[0]
+            assert np.allclose(np.exp(y).sum(axis=1), 1)
             for j, target in enumerate(line[k + HALF + 1 : k + WINDOW + 1]):
-                total += (y[j, classes[target]] - np.log(np.exp(y[j]).sum())) / np.log(10) + model.within[target]
+                total += y[j, classes[target]] / np.log(10) + model.within[target]
         assert abs(total - score) < 1e-3 * max(1, abs(total))
 
 
-LAST = Encoder(TOKENIZER).last
-
-
 def test_lm_does_not_depend_on_the_layout(spark):
     docs = [words(300, k) for k in range(40)]
     texts = texts_of(spark, docs)
