@@ -345,8 +345,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     classes = cut(full.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     comp = _components(nodes, percent, root)
     own = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = own.groupBy("comp").agg(F.min("first").alias("component_id"))
-    placed = cut(own.join(lowest, "comp").select("node", "node2", "n", "copies", "component_id"))
+    own = cut(own)
+    lowest = own.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    placed = cut(lookup(own, lowest, ["comp"], "nodes").select("node", "node2", "n", "copies", "component_id"))
     found = lookup(full, placed, ["node", "node2", "n"], "copies")
     blank = sets.where("n = 0").select("doc_id", "tie", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", "tie", F.col("n").alias("n_shingles"), "component_id").unionByName(blank)
