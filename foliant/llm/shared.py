@@ -16,7 +16,7 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if root is None:
         if sc.getCheckpointDir() is None:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
         root = sc.getCheckpointDir()
