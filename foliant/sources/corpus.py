@@ -23,7 +23,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if root is None and not sc.master.startswith("local["):
+        if root is None and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="foliant-"))
     return root or sc.getCheckpointDir()
@@ -35,11 +35,12 @@ _made: dict[tuple[str, str, str], str] = {}
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The corpus is made once for a session and folder, and kept as a table in the shared folder until the session ends."""
     key = spark.sparkContext.applicationId, sf_dir, name
-    if key not in _made:
-        path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = _made.get(key) or f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
         make().write.parquet(path)
+        store.deleteOnExit(place)
         _made[key] = path
     return spark.read.parquet(_made[key])
 
