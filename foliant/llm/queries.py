@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm.chat import format_chats
 from foliant.llm.decontaminate import find_leaks
+from foliant.llm.divergence import audit_sources
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.fill_middle import fill_in_middle, restored
 from foliant.llm.jaccard_join import jaccard_components
 from foliant.llm.line_dedup import line_dedup
 from foliant.llm.lm_scoring import lm_scores
@@ -18,6 +20,7 @@ from foliant.llm.mixing import mix, taken
 from foliant.llm.suffix_dedup import suffix_dedup
 from foliant.llm.token_records import token_records
 from foliant.llm.toxicity import toxicity
+from foliant.llm.url_filter import filter_urls
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,6 +75,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("clean_text").cast("long").alias("n_chars"), F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents")).withColumn("output", F.col("output").cast("string"))
+    digest = lambda text, name: F.sha2(text.cast("binary"), 256).alias(name)
+    again = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output"), "output_sha256"), digest(again, "restored_sha256"))
+
+
+#: host, path and verdict of the rules of op12_url_filter.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
@@ -83,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_url_filter": op12_url_filter,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -114,4 +139,63 @@ ORACLES: dict[str, str] = {
           length(clean) AS n_chars, md5(clean) AS clean_md5
         FROM d LEFT JOIN g ON d.r = g.r
     """,
+    "op11_fill_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+          FROM documents),
+        k AS (
+          SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+            CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+          FROM d),
+        c AS (
+          SELECT *, least(a, b) AS p, greatest(a, b) AS q, substring(text, 1, least(a, b)) AS prefix,
+            substring(text, least(a, b) + 1, abs(a - b)) AS middle, substring(text, greatest(a, b) + 1) AS suffix
+          FROM k)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+          sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+          sha256(text) AS restored_sha256
+        FROM c
+    """,
+    "op12_url_filter": r"""
+        WITH p AS (
+          SELECT row_number() OVER () AS r, page_id,
+            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+          FROM pages),
+        u AS (
+          SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) u(h, q, verdict)),
+        best AS (
+          SELECT r, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
+          FROM p JOIN u ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY r)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best ON p.r = best.r
+    """,
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        t AS (
+          SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+          FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+        c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (
+          SELECT g.lang, g.source, CAST(coalesce(sum(c), 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang, source FROM d) g
+          LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+        p AS (
+          SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + CAST(CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 5) // (n + 5 * v) AS BIGINT) AS p
+          FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+        q AS (
+          SELECT l.lang, l.term, 1 + CAST(CAST(1000000000 AS HUGEINT) * (l.c + 5) // (l.n + 5 * v) AS BIGINT) AS q
+          FROM (SELECT lang, term, c, sum(c) OVER (PARTITION BY lang) AS n FROM (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term)) l JOIN v ON l.lang = v.lang),
+        f AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS s FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x
+            ON a.lang = x.lang AND a.source = x.source AND b.source = x.item
+          UNION ALL
+          SELECT p.lang, source, 'term', p.term, p - q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM f)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+    """,
 }
