@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import classify, normalize
@@ -90,6 +90,16 @@ def items(prose: Column) -> Column:
     return let(rows, lambda a: first_by_name(F.concat(F.filter(a, lambda x: x["rarity"] == "legendary"), F.filter(a, lambda x: x["rarity"] != "legendary"))))
 
 
+def catalog(found: DataFrame) -> DataFrame:
+    """book_id, name, type, rarity, section_number: what sections (book_id, section_number, name, type, rarity) have, each name of a book once, whatever its case.
+
+    A legendary mention stays, else that of the earliest section, of one section the first name by letters; combined before the shuffle.
+    """
+    best = F.struct((F.col("rarity") != "legendary").alias("plain"), "section_number", "name", "type", "rarity")
+    held = found.groupBy("book_id", F.lower("name").alias("key")).agg(F.min(best).alias("b"))
+    return held.select("book_id", "b.name", "b.type", "b.rarity", "b.section_number")
+
+
 def spells(prose: Column) -> Column:
     """Array of (name, type) of spells named in a text of one line."""
     rows = F.transform(F.regexp_extract_all(prose, F.lit(SPELL), F.lit(1)), lambda x: F.struct(F.trim(x).alias("name"), F.lit("arcane").alias("type")))

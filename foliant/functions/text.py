@@ -159,6 +159,11 @@ def section_number(text: Column, most: int = 400) -> Column:
     return F.when(value.between(1, most), value)
 
 
+def image_path(slug: Column, page: Column) -> Column:
+    """Where the first image of a page is served."""
+    return F.concat(F.lit("/assets/game-art/"), slug, F.lit("/p"), page.cast("string"), F.lit("_i0.png"))
+
+
 def is_noise_line(line: Column) -> Column:
     """Short, without blanks but with a digit, a few capitals alone, or mostly other than letters (of any script)."""
     t = F.trim(line)

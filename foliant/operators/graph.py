@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import death, is_missing, references, victory
-from foliant.sources.corpus import shared_root
+from foliant.operators.folding import folded
 
 
 def edges(sections: DataFrame) -> DataFrame:
@@ -37,13 +37,32 @@ def orphan_links(sections: DataFrame) -> DataFrame:
 
 
 def depths(sections: DataFrame, entry: int = 1) -> DataFrame:
-    """book_id, section_number, depth: shortest distance from the entry, of all books at once, a level in each round."""
-    shared_root(sections.sparkSession)
-    links = edges(sections).where(F.col("dst").between(1, F.col("n_sections"))).select("book_id", "src", "dst").distinct().checkpoint()
-    front = sections.where(F.col("section_number") == entry).select("book_id", F.col("section_number").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
-    seen = front  # each level is written once
-    while not front.isEmpty():
-        step = front.withColumnRenamed("node", "src").join(links, ["book_id", "src"]).select("book_id", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = step.join(seen.select("book_id", "node"), ["book_id", "node"], "left_anti").checkpoint()
-        seen = seen.unionByName(front)
-    return seen.select("book_id", F.col("node").alias("section_number"), "depth")
+    """book_id, section_number, depth: shortest distance from the entry, a book at a time over its lists of targets.
+
+    One pass, however deep the books are: a book's lists are searched by one task, which many books share. A book without the entry
+    has no rows; a number that occurs twice leads where all its rows do.
+    """
+
+    def search(book: list[dict]) -> list[tuple]:
+        out: dict[int, list[int]] = {}
+        for r in book:
+            out.setdefault(r["section_number"], []).extend(r["targets"] or [])
+        found = {entry: 0} if entry in out else {}
+        front = list(found)
+        while front:
+            after = {dst for src in front for dst in out.get(src, ()) if dst not in found}
+            depth = found[front[0]] + 1
+            found.update(dict.fromkeys(after, depth))
+            front = list(after)
+        return list(found.items())
+
+    targets = F.filter(references(F.col("content")), lambda t: t.between(1, F.col("n_sections")))
+    rows = sections.select("book_id", F.col("section_number").cast("int").alias("section_number"), targets.alias("targets"))
+    return folded(rows, "book_id", "section_number", search, "section_number int, depth int")
+
+
+def max_depth(sections: DataFrame, entry: int = 1) -> DataFrame:
+    """book_id, max_depth: the largest depth of each book; 0 for one without the entry."""
+    every = sections.select("book_id").distinct()
+    deepest = depths(sections, entry).groupBy("book_id").agg(F.max("depth").alias("max_depth"))
+    return every.join(deepest, "book_id", "left").select("book_id", F.coalesce("max_depth", F.lit(0)).alias("max_depth"))

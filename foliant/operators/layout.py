@@ -7,39 +7,149 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators.folding import folded
+
+
+#: A page or scan wider than this times its height has two pages side by side: of words, of lines read for numbering.
+TWO_UP, TWO_UP_SCAN = 1.15, 1.05
+#: A line of nothing but a number: a page number or a section's header.
+NUMBER_ONLY = r"^\W*\d{1,4}\W*$"
+#: Number lines of a scan above and below these shares of the page are folios.
+TOP_EDGE, BOTTOM_EDGE = 0.04, 0.95
+
+
+def gutters(words: DataFrame) -> DataFrame:
+    """page_id, gutter: the middle of the widest gap between words in the middle third of a page (page_id, page_width, left, right), by a sweep from left to right.
+
+    A gap is free of all words of the page. Pages without one there have none.
+    """
+    sweep = Window.partitionBy("page_id").orderBy("left", "right").rowsBetween(Window.unboundedPreceding, -1)
+    reached = words.select("page_id", "page_width", "left", F.max("right").over(sweep).alias("reached"))
+    third = F.col("page_width") / 3
+    start, end = F.greatest("reached", third), F.least("left", third * 2)
+    gaps = reached.where("reached IS NOT NULL").select("page_id", (end - start).alias("gap"), ((start + end) / 2).alias("gutter")).where("gap > 0")
+    return gaps.groupBy("page_id").agg(F.max_by("gutter", F.struct("gap", -F.col("gutter"))).alias("gutter"))
+
+
+def page_columns(words: DataFrame, by_gap: bool = False, two_up: float = TWO_UP) -> DataFrame:
+    """words (page_id, page_width, page_height, left, right, ...) with logical_page: pages twice as wide are two, 2p - 1 and 2p.
+
+    A word belongs to the half it lies in whole; those across the middle are dropped. With ``by_gap`` the halves meet in the
+    page's gutter, if it has one, in place of its middle. Other pages keep words and number; words outside the page are dropped.
+    """
+    middle = F.col("page_width") / 2
+    rows = words
+    if by_gap:
+        rows = words.join(gutters(words.where(F.col("page_width") > F.col("page_height") * two_up)), "page_id", "left")
+        middle = F.coalesce("gutter", middle)
+    wide = F.col("page_width") > F.col("page_height") * two_up
+    inside = (F.col("left") >= 0) & (F.col("right") <= F.col("page_width"))
+    page = F.when(~wide, F.col("page_id")).when(F.col("right") <= middle, F.col("page_id") * 2 - 1).when(F.col("left") >= middle, F.col("page_id") * 2)
+    return rows.where(inside).withColumn("logical_page", page).where("logical_page IS NOT NULL").drop("gutter")
+
+
+def scan_blocks(lines: DataFrame, by_centre: bool = False, two_up: float = TWO_UP) -> DataFrame:
+    """page_id, logical_page, top_fraction, font_size, is_bold, text: the lines of a scan (page_id, page_width, page_height, left, right, top, text; top grows downwards) as blocks.
+
+    Blank lines go, and number lines at the very edges; sections' headers low on a page stay. With ``by_centre`` a wide page's lines
+    go to the half in which their centre is.
+    """
+    text = F.trim("text")
+    share = F.when(F.col("page_height") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("top") / F.col("page_height")))).otherwise(0.0)
+    centre = F.col("left") + F.floor((F.col("right") - F.col("left")) / 2)
+    wide = F.lit(by_centre) & (F.col("page_width") >= F.col("page_height") * two_up)
+    page = F.when(~wide, F.col("page_id")).when(centre < F.floor(F.col("page_width") / 2), F.col("page_id") * 2 - 1).otherwise(F.col("page_id") * 2)
+    blocks = lines.select("page_id", page.alias("logical_page"), share.alias("top_fraction"), F.lit(0.0).alias("font_size"), F.lit(False).alias("is_bold"), text.alias("text"))
+    folio = F.rlike("text", F.lit(NUMBER_ONLY)) & ((F.col("top_fraction") > BOTTOM_EDGE) | (F.col("top_fraction") < TOP_EDGE))
+    return blocks.where((F.col("text") != "") & ~folio)
+
+
+def column_centres(lines: DataFrame) -> DataFrame:
+    """page_id, split: where the starts of a page's lines (page_id, left) fall apart into two groups of the least spread (two means), found among all cuts of the sorted starts."""
+    order = Window.partitionBy("page_id").orderBy("left")
+    page = Window.partitionBy("page_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    cuts = lines.select("page_id", F.col("left").cast("double").alias("left"), F.lead("left").over(order).alias("after"), F.sum("left").over(upto).alias("a"), F.count(F.lit(1)).over(upto).alias("k"), F.sum("left").over(page).alias("whole"), F.count(F.lit(1)).over(page).alias("n"))
+    # the sum of squares is the same for each cut, so the least spread has the largest sum of squared means by size
+    worth = F.col("a") * F.col("a") / F.col("k") + (F.col("whole") - F.col("a")) * (F.col("whole") - F.col("a")) / (F.col("n") - F.col("k"))
+    return cuts.where("after > left").groupBy("page_id").agg(F.max_by((F.col("left") + F.col("after")) / 2, F.struct(worth, -F.col("left"))).alias("split"))
+
+
+def number_lines(lines: DataFrame, by_centres: bool = False, two_up: float = TWO_UP_SCAN) -> DataFrame:
+    """page_id, n, side, top, text: the lines of scans (page_id, page_width, page_height, left, top, seq, text) numbered from 0 within a page by side and top.
+
+    Sides: M for a page that isn't wide; else L and R by the half a line starts in, or ``by_centres`` by the page's own two
+    columns. top is a share of the page; seq is the order in which lines of one side and top were read. Blank lines go.
+    """
+    rows, middle = lines.where(F.trim("text") != ""), F.floor(F.col("page_width") / 2)
+    wide = F.col("page_width") >= F.col("page_height") * two_up
+    if by_centres:
+        rows = rows.join(column_centres(rows.where(wide)), "page_id", "left")
+        middle = F.coalesce("split", middle)
+    side = F.when(~wide, "M").when(F.col("left") < middle, "L").otherwise("R")
+    top = F.when(F.col("page_height") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("top") / F.col("page_height")))).otherwise(0.0)
+    placed = rows.select("page_id", side.alias("side"), top.alias("top"), "seq", F.trim("text").alias("text"))
+    order = Window.partitionBy("page_id").orderBy("side", "top", "seq", "text")
+    return placed.select("page_id", (F.row_number().over(order) - 1).alias("n"), "side", "top", "text")
+
 
 def group_lines(words: DataFrame) -> DataFrame:
-    """page_id, line, text: words (page_id, left, top, bottom, text) whose heights overlap a line's join the one with the nearest base."""
+    """page_id, line, text, top, bottom, font_total, n_words, is_bold: words (page_id, left, top, bottom, text and perhaps is_bold) as lines from the highest on.
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
+    From the lowest edge that is highest on, a word whose height touches a line's joins it, of several the one whose first word
+    stands nearest to its own lower edge. A page's words are folded by one task; many pages share a batch.
+    """
+    bold = F.col("is_bold") if "is_bold" in words.columns else F.lit(False)
+
+    def fold(page: list[dict]) -> list[tuple]:
         lines: list[dict] = []
-        for w in page.sort_values(["bottom", "left"], ascending=[False, True], kind="stable").itertuples():
-            near = [x for x in lines if w.bottom < x["top"] and w.top > x["bottom"]]
+        for w in sorted(page, key=lambda w: (-w["bottom"], w["left"])):
+            near = [x for x in lines if w["bottom"] <= x["top"] and w["top"] >= x["bottom"]]
             if near:
-                line = min(near, key=lambda x: abs(x["bottom"] - w.bottom))
-                line["top"], line["bottom"] = max(line["top"], w.top), min(line["bottom"], w.bottom)
+                line = min(near, key=lambda x: abs(x["base"] - w["bottom"]))
+                line["top"], line["bottom"] = max(line["top"], w["top"]), min(line["bottom"], w["bottom"])
             else:
-                line = {"top": w.top, "bottom": w.bottom, "words": []}
+                line = {"base": w["bottom"], "top": w["top"], "bottom": w["bottom"], "words": []}
                 lines.append(line)
-            line["words"].append((w.left, w.text))
-        rows = [(page.page_id.iloc[0], i, " ".join(t for _, t in sorted(x["words"], key=lambda v: v[0]))) for i, x in enumerate(lines)]
-        return pd.DataFrame(rows, columns=["page_id", "line", "text"])
+            line["words"].append(w)
+        out = []
+        for i, x in enumerate(lines):
+            own = sorted(x["words"], key=lambda w: w["left"])
+            out.append((i, " ".join(w["text"] or "" for w in own), x["top"], x["bottom"], sum(w["top"] - w["bottom"] for w in own), len(own), any(w["is_bold"] for w in own)))
+        return out
 
-    return words.groupBy("page_id").applyInPandas(fold, "page_id long, line int, text string")
+    rows = words.select("page_id", F.monotonically_increasing_id().alias("seq"), *(F.col(c).cast("double").alias(c) for c in ("left", "top", "bottom")), "text", F.coalesce(bold, F.lit(False)).alias("is_bold"))
+    return folded(rows, "page_id", "seq", fold, "line int, text string, top double, bottom double, font_total double, n_words int, is_bold boolean")
 
 
 def paragraphs(lines: DataFrame, factor: float = 1.4) -> DataFrame:
-    """page_id, paragraph, text: lines (page_id, n, top, bottom, text) cut where the gap exceeds factor x the mean line height, and around numbers."""
+    """page_id, paragraph, text, top_fraction, font_size, is_bold: lines (page_id, n, top, bottom, text) cut where the gap exceeds factor x the mean line height, and around numbers.
+
+    Lines of a paragraph are joined by line breaks; a hyphen at a line's end goes and the next line is glued to it, but for a number,
+    which is always a paragraph of its own. With font_total, n_words, is_bold and page_height of the lines (see group_lines) a
+    paragraph has its mean font size, whether a word is bold, and how far down it begins (else 0, false, 0). As words are
+    counted before a paragraph ends, those of a line that ends one count for it, not for the one that they begin.
+    """
+    given = lambda name, other: F.col(name) if name in lines.columns else F.lit(other)
     page = Window.partitionBy("page_id").orderBy("n")
+    number = F.coalesce(F.rlike(F.trim("text"), F.lit(NUMBER_ONLY)), F.lit(False))
+    rows = lines.select("page_id", "n", "top", "bottom", F.coalesce("text", F.lit("")).alias("text"), given("font_total", 0.0).alias("font_total"), given("n_words", 0).alias("n_words"), given("is_bold", False).alias("is_bold"), given("page_height", 0.0).alias("page_height"), number.alias("number"))
     height = F.avg(F.col("top") - F.col("bottom")).over(Window.partitionBy("page_id"))
-    number = F.rlike(F.trim("text"), F.lit(r"^\W*\d{1,4}\W*$"))
-    before = F.lag("text").over(page)
-    glued = F.rlike(before, F.lit("-$"))
-    wide = (F.lag("bottom").over(page) - F.col("top")) > height * factor
-    breaks = F.when(before.isNull(), 1).when(glued, 0).when(wide | number | F.lag(number).over(page), 1).otherwise(0)
-    cut = lines.withColumn("new", breaks).withColumn("paragraph", F.sum("new").over(page))
-    joined = cut.groupBy("page_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("l"))
-    return joined.select("page_id", "paragraph", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["text"]), " "), "- ", "").alias("text"))
+    before, after = (lambda c: F.lag(c).over(page)), (lambda c: F.lead(c).over(page))
+    first, behind_number = before("n").isNull(), F.coalesce(before("number"), F.lit(False))
+    rows = rows.withColumns({"wide": (before("bottom") - F.col("top")) > height * factor, "glued": ~first & ~F.col("number") & ~behind_number & F.coalesce(before("text").endswith("-"), F.lit(False)), "first": first, "behind": behind_number, "top_before": before("top")})
+    new = F.col("first") | F.col("number") | F.col("behind") | (F.col("wide") & ~F.col("glued"))
+    begins = F.when(F.col("behind") & ~F.col("number") & ~F.col("wide"), F.col("top_before")).otherwise(F.col("top"))
+    rows = rows.withColumns({"new": new, "begins": begins, "hyphen": F.coalesce(after("glued"), F.lit(False))}).withColumn("paragraph", F.sum(F.col("new").cast("int")).over(page))
+    counted = F.col("paragraph") - (F.col("new") & ~F.col("first") & ~F.col("behind")).cast("int")
+    fonts = rows.groupBy("page_id", counted.alias("paragraph")).agg(F.sum("font_total").alias("fonts"), F.sum("n_words").alias("words"), F.max("is_bold").alias("bold"))
+    piece = F.concat(F.when(F.col("glued"), "").otherwise("\n"), F.when(F.col("hyphen"), F.left("text", F.length("text") - 1)).otherwise(F.col("text")))
+    held = rows.groupBy("page_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("n", piece.alias("text")))).alias("l"), F.min_by("begins", "n").alias("begins"), F.first("page_height").alias("height"))
+    blank = " \t\n\r\f\x0b"
+    text = F.trim(F.array_join(F.transform("l", lambda x: x["text"]), ""), F.lit(blank))
+    down = F.when(F.col("height") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("begins") / F.col("height")))).otherwise(0.0)
+    out = held.join(fonts, ["page_id", "paragraph"], "left").select("page_id", "paragraph", text.alias("text"), down.alias("top_fraction"), F.when(F.col("words") > 0, F.col("fonts") / F.col("words")).otherwise(0.0).alias("font_size"), F.coalesce("bold", F.lit(False)).alias("is_bold"))
+    return out.where(F.col("text") != "")
 
 
 def is_double_page(pages: DataFrame) -> DataFrame:
@@ -162,7 +272,7 @@ def regions(mask, band: int = 8, least: float = 0.15, run: int = 96) -> list[tup
 
 
 def art_crops(pages: DataFrame, dark: int = 100, band: int = 8, least: float = 0.15, run: int = 96, find=regions) -> DataFrame:
-    """page_id, name, left, top, width, height, png: the regions of art of each page as grey PNG images, named p{page}.png or p{page}_{i}.png."""
+    """page_id, name, left, top, width, height, png: the regions of art of each page as grey PNG images, the first named p{page}.png, others p{page}_{i}.png."""
     import struct
     import zlib
 
@@ -181,7 +291,7 @@ def art_crops(pages: DataFrame, dark: int = 100, band: int = 8, least: float = 0
                 page = np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.height, r.width)
                 boxes = find(page < dark, band, least, run)
                 for i, (x, y, w, h) in enumerate(boxes):
-                    name = f"p{r.page_id}_{i}.png" if len(boxes) > 1 else f"p{r.page_id}.png"
+                    name = f"p{r.page_id}_{i}.png" if i else f"p{r.page_id}.png"
                     rows.append((r.page_id, name, x, y, w, h, png(page[y : y + h, x : x + w])))
             yield pd.DataFrame(rows, columns=["page_id", "name", "left", "top", "width", "height", "png"])
 

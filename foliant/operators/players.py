@@ -89,9 +89,13 @@ def medallions(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     return found.select("user_id", F.concat(F.lit("MEDALLION_"), code(F.trim("book_title"))).alias("code"), F.coalesce("medallion_title", F.concat(F.lit("Medallion of "), F.col("book_title"))).alias("title"))
 
 
-def rewritten(stored: DataFrame, titles: DataFrame, protected: list[str]) -> DataFrame:
-    """stored (name) without the files of the titles (title) that are written again: "title" and "title (*", whatever their case; protected titles stay."""
-    again = titles.where(~F.lower("title").isin([p.lower() for p in protected])).select(F.lower("title").alias("front")).distinct()
+def rewritten(stored: DataFrame, titles: DataFrame, protected: list[str] | DataFrame) -> DataFrame:
+    """stored (name) without the files of the titles (title) that are written again: "title" and "title (*", whatever their case; protected titles (a list, or a table of title) stay."""
+    fronts = titles.select(F.lower("title").alias("front")).distinct()
+    if isinstance(protected, DataFrame):
+        again = fronts.join(protected.select(F.lower("title").alias("front")), "front", "left_anti")
+    else:
+        again = fronts.where(~F.col("front").isin([p.lower() for p in protected]))
     parts = F.split(F.lower("name"), r" \(")
     fronts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), " ("))
     gone = stored.select("name", F.explode(fronts).alias("front")).join(again, "front", "left_semi").select("name").distinct()
@@ -106,6 +110,24 @@ def parser_for(title: Column, rules: list[tuple[str, str]], default: str) -> Col
     return out
 
 
+def excluded(title: Column, words: list[str]) -> Column:
+    """Whether a title holds one of the words, whatever their case; a null title holds none."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.coalesce(F.lower(title).contains(w.lower()), F.lit(False))
+    return out
+
+
+def saved_runs(books: DataFrame, runs: DataFrame) -> DataFrame:
+    """books (book_title, map_path, sheet_path) with the first saved run (book_title, run_id, current_section, is_complete) of each title, and the cover: the map, else the sheet.
+
+    Books without a run stay; of several runs of a title that with the least run_id counts.
+    """
+    rest = [c for c in runs.columns if c not in ("book_title", "run_id")]
+    first = runs.groupBy("book_title").agg(F.min_by(F.struct("run_id", *rest), "run_id").alias("run"))
+    return books.join(first, "book_title", "left").select("book_title", F.coalesce("map_path", "sheet_path").alias("cover"), "run.*")
+
+
 def session_states(moves: DataFrame) -> DataFrame:
     """user_id, current, history, moves: where each reader is, by their moves (user_id, ts, tie, section; a null section is a reset).
 
@@ -122,12 +144,14 @@ def session_states(moves: DataFrame) -> DataFrame:
 FIGHT = "struct<skill:int,stamina:int,luck:int,foe:int,wounds:int,rounds:int>"
 
 
-def fights(rows: DataFrame, rounds: int = 60) -> DataFrame:
+def fights(rows: DataFrame) -> DataFrame:
     """rows (id, skill, stamina, luck, foes: array of (skill, stamina, special)) with the state after the fight: left (skill, stamina, luck), foes slain, rounds, outcome.
 
     Each round both sides throw two dice and add their skill; the loser gets 2 wounds, equals miss. A foe's wounds last; the
     next one steps forward when it falls. A hit of a special foe throws a die: 1 or 2 wounds, 3 or 4 costs a point of
-    skill, else of luck. Dice follow from id and round. Outcome: won, lost, or open after ``rounds`` rounds.
+    skill, else of luck. Dice follow from id and round, and come again after six rounds. So a fight in which six rounds change
+    nothing never ends; each other six take a point off skill, stamina, luck or a foe. All are fought to their end by this bound. Outcome:
+    won, lost, or endless. A null or empty array of foes is won at once.
     """
     die = lambda i, k: (F.col("id") * 31 + i * 17 + k * 7) % 6 + 1
 
@@ -142,7 +166,9 @@ def fights(rows: DataFrame, rounds: int = 60) -> DataFrame:
         made = F.struct(less("skill", 1, 1), less("stamina", 0, 2), less("luck", 2, 1), F.when(slain, s["foe"] + 1).otherwise(s["foe"]).cast("int").alias("foe"), F.when(slain, 0).otherwise(wounds).cast("int").alias("wounds"), (s["rounds"] + 1).alias("rounds"))
         return F.when((s["stamina"] > 0) & foe.isNotNull(), made).otherwise(s)
 
+    points = F.aggregate("foes", F.col("skill") + F.col("stamina") + F.col("luck"), lambda n, f: n + F.greatest(f["stamina"], F.lit(0)))
+    rounds = (F.coalesce(points, F.lit(0)) * 6 + 6).cast("long")
     first = F.struct(*(F.col(c).cast("int").alias(c) for c in ("skill", "stamina", "luck")), F.lit(0).alias("foe"), F.lit(0).alias("wounds"), F.lit(0).alias("rounds"))
-    end = rows.withColumn("end", F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), first, step))
-    outcome = F.when(F.col("end.stamina") <= 0, "lost").when(F.col("end.foe") >= F.size("foes"), "won").otherwise("open")
+    end = rows.withColumn("end", F.aggregate(F.sequence(F.lit(0).cast("long"), rounds), first, step))
+    outcome = F.when(F.col("end.stamina") <= 0, "lost").when(F.col("end.foe") >= F.coalesce(F.size("foes"), F.lit(0)), "won").otherwise("endless")
     return end.select("id", F.col("end.skill").alias("skill"), F.col("end.stamina").alias("stamina"), F.col("end.luck").alias("luck"), F.col("end.foe").alias("slain"), F.col("end.rounds").alias("rounds"), outcome.alias("outcome"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.lore import is_junk_line, is_terminator
-from foliant.functions.text import DANGLING, TURN_TARGET, choices, is_noise_line, section_number
+from foliant.functions.text import DANGLING, TURN_TARGET, choices, image_path, is_noise_line, repair_turn_to, section_number
+from foliant.operators.folding import folded
 from foliant.sources.corpus import MISSING
 
 #: Blocks further up or down than this share of the page are headers or footers.
@@ -19,36 +17,28 @@ BAND = 0.05
 AHEAD, LARGER = 5, 1.25
 
 
-def by_book(rows: DataFrame, order: str, walk: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
-    """book_id and what walk makes of a book's rows, in order of ``order``. Many books share a batch, whose bytes Spark bounds."""
-    rest = [c for c in rows.columns if c not in ("book_id", order)]
-    books = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("rows"))
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(b.as_py(), *r) for b, own in zip(batch.column("book_id"), batch.column("rows"), strict=True) for r in walk(own.as_py())]
-            columns = list(zip(*found, strict=True)) or [()] * (len(names) + 1)
-            types = [pa.int64(), pa.int32(), *[pa.string()] * (len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["book_id", *names])
-
-    return books.mapInArrow(each, f"book_id long, {schema}")
-
-
 def inside_band(blocks: DataFrame, band: float = BAND) -> DataFrame:
     return blocks.where(F.col("top_fraction").between(band, 1 - band))
 
 
-def header_fold(blocks: DataFrame, most: int = 400) -> DataFrame:
+def page_number_filter(blocks: DataFrame, band: float = 0.9, most: int = 400) -> DataFrame:
+    """blocks (text, top_fraction) without the numbers below the band: they number pages, not sections."""
+    return blocks.where(~((F.col("top_fraction") > band) & section_number(F.col("text"), most).isNotNull()))
+
+
+def header_fold(blocks: DataFrame, most: int = 400, settings: DataFrame | None = None) -> DataFrame:
     """book_id, section_number, content, discarded: blocks (book_id, seq, page, text, font_size, is_bold) cut at section headers.
 
     A number is a header if it is in sequence, set larger or bold, or a plausible restart after a gap of pages; other
     numbers are text. The first section of a number stays, a later one is kept as discarded (the last one). A book's blocks
-    are folded by one task, in order of seq.
+    are folded by one task, in order of seq. settings (book_id, most, ahead, larger; a row for each book at most): a book's highest
+    number, how far ahead a header in sequence may be, and how much larger a visible one is; where null or absent, ``most``, AHEAD and LARGER.
     """
     import re
 
-    def fold(book: list[dict]) -> list[tuple]:
+    def fold(book: list[dict], own: dict | None = None) -> list[tuple]:
+        given = lambda name, other: other if own is None or own[name] is None else own[name]
+        highest, ahead, larger = given("most", most), given("ahead", AHEAD), given("larger", LARGER)
         sizes = [r["font_size"] if (r["font_size"] or 0) > 0 else 10.0 for r in book]
         mean = sum(sizes) / len(sizes)
         current, expected, last, last_page, buffer = 0, 1, 0, 1, []
@@ -63,9 +53,9 @@ def header_fold(blocks: DataFrame, most: int = 400) -> DataFrame:
             text = (r["text"] or "").strip()
             hit = re.fullmatch(r"\W*(\d{1,4})\W*", text)
             n = int(hit[1]) if hit else 0
-            if hit and 1 <= n <= most:
-                in_turn = expected - 1 <= n <= expected + AHEAD
-                visible = (r["font_size"] or 0) > LARGER * mean or bool(r["is_bold"])
+            if hit and 1 <= n <= highest:
+                in_turn = expected - 1 <= n <= expected + ahead
+                visible = (r["font_size"] or 0) > larger * mean or bool(r["is_bold"])
                 again = current > 0 and n > last and n - last <= max(16, (r["page"] - last_page + 1) * 12) and re.fullmatch(r"\d+\.?", text) is not None
                 if in_turn or visible or again:
                     flush()
@@ -77,7 +67,8 @@ def header_fold(blocks: DataFrame, most: int = 400) -> DataFrame:
         return [(n, done[n], dropped.get(n)) for n in sorted(done)]
 
     kept = blocks.select("book_id", "seq", "page", "text", "font_size", "is_bold")
-    return by_book(kept, "seq", fold, "section_number int, content string, discarded string")
+    own = None if settings is None else settings.select("book_id", "most", "ahead", "larger")
+    return folded(kept, "book_id", "seq", fold, "section_number int, content string, discarded string", own)
 
 
 def manifest_sections(lines: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -93,13 +84,17 @@ def manifest_sections(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     return text.select("book_id", "section_number", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("content"))
 
 
-def apply_manifest(lines: DataFrame, manifest: DataFrame) -> DataFrame:
+def apply_manifest(lines: DataFrame, manifest: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     """book_id, section_number, content, image_path: sections cut from lines (book_id, page, side, n, text; n counts a page's lines) by a manifest (book_id, section_number, page, side, line, end).
 
     Lines of a page half without a start count only if at least five of the half's lines have three words of four characters or
     more with a letter. A section goes from its line to its ``end`` on the same page (one line, if that is not there), else to
     the start of the next number, else to the end of the book; starts that are not there are left out. Contents are trimmed
     by trim_lines. A slice becomes an equi join by its line numbers.
+
+    settings (book_id, slug, most, repair_turns, patches: array of (section_number, find, put)): a book's name in the paths of images, its
+    highest section, whether garbled forms of "turn to" are repaired, and texts to be put in place of others, in order (the
+    whole content, where find is null). Books without settings have "book" and their id as slug.
     """
     words = F.filter(F.split("text", " "), lambda w: (F.length(w) >= 4) & F.rlike(w, F.lit(r"\p{L}")))
     wordy = lines.groupBy("book_id", "page", "side").agg(F.count_if(F.size(words) >= 3).alias("wordy"))
@@ -114,10 +109,22 @@ def apply_manifest(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     after = F.lead("at").over(Window.partitionBy("book_id").orderBy("section_number"))
     bounds = starts.withColumn("next", after).join(ends, ["book_id", "page", "end"], "left").join(total, "book_id")
     stop = F.when(F.col("end").isNotNull(), F.coalesce("end_at", "at") + 1).otherwise(F.coalesce("next", "total"))
-    spans = bounds.where(F.col("at").isNotNull()).select("book_id", "section_number", F.concat(F.lit("p"), F.col("page").cast("string")).alias("image_path"), F.when(stop > F.col("at"), F.sequence(F.col("at"), stop.cast("int") - 1)).alias("own"))
+    spans = bounds.where(F.col("at").isNotNull()).select("book_id", "section_number", "page", F.when(stop > F.col("at"), F.sequence(F.col("at"), stop.cast("int") - 1)).alias("own"))
     rows = spans.withColumn("at", F.explode_outer("own")).drop("own").join(placed.select("book_id", "at", "text"), ["book_id", "at"], "left")
-    held = rows.groupBy("book_id", "section_number", "image_path").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))).alias("l"))
-    return held.select("book_id", "section_number", F.array_join(trim_lines(F.transform("l", lambda x: x["text"])), "\n").alias("content"), "image_path")
+    held = rows.groupBy("book_id", "section_number", "page").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))).alias("l"))
+    cut = held.select("book_id", "section_number", "page", F.array_join(trim_lines(F.transform("l", lambda x: x["text"])), "\n").alias("content"))
+    default = F.concat(F.lit("book"), F.col("book_id").cast("string"))
+    if settings is None:
+        return cut.select("book_id", "section_number", "content", image_path(default, F.col("page")).alias("image_path"))
+    own = cut.join(settings.select("book_id", "slug", "most", "repair_turns", "patches"), "book_id", "left").where(F.col("most").isNull() | F.col("section_number").between(1, F.col("most")))
+    content = F.when(F.coalesce("repair_turns", F.lit(False)), repair_turn_to(F.col("content"))).otherwise(F.col("content"))
+    return own.withColumn("content", content).select("book_id", "section_number", patched_content(F.col("content"), F.col("section_number"), F.col("patches")).alias("content"), image_path(F.coalesce("slug", default), F.col("page")).alias("image_path"))
+
+
+def patched_content(content: Column, number: Column, patches: Column) -> Column:
+    """content after the patches (array of (section_number, find, put)) for its section, or for all sections where theirs is null."""
+    own = F.filter(patches, lambda p: F.coalesce(p["section_number"] == number, F.lit(True)))
+    return F.coalesce(F.aggregate(own, content, lambda text, p: F.when(p["find"].isNull(), p["put"]).otherwise(F.replace(text, p["find"], p["put"]))), content)
 
 
 def introduction(blocks: DataFrame, page_number_band: float = 0.9, most: int = 400) -> DataFrame:
@@ -177,12 +184,12 @@ def missing_numbers(sections: DataFrame, most: DataFrame) -> DataFrame:
     return every.join(sections.select("book_id", "section_number"), ["book_id", "section_number"], "left_anti")
 
 
-def book_quality(sections: DataFrame, most: int = 400, introductions: DataFrame | None = None) -> DataFrame:
+def book_quality(sections: DataFrame, most: int = 400, introductions: DataFrame | None = None, least_top: int = 200, least_present: int = 100, lengths: tuple[int, int] = (300, 2500), most_astray: int = 5) -> DataFrame:
     """book_id, present, top, total_chars, mean_chars, combat, needs_attention: a row per book, also for those of placeholders alone.
 
-    needs_attention: the highest number is under 200, under 100 sections have text, their mean length is not 300..2500, a
-    choice leads out of 1..``most``, over 5 choices lead to placeholders, or the book has no introduction (book_id,
-    introduction; not tested where none are given). Choices are counted one by one; top and sums
+    needs_attention: the highest number is under ``least_top``, fewer sections than ``least_present`` have text, their mean length is
+    not within ``lengths``, a choice leads out of 1..``most``, over ``most_astray`` choices lead to placeholders, or the book has no
+    introduction (book_id, introduction; not tested where none are given). Choices are counted one by one; top and sums
     are of sections with text, the highest number is of all.
     """
     real = F.col("content") != MISSING
@@ -195,7 +202,7 @@ def book_quality(sections: DataFrame, most: int = 400, introductions: DataFrame
     books = sections.groupBy("book_id").agg(
         F.count(size).alias("present"), F.max(F.when(real, F.col("section_number"))).alias("top"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_chars"), mean.alias("mean_chars"),
         F.count_if(real & F.col("content").contains("SKILL")).alias("combat"), F.max("section_number").alias("highest"), F.sum(outside).alias("outside"))
-    bad = (F.col("highest") < 200) | (F.col("present") < 100) | (F.col("outside") > 0) | (F.coalesce("astray", F.lit(0)) > 5) | F.coalesce(~F.col("mean_chars").between(300, 2500), F.lit(False))
+    bad = (F.col("highest") < least_top) | (F.col("present") < least_present) | (F.col("outside") > 0) | (F.coalesce("astray", F.lit(0)) > most_astray) | F.coalesce(~F.col("mean_chars").between(*lengths), F.lit(False))
     books = books.join(led, "book_id", "left")
     if introductions is not None:
         books = books.join(introductions, "book_id", "left")
@@ -252,13 +259,13 @@ def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:
             found = split(parts[n], n + 1) if n in have and n + 1 not in have else None
             if found:
                 for k, own in zip((n, n + 1), found, strict=True):
-                    parts[k], have[k] = own, "\n".join(x["line"] for x in own)
+                    parts[k], have[k] = own, "\n\n".join(x["line"] for x in own)
         return [(n, have[n]) for n in sorted(have)]
 
     lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     flagged = F.transform(lines, lambda x: F.struct(x.alias("line"), is_junk_line(x).alias("junk"), is_terminator(x).alias("ends")))
     rows = sections.drop("n_sections").join(most, "book_id").select("book_id", "section_number", "content", flagged.alias("parts"), "n_sections")
-    return by_book(rows, "section_number", walk, "section_number int, content string")
+    return folded(rows, "book_id", "section_number", walk, "section_number int, content string")
 
 
 def choose_passes(candidates: DataFrame, primary: int = 250, enough: int = 400) -> DataFrame:
@@ -281,17 +288,18 @@ def choose_passes(candidates: DataFrame, primary: int = 250, enough: int = 400)
 
 
 def with_junk(sections: DataFrame) -> DataFrame:
-    """sections with junk: for each non-blank trimmed line of content whether it is a junk line."""
-    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return sections.withColumn("junk", F.transform(lines, is_junk_line))
+    """sections with junk and spare_junk: for each non-blank trimmed line of content and of discarded whether it is a junk line."""
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return sections.withColumns({name: F.transform(lines(c), is_junk_line) for name, c in (("junk", "content"), ("spare_junk", "discarded")) if c in sections.columns})
 
 
 def rebalance_shifted(sections: DataFrame, most: int = 400) -> DataFrame:
-    """Sections (book_id, section_number, content, junk, discarded) where a misread header moved a text up by one number.
+    """Sections (book_id, section_number, content, discarded, junk, spare_junk) where a misread header moved a text up by one number.
 
-    junk: for each non-blank trimmed line of content whether it is a junk line. If n is degraded (under 250 characters or
+    junk, spare_junk: see with_junk. If n is degraded (under 250 characters or
     junk in front), n + 1 is absent and n + 2 has an inner line that is n + 1, the text before that line goes to n and the
-    text after it to n + 1; n + 2 keeps the text that was discarded for it, if plausible, else the placeholder. A book
+    text after it to n + 1; n + 2 keeps the text that was discarded for it, if plausible, else the placeholder; a text put
+    back can be split again in its turn. A book
     (at most ``most`` sections) is walked by one task, as each step sees the ones before it.
     """
 
@@ -311,13 +319,11 @@ def rebalance_shifted(sections: DataFrame, most: int = 400) -> DataFrame:
         return [x.strip() for x in text.split("\n") if x.strip()]
 
     def walk(book: list[dict]) -> list[tuple]:
-        text, junk, spare = ({r["section_number"]: r[c] for r in book} for c in ("content", "junk", "discarded"))
+        text, junk, spare, spare_junk = ({r["section_number"]: r[c] for r in book} for c in ("content", "junk", "discarded", "spare_junk"))
         for n in range(1, min(most, max(text)) - 1):
             if text.get(n, MISSING) == MISSING or n + 1 in text or text.get(n + 2, MISSING) == MISSING:
                 continue
             parts, flags, own = lines_of(text[n + 2]), list(junk[n + 2]), junk[n]
-            if len(flags) != len(parts):
-                continue  # a restored text, whose flags are unknown
             at = next((i for i in range(1, len(parts) - 1) if parts[i] in (f"{n + 1}", f"{n + 1}.")), None)
             if at is None or not (len(text[n]) < 250 or len(own) == 0 or own[0]):
                 continue
@@ -326,9 +332,9 @@ def rebalance_shifted(sections: DataFrame, most: int = 400) -> DataFrame:
                 text[n], text[n + 1] = "\n\n".join(before), "\n\n".join(after)
                 junk[n], junk[n + 1] = [False] * len(before), [False] * len(after)
                 back = spare.get(n + 2)
-                text[n + 2] = back if back and plausible(lines_of(back)) else MISSING
-                junk[n + 2] = []
+                usable = back and plausible(lines_of(back))
+                text[n + 2], junk[n + 2] = (back, spare_junk[n + 2]) if usable else (MISSING, [])
         return [(n, text[n]) for n in sorted(text)]
 
-    rows = sections.select("book_id", "section_number", "content", "junk", "discarded")
-    return by_book(rows, "section_number", walk, "section_number int, content string")
+    rows = sections.select("book_id", "section_number", "content", "junk", "discarded", "spare_junk")
+    return folded(rows, "book_id", "section_number", walk, "section_number int, content string")

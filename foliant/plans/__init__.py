@@ -123,10 +123,12 @@ ORACLES["graph_unreachable"] = f"{REACH} SELECT book_id, section_number FROM S W
 
 @query()
 def graph_max_depth(s, d):
-    return graph.depths(sections(s, d)).groupBy("book_id").agg(F.max("depth").alias("max_depth"))
+    """Of all books; each seventh has no first section, so nothing is reached there."""
+    return graph.max_depth(sections(s, d).where("book_id % 7 <> 0 OR section_number <> 1"))
 
 
-ORACLES["graph_max_depth"] = f"{REACH} SELECT book_id, max(depth) AS max_depth FROM (SELECT book_id, node, min(depth) AS depth FROM R GROUP BY ALL) GROUP BY ALL"
+ORACLES["graph_max_depth"] = f"""{REACH}, M AS (SELECT book_id, max(depth) AS m FROM (SELECT book_id, node, min(depth) AS depth FROM R GROUP BY ALL) GROUP BY ALL)
+  SELECT book_id, CASE WHEN book_id % 7 = 0 THEN 0 ELSE coalesce(m, 0) END AS max_depth FROM (SELECT DISTINCT book_id FROM S WHERE book_id % 7 <> 0 OR section_number <> 1) LEFT JOIN M USING (book_id)"""
 
 
 def _real(s, d):
@@ -179,10 +181,12 @@ def trimmed_lines(s, d):
     return sections(s, d).select(*IDS, F.array_join(segment.trim_lines(F.split(F.col("content"), "\n")), "\n").alias("content"))
 
 
-@query(f"""SELECT book_id, count(*) AS present, max(section_number) AS top, CAST(sum(length(content)) AS BIGINT) AS total_chars, CAST(floor(avg(length(content))) AS BIGINT) AS mean_chars,
-  count(*) FILTER (contains(content, 'SKILL')) AS combat, max(section_number) < 200 OR avg(length(content)) NOT BETWEEN 300 AND 2500 AS needs_attention FROM S WHERE content <> '{MISSING}' GROUP BY ALL""")
+@query(rf""", Z AS (SELECT DISTINCT book_id FROM (SELECT book_id, unnest(regexp_extract_all(content, '(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{{1,4}})[.!]?\s*$', 2)) AS t FROM S) WHERE CAST(t AS INT) = 0)
+  SELECT book_id, count(*) AS present, max(section_number) AS top, CAST(sum(length(content)) AS BIGINT) AS total_chars, CAST(floor(avg(length(content))) AS BIGINT) AS mean_chars,
+  count(*) FILTER (contains(content, 'SKILL')) AS combat, max(section_number) < 8 OR count(*) < 7 OR CAST(floor(avg(length(content))) AS BIGINT) NOT BETWEEN 110 AND 160 OR bool_or(book_id IN (SELECT book_id FROM Z)) AS needs_attention FROM S WHERE content <> '{MISSING}' GROUP BY ALL""")
 def book_quality(s, d):
-    return segment.book_quality(sections(s, d))
+    """Limits by which some books pass: the corpus's books are short. A choice of 0 leads nowhere; book_gate has all checks."""
+    return segment.book_quality(sections(s, d), 10_000, least_top=8, least_present=7, lengths=(110, 160), most_astray=10_000)
 
 
 @query(rf"SELECT {KEY}, regexp_replace(replace(content, 'turn to', 'tum to'), '(?i)\b(?:tum to|turnto)\s+(\d{{1,3}})', 'turn to \1', 'g') AS content FROM S")
@@ -261,8 +265,8 @@ def ink_runs(s, d):
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents)
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(t) <= 6 OR (NOT contains(t, ' ') AND regexp_matches(t, '[0-9]')) OR (length(t) <= 12 AND regexp_matches(t, '^[A-Z]+$'))
-    OR length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) < length(t) * 0.4) AS n_noise FROM t GROUP BY ALL""", books=False)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(t) <= 6 OR (NOT contains(t, ' ') AND regexp_matches(t, '\p{Nd}')) OR (length(t) <= 12 AND regexp_matches(t, '^\p{Lu}+$'))
+    OR length(regexp_replace(t, '\P{L}', '', 'g')) < length(t) * 0.4) AS n_noise FROM t GROUP BY ALL""", books=False)
 def document_line_stats(s, d):
     rows = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("t"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(T.is_noise_line(F.col("t"))).alias("n_noise"))
@@ -293,4 +297,5 @@ def cascade_delete(s, d):
     return left.agg(F.count(F.lit(1)).alias("n_orders"), F.count_distinct("user_id").alias("n_books"))
 
 
-from foliant.plans import catalog, lore, variants  # noqa: E402, F401  register their queries here
+from foliant.plans import catalog, lore, pages, variants  # noqa: E402, F401  register their queries here
+from foliant.plans import streams  # noqa: E402, F401, I001  uses the SQL of the others

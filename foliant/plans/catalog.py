@@ -42,7 +42,7 @@ def _pages(s, d):
     count(*) FILTER (k = 0 AND section_number % 5 <> 0) AS entries FROM P GROUP BY ALL),
   Q AS (SELECT P.*, row_number() OVER (PARTITION BY book_id ORDER BY page, n) - 1 AS pos FROM P JOIN H USING (book_id, page, side) WHERE entries > 0 OR wordy >= 5),
   E AS (SELECT book_id, section_number, page, pos, CASE WHEN section_number = 4 THEN pos + 1 ELSE coalesce(lead(pos) OVER (PARTITION BY book_id ORDER BY section_number), 1000000) END AS stop FROM Q WHERE k = 0 AND section_number % 5 <> 0)
-  SELECT E.book_id, E.section_number, string_agg(trim(Q.text), chr(10) ORDER BY Q.pos) AS content, 'p' || E.page AS image_path FROM E JOIN Q ON E.book_id = Q.book_id AND Q.pos >= E.pos AND Q.pos < E.stop GROUP BY ALL""")
+  SELECT E.book_id, E.section_number, string_agg(trim(Q.text), chr(10) ORDER BY Q.pos) AS content, '/assets/game-art/book' || E.book_id || '/p' || E.page || '_i0.png' AS image_path FROM E JOIN Q ON E.book_id = Q.book_id AND Q.pos >= E.pos AND Q.pos < E.stop GROUP BY ALL""")
 def page_manifest(s, d):
     return segment.apply_manifest(*_pages(s, d))
 
@@ -61,11 +61,21 @@ def introductions(s, d):
     return segment.introduction(rows.unionByName(folios)).where("introduction <> ''")
 
 
-@query(f"""SELECT book_id, count(*) FILTER (content <> '{MISSING}') AS present, max(section_number) < 200 OR count(*) FILTER (content <> '{MISSING}') < 100 OR book_id % 2 = 0 AS needs_attention FROM S GROUP BY book_id""")
+CHOICE = r"(?im)^([^\n]+?)\bturn\s+to\s+(?:the\s+)?(\d{1,4})[.!]?\s*$"
+
+
+@query(rf""", C AS (SELECT book_id, CAST(unnest(regexp_extract_all(content, '{CHOICE}', 2)) AS INT) AS target FROM S),
+  O AS (SELECT book_id, count(*) AS n FROM C WHERE target NOT BETWEEN 1 AND 14 GROUP BY ALL),
+  A AS (SELECT book_id, count(*) AS n FROM C WHERE (book_id, target) IN (SELECT book_id, section_number FROM S WHERE content = '{MISSING}') GROUP BY ALL),
+  I AS (SELECT book_id, string_agg(text, '' ORDER BY n) AS t FROM L WHERE section_number = 1 AND contains(text, 'corridor') GROUP BY ALL),
+  B AS (SELECT book_id, count(*) FILTER (content <> '{MISSING}') AS present, max(section_number) AS top, CAST(floor(avg(length(content)) FILTER (content <> '{MISSING}')) AS BIGINT) AS mean FROM S GROUP BY book_id)
+  SELECT book_id, present, top < 6 OR present < 5 OR coalesce(O.n, 0) > 0 OR coalesce(A.n, 0) > 0 OR coalesce(mean NOT BETWEEN 90 AND 190, false) OR t IS NULL AS needs_attention
+  FROM B LEFT JOIN O USING (book_id) LEFT JOIN A USING (book_id) LEFT JOIN I USING (book_id)""")
 def book_gate(s, d):
-    """The checks of books of which half have no introduction."""
-    intro = sections(s, d).select("book_id").distinct().where("book_id % 2 = 1").select("book_id", F.lit("Welcome.").alias("introduction"))
-    return segment.book_quality(sections(s, d), introductions=intro).select("book_id", "present", "needs_attention")
+    """All six checks, with limits by which each decides for some books; an introduction is what section 1 says of corridors."""
+    said = lines(s, d).where((F.col("section_number") == 1) & F.col("text").contains("corridor")).groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "").alias("introduction"))
+    gate = segment.book_quality(sections(s, d), 14, said, least_top=6, least_present=5, lengths=(90, 190), most_astray=0)
+    return gate.select("book_id", "present", "needs_attention")
 
 
 @query(f"SELECT {KEY}, content FROM S WHERE section_number = 2 AND book_id % 10 = 1")
@@ -154,17 +164,17 @@ def session_states(s, d):
     return states.select("user_id", "current", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"), "moves")
 
 
-@query("""WITH RECURSIVE f AS (SELECT s_suppkey AS id, CAST(0 AS BIGINT) AS i, CAST(s_suppkey % 5 + 7 AS INT) AS skill, CAST(s_suppkey % 9 + 6 AS INT) AS stamina, CAST(s_suppkey % 4 + 6 AS INT) AS luck, 0 AS foe, 0 AS wounds,
+@query("""WITH RECURSIVE f AS (SELECT s_suppkey AS id, CAST(0 AS BIGINT) AS i, 6 * (s_suppkey % 5 + 7 + s_suppkey % 9 + 6 + s_suppkey % 4 + 6 + s_suppkey % 5 + 4 + s_suppkey % 4 + 3) + 6 AS most, CAST(s_suppkey % 5 + 7 AS INT) AS skill, CAST(s_suppkey % 9 + 6 AS INT) AS stamina, CAST(s_suppkey % 4 + 6 AS INT) AS luck, 0 AS foe, 0 AS wounds,
     [CAST(s_suppkey % 6 + 6 AS INT), CAST(s_suppkey % 3 + 7 AS INT)] AS fs, [CAST(s_suppkey % 5 + 4 AS INT), CAST(s_suppkey % 4 + 3 AS INT)] AS fw, s_suppkey % 2 = 0 AS special FROM supplier
-  UNION ALL SELECT id, i + 1,
+  UNION ALL SELECT id, i + 1, most,
     CASE WHEN own < other AND sp AND d4 BETWEEN 3 AND 4 THEN greatest(0, skill - 1) ELSE skill END,
     CASE WHEN own < other AND NOT (sp AND d4 > 2) THEN greatest(0, stamina - 2) ELSE stamina END,
     CASE WHEN own < other AND sp AND d4 > 4 THEN greatest(0, luck - 1) ELSE luck END,
     CASE WHEN wounds + CASE WHEN own > other THEN 2 ELSE 0 END >= fw[foe + 1] THEN foe + 1 ELSE foe END,
     CASE WHEN wounds + CASE WHEN own > other THEN 2 ELSE 0 END >= fw[foe + 1] THEN 0 ELSE wounds + CASE WHEN own > other THEN 2 ELSE 0 END END, fs, fw, special
   FROM (SELECT *, special AND foe = 0 AS sp, (id * 31 + i * 17 + 28) % 6 + 1 AS d4, (id * 31 + i * 17) % 6 + 1 + (id * 31 + i * 17 + 7) % 6 + 1 + skill AS own,
-    (id * 31 + i * 17 + 14) % 6 + 1 + (id * 31 + i * 17 + 21) % 6 + 1 + fs[foe + 1] AS other FROM f WHERE i < 60 AND stamina > 0 AND foe < 2))
-  SELECT id, skill, stamina, luck, foe AS slain, i AS rounds, CASE WHEN stamina <= 0 THEN 'lost' WHEN foe >= 2 THEN 'won' ELSE 'open' END AS outcome
+    (id * 31 + i * 17 + 14) % 6 + 1 + (id * 31 + i * 17 + 21) % 6 + 1 + fs[foe + 1] AS other FROM f WHERE i <= most AND stamina > 0 AND foe < 2))
+  SELECT id, skill, stamina, luck, foe AS slain, i AS rounds, CASE WHEN stamina <= 0 THEN 'lost' WHEN foe >= 2 THEN 'won' ELSE 'endless' END AS outcome
   FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1""", books=False)
 def fights(s, d):
     """Whole fights against two foes, of which the first may be special."""
@@ -190,19 +200,26 @@ def word_lines(s, d):
     word = lambda left, low, text: F.struct(F.lit(left).alias("left"), (base - low + 10).alias("top"), (base - low).alias("bottom"), text.alias("text"))
     three = F.array(word(9.0, 0.0, F.lit("c")), word(1.0, 0.0, F.lit("a")), word(5.0, 2.0, F.concat(F.lit("b"), F.col("l_linenumber").cast("string"))))
     rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), "l_linenumber").distinct()
-    return layout.group_lines(rows.select("page_id", F.inline(three)))
+    return layout.group_lines(rows.select("page_id", F.inline(three))).select("page_id", "line", "text")
 
 
-@query("""SELECT page_id, k // 3 AS paragraph, string_agg('line ' || n, ' ' ORDER BY n) AS text FROM (SELECT page_id, n, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS k
-  FROM (SELECT DISTINCT l_orderkey AS page_id, l_linenumber AS n FROM lineitem)) GROUP BY page_id, k // 3""", books=False)
+@query("""WITH D AS (SELECT page_id, n, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS k FROM (SELECT DISTINCT l_orderkey AS page_id, l_linenumber AS n FROM lineitem)),
+  T AS (SELECT *, 900.0 - k * 12 - k // 3 * 20 AS tp, k > 0 AND k % 3 = 0 AS wide, CASE (page_id + k) % 5 WHEN 0 THEN 'line ' || n WHEN 1 THEN 'a bro-' WHEN 2 THEN 'pages 12 - 14' WHEN 3 THEN n || '.' ELSE 'well- known-' END AS text, (page_id + k) % 5 = 3 AS num FROM D),
+  G AS (SELECT *, coalesce(lag(num) OVER w, false) AS behind, lag(tp) OVER w AS above, NOT num AND coalesce(NOT lag(num) OVER w AND ends_with(lag(text) OVER w, '-'), false) AS glued FROM T WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+  N AS (SELECT *, k = 0 OR num OR behind OR (wide AND NOT glued) AS fresh, coalesce(lead(glued) OVER w, false) AS hyphen, CASE WHEN behind AND NOT num AND NOT wide THEN above ELSE tp END AS begins FROM G WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+  P AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY page_id ORDER BY n) AS para FROM N),
+  F AS (SELECT page_id, para - (fresh AND k > 0 AND NOT behind)::INT AS para, sum(20.0 + k) / sum(2 + k % 2) AS font_size, bool_or(k % 4 = 0) AS is_bold FROM P GROUP BY ALL)
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY para) - 1 AS paragraph, text, top_fraction, coalesce(font_size, 0.0) AS font_size, coalesce(is_bold, false) AS is_bold FROM (SELECT page_id, para, trim(string_agg(CASE WHEN glued THEN '' ELSE chr(10) END || CASE WHEN hyphen THEN text[:-2] ELSE text END, '' ORDER BY n), chr(10)) AS text, 1 - arg_min(begins, n) / 1000.0 AS top_fraction FROM P GROUP BY page_id, para)
+  LEFT JOIN F USING (page_id, para)""", books=False)
 def paragraph_cut(s, d):
-    """Lines of one height, after each third of them a gap of twice as much; found as paragraphs."""
+    """Lines of one height, after each third of them a wide gap; some end on a hyphen, some hold dashes, some are numbers."""
     page = Window.partitionBy("page_id").orderBy("n")
     rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("n")).distinct().withColumn("k", F.row_number().over(page) - 1)
-    top = 900.0 - F.col("k") * 12 - F.floor(F.col("k") / 3) * 20
-    placed = rows.select("page_id", "n", top.alias("top"), (top - 10).alias("bottom"), F.concat(F.lit("line "), F.col("n").cast("string")).alias("text"))
-    numbered = layout.paragraphs(placed)
-    return numbered.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("paragraph")) - 1).cast("long").alias("paragraph"), "text")
+    top, n = 900.0 - F.col("k") * 12 - F.floor(F.col("k") / 3) * 20, F.col("n").cast("string")
+    said = F.element_at(F.array(F.concat(F.lit("line "), n), F.lit("a bro-"), F.lit("pages 12 - 14"), F.concat(n, F.lit(".")), F.lit("well- known-")), ((F.col("page_id") + F.col("k")) % 5 + 1).cast("int"))
+    placed = rows.select("page_id", "n", top.alias("top"), (top - 10).alias("bottom"), said.alias("text"), (20.0 + F.col("k")).alias("font_total"), (2 + F.col("k") % 2).alias("n_words"), (F.col("k") % 4 == 0).alias("is_bold"), F.lit(1000.0).alias("page_height"))
+    cut = layout.paragraphs(placed)
+    return cut.withColumn("paragraph", (F.row_number().over(Window.partitionBy("page_id").orderBy("paragraph")) - 1).cast("long"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 3 AND 47", books=False)

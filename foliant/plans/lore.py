@@ -120,7 +120,7 @@ def shifted_sections(s, d):
     number = (F.col("section_number") + 1).cast("string")
     moved = F.concat(F.lit(f"{STORY}\n{MORE}\nx\n"), number, F.lit(f"\n12-14\n{MORE}\n{STORY}\n"))
     rows = starts.select("book_id", F.inline(F.array(F.struct(F.col("section_number"), F.lit("A short text.").alias("content")), F.struct((F.col("section_number") + 2).alias("section_number"), moved.alias("content")))))
-    return segment.rebalance_shifted(segment.with_junk(rows).withColumn("discarded", F.lit(None).cast("string")))
+    return segment.rebalance_shifted(segment.with_junk(rows.withColumn("discarded", F.lit(None).cast("string"))))
 
 
 @query()

@@ -29,18 +29,40 @@ def shared_root(spark: SparkSession) -> str:
     return root or sc.getCheckpointDir()
 
 
-_made: dict[tuple[str, str, str], str] = {}
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    place, store = _place(spark, path)
+    return store.exists(place)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; what is written there goes when the session ends."""
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place, store = _place(spark, path)
+    store.deleteOnExit(place)
+    return path
+
+
+_made: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Tells a table from one that has been written again: its files' number and bytes, and when it changed."""
+    place, store = _place(spark, path)
+    held = store.getContentSummary(place)
+    return path, held.getFileCount(), held.getLength(), store.getFileStatus(place).getModificationTime()
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The corpus is made once for a session and folder, and kept as a table in the shared folder until the session ends."""
-    key = spark.sparkContext.applicationId, sf_dir, name
-    path = _made.get(key) or f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(place):
+    """The corpus is made once for a session and the state of its tables, and kept as a table in the shared folder until the session ends."""
+    key = spark.sparkContext.applicationId, name, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "part"))
+    if key not in _made or not folder_exists(spark, _made[key]):
+        path = scratch(spark, name)
         make().write.parquet(path)
-        store.deleteOnExit(place)
         _made[key] = path
     return spark.read.parquet(_made[key])
 

@@ -15,14 +15,3 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
 def unlocks(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """The first event of each user and type within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type"])
-
-
-def upsert_batches(events: DataFrame, path: str, checkpoint: str):
-    """Starts a query that keeps the last row of each user and type as versions below ``path``."""
-    from foliant.operators.players import latest
-
-    def write(batch: DataFrame, number: int) -> None:
-        last = latest(batch.select("user_id", "event_type", "ts", "value"), ["user_id", "event_type"], ["ts", "value"])
-        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -27,6 +27,19 @@ def rows(f: pd.DataFrame) -> list:
     return sorted(tuple("~" if pd.isna(v) else repr(round(float(v), 6)) if isinstance(v, float) else str(v) for v in r) for r in f.itertuples(index=False))
 
 
+@pytest.mark.parametrize("name", ["document_line_stats", "document_normalize", "line_kinds"])
+def test_documents_of_many_scripts(spark, name):
+    """The larger table has lines that the smallest has none of."""
+    larger = D.replace("0.001", "0.01")
+    got, want = QUERIES[name](spark, larger).toPandas(), duckdb.sql(ORACLES[name].replace("FROM documents", f"FROM '{larger}/documents.parquet'")).df()
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["book_quality", "book_gate"])
+def test_some_books_pass(spark, name):
+    assert {r.needs_attention for r in QUERIES[name](spark, D).collect()} == {True, False}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     got, want = QUERIES[name](spark, D).toPandas(), duck.sql(ORACLES[name]).df()
