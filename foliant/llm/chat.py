@@ -95,15 +95,15 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     turns: conv_id, turn, role, text; other columns are ignored. Turns are in order by turn (null last), then role, then
     text, so ties and repeated rows have one order; repeated rows are turns of their own. A null text is empty; roles are compared in
-    lower case, trimmed; null and unknown roles can become any. Rows without conv_id are one conversation. An
-    empty table gives no rows. A conversation is rendered to one string and so by one task, which reads its turns as a stream.
+    lower case, trimmed; null and unknown roles can become any. A row without conv_id is a conversation of its own, as
+    nothing says which it belongs to. An empty table gives no rows. A conversation is rendered to one string and so by one task, which reads its turns as a stream.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, roles, texts, done, size = None, [], [], [], 0
         for batch in batches:
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
-                if c != conv and roles:
+                if roles and (c is None or c != conv):
                     done.append(_formatted(conv, roles, texts))
                     size += len(done[-1][-1])
                     roles, texts = [], []
@@ -117,7 +117,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
             done.append(_formatted(conv, roles, texts))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
 
-    rows = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition(tasks(turns.sparkSession), "conv_id")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    rows = rows.repartition(tasks(turns.sparkSession), F.coalesce("conv_id", F.xxhash64("turn", "role", "text")))
     rows = rows.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
     ddl = "conv_id long, n_turns long, n_rendered long, cost long, n_merges long, n_relabels long, n_inserts long, rendered string"
     return rows.mapInArrow(work, ddl)

@@ -274,22 +274,24 @@ def training_pieces(texts: DataFrame, end: int) -> DataFrame:
 
     A piece has the HALF + 1 ids before its first target, then its targets; so each id of a text and the end are targets in
     one window of one piece. A text without ids has the end alone. Before a text's first target stand HALF positions without
-    text and the end (``first``). place: a hash of the piece, by which pieces are dealt and ordered.
+    text and the end (``first``). place: a hash of the piece, its number and its doc_id, by which pieces are dealt and ordered:
+    copies of one text are dealt apart.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         front, long, lead = np.full(HALF + 1, end, "<u2").tobytes(), 2 * PIECE * HALF, 2 * (HALF + 1)
         for batch in batches:
             rows, first = [], []
-            for ids in batch.column("ids").to_pylist():
+            place = []
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 own = front + ids
                 for k in range(0, len(ids), long):
                     rows.append(own[k : k + long + lead])
                     first.append(k == 0)
-            place = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in rows]
+                    place.append(int.from_bytes(hashlib.blake2b(rows[-1], digest_size=8, key=f"{doc_id} {k}".encode()).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(rows, pa.binary()), pa.array(first, pa.bool_())], names=["place", "ids", "first"])
 
-    return texts.select("ids").mapInArrow(work, "place long, ids binary, first boolean")
+    return texts.select("doc_id", "ids").mapInArrow(work, "place long, ids binary, first boolean")
 
 
 def piece_windows(ids: pa.Array, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -340,7 +342,7 @@ def _blocks(kept: list[pa.RecordBatch], shard: int, least: int) -> Iterator[tupl
 
 
 def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds: int = ROUNDS, shard_ids: int = SHARD_IDS) -> Model:
-    """texts: ids of the training texts (see encoded); last: for each id of the vocabulary whether it ends a word.
+    """texts: doc_id and ids of the training texts (see encoded); last: for each id of the vocabulary whether it ends a word.
 
     All ids of all texts and their ends are counted, and each is a target once. Pieces are dealt by their hashes to rounds and
     to shards, whose number follows the number of ids alone. In a round each shard trains on its pieces in order of their

@@ -195,7 +195,8 @@ def _draws(sized: DataFrame, shards: int, seed: int, weights: tuple[float, ...]
 
 
 def _order(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"))
+    """By all that tells rows apart, so that rows without doc_id or of one id are dealt apart too."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("tie"))
 
 
 def _part(seed: int) -> Column:
@@ -214,7 +215,7 @@ def _mixed(docs: DataFrame, seed: int, shards: int) -> DataFrame:
     drawn = _draws(sized, shards, seed)
     firsts = F.filter("draws", lambda d: d["first"] == 0)
     nothing = F.array(F.lit(None).cast(DRAW))
-    rows = drawn.select("row", "doc_id", F.explode(F.when(F.col("size") > 0, firsts).otherwise(nothing)).alias("draw"))
+    rows = drawn.select("row", "doc_id", "tie", F.explode(F.when(F.col("size") > 0, firsts).otherwise(nothing)).alias("draw"))
     rows = rows.select("row", "doc_id", F.coalesce("draw.shard", F.pmod(_order(seed), F.lit(shards)).cast("int")).alias("shard"), F.coalesce("draw.place", _order(seed)).alias("place"))
     # a shard of a large mix is several slices, each shuffled by one task; their number follows that of the tasks
     slices = -(-4 * tasks(docs.sparkSession) // shards)

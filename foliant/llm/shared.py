@@ -66,7 +66,7 @@ def tasks(spark: SparkSession) -> int:
 
 #: A key with more rows than this is looked up by broadcast; there are at most rows / HOT_ROWS of them.
 HOT_ROWS = 1_000
-#: More hot keys than this are not broadcast but joined as all others, by Spark's own skew handling.
+#: Keys that are broadcast at most (a few numbers each); of more hot keys the hottest are, so that the others have rows / HOT_KEYS each at most.
 HOT_KEYS = 500_000
 
 
@@ -78,12 +78,16 @@ def small(keys: DataFrame) -> DataFrame:
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
     """rows joined with table (inner; one row per key), which has in column ``count`` how many rows a key has.
 
-    Keys with many rows are looked up by broadcast, so no task gets all rows of one; their number is checked first.
+    Keys with many rows are looked up by broadcast, so no task gets all rows of one. Their number is checked first; of more than
+    HOT_KEYS the hottest are, down to a number of rows that is looked for by halving.
     """
-    hot = table.where(F.col(count) > HOT_ROWS)
-    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+    least = HOT_ROWS
+    while (many := table.where(F.col(count) > least).limit(HOT_KEYS + 1).count()) > HOT_KEYS:
+        least *= 2
+    if not many:
         return rows.join(table, keys)
+    hot = table.where(F.col(count) > least)
     found = [c for c in table.columns if c not in keys]
     near = rows.join(F.broadcast(hot), keys, "left")
     first, others = near.where(F.col(count).isNotNull()), near.where(F.col(count).isNull()).drop(*found)
-    return first.unionByName(others.join(table.where(F.col(count) <= HOT_ROWS), keys))
+    return first.unionByName(others.join(table.where(F.col(count) <= least), keys))

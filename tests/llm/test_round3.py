@@ -206,3 +206,96 @@ def test_pair_sums_of_both_parts():
     for heavy in (0.0, 0.4, 2.0):
         assert (pair_sums(*args, None, heavy)[off] == want[off]).all()
         assert (pair_sums(*args, 2, heavy) == want[:2, 2:]).all()
+
+
+def test_chats_without_id_stay_apart(spark):
+    from foliant.llm.chat import format_chats
+
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (None, 0, "user", "alone"), (None, 1, "assistant", "answer"), (None, 0, "user", "alone")]
+    got = format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in got) == [(0, 1), (0, 1), (0, 1), (1, 2)]
+    assert sum("alone" in r.rendered for r in got) == 2 and not any("alone" in r.rendered and "answer" in r.rendered for r in got)
+
+
+def test_copies_of_a_text_train_in_all_shards(spark):
+    from foliant.llm.lm_scoring import encoded, training_pieces
+    from foliant.llm.queries import TOKENIZER
+
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"), F.lit(0).cast("long").alias("tie"), F.lit(False).alias("held_out"))
+    pieces = training_pieces(encoded(rows, TOKENIZER, 49407), 49407).select(F.pmod(F.shiftright("place", 8), F.lit(8)).alias("shard"))
+    sizes = [r["count"] for r in pieces.groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 900 and max(sizes) < 2 * 900 / 8
+
+
+def test_rows_without_id_are_mixed_apart(spark):
+    from foliant.llm.mixing import PARTS, _part, mix, taken
+
+    docs = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some words of "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    largest = docs.withColumn("tie", F.xxhash64("text")).groupBy(_part(7)).count().agg(F.max("count")).collect()[0][0]
+    assert PARTS >= 512 and largest < 10
+    out = mix(docs).select("size", taken(F.col("draws")).alias("n"), "target").collect()
+    assert len(out) == 900 and abs(sum(r.n for r in out) - out[0].target) <= 0.02 * out[0].target
+
+
+def test_lookup_of_many_hot_keys(spark, monkeypatch):
+    from foliant.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
+    monkeypatch.setattr(shared, "HOT_KEYS", 3)
+    rows = spark.range(400).select(F.expr("CAST(sqrt(id) AS LONG)").alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    out = shared.lookup(rows, table, ["k"], "n")
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+    assert sorted((r.id, r.least) for r in out.collect()) == [(i, int(i**0.5) ** 2) for i in range(400)]
+
+
+def test_severity_fit_is_the_optimum():
+    """The cumulative-link fit against Newton steps with numerical derivatives of the same loss, written out text by text."""
+    from foliant.llm.toxicity import fit
+
+    rng = np.random.default_rng(6)
+    words, toxic = np.arange(10, 14, dtype=np.uint64), (rng.random(80) < 0.5).astype(np.int64)
+    rows = []
+    for t in toxic:
+        own = np.flatnonzero(rng.random(4) < (0.7 if t else 0.25))
+        rows.append((own, rng.integers(1, 6 if t else 3, len(own)).astype(float)))
+    hits = [c.sum() for _, c in rows]
+    middle = np.quantile([h for h, t in zip(hits, toxic, strict=True) if t], 0.5)
+    grade = [0 if not t else 2 if h > middle else 1 for h, t in zip(hits, toxic, strict=True)]
+
+    def loss(theta):
+        ends = [-np.inf, theta[4], theta[4] + np.exp(theta[5]), np.inf]
+        below = lambda t, eta: 1 / (1 + np.exp(-(t - eta)))
+        total = 0.0
+        for (own, counts), y in zip(rows, grade, strict=True):
+            eta = sum(np.log1p(c) * theta[w] for w, c in zip(own, counts, strict=True))
+            total -= np.log(below(ends[y + 1], eta) - below(ends[y], eta))
+        return total / len(rows) + 5e-4 * (theta[:4] ** 2).sum()
+
+    theta, h, unit = np.zeros(6), 1e-4, np.eye(6)
+    with np.errstate(over="ignore"):
+        for _ in range(30):
+            g = np.array([(loss(theta + h * e) - loss(theta - h * e)) / (2 * h) for e in unit])
+            hess = np.array([[(loss(theta + h * (e + f)) - loss(theta + h * (e - f)) - loss(theta - h * (e - f)) + loss(theta - h * (e + f))) / (4 * h * h) for f in unit] for e in unit])
+            step, scale = np.linalg.solve(hess + 1e-6 * unit, g), 1.0
+            while loss(theta - scale * step) > loss(theta) and scale > 1e-6:
+                scale /= 2
+            theta = theta - scale * step
+        made = fit(words, rows, toxic)
+        found = np.concatenate([made.weights, [made.thresholds[0], np.log(made.thresholds[1] - made.thresholds[0])]])
+        assert np.abs(g).max() < 1e-5 and loss(found) < loss(theta) + 1e-4
+    assert np.allclose(made.weights, theta[:4], atol=0.05) and np.allclose(made.thresholds, [theta[4], theta[4] + np.exp(theta[5])], atol=0.05)
+
+
+def test_toxicity_of_giant_texts(spark):
+    from foliant.llm.toxicity import toxicity
+
+    rng = np.random.default_rng(4)
+    clean = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], n))
+    docs = [(k, clean(30) + (" vileword filthword" * 3 if k % 2 else "")) for k in range(200)]
+    docs += [(900, clean(300_000)), (901, "vileword filthword " * 60_000), (902, clean(200_000) + " " + "z" * 1_500_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity(df, labels).select("doc_id", "severity", "rejected").collect()}
+    assert got[901].rejected and not got[900].rejected and not got[902].rejected and len(got) == 203
+    assert all(got[k].rejected == bool(k % 2) for k in range(200))
