@@ -299,3 +299,25 @@ def test_toxicity_of_giant_texts(spark):
     got = {r.doc_id: r for r in toxicity(df, labels).select("doc_id", "severity", "rejected").collect()}
     assert got[901].rejected and not got[900].rejected and not got[902].rejected and len(got) == 203
     assert all(got[k].rejected == bool(k % 2) for k in range(200))
+
+
+def test_large_benchmarks_are_joined(spark):
+    """The join finds what the sketches in memory find, also of repeated rows and items, with all columns and without a sketch on the driver."""
+    from foliant.llm import decontaminate as d
+
+    rng = np.random.default_rng(12)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(50)]
+    say = lambda n: " ".join(rng.choice(vocab, n))
+    items = [(k, say(int(rng.integers(1, 60)))) for k in range(60)] + [(60, None), (61, "...")]
+    items += [items[3], (62, items[3][1])]
+    docs = [(k, say(40) + " " + items[k % 60][1].upper() + ", " + say(20), "s") for k in range(200)] + [(None, items[5][1], None), (300, None, "s"), (300, "", "s")]
+    docs += [(k, items[7][1] + " " + items[9][1], "hot") for k in range(400, 500)] + [docs[4], docs[4]]
+    rows = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, source string, row long, digest string")
+    bench = spark.createDataFrame([(*r, "y") for r in items], "item_id long, text string, row string")
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    near, far = (d.find_leaks(rows, bench, block_chars=n) for n in (10**9, 10))
+    assert near.columns == far.columns and key(near) == key(far) and near.count() > 300
+    kept = [d.decontaminate(rows, bench, block_chars=n) for n in (10**9, 10)]
+    assert kept[0].columns == kept[1].columns == rows.columns and key(kept[0]) == key(kept[1]) and 0 < kept[0].count() < len(docs)
+    assert d.find_leaks(rows.limit(0), bench, block_chars=10).count() == 0
+    assert key(d.decontaminate(rows, spark.createDataFrame([(1, "." * 50)], "item_id long, text string"), block_chars=10)) == key(rows)
