@@ -110,6 +110,33 @@ def parser_for(title: Column, rules: list[tuple[str, str]], default: str) -> Col
     return out
 
 
+# The columns of each kind of response, and the names of a subscription's states by their numbers.
+RESPONSES = {
+    "item": ["id", "name", "type", "description", "rarity", "book_title", "section_number", "required_level", "required_skill", "required_stamina", "required_luck", "effects"],
+    "spell": ["id", "name", "type", "description", "effects", "book_title", "section_number", "required_level", "required_skill", "required_stamina", "required_luck"],
+    "command": ["id", "name", "aliases", "description", "usage", "category"],
+    "catalog": ["id", "book_title", "section_count", "description", "medallion_title", "medallion_description"],
+    "subscription": ["id", "plan", "status", "started_at", "expires_at", "renews_at"],
+    "achievement": ["id", "code", "title", "description", "unlocked_at"],
+    "asset": ["id", "name", "type", "description", "book_title", "section_number", "acquired_at"],
+    "adventure": ["id", "book_title", "current_section", "skill", "stamina", "luck", "updated_at", "is_complete"],
+}
+STATES = ["Active", "Expired", "Cancelled", "PastDue"]
+
+
+def response(rows: DataFrame, kind: str) -> DataFrame:
+    """The columns of rows that a response of that kind has, in its order; keys of users and the like are left out.
+
+    Columns that rows lack are null. The state of a subscription goes by its name; a number without a name stays a number.
+    """
+    columns = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in RESPONSES[kind]}
+    if kind == "subscription" and "status" in rows.columns:
+        number = F.col("status").cast("int")
+        name = F.try_element_at(F.array(*map(F.lit, STATES)), F.when(number >= 0, number + 1))
+        columns["status"] = F.coalesce(name, F.col("status").cast("string")).alias("status")
+    return rows.select(*columns.values())
+
+
 def excluded(title: Column, words: list[str]) -> Column:
     """Whether a title holds one of the words, whatever their case; a null title holds none."""
     out = F.lit(False)

@@ -10,7 +10,7 @@ from foliant.functions import text as T
 from foliant.operators import layout, players, segment
 from foliant.plans import IDS, KEY, query
 from foliant.plans.catalog import PAGES, _pages
-from foliant.sources import images, sinks, transcripts
+from foliant.sources import files, images, sinks, transcripts
 from foliant.sources.corpus import MISSING, lines, scratch, sections, table
 
 WORDS = """WITH W AS (SELECT DISTINCT l_orderkey AS page_id, CASE WHEN l_orderkey % 3 = 0 THEN 500 ELSE 1000 END AS page_width, 700 AS page_height,
@@ -203,3 +203,52 @@ def stored_sections(s, d):
     return sinks.lookup_sections(s, path, keys, 8).select(*IDS, "content")
 
 
+@query("SELECT 'Book ' || book_id AS title, CAST(section_number AS INT) AS number, content, CASE WHEN section_number % 2 = 0 THEN 'p' || section_number END AS image_path FROM S")
+def book_files(s, d):
+    """Whole books written as JSON and read again."""
+    section = F.struct(F.col("section_number").cast("int").alias("number"), "content", F.when(F.col("section_number") % 2 == 0, F.concat(F.lit("p"), F.col("section_number").cast("string"))).alias("image_path"))
+    books = sections(s, d).groupBy("book_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    path = scratch(s, "books")
+    files.write_books(books.select(F.concat(F.lit("Book "), F.col("book_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("introduction"), "sections"), path, "first")
+    return files.exploded(files.read_books(s, f"{path}/run=first", per_line=True))
+
+
+@query("SELECT CAST(p_partkey % 5 AS BIGINT) AS book, CAST(p_partkey // 5 + 1 AS INT) AS n, CAST(p_size AS INT) AS page, CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END AS side, CAST(p_partkey % 40 AS INT) AS line, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 40 + 2 AS INT) END AS \"end\" FROM part", books=False)
+def manifest_files(s, d):
+    """Manifests of five books as files, read by the names of their folders."""
+    key = F.col("p_partkey")
+    entry = F.struct((F.floor(key / 5) + 1).cast("int").alias("n"), F.col("p_size").cast("int").alias("page"), F.when(key % 2 == 0, "L").otherwise("R").alias("side"), (key % 40).cast("int").alias("line"), F.when(key % 3 == 0, (key % 40 + 2).cast("int")).alias("end"))
+    books = table(s, d, "part").groupBy((key % 5).alias("book")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    path = scratch(s, "manifests")
+    # a file for each book: five folders, whatever the table's size
+    books.select("book", F.to_json(F.struct("entries")).alias("value")).repartition("book").write.partitionBy("book").option("pathGlobFilter", "*.json").text(path)
+    rows = s.read.schema("entries array<struct<n: int, page: int, side: string, line: int, `end`: int>>, book long").json(path, multiLine=True)
+    return rows.select("book", F.inline("entries"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY book_id, section_number ORDER BY n) AS k FROM L),
+  t AS (SELECT book_id, section_number, string_agg(text, chr(10) || chr(10) ORDER BY n) FILTER (n % 2 = 0) AS content, string_agg(text, chr(10) || chr(10) ORDER BY n) FILTER (n % 2 = 1) AS discarded FROM L GROUP BY ALL) SELECT * FROM t""".replace("WITH r AS", ", r AS"))
+def repeated_headers(s, d):
+    """Every section stands twice under its number, the even lines first: the first text stays, the second is kept as discarded."""
+    rows, n = lines(s, d), F.col("n") % 2
+    style = lambda bold: (F.lit(1).alias("page"), F.lit(10.0).alias("font_size"), F.lit(bold).alias("is_bold"))
+    at = F.col("section_number") * 10_000 + n * 5_000
+    heads = rows.select(*IDS, n.alias("n")).distinct().select("book_id", at.cast("long").alias("seq"), F.col("section_number").cast("string").alias("text"), *style(True))
+    body = rows.select("book_id", (at + F.col("n") + 1).cast("long").alias("seq"), "text", *style(False))
+    return segment.header_fold(heads.unionByName(body))
+
+
+@query(f"SELECT c_custkey AS id, c_mktsegment AS plan, coalesce(({players.STATES})[c_custkey % 6 + 1], CAST(c_custkey % 6 AS VARCHAR)) AS status, c_name AS started_at, CAST(NULL AS VARCHAR) AS expires_at, CAST(NULL AS VARCHAR) AS renews_at FROM customer", books=False)
+def subscription_responses(s, d):
+    """Subscriptions as they are told: states by name, the user left out."""
+    key = F.col("c_custkey")
+    rows = table(s, d, "customer").select(key.alias("id"), F.col("c_nationkey").alias("user_id"), F.col("c_mktsegment").alias("plan"), (key % 6).alias("status"), F.col("c_name").alias("started_at"))
+    return players.response(rows, "subscription")
+
+
+@query("SELECT o_orderkey AS id, 'Book ' || o_custkey AS book_title, o_orderkey % 500 AS current_section, o_orderkey % 7 AS skill, o_orderkey % 20 AS stamina, o_orderkey % 6 AS luck, o_orderdate AS updated_at, o_orderstatus = 'F' AS is_complete FROM orders", books=False)
+def adventure_responses(s, d):
+    """Saved runs as they are told."""
+    key = F.col("o_orderkey")
+    runs = table(s, d, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderstatus") == "F").alias("is_complete"), key.alias("id"), F.concat(F.lit("Book "), F.col("o_custkey").cast("string")).alias("book_title"), (key % 500).alias("current_section"), (key % 7).alias("skill"), (key % 20).alias("stamina"), (key % 6).alias("luck"), F.col("o_orderdate").alias("updated_at"))
+    return players.response(runs, "adventure")
