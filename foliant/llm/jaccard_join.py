@@ -37,8 +37,8 @@ CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 60_000
 SHARED = 32
 #: Cost of a verification, in lookups.
 VERIFY = 16.0
-#: By so much the number of pivots grows in each round.
-PIVOTS = 32
+#: By so much the number of pivots grows in each round, and how many a list has at most in one: up to that number Spark ranks a list where its parts lie, and a round's pairs stay within so many of its rows.
+PIVOTS, MOST_PIVOTS = 32, 1000
 LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16])
 LOW48 = np.uint64((1 << 48) - 1)
 #: Stands for a step between sorted hashes that 32 bits can't hold.
@@ -290,9 +290,9 @@ def _components(nodes: DataFrame, percent: int, root: str) -> DataFrame:
 
     whole = nodes.select("node", "n", "first", "prefix", ((F.octet_length("prefix") + F.octet_length("rest")) / 8).cast("long").alias("shared"))
     live = stored(whole.mapInArrow(_postings, "token long, node long, n long, alone long, rest long"), "postings", root)
-    comp, pivots, folder = None, 1, f"{root}/postings"
+    comp, pivots, turn, folder = None, 1, 0, f"{root}/postings"
     while not live.isEmpty():
-        mine = f"{root}/round-{pivots}"
+        mine = f"{root}/round-{turn}"
         now = live.withColumn("comp", F.col("node")) if comp is None else live.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_lists = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
         now = stored(now.join(open_lists, "token").select("token", "node", "n", "alone", "rest", "comp"), "open", mine)
@@ -319,7 +319,7 @@ def _components(nodes: DataFrame, percent: int, root: str) -> DataFrame:
             fresh = found.select("node", F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
             comp = cut(grown.unionByName(fresh))
         live = now.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n", "alone", "rest")
-        pivots, folder = pivots * PIVOTS, mine
+        pivots, turn, folder = min(pivots * PIVOTS, MOST_PIVOTS), turn + 1, mine
         release(spark)
     return comp if comp is not None else nodes.select("node", F.col("node").alias("comp")).limit(0)
 

@@ -321,3 +321,56 @@ def test_large_benchmarks_are_joined(spark):
     assert kept[0].columns == kept[1].columns == rows.columns and key(kept[0]) == key(kept[1]) and 0 < kept[0].count() < len(docs)
     assert d.find_leaks(rows.limit(0), bench, block_chars=10).count() == 0
     assert key(d.decontaminate(rows, spark.createDataFrame([(1, "." * 50)], "item_id long, text string"), block_chars=10)) == key(rows)
+
+
+def test_popular_passage_is_judged_where_it_lies(spark, monkeypatch):
+    """A third of all texts share a passage: its cells don't meet in one task, and what is removed stays the same."""
+    from foliant.llm import suffix_dedup as d
+
+    rng = np.random.default_rng(3)
+    say = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    passage = say(700)
+    docs = spark.createDataFrame([(k, say(150) + (passage if k % 3 == 0 else "") + say(150)) for k in range(600)], "doc_id long, text string")
+    monkeypatch.setattr(d, "CHUNK_BYTES", 4000)
+    want = sorted((r.doc_id, r.n_bytes, repr(r.spans), bytes(r.kept)) for r in d.suffix_dedup(docs).collect())
+    assert sum(w[2] != "[]" for w in want) >= 199
+    monkeypatch.setattr(d, "HOT_CELLS", 40)
+    seen = []
+    apart = d._hot_apart
+    monkeypatch.setattr(d, "_hot_apart", lambda cells, root: seen.append((cells, apart(cells, root))) or seen[-1][1])
+    monkeypatch.setattr(d, "remove", lambda *a: None)
+    got = sorted((r.doc_id, r.n_bytes, repr(r.spans), bytes(r.kept)) for r in d.suffix_dedup(docs).collect())
+    largest = lambda df, *by: df.groupBy(*by).count().agg(F.max("count")).collect()[0][0]
+    cells, (once, repeats) = seen[0]
+    assert got == want and largest(cells, "anchor") > 100
+    place = F.when(F.col("hot"), F.xxhash64("anchor", "span")).otherwise(F.col("anchor"))
+    assert largest(once.withColumn("place", place), "place") < 50 and repeats.count() + once.count() == cells.count()
+
+
+def test_lm_beats_word_counts_on_held_out_texts(spark):
+    """On a table large enough: all held-out texts together are likelier by the model than by add-one word counts."""
+    from foliant.llm.lm_scoring import lm_scores
+    from foliant.llm.queries import TOKENIZER
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = lm_scores(docs, TOKENIZER).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.count(F.lit(1)).alias("n")).collect()[0]
+    print(f"held-out texts {held.n}: score {held.score:.0f}, base_score {held.base:.0f}")
+    assert held.n > 1000 and held.score > held.base
+
+
+def test_lists_of_many_nodes_take_several_rounds(spark, monkeypatch):
+    """With few pivots a round, links of a common shingle's list are all found; the rank of a list is limited before the shuffle."""
+    from foliant.llm import jaccard_join as j
+
+    rng = np.random.default_rng(2)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    start = " ".join(vocab[:5])
+    docs = []
+    for k in range(40):
+        body = " ".join(rng.choice(vocab, 40))
+        docs += [(3 * k, f"{start} {body}"), (3 * k + 1, f"{start} {body} more"), (3 * k + 2, f"{body} other words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in j.jaccard_components(df).collect()}
+    assert all(want[k] == k - k % 3 for k in want)
+    monkeypatch.setattr(j, "MOST_PIVOTS", 2)
+    assert {r.doc_id: r.component_id for r in j.jaccard_components(df).collect()} == want
