@@ -149,23 +149,29 @@ def orphan_sections(s, d):
     return segment.split_orphans(merged, every.select("book_id", "n_sections").distinct())
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS page_id, 'p' || n_nationkey || '.png' AS name, 0 AS \"left\", CAST(8 * (n_nationkey + 1) AS INT) AS top, 100 AS width, CAST(160 + 8 * n_nationkey AS INT) AS height FROM nation", books=False)
+@query("SELECT s_suppkey AS page_id, 'p' || s_suppkey || '.png' AS name, 0 AS \"left\", CAST(8 * (s_suppkey % 25 + 1) AS INT) AS top, 100 AS width, CAST(160 + 8 * (s_suppkey % 25) AS INT) AS height FROM supplier", books=False)
 def art_crops(s, d):
     """Pages with one dark area each, 100 x 800 bytes of luminance."""
-    k = F.col("n_nationkey").cast("int")
+    k = (F.col("s_suppkey") % 25).cast("int")
     area = lambda c, n: F.repeat(F.lit(c * 800), n)  # noqa: E731  # n bands of 8 rows
     pixels = F.rpad(F.concat(area("z", k + 1), area(" ", k + 20)), 80_000, "z").cast("binary")
-    pages = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit(100).alias("width"), F.lit(800).alias("height"), pixels.alias("pixels"))
+    pages = table(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit(100).alias("width"), F.lit(800).alias("height"), pixels.alias("pixels"))
     return layout.art_crops(pages, find=layout.blocks).drop("png")  # the reduced rule, which its SQL has
 
 
-@query()
+# A drawing is 16 rows of light ink, 40 + 8 (k mod 8) of dense, 64 of strong, 8 without, 40 of dense ink. Its run begins below the light rows
+# and ends a band after the last; upwards it grows over the light rows and four bands without ink (32), downwards over four, at each side over four
+# steps of 2; the margin is 6. So it begins 38 above the light rows, is 252 + 8 (k mod 8) high, and 79 = 50 + 1 + 2 (8 + 6) wide.
+@query("""WITH P AS (SELECT s_suppkey AS k, unnest(range(0, CAST(1 + s_suppkey % 2 AS INT))) AS i FROM supplier)
+  SELECT k AS page_id, 'p' || k || CASE i WHEN 0 THEN '' ELSE '_1' END || '.png' AS name, CAST(6 + 2 * (k % 5) AS INT) AS "left", CAST(122 + 8 * (k % 3) + i * (288 + 8 * (k % 8)) AS INT) AS top, 79 AS width, CAST(252 + 8 * (k % 8) AS INT) AS height FROM P""", books=False)
 def art_illustrations(s, d):
-    """Pages with one drawing each, which has lighter bands, a gap, and light strokes around; found by the whole rule."""
-    k = F.col("n_nationkey").cast("int")
-    rows = lambda ink, n: F.repeat(F.rpad(F.concat(F.lit("z" * 20), F.repeat(F.lit(" "), ink)), 100, "z"), n)  # noqa: E731  # n rows with so much ink of 100
-    pixels = F.rpad(F.concat(rows(F.lit(0), F.lit(160)), rows(F.lit(4), F.lit(16)), rows(F.lit(10), 40 + 8 * (k % 8)), rows(F.lit(50), F.lit(64)), rows(F.lit(0), F.lit(8)), rows(F.lit(10), F.lit(40))), 80_000, "z").cast("binary")
-    pages = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit(100).alias("width"), F.lit(800).alias("height"), pixels.alias("pixels"))
+    """Pages with one or two drawings, which have lighter bands, a gap, and light strokes around; found by the whole rule."""
+    k = F.col("s_suppkey").cast("int")
+    rows = lambda ink, n: F.repeat(F.rpad(F.concat(F.repeat(F.lit("z"), 20 + 2 * (k % 5)), F.repeat(F.lit(" "), ink)), 100, "z"), n)  # noqa: E731  # n rows with so much ink of 100
+    drawing = F.concat(rows(F.lit(4), F.lit(16)), rows(F.lit(10), 40 + 8 * (k % 8)), rows(F.lit(50), F.lit(64)), rows(F.lit(0), F.lit(8)), rows(F.lit(10), F.lit(40)))
+    second = F.when(k % 2 == 1, F.concat(rows(F.lit(0), F.lit(120)), drawing)).otherwise("")
+    pixels = F.rpad(F.concat(rows(F.lit(0), 160 + 8 * (k % 3)), drawing, second), 120_000, "z").cast("binary")
+    pages = table(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit(100).alias("width"), F.lit(1200).alias("height"), pixels.alias("pixels"))
     return layout.art_crops(pages).drop("png")
 
 
