@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.kernels import LOW_BYTES, M1, M2, PIECE, column_bytes, eights, mixed, pieces, powers, ragged
-from foliant.llm.shared import lookup, release, small, stored, tasks
+from foliant.llm.shared import HOT_KEYS, lookup, release, remove, scratch, small, stored, tasks
 
 #: Bytes of a passage, of a gram, and of a period of the difference cover.
 LENGTH, GRAM, PERIOD = 100, 24, 32
@@ -35,6 +35,8 @@ CHUNK_BYTES, BUCKET = 2 << 20, 1 << 17
 BLOCK = 1 << 20
 #: An anchor with more different cells than this is dealt by passages, those of so many cells in a batch.
 HOT_CELLS, CELLS_AT_ONCE = 1000, 4096
+#: One in so many texts is looked at to see which cells are common.
+SEEN = 16
 #: Bits of a position in a piece; a longer text is cut into overlapping segments of SEGMENT passages.
 POSITION, SEGMENT = 20, 1 << 18
 
@@ -225,6 +227,7 @@ def _cells_of(length: int):
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells in order of anchor, span, key and start: those that repeat an earlier one, and the first ones of several with an anchor.
 
+    Cells of hot anchors are dealt by their spans too, so each first one is asked for, as others may be elsewhere.
     A batch at a time: from the one before stay the last anchor and span, how many first ones the anchor has (two stand for
     more), and the only first one, which is asked for once a second one comes.
     """
@@ -244,9 +247,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _found(first, ASK, *rest)
             many[0] += count
         yield _found(key[again], REPEAT, start[again], more[again], np.zeros(int(again.sum()), np.int64))
-        several = ~again & (many[group] > 1)
+        hot = batch.column("hot").to_numpy(zero_copy_only=False)
+        several = ~again & ((many[group] > 1) | hot)
         yield _found(key[several], ASK, start[several], more[several], anchor[several])
-        last, count = (anchor[-1], span[-1]), min(int(many[-1]), 2)
+        last, count = (anchor[-1], span[-1]), 2 if hot[-1] else min(int(many[-1]), 2)
         own = np.flatnonzero(~again & (group == group[-1]))
         if count == 1 and len(own):
             alone = key[own[0]], start[own[0]], more[own[0]], anchor[own[0]]
@@ -377,6 +381,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return stored(rows.repartitionByRange(tasks(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
+def _hot_apart(cells: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """cells with hot (whether their anchor is common), without the repeats of the most common ones; and those repeats.
+
+    Which cells and anchors are common is seen in the share of texts whose key's hash is 0 modulo SEEN. Of common cells all rows are
+    judged, where they lie, against the first of all, which is found by a combined minimum. So no task gets all cells of a
+    popular passage; a cell that the share doesn't show as common is judged like all others.
+    """
+    name = ["anchor", "span"]
+    share = cells.where(F.pmod(F.xxhash64("key"), F.lit(SEEN)) == 0).select(*name)
+    common = lambda keys: share.groupBy(*keys).count().where(F.col("count") > HOT_CELLS // SEEN).orderBy(F.col("count").desc(), *keys).limit(HOT_KEYS).select(*keys)
+    anchors = stored(common(["anchor"]), "hot-anchors", root)
+    if anchors.isEmpty():
+        return cells.withColumn("hot", F.lit(False)), cells.limit(0)
+    cells = cells.join(F.broadcast(anchors.withColumn("hot", F.lit(True))), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = stored(common(name), "hot", root)
+    firsts = stored(cells.join(F.broadcast(hot), name).groupBy(*name).agg(F.min(F.struct("key", "start")).alias("first")), "hot-firsts", root)
+    found = cells.join(F.broadcast(firsts), name, "left")
+    later = F.coalesce(F.struct("key", "start") != F.col("first"), F.lit(False))
+    return found.where(~later).drop("first"), found.where(later).drop("first")
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, spans (first, last: removed bytes first..last-1, maximal runs) and kept (the other bytes).
 
@@ -386,22 +411,29 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     ranges = tasks(docs.sparkSession)
     rows = _keyed(docs)
-    cells = stored(rows.select("key", "text").mapInArrow(_cells_of(length), CELLS_DDL), "cells")
-    dealt = cells.where("not again").drop("again").repartition(ranges, "anchor").sortWithinPartitions("anchor", "span", "key", "start")
-    judged = stored(dealt.mapInArrow(_judge, FOUND_DDL), "judged")
+    root = scratch(docs.sparkSession, "suffixes")
+    cells = stored(rows.select("key", "text").mapInArrow(_cells_of(length), CELLS_DDL), "cells", root)
+    once, repeated_hot = _hot_apart(cells.where("not again").drop("again"), root)
+    place = F.when(F.col("hot"), F.xxhash64("anchor", "span")).otherwise(F.col("anchor"))
+    dealt = once.repartition(ranges, place).sortWithinPartitions("anchor", "span", "key", "start")
+    judged = stored(dealt.mapInArrow(_judge, FOUND_DDL), "judged", root)
+    release(docs.sparkSession)
     asks = judged.where(F.col("kind") == ASK).select("key", "start", "more", "anchor")
     hot = small(asks.groupBy("anchor").count().where(F.col("count") > HOT_CELLS).select("anchor", F.lit(True).alias("hot")))
     told = F.struct("start", "more", "anchor", F.col("hot").isNotNull().alias("hot"))
     asked = asks.join(hot, "anchor", "left").groupBy("key").agg(F.collect_list(told).alias("asked"))
-    fetched = stored(rows.select("key", "text").join(asked, "key").mapInArrow(_fetch(length), FETCHED_DDL), "fetched")
+    fetched = stored(rows.select("key", "text").join(asked, "key").mapInArrow(_fetch(length), FETCHED_DDL), "fetched", root)
     release(docs.sparkSession)
     of_kind = lambda df, kind: df.where(F.col("kind") == kind)
     alone = of_kind(fetched, ASK).select("key", "start", "more", "anchor", "bytes").repartition(ranges, "anchor").sortWithinPartitions("anchor")
-    sorted_ = stored(alone.mapInArrow(_sorted_cells(length), FOUND_DDL), "sorted")
+    sorted_ = stored(alone.mapInArrow(_sorted_cells(length), FOUND_DDL), "sorted", root)
     spread = of_kind(fetched, SPREAD).select("key", "start", "more", "one", "two")
     firsts = spread.groupBy("one", "two").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    later = lookup(spread, stored(firsts, "firsts"), ["one", "two"], "times").where(F.struct("key", "start") != F.col("first"))
-    repeats = cells.where("again").unionByName(of_kind(judged, REPEAT), True).unionByName(of_kind(fetched, REPEAT), True).unionByName(sorted_, True).unionByName(later, True).select("key", "start", "more")
-    found = repeats.groupBy("key").agg(F.collect_list(F.struct("start", "more")).alias("found"))
+    later = lookup(spread, stored(firsts, "firsts", root), ["one", "two"], "times").where(F.struct("key", "start") != F.col("first"))
+    repeats = cells.where("again").unionByName(repeated_hot, True).unionByName(of_kind(judged, REPEAT), True).unionByName(of_kind(fetched, REPEAT), True).unionByName(sorted_, True).unionByName(later, True).select("key", "start", "more")
+    found = stored(repeats.groupBy("key").agg(F.collect_list(F.struct("start", "more")).alias("found")), "found", root)
+    for name in ("cells", "judged", "fetched", "sorted", "firsts", "hot", "hot-anchors", "hot-firsts"):
+        remove(docs.sparkSession, f"{root}/{name}")
+    release(docs.sparkSession)
     joined = rows.join(found, "key", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_kept(length), "doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary")
