@@ -14,13 +14,11 @@ ITEM_WORDS = ["potion", "sword", "dagger", "shield", "armour", "armor", "crossbo
 NO_ITEM = ["swordfish", "sword-billed", "dice", "soup", "bread", "corridor", "door", "tunnel", "chimney", "ship", "boat", "vessel", "crew", "slave", "slaves", "statue is", "the sea", "the sky", "gold pieces (each", "gold pieces each", "booty", "statue", "statues", "shrine", "treasure of", "treasures of"]
 BEFORE_ITEM = ["its", "the", "a", "an", "his", "her", "your", "their", "this", "that", "these", "those", "some", "all", "any", "other", "more", "each", "no", "one", "two"]
 AFTER_ITEM = ["which", "that", "with", "and", "but", "from", "into", "onto", "towards", "against", "enables", "allows", "gives", "contains", "will", "you", "your", "if", "so", "then", "of", "in", "on", "for", "when", "while", "the", "it", "its", "a", "an"]
-ACQUIRED = ["you may take", "take its", "take the", "take a", "take an", "you take the", "you find the", "you find a", "you find an", "you find a small", "you obtain the", "you obtain a", "you receive the", "you receive a", "you gain the", "you gain a", "you discover the", "you discover a", "add the", "add a", "add to your", "give you a", "gives you a", "hand you a", "buy the", "buy a", "purchase the", "purchase a", "seize the", "capture the", "collect the", "collect a"]
-NAME = "[A-Z][A-Za-z'-]*"
-ACQUIRE = rf"(?i)\b(?:{'|'.join(ACQUIRED)})\s+({NAME}(?:\s+(?:of\s+{NAME}|{NAME}|a\s+{NAME}|the\s+{NAME})){{0,3}})"
-HAVE = rf"(?i)\bif you have (?:already )?(?:the|a|an)\s+({NAME}(?:\s+(?:of\s+{NAME}|{NAME})){{0,3}})\b"
-ARTIFACT = rf"\b({NAME}\s+of\s+{NAME})\b"
+ACQUIRE = r"(?i)\b(?:you may take|take its|take the|take a|take an|you take the|you find the|you find a|you find an|you find a small|you obtain the|you obtain a|you receive the|you receive a|you gain the|you gain a|you discover the|you discover a|add the|add a|add to your|give you a|gives you a|hand you a|buy the|buy a|purchase the|purchase a|seize the|capture the|collect the|collect a)\s+([A-Z][A-Za-z''-]*(?:\s+(?:of\s+[A-Z][A-Za-z''-]*|[A-Z][A-Za-z''-]*|a\s+[A-Z][A-Za-z''-]*|the\s+[A-Z][A-Za-z''-]*)){0,3})"
+HAVE = r"(?i)\bif you have (?:already )?(?:the|a|an)\s+([A-Z][A-Za-z''-]*(?:\s+(?:of\s+[A-Z][A-Za-z''-]*|[A-Z][A-Za-z''-]*)){0,3})\b"
+ARTIFACT = r"\b([A-Z][a-zA-Z''-]*\s+of\s+[A-Z][a-zA-Z''-]*)\b"
 ITEM = rf"(?i)\b(?:{'|'.join(ITEM_WORDS)})s?\b"
-SPELL = rf"(?i)\b(?:spell of|called |known as |incantation of |word of power|cast the spell|the spell|learn the|learned the|teach you|taught you)\s+({NAME}(?:\s+{NAME}){{0,2}})\b"
+SPELL = r"(?i)\b(?:spell of|called |known as |incantation of |word of power|cast the spell|the spell|learn the|learned the|teach you|taught you)\s+([A-Z][a-zA-Z''-]*(?:\s+[A-Z][a-zA-Z''-]*){0,2})\b"
 MENTION = r"(?i)\b(you\s+(?:find|discover|obtain|receive|acquire)\s+(?:a\s+|an\s+|the\s+)?([a-z][a-z '.-]{2,20}))"
 NOTE = r"(?i)(whenever[^.!?\n]{0,160}\.)|(score\s+a\s+hit[^.!?\n]{0,120}\.)|(hits\s+you\s+during\s+the\s+battle[^.!?\n]{0,120}\.)|(roll\s+one\s+die[^.!?\n]{0,120}\.)"
 ROLL = r"(?i)roll\s+(one\s+die|two\s+dice|three\s+dice)\s*\.\s*add\s+(\d+)\s+to\s+the\s+result\s*\.\s*[^.]{0,140}\b"

@@ -79,17 +79,6 @@ def test_orphans_by_three_signals(spark):
     assert got[51, 2] == apart(cases[1][2]) and got[50, 4] == a and (50, 2) in got
 
 
-def test_orphan_query_recovers_sections(spark):
-    from foliant.plans import QUERIES
-    from foliant.sources.corpus import sections
-
-    d = "/root/testdata/sf0.001"
-    true = {(r[0], r[1]): r[2] for r in sections(spark, d).select("book_id", "section_number", "content").collect()}
-    got = {(r[0], r[1]): r[2] for r in QUERIES["orphan_sections"](spark, d).collect()}
-    for kind in range(3):
-        assert sum(got.get(k) == t for k, t in true.items() if k[1] % 3 == 2 and k[0] % 3 == kind and t != segment.MISSING) >= 10, kind
-
-
 def test_book_quality(spark):
     """Each check alone makes a book need attention."""
     fine = lambda n: {k: "x" * 400 for k in range(1, n + 1)}
@@ -143,13 +132,6 @@ def test_whole_drawings_are_found():
     assert layout.regions(page) == []
 
 
-def test_illustrations_query(spark):
-    from foliant.plans import QUERIES
-
-    got = {r["page_id"]: (r["top"], r["height"]) for r in QUERIES["art_illustrations"](spark, "/root/testdata/sf0.001").collect()}
-    assert len(got) == 25 and all(top <= 160 - 6 and top + height >= 328 + 8 * (k % 8) for k, (top, height) in got.items())
-
-
 def test_lines_and_paragraphs(spark):
     words = [(1, 10.0, 100.0, 90.0, "b"), (1, 0.0, 101.0, 90.5, "a"), (1, 0.0, 80.0, 70.0, "c")]
     got = [tuple(r)[1:] for r in layout.group_lines(spark.createDataFrame(words, "page_id long, left double, top double, bottom double, text string")).orderBy("line").collect()]
