@@ -152,6 +152,22 @@ def paragraphs(lines: DataFrame, factor: float = 1.4) -> DataFrame:
     return out.where(F.col("text") != "")
 
 
+def extract_blocks(words: DataFrame) -> DataFrame:
+    """book_id, seq, page, logical_page, text, top_fraction, font_size, is_bold: the blocks of books in reading order, from the words of their pages.
+
+    words: book_id, page, page_width, page_height, left, right, top, bottom (both from the page's lower edge), text, is_bold. Wide
+    pages are cut in two at their middle (see page_columns), words grouped to lines and lines to paragraphs, each on its own half
+    of a page. seq orders a book's blocks by page, half and paragraph.
+    """
+    halves = page_columns(words.withColumn("page_id", F.col("page").cast("long")))
+    half = F.struct("book_id", F.col("page").cast("int").alias("page"), "logical_page", F.col("page_height").cast("double").alias("page_height"))
+    lines = group_lines(halves.withColumn("page_id", half)).withColumn("page_height", F.col("page_id.page_height"))
+    blocks = paragraphs(lines.withColumnRenamed("line", "n")).select("page_id.*", "paragraph", "text", "top_fraction", "font_size", "is_bold")
+    right = (F.col("logical_page") == F.col("page") * 2).cast("int")
+    seq = (F.col("page").cast("long") * 2 + right) * 100_000 + F.col("paragraph")
+    return blocks.select("book_id", seq.alias("seq"), "page", "logical_page", "text", "top_fraction", "font_size", "is_bold")
+
+
 def is_double_page(pages: DataFrame) -> DataFrame:
     """book_id, is_double: by the votes of pages 6 to 8 (book_id, page, width, height), of which half or one at least must be more than 1.15 times as wide as high."""
     votes = pages.groupBy("book_id").agg(F.count_if(F.col("page").between(6, 8)).alias("n"), F.count_if(F.col("page").between(6, 8) & (F.col("width") > F.col("height") * 1.15)).alias("wide"))

@@ -252,3 +252,20 @@ def adventure_responses(s, d):
     key = F.col("o_orderkey")
     runs = table(s, d, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderstatus") == "F").alias("is_complete"), key.alias("id"), F.concat(F.lit("Book "), F.col("o_custkey").cast("string")).alias("book_title"), (key % 500).alias("current_section"), (key % 7).alias("skill"), (key % 20).alias("stamina"), (key % 6).alias("luck"), F.col("o_orderdate").alias("updated_at"))
     return players.response(runs, "adventure")
+
+
+@query(f"SELECT {KEY}, trim(regexp_replace(content, ' +', ' ', 'g')) AS content FROM S WHERE content <> '{MISSING}'")
+def extracted_sections(s, d):
+    """Books set on pages of two columns, word by word, and read again: words to columns, lines, paragraphs, and sections by their headers."""
+    every = lines(s, d).select("book_id", "section_number", "n", "text")
+    heads = every.select(*IDS).distinct().select("book_id", "section_number", F.lit(-1).cast("long").alias("n"), F.col("section_number").cast("string").alias("text"))
+    column = F.floor((F.col("section_number") - 1) / 2)
+    rows = heads.unionByName(every.withColumn("n", F.col("n").cast("long"))).withColumn("column", column)
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("book_id", "column").orderBy("section_number", "n")))
+    top = 990.0 - F.col("row") * 14
+    page = (F.floor(F.col("column") / 2) + 1).cast("int")
+    word = rows.select("book_id", page.alias("page"), F.lit(1400).alias("page_width"), F.lit(1000).alias("page_height"), "column", top.alias("top"), (top - 10).alias("bottom"), (F.col("n") < 0).alias("is_bold"), F.posexplode(F.split(F.trim("text"), " +")).alias("k", "text"))
+    left = (F.col("column") % 2) * 700 + 5 + F.col("k") * 30
+    words = word.withColumns({"left": left, "right": left + 25}).drop("column", "k")
+    settings = every.select("book_id").distinct().select("book_id", F.lit(400).alias("most"), F.lit(400).alias("ahead"), F.lit(None).cast("double").alias("larger"))
+    return segment.header_fold(layout.extract_blocks(words), settings=settings).select(*IDS, "content")
