@@ -213,7 +213,7 @@ def book_files(s, d):
     return files.exploded(files.read_books(s, f"{path}/run=first", per_line=True))
 
 
-@query("SELECT CAST(p_partkey % 5 AS BIGINT) AS book, CAST(p_partkey // 5 + 1 AS INT) AS n, CAST(p_size AS INT) AS page, CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END AS side, CAST(p_partkey % 40 AS INT) AS line, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 40 + 2 AS INT) END AS \"end\" FROM part", books=False)
+@query("SELECT CAST(p_partkey % 5 AS BIGINT) AS book, CAST(p_partkey // 5 + 1 AS INT) AS n, CAST(p_size AS INT) AS page, CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END AS side, CAST(p_partkey % 40 AS INT) AS line, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 40 + 2 AS INT) ELSE -1 END AS stop FROM part", books=False)
 def manifest_files(s, d):
     """Manifests of five books as files, read by the names of their folders."""
     key = F.col("p_partkey")
@@ -223,7 +223,7 @@ def manifest_files(s, d):
     # a file for each book: five folders, whatever the table's size
     books.select("book", F.to_json(F.struct("entries")).alias("value")).repartition("book").write.partitionBy("book").option("pathGlobFilter", "*.json").text(path)
     rows = s.read.schema("entries array<struct<n: int, page: int, side: string, line: int, `end`: int>>, book long").json(path, multiLine=True)
-    return rows.select("book", F.inline("entries"))
+    return rows.select("book", F.inline("entries")).withColumn("stop", F.coalesce("end", F.lit(-1))).drop("end")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY book_id, section_number ORDER BY n) AS k FROM L),
