@@ -27,7 +27,7 @@ def page_number_filter(blocks: DataFrame, band: float = 0.9, most: int = 400) ->
 
 
 def header_fold(blocks: DataFrame, most: int = 400, settings: DataFrame | None = None) -> DataFrame:
-    """book_id, section_number, content, discarded: blocks (book_id, seq, page, text, font_size, is_bold) cut at section headers.
+    """book_id, section_number, content, discarded, page: blocks (book_id, seq, page, text, font_size, is_bold) cut at section headers; page: that of the header.
 
     A number is a header if it is in sequence, set larger or bold, or a plausible restart after a gap of pages; other
     numbers are text. The first section of a number stays, a later one is kept as discarded (the last one). A book's blocks
@@ -44,9 +44,11 @@ def header_fold(blocks: DataFrame, most: int = 400, settings: DataFrame | None =
         current, expected, last, last_page, buffer = 0, 1, 0, 1, []
         done: dict[int, str] = {}
         dropped: dict[int, str] = {}
+        pages: dict[int, int] = {}
 
         def flush() -> None:
             if current:
+                pages.setdefault(current, last_page)
                 (dropped if current in done else done)[current] = "\n\n".join(buffer)
 
         for r in book:
@@ -64,11 +66,33 @@ def header_fold(blocks: DataFrame, most: int = 400, settings: DataFrame | None =
             if current:
                 buffer.append(text)
         flush()
-        return [(n, done[n], dropped.get(n)) for n in sorted(done)]
+        return [(n, done[n], dropped.get(n), pages[n]) for n in sorted(done)]
 
     kept = blocks.select("book_id", "seq", "page", "text", "font_size", "is_bold")
     own = None if settings is None else settings.select("book_id", "most", "ahead", "larger")
-    return folded(kept, "book_id", "seq", fold, "section_number int, content string, discarded string", own)
+    return folded(kept, "book_id", "seq", fold, "section_number int, content string, discarded string, page int", own)
+
+
+def parse_books(blocks: DataFrame, settings: DataFrame, band: float = BAND, page_number_band: float = 0.9) -> DataFrame:
+    """book_id, section_number, content, image_path, has_combat: whole books from their blocks (book_id, seq, page, text, top_fraction, font_size, is_bold).
+
+    settings: book_id, slug, most, ahead, larger (see header_fold), a row for each book; books without are left out. Headers, footers and page numbers
+    go, sections are cut at their headers, lost ones recovered from the text before them, shifted ones put back, and the numbers
+    that are left get the placeholder. A recovered section has the image of the one it was in, a placeholder none.
+    """
+    limits = settings.select("book_id", F.col("most").alias("n_sections"))
+    number = section_number(F.col("text"), 9999)
+    inner = inside_band(blocks, band).join(limits, "book_id")
+    body = inner.where(~((F.col("top_fraction") > page_number_band) & F.coalesce(number <= F.col("n_sections"), F.lit(False)))).drop("n_sections")
+    cut = header_fold(body, settings=settings)
+    recovered = split_orphans(cut.select("book_id", "section_number", "content"), limits)
+    spare = cut.select("book_id", "section_number", "discarded", "page")
+    moved = rebalance_shifted(with_junk(recovered.join(spare.drop("page"), ["book_id", "section_number"], "left")))
+    held = fill_gaps(moved, limits).join(spare.drop("discarded"), ["book_id", "section_number"], "left").join(settings.select("book_id", "slug"), "book_id")
+    before = F.last("page", ignorenulls=True).over(Window.partitionBy("book_id").orderBy("section_number").rowsBetween(Window.unboundedPreceding, 0))
+    content, real = F.col("content"), F.col("content") != MISSING
+    fights = content.contains("SKILL") & content.contains("STAMINA")
+    return held.select("book_id", "section_number", "content", F.when(real, image_path(F.col("slug"), before)).alias("image_path"), fights.alias("has_combat"))
 
 
 def manifest_sections(lines: DataFrame, manifest: DataFrame) -> DataFrame:

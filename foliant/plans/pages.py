@@ -235,7 +235,7 @@ def repeated_headers(s, d):
     at = F.col("section_number") * 10_000 + n * 5_000
     heads = rows.select(*IDS, n.alias("n")).distinct().select("book_id", at.cast("long").alias("seq"), F.col("section_number").cast("string").alias("text"), *style(True))
     body = rows.select("book_id", (at + F.col("n") + 1).cast("long").alias("seq"), "text", *style(False))
-    return segment.header_fold(heads.unionByName(body))
+    return segment.header_fold(heads.unionByName(body)).drop("page")
 
 
 @query(f"SELECT c_custkey AS id, c_mktsegment AS plan, coalesce(({players.STATES})[c_custkey % 6 + 1], CAST(c_custkey % 6 AS VARCHAR)) AS status, c_name AS started_at, CAST(NULL AS VARCHAR) AS expires_at, CAST(NULL AS VARCHAR) AS renews_at FROM customer", books=False)
@@ -269,3 +269,24 @@ def extracted_sections(s, d):
     words = word.withColumns({"left": left, "right": left + 25}).drop("column", "k")
     settings = every.select("book_id").distinct().select("book_id", F.lit(400).alias("most"), F.lit(400).alias("ahead"), F.lit(None).cast("double").alias("larger"))
     return segment.header_fold(layout.extract_blocks(words), settings=settings).select(*IDS, "content")
+
+
+@query(f""", C AS (SELECT S.*, len(string_split(content, chr(10))) AS n_lines FROM S),
+  D AS (SELECT C.*, section_number % 2 = 0 AND coalesce(lag(n_lines) OVER (PARTITION BY book_id ORDER BY section_number) <= 2, false) AS lost FROM C)
+  SELECT book_id, CAST(section_number AS INT) AS section_number, CASE WHEN lost THEN '{MISSING}' WHEN content = '{MISSING}' THEN 'Nothing is written here.' ELSE replace(content, chr(10), chr(10) || chr(10)) END AS content,
+    CASE WHEN NOT lost THEN '/assets/game-art/book_' || book_id || '/p' || (section_number // 3 + 1) || '_i0.png' END AS image_path, NOT lost AND contains(content, 'SKILL') AND contains(content, 'STAMINA') AS has_combat FROM D""")
+def parsed_books(s, d):
+    """Whole books from blocks with running heads and page numbers. Headers of some short sections' successors are lost with their texts: nothing tells them, so they get the placeholder."""
+    n = F.col("section_number")
+    said = F.when(F.col("content") == MISSING, "Nothing is written here.").otherwise(F.col("content"))
+    every = sections(s, d).withColumn("lines", F.split(said, "\n"))
+    before = F.lag(F.size("lines")).over(Window.partitionBy("book_id").orderBy("section_number"))
+    kept = every.withColumn("before", before).where(~((n % 2 == 0) & F.coalesce(F.col("before") <= 2, F.lit(False))))
+    page = (F.floor(n / 3) + 1).cast("int")
+    block = lambda rows, seq, text, top: rows.select("book_id", seq.cast("long").alias("seq"), page.alias("page"), text.alias("text"), F.lit(top).alias("top_fraction"), F.lit(10.0).alias("font_size"), F.lit(False).alias("is_bold"))
+    heads = block(kept, n * 1000, n.cast("string"), 0.5)
+    body = block(kept.select("book_id", "section_number", F.posexplode("lines").alias("k", "line")), n * 1000 + F.col("k") + 1, F.col("line"), 0.5)
+    first = every.where(n % 3 == 0)
+    noise = block(first, n * 1000 - 3, F.lit("A BOOK OF ROADS"), 0.02).unionByName(block(first, n * 1000 - 2, F.floor(n / 3).cast("string"), 0.95))
+    settings = every.groupBy("book_id").agg(F.max(n).cast("int").alias("most")).select("book_id", F.concat(F.lit("book_"), F.col("book_id").cast("string")).alias("slug"), "most", F.lit(400).alias("ahead"), F.lit(None).cast("double").alias("larger"))
+    return segment.parse_books(heads.unionByName(body).unionByName(noise), settings)

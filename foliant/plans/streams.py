@@ -35,5 +35,5 @@ def session_states_stream(s, d):
     moves = table(s, d, "events").select("user_id", "ts", F.col("event_id").alias("tie"), F.when(F.col("event_type") != "error", (F.col("event_id") % 400 + 1).cast("int")).alias("section"))
     states = session_stream(in_batches(s, moves, "tie"), late="400 days")
     path = scratch(s, "sessions")
-    run_to_end(lambda: keep_latest(states, path, scratch(s, "sessions-checkpoint"), ["user_id"], ["moves"], 8, mode="update"))
+    run_to_end(lambda: keep_latest(states, path, scratch(s, "sessions-checkpoint"), ["user_id"], ["last", "moves"], 8, mode="update"))
     return read_keyed(s, path).select("user_id", "current", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"), "moves")

@@ -337,3 +337,30 @@ def test_orphans_of_all_books_by_a_plain_walk(spark):
     got = {(r.book_id, r.section_number): r.content for r in QUERIES["orphan_sections"](spark, d).collect()}
     differ = [k for k in want.keys() | got.keys() if want.get(k) != got.get(k)]
     assert not differ, (len(differ), len(want), differ[:3], want.get(differ[0]), got.get(differ[0]))
+
+
+def test_books_parsed_whole(spark):
+    a, b = "The room is dark and the way goes on and on without an end.", "You hear a quiet voice that sings behind the door."
+    text = [("THE BOOK", 0.01), ("1", 0.5), (a, 0.5), ("1", 0.93), ("If you dare, turn to 4.", 0.5), (b, 0.5), (a, 0.5), ("3", 0.5), ("ORC SKILL 5 STAMINA 6", 0.5), ("9", 0.93), ("end", 0.99)]
+    blocks = [(7, k, 2 if k < 7 else 5, t, top, 10.0, False) for k, (t, top) in enumerate(text)] + [(8, 0, 1, "1", 0.5, 10.0, False), (8, 1, 1, "alone", 0.5, 10.0, False), (9, 0, 1, "1", 0.5, 10.0, False)]
+    df = spark.createDataFrame(blocks, "book_id long, seq long, page int, text string, top_fraction double, font_size double, is_bold boolean")
+    own = spark.createDataFrame([(7, "seven", 4, None, None), (8, "eight", 2, None, None)], "book_id long, slug string, most int, ahead int, larger double")
+    got = {(r.book_id, r.section_number): tuple(r)[2:] for r in segment.parse_books(df, own).collect()}
+    path = "/assets/game-art/seven/p{}_i0.png".format
+    assert got == {
+        (7, 1): (f"{a}\n\nIf you dare, turn to 4.", path(2), False),
+        (7, 2): (f"{b}\n\n{a}", path(2), False),
+        (7, 3): ("ORC SKILL 5 STAMINA 6\n\n9", path(5), True),  # no page number of a book of four sections
+        (7, 4): (segment.MISSING, None, False),
+        (8, 1): ("alone", "/assets/game-art/eight/p1_i0.png", False),
+        (8, 2): (segment.MISSING, None, False),
+    }
+
+
+def test_blocks_of_wide_and_narrow_pages(spark):
+    words = [(1, 1, 1400, 1000, x, x + 25.0, 900.0 - y, 890.0 - y, t, bold) for x, y, t, bold in [(10.0, 0.0, "7", True), (10.0, 14.0, "left", False), (40.0, 14.0, "half-", False), (10.0, 28.0, "line", False), (710.0, 0.0, "right", False), (690.0, 50.0, "across", False)]]
+    words += [(1, 2, 500, 1000, 10.0, 35.0, 500.0, 490.0, "narrow", False)]
+    df = spark.createDataFrame(words, "book_id long, page int, page_width int, page_height int, left double, right double, top double, bottom double, text string, is_bold boolean")
+    got = [tuple(r) for r in layout.extract_blocks(df).orderBy("seq").select("page", "logical_page", "text", "top_fraction", "is_bold").collect()]
+    assert [g[:3] for g in got] == [(1, 1, "7"), (1, 1, "left halfline"), (1, 2, "right"), (2, 2, "narrow")]
+    assert np.allclose([g[3] for g in got], [0.1, 0.1, 0.1, 0.5]) and [g[4] for g in got] == [True, False, False, False]
