@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +31,6 @@ class Files(InputPartition):
     names: list[str]
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    pages: list[tuple[int, int, int]]  # book, page, lines
-    files: list[str]
-
-
 class TranscriptReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.many = options["path"], int(options.get("filesPerPartition", 1))
@@ -64,15 +59,15 @@ class TranscriptReader(DataSourceReader):
 
 
 class TranscriptWriter(DataSourceWriter):
-    """Writes each page's files where they stay; the indexes, written last, say which belong to the dump."""
+    """Writes each page's files where they stay; a task that runs again writes the same. dump writes the indexes, which say what belongs to it."""
 
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+    def __init__(self, options: dict):
+        self.path = options["path"]
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         """Rows of a task in order of book, page and n (see dump): one page is in memory at a time."""
         store, root = opened(self.path)
-        done, files, held = [], [], []
+        held: list[Row] = []
 
         def page() -> None:
             book, number = held[0].book_id, held[0].page
@@ -81,10 +76,8 @@ class TranscriptWriter(DataSourceWriter):
             lines = [{"n": r.n, "side": r.side, "top": r.top, "text": r.text} for r in held]
             plain = [f"PAGE {number}  ({len(held)} lines)", *(f"{r.n:>3} {r.side} {r.top or 0:>6.3f}  {r.text}" for r in held)]
             for kind, text in (("json", json.dumps({"page": number, "lineCount": len(lines), "lines": lines}, ensure_ascii=False, indent=1)), ("txt", "\n".join(plain) + "\n")):
-                files.append(f"{folder}/Page{number:03d}.{kind}")
-                with store.open_output_stream(files[-1]) as f:
+                with store.open_output_stream(f"{folder}/Page{number:03d}.{kind}") as f:
                     f.write(text.encode())
-            done.append((book, number, len(lines)))
             held.clear()
 
         for r in rows:
@@ -93,29 +86,42 @@ class TranscriptWriter(DataSourceWriter):
             held.append(r)
         if held:
             page()
-        return Written(done, files)
+        return WriterCommitMessage()
 
-    def commit(self, messages: list[Written | None]) -> None:
-        """An index of each book written: its pages, how many lines they have, and their files. Pages of an earlier dump that aren't in this one go if it overwrites."""
-        store, root = opened(self.path)
-        books: dict[int, dict[int, int]] = {}
-        for m in messages:
-            for book, page, n in m.pages if m else ():
-                books.setdefault(book, {})[page] = n
-        for book, pages in books.items():
-            if not self.overwrite:
-                pages = {**{x["page"]: x["lines"] for x in index_of(store, f"{root}/{book}")}, **pages}
-            else:
-                for x in store.get_file_info(fs.FileSelector(f"{root}/{book}/pages")):
-                    m = re.search(r"Page(\d+)\.(?:json|txt)$", x.path)
-                    if m and int(m[1]) not in pages:
-                        store.delete_file(x.path)
-            rows = [{"page": p, "lines": n, "file": f"pages/Page{p:03d}.json"} for p, n in sorted(pages.items())]
-            with store.open_output_stream(f"{root}/{book}/index.json") as f:
-                f.write(json.dumps(rows, indent=1).encode())
-
-    def abort(self, messages: list[Written | None]) -> None:
-        """Files of a failed dump stay until the next one writes them; no index names them that didn't before."""
+
+def write_indexes(pages: DataFrame, path: str, overwrite: bool) -> None:
+    """pages: book_id, page, lines. Writes index.json of each book: its pages, how many lines they have, and their files.
+
+    Pages of an earlier index stay in it, or with ``overwrite`` their files and those of other pages go. A book's index is written by one
+    task, from a row for each of its pages; the driver gets nothing.
+    """
+
+    def write(store: fs.FileSystem, folder: str, pages: dict[int, int]) -> None:
+        if not overwrite:
+            pages = {**{x["page"]: x["lines"] for x in index_of(store, folder)}, **pages}
+        rows = [{"page": p, "lines": n, "file": f"pages/Page{p:03d}.json"} for p, n in sorted(pages.items())]
+        with store.open_output_stream(f"{folder}/index.json") as f:
+            f.write(json.dumps(rows, indent=1).encode())
+        for x in store.get_file_info(fs.FileSelector(f"{folder}/pages")) if overwrite else ():
+            m = re.search(r"Page(\d+)\.(?:json|txt)$", x.path)
+            if m and int(m[1]) not in pages:
+                store.delete_file(x.path)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(path)
+        book, held = None, {}
+        for batch in batches:
+            for b, p, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != book and held:
+                    write(store, f"{root}/{book}", held)
+                    held = {}
+                book, held[p] = b, n
+        if held:
+            write(store, f"{root}/{book}", held)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["book_id"])
+
+    dealt = pages.select("book_id", "page", "lines").repartition("book_id").sortWithinPartitions("book_id", "page")
+    dealt.mapInArrow(each, "book_id long").write.format("noop").mode("overwrite").save()
 
 
 def index_of(store: fs.FileSystem, folder: str) -> list[dict]:
@@ -137,7 +143,7 @@ class Transcripts(DataSource):
         return TranscriptReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> TranscriptWriter:
-        return TranscriptWriter(self.options, overwrite)
+        return TranscriptWriter(self.options)
 
 
 def read_transcripts(spark: SparkSession, path: str, per_task: int = 1) -> DataFrame:
@@ -152,7 +158,8 @@ def dump(lines: DataFrame, path: str, overwrite: bool = False) -> None:
     Pages are dealt to tasks whole. Pages written again are replaced; with ``overwrite`` a book's other pages go, else they stay.
     Rows without book or page are left out; lines of one n are kept in order of their text.
     """
-    lines.sparkSession.dataSource.register(Transcripts)
     rows = lines.where("book_id IS NOT NULL AND page IS NOT NULL").select(F.col("book_id").cast("long"), F.col("page").cast("int"), F.col("n").cast("int"), "side", F.col("top").cast("double"), "text")
+    rows.sparkSession.dataSource.register(Transcripts)
     dealt = rows.repartition("book_id", "page").sortWithinPartitions("book_id", "page", "n", "side", "text")
-    dealt.write.format("transcripts").mode("overwrite" if overwrite else "append").save(path)
+    dealt.write.format("transcripts").mode("append").save(path)
+    write_indexes(rows.groupBy("book_id", "page").agg(F.count(F.lit(1)).alias("lines")), path, overwrite)
