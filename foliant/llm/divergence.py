@@ -45,19 +45,23 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: how often a term occurs in a group and in how many documents; each group has a row without term (null, 0, 0)."""
 
     def handed(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-        rows = [(*group, None, 0, 0) for group in counts]
-        for group, (n, docs) in counts.items():
-            rows += [(*group, term.decode("utf-8", "replace"), k, docs[term]) for term, k in n.items()]
+        groups = list(counts)
+        of = pa.array(np.repeat(np.arange(len(groups)), [1 + len(n) for n, _ in counts.values()]))
+        terms, times, docs = [], [], []
+        for n, d in counts.values():  # both have their terms in the order in which they came
+            terms += [None, *n]
+            times += [0, *n.values()]
+            docs += [0, *d.values()]
         counts.clear()
-        columns = list(zip(*rows, strict=True)) or [()] * len(COUNTED)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTED, strict=True)], schema=COUNTED)
+        names = [pa.array([g[k] for g in groups], pa.string()).take(of) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()), pa.array(times, pa.int64()), pa.array(docs, pa.int64())], schema=COUNTED)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -66,11 +70,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for text, lang, source in zip(*(batch.column(c) for c in ("text", "lang", "source")), strict=True):
                 n, docs = counts.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
                 held -= len(n)
-                own: set[bytes] = set()
+                own: dict[bytes, None] = {}
                 for some in terms_of(text.as_py()):
                     n.update(some)
-                    own.update(some)
-                docs.update(own)
+                    own.update(dict.fromkeys(some))
+                docs.update(own.keys())
                 held += len(n)
                 if held > HELD:
                     yield handed(counts)
@@ -78,7 +82,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield handed(counts)
 
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")))
-    counted = rows.mapInArrow(work, "lang string, source string, term string, n long, docs long")
+    counted = rows.mapInArrow(work, "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
