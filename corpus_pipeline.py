@@ -15,6 +15,18 @@ from foliant.llm.shared import stored
 from foliant.llm.token_records import token_records
 from foliant.llm.toxicity import toxicity
 
+#: Rows and bytes that Spark hands to Python at once, at most: a worker and its JVM each hold such a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, so that stages that follow one another leave room for each other's workers."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes  # of "64m"
+    for name, most, number in (("maxRecordsPerBatch", BATCH_ROWS, int), ("maxBytesPerBatch", BATCH_BYTES, size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = number(spark.conf.get(key))
+        spark.conf.set(key, str(min(now, most) if now > 0 else most))
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an expected severity under the limit, by a classifier fitted on the labelled ones among them.
@@ -22,6 +34,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     All columns stay, whatever their names. Null and blank texts have no severity and stay, as all do without usable labels;
     repeated rows share their fate; an empty table stays empty.
     """
+    in_small_batches(spark)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
     return toxicity(row, table(spark, sf_dir, "labels")).where("not rejected").select("row.*")
 
@@ -32,6 +45,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and blank texts are linked with nothing and stay; rows that repeat id and text count once; all columns stay; an
     empty table stays empty.
     """
+    in_small_batches(spark)
     return near_dedup(docs)
 
 
@@ -41,6 +55,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null texts hold nothing and stay; items without words are in nothing; repeated rows share their fate; all columns stay; an
     empty table on either side changes nothing.
     """
+    in_small_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -59,6 +74,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     In ascending doc_id order, null last, rows of one id by a hash of their text. Null and empty texts have the end id alone;
     other columns don't matter; an empty table gives no files and no rows.
     """
+    in_small_batches(spark)
     return token_records(docs, TOKENIZER)
 
 
