@@ -11,22 +11,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.decontaminate import APART
-from foliant.llm.kernels import column_bytes, pieces, word_hashes
+from foliant.llm.kernels import LOW_BYTES, LOWER, M1, column_bytes, eights, mixed, pieces, span_hashes, spans
 from foliant.llm.shared import stored
 
 #: Labelled rows that the classifier is fitted on at most (the least hashes of doc_id), and grades.
 SAMPLE, GRADES = 12_000, 3
-#: A word is a feature if labelled toxic texts have it more often than others by so many standard errors, and at least so many of them.
+#: A word or a beginning of words is a feature if labelled toxic texts have it more often than others by so many standard errors, and at least so many of them.
 SCORE, LEAST = 5.0, 4
-#: Features at most: the words of the highest scores.
+#: Features at most: the words and beginnings of the highest scores.
 FEATURES = 4096
+#: Bytes of the beginnings of a word: inflected and compound words, each of them rare, share those of their stem.
+BEGINNINGS = (4, 5, 6, 7, 8)
+APART_BY = np.array(BEGINNINGS, dtype=np.uint64) * M1
+#: Precision of the normal prior of each weight, against the sum over all labelled texts: it doesn't grow with their number.
+PRIOR = 0.25
 #: Texts of this expected severity or more are rejected.
 REJECT = 0.5
 
 
 @dataclass(frozen=True)
 class Ordinal:
-    """P(grade <= k) = 1 / (1 + exp(weights . x - thresholds[k])), one weight vector for all thresholds; x: log(1 + count) of each word."""
+    """P(grade <= k) = 1 / (1 + exp(weights . x - thresholds[k])), one weight vector for all thresholds; x: log(1 + count) of each word or beginning of words."""
 
     words: np.ndarray  # sorted hashes
     weights: np.ndarray
@@ -37,7 +42,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - x[:, None], -60, 60)))
 
     def linear(self, hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """weights . x of each row, from the hashes of all its words."""
+        """weights . x of each row, from the hashes of all its words and their beginnings."""
         if not len(self.words) or not len(hashes):
             return np.zeros(rows)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
@@ -50,7 +55,7 @@ def fit(words: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.
     """words: the sorted hashes of the features; rows: which of them each labelled text has, and how often; toxic: 0 or 1.
 
     Labels say toxic or not; the grade of a toxic text is 1 plus how many of the middle quantiles (of toxic texts) its count
-    of toxic words exceeds. Without features every grade is 0.
+    of features exceeds. Without features every grade is 0.
     """
     if not len(words):
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, 60.0))
@@ -86,10 +91,18 @@ def fit(words: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows: first row, last row + 1, hashes of their words, each followed by those of its beginnings, and where each row's begin."""
     data, offsets = column_bytes(column)
     for a, b, part, at in pieces(data, offsets):
-        hashes, rows = word_hashes(part, at, APART)
-        yield a, b, hashes, rows
+        low = LOWER[part]
+        starts, ends, rows = spans(low, at, APART)
+        first, sizes = eights(low)[starts], ends - starts
+        hashes, there = np.empty((len(starts), 1 + len(BEGINNINGS)), np.uint64), np.ones((len(starts), 1 + len(BEGINNINGS)), bool)
+        hashes[:, 0] = span_hashes(low, starts, ends)
+        for k, n in enumerate(BEGINNINGS):
+            hashes[:, k + 1] = mixed((first & LOW_BYTES[n]) ^ APART_BY[k])
+            there[:, k + 1] = sizes >= n
+        yield a, b, hashes[there], np.append(0, np.cumsum(there.sum(axis=1)))[rows]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -103,8 +116,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> Ordinal:
     """Fits on at most ``sample`` labelled rows; labels: doc_id, toxic (null: no label).
 
-    Words are counted and chosen by Spark; the driver gets the chosen ones (``most`` at most, by score) and, of each labelled text,
-    which of them it has.
+    Words and their beginnings are counted and chosen by Spark; the driver gets the chosen ones (``most`` at most, by score) and, of
+    each labelled text, which of them it has.
     """
     texts = labelled(docs, labels, sample)
 
@@ -143,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     if not len(features):
         return fit(features, [], np.zeros(0))
     rows = sorted(tuple(r) for r in texts.mapInArrow(held, "toxic int, at binary, counts binary").collect())  # an order that does not depend on the layout
-    return fit(features, [(np.frombuffer(r[1], "<i4").astype(np.int64), np.frombuffer(r[2], "<u4").astype(float)) for r in rows], np.array([r[0] for r in rows], dtype=np.int64))
+    counts = [(np.frombuffer(r[1], "<i4").astype(np.int64), np.frombuffer(r[2], "<u4").astype(float)) for r in rows]
+    return fit(features, counts, np.array([r[0] for r in rows], dtype=np.int64), decay=PRIOR / len(rows))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:

@@ -301,6 +301,30 @@ def test_toxicity_of_giant_texts(spark):
     assert all(got[k].rejected == bool(k % 2) for k in range(200))
 
 
+def test_toxic_stems_are_known_by_rare_forms(spark):
+    """Each form of a stem is rare, and some unlabelled texts have forms that no labelled text has; a single toxic word suffices."""
+    from foliant.llm.toxicity import toxicity
+
+    rng = np.random.default_rng(21)
+    tails = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(400)]
+    clean = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "été"], 30 + k % 9))
+    docs = [(k, clean(k) + (f" größt{tails[k]}" * (1 + k % 3) if k % 5 == 0 else "")) for k in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(250)], "doc_id long, toxic int")
+    assert sorted(r.doc_id for r in toxicity(df, labels).where("rejected").collect()) == list(range(0, 400, 5))
+
+
+def test_toxic_labels_of_sf01(spark):
+    """Of the labelled toxic texts (a twentieth have no sign of it) nine tenths are rejected, of the others a hundredth at most; half of the labels are not learnt from."""
+    from foliant.llm.toxicity import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    for known, least in ((labels, 0.9), (labels.where("crc32(cast(doc_id as string)) % 2 = 0"), 0.87)):
+        of = labels.withColumnRenamed("doc_id", "of").join(known.select("doc_id"), F.col("of") == F.col("doc_id"), "left_anti" if known is not labels else "left_semi")
+        got = {r.toxic: r.share for r in toxicity(docs, known).join(of, F.col("doc_id") == F.col("of")).groupBy("toxic").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+        assert got[1] >= least and got[0] <= 0.01, got
+
+
 def test_large_benchmarks_are_joined(spark):
     """The join finds what the sketches in memory find, also of repeated rows and items, with all columns and without a sketch on the driver."""
     from foliant.llm import decontaminate as d
