@@ -51,7 +51,7 @@ class Model:
     def hidden(self, ids: np.ndarray, absent: np.ndarray) -> tuple:
         """ids: classes of windows; absent: how many positions at the front are no text. What is computed for the latter half of positions, r last."""
         w = self.weights
-        x = w["embed"].take(ids, axis=0)
+        x = w["embed"].take(ids, axis=0, mode="clip", out=self.space("x", ids.size, WIDTH).reshape(*ids.shape, WIDTH))
         x += w["place"]
         qkv = np.matmul(_rows(x), self.projections(), out=self.space("qkv", ids.size, 3 * WIDTH)).reshape(len(ids), WINDOW, 3 * WIDTH)
         q, k, v = qkv[:, HALF:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
@@ -63,13 +63,13 @@ class Model:
     def chances(self, r: np.ndarray, targets: np.ndarray) -> tuple:
         """For rows r: probabilities of all groups, and, rows in order of their target's group, of all members of that; that order and where its groups begin."""
         w = self.weights
-        outer = r @ w["out"]
+        outer = np.matmul(r, w["out"], out=self.space("outer", len(r), GROUPS))
         outer += w["out_bias"]
         _softmax(outer)
-        group = targets // MEMBERS
+        group = (targets // MEMBERS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        ranked, inner = r.take(order, axis=0), self.space("inner", len(r), MEMBERS)
+        bounds = [0, *np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()]
+        ranked, inner = r.take(order, axis=0, mode="clip", out=self.space("ranked", len(r), WIDTH)), self.space("inner", len(r), MEMBERS)
         for g, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if a < b:
                 np.matmul(ranked[a:b], w["inner"][g], out=inner[a:b])
@@ -104,7 +104,7 @@ class Model:
                 d[~some] = 0
             d *= np.float32(1 / n)
         g = {"out": _rows(r).T @ outer, "out_bias": outer.sum(axis=0), "inner": np.zeros(SHAPES["inner"], np.float32), "inner_bias": np.zeros(SHAPES["inner_bias"], np.float32)}
-        back = np.empty_like(ranked)
+        back = self.space("back", len(ranked), WIDTH)
         for c, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if i < j:
                 np.matmul(ranked[i:j].T, inner[i:j], out=g["inner"][c])
@@ -127,14 +127,15 @@ class Model:
         ds *= SCALE
         dqkv[:, HALF:, :WIDTH], dqkv[:, :, WIDTH : 2 * WIDTH], dqkv[:, :, 2 * WIDTH :] = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
         g |= dict(zip(("query", "key", "value"), np.hsplit(_rows(x).T @ _rows(dqkv), 3), strict=True))
-        dx = (_rows(dqkv) @ self.projections().T).reshape(x.shape)
+        dx = np.matmul(_rows(dqkv), self.projections().T, out=self.space("dx", ids.size, WIDTH)).reshape(x.shape)
         dx[:, HALF:] += dh
         g["place"] = dx.sum(axis=0)
-        order = np.argsort(ids, axis=None, kind="stable")
-        sorted_ids = ids.ravel()[order]
+        flat = ids.ravel().astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
+        sorted_ids = flat[order]
         first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
         g["embed"] = np.zeros((CLASSES, WIDTH), np.float32)
-        g["embed"][sorted_ids[first]] = np.add.reduceat(_rows(dx).take(order, axis=0), first, axis=0)
+        g["embed"][sorted_ids[first]] = np.add.reduceat(_rows(dx).take(order, axis=0, mode="clip", out=self.space("sorted", ids.size, WIDTH)), first, axis=0)
         return loss, g
 
     def score(self, ids: np.ndarray) -> float:
@@ -166,11 +167,11 @@ class Model:
             there = (s[:, None] + np.arange(HALF)) < n[t][:, None]
             at = np.clip(at, 0, len(padded) - 1)
             own = table[at]
-            q, k, v = (by_class[m].take(own[:, b:], axis=0) for m, b in (("query", HALF), ("key", 0), ("value", 0)))
+            q, k, v = (by_class[m].take(own[:, b:], axis=0, mode="clip", out=self.space(m, own[:, b:].size, WIDTH).reshape(len(own), WINDOW - b, WIDTH)) for m, b in (("query", HALF), ("key", 0), ("value", 0)))
             q += by_place["query"][HALF:]
             k += by_place["key"]
             v += by_place["value"]
-            h = w["embed"].take(own[:, HALF:], axis=0)
+            h = w["embed"].take(own[:, HALF:], axis=0, mode="clip", out=self.space("x", own[:, HALF:].size, WIDTH).reshape(len(own), HALF, WIDTH))
             h += w["place"][HALF:]
             h += _attention(q, k, absent) @ v
             h = _rows(h)

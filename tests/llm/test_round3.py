@@ -398,3 +398,24 @@ def test_lists_of_many_nodes_take_several_rounds(spark, monkeypatch):
     assert all(want[k] == k - k % 3 for k in want)
     monkeypatch.setattr(j, "MOST_PIVOTS", 2)
     assert {r.doc_id: r.component_id for r in j.jaccard_components(df).collect()} == want
+
+
+def test_lm_steps_fill_the_same_arrays():
+    """After a first step no step makes arrays of all positions or targets anew beyond a few, and what a smaller step leaves in them changes nothing."""
+    import tracemalloc
+
+    from foliant.llm.lm_scoring import CLASSES, HALF, STEP, WIDTH, WINDOW, Model, _first_weights
+
+    rng = np.random.default_rng(8)
+    model, fresh = (Model(_first_weights(1, np.arange(CLASSES)), None, None, 0) for _ in range(2))
+    args = lambda n: (x := rng.integers(0, CLASSES, (n, WINDOW + 1)), np.zeros(n, np.int64), np.full(n, HALF))
+    steps = [args(n) for n in (STEP, 5, STEP)]
+    peak = []
+    for x, absent, many in steps:
+        tracemalloc.start()
+        loss, g = model.step(x[:, :-1], absent, x[:, HALF + 1 :], many)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    want, h = fresh.step(x[:, :-1], absent, x[:, HALF + 1 :], many)
+    assert loss == want and all(np.array_equal(g[k], h[k]) for k in g)
+    assert peak[2] < 8 * STEP * WINDOW * WIDTH * 4, peak
