@@ -26,7 +26,9 @@ PIECE, ROUNDS, BLOCK, STEP, RATE = 16, 3, 64, 128, 0.01
 SHARD_IDS = 4_000_000
 #: Windows scored at once (their logits stay in a core's cache), text bytes encoded or counted together, rows at most, and texts of a chunk from which a word is dealt as a count.
 SCORED, CHUNK_BYTES, CHUNK_ROWS, SHARED = 256, 8 << 20, 60_000, 32
-#: Logits under this need no shift before they are exponentiated.
+#: Weights that are moved at once (with their moments they stay in a core's cache).
+NEAR = 1 << 14
+#: Logits under this (for attention, nearer to 0 than this) need no shift before they are exponentiated.
 SAFE = 60
 SHAPES = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "mix_bias": (WIDTH,), "out": (WIDTH, GROUPS), "out_bias": (GROUPS,), "inner": (GROUPS, WIDTH, MEMBERS), "inner_bias": (GROUPS, MEMBERS)}
 SCALE = np.float32(1 / np.sqrt(WIDTH))
@@ -50,22 +52,27 @@ class Model:
 
     def hidden(self, ids: np.ndarray, absent: np.ndarray) -> tuple:
         """ids: classes of windows; absent: how many positions at the front are no text. What is computed for the latter half of positions, r last."""
-        w = self.weights
+        w, rows = self.weights, len(ids) * HALF
         x = w["embed"].take(ids, axis=0, mode="clip", out=self.space("x", ids.size, WIDTH).reshape(*ids.shape, WIDTH))
         x += w["place"]
-        qkv = np.matmul(_rows(x), self.projections(), out=self.space("qkv", ids.size, 3 * WIDTH)).reshape(len(ids), WINDOW, 3 * WIDTH)
-        q, k, v = qkv[:, HALF:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
-        a = _attention(q, k, absent)
-        h = x[:, HALF:] + a @ v
-        z = np.tanh((_rows(h) @ w["mix"] + w["mix_bias"]).reshape(h.shape))
-        return x, q, k, v, a, h, z, h + z
+        own = self.space("own", rows, WIDTH)
+        own.reshape(len(ids), HALF, WIDTH)[:] = x[:, HALF:]
+        q = np.matmul(own, self.link(), out=self.space("q", rows, WIDTH)).reshape(len(ids), HALF, WIDTH)
+        a = _attention(q, x, absent, self.space("a", rows, WINDOW))
+        y = np.matmul(a, x, out=self.space("y", rows, WIDTH).reshape(q.shape))
+        h = np.matmul(_rows(y), w["value"], out=self.space("h", rows, WIDTH))
+        h += own
+        z = np.matmul(h, w["mix"], out=self.space("z", rows, WIDTH))
+        z += w["mix_bias"]
+        np.tanh(z, out=z)
+        return x, own, q, a, y, h, z, np.add(h, z, out=self.space("r", rows, WIDTH)).reshape(q.shape)
 
     def chances(self, r: np.ndarray, targets: np.ndarray) -> tuple:
-        """For rows r: probabilities of all groups, and, rows in order of their target's group, of all members of that; that order and where its groups begin."""
+        """For rows r: exponentials of all groups' logits and 1 / their sum, the same, rows in order of their target's group, for all members of that; these rows, that order and where its groups begin."""
         w = self.weights
         outer = np.matmul(r, w["out"], out=self.space("outer", len(r), GROUPS))
         outer += w["out_bias"]
-        _softmax(outer)
+        of_outer = _exponentials(outer)
         group = (targets // MEMBERS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
         bounds = [0, *np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()]
@@ -74,8 +81,7 @@ class Model:
             if a < b:
                 np.matmul(ranked[a:b], w["inner"][g], out=inner[a:b])
                 inner[a:b] += w["inner_bias"][g]
-        _softmax(inner)
-        return outer, inner, ranked, order, bounds
+        return outer, of_outer, inner, _exponentials(inner), ranked, order, bounds
 
     def log_chances(self, ids: np.ndarray, absent: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of all classes, at the latter half of positions."""
@@ -84,58 +90,67 @@ class Model:
         outer, inner = log(r @ self.weights["out"] + self.weights["out_bias"]), log(np.einsum("nhw,gwm->nhgm", r, self.weights["inner"]) + self.weights["inner_bias"])
         return (outer[..., None] + inner).reshape(*r.shape[:2], CLASSES)
 
-    def projections(self) -> np.ndarray:
-        return np.hstack([self.weights[c] for c in ("query", "key", "value")])
+    def link(self) -> np.ndarray:
+        """Queries and keys of vectors meet in products alone: (x query) (y key)' = x link y'. So keys, and in the same way values before they are added up, are never made."""
+        return self.weights["query"] @ self.weights["key"].T * SCALE
 
-    def step(self, ids: np.ndarray, absent: np.ndarray, targets: np.ndarray, many: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean loss over the first ``many`` targets of each window, and its gradients."""
-        w = self.weights
-        x, q, k, v, a, h, z, r = self.hidden(ids, absent)
+    def step(self, ids: np.ndarray, absent: np.ndarray, targets: np.ndarray, many: np.ndarray, into: dict[str, np.ndarray] | None = None) -> tuple[float | None, dict[str, np.ndarray]]:
+        """The mean loss over the first ``many`` targets of each window, and its gradients; these alone, put into the arrays given, if there are any."""
+        w, g = self.weights, into or {k: np.empty(s, np.float32) for k, s in SHAPES.items()}
+        x, own, q, a, y, h, z, r = self.hidden(ids, absent)
         targets = targets.ravel()
         there = (np.arange(HALF) < many[:, None]).ravel()
-        outer, inner, ranked, order, bounds = self.chances(_rows(r), targets)
+        outer, of_outer, inner, of_inner, ranked, order, bounds = self.chances(_rows(r), targets)
         rows, group, member = np.arange(len(targets)), targets // MEMBERS, targets[order] % MEMBERS
         n, seen = there.sum(), there[order]
-        loss = float(-(np.log(outer[rows, group][there] + 1e-30).sum() + np.log(inner[rows, member][seen] + 1e-30).sum()) / n)
-        outer[rows, group] -= 1
-        inner[rows, member] -= 1
+        share = np.float32(1 / n)
+        outer *= of_outer * share
+        inner *= of_inner * share
+        loss = None if into else float(-(np.log(outer[rows, group][there] * n + 1e-30).sum() + np.log(inner[rows, member][seen] * n + 1e-30).sum()) / n)
+        outer[rows, group] -= share
+        inner[rows, member] -= share
         for d, some in ((outer, there), (inner, seen)):
             if not some.all():
                 d[~some] = 0
-            d *= np.float32(1 / n)
-        g = {"out": _rows(r).T @ outer, "out_bias": outer.sum(axis=0), "inner": np.zeros(SHAPES["inner"], np.float32), "inner_bias": np.zeros(SHAPES["inner_bias"], np.float32)}
+        np.matmul(_rows(r).T, outer, out=g["out"])
+        outer.sum(axis=0, out=g["out_bias"])
         back = self.space("back", len(ranked), WIDTH)
         for c, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if i < j:
                 np.matmul(ranked[i:j].T, inner[i:j], out=g["inner"][c])
-                g["inner_bias"][c] = inner[i:j].sum(axis=0)
+                inner[i:j].sum(axis=0, out=g["inner_bias"][c])
                 np.matmul(inner[i:j], w["inner"][c].T, out=back[i:j])
-        dr = outer @ w["out"].T
-        dr[order] += back
-        dr = dr.reshape(r.shape)
-        dz = z * z
+            else:
+                g["inner"][c], g["inner_bias"][c] = 0, 0
+        dr = np.matmul(outer, w["out"].T, out=self.space("dr", len(outer), WIDTH))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        dr += back.take(place, axis=0, mode="clip", out=self.space("moved", len(order), WIDTH))
+        dz = np.multiply(z, z, out=z)
         np.subtract(1, dz, out=dz)
         dz *= dr
-        g |= {"mix": _rows(h).T @ _rows(dz), "mix_bias": _rows(dz).sum(axis=0)}
+        np.matmul(h.T, dz, out=g["mix"])
+        dz.sum(axis=0, out=g["mix_bias"])
         dh = dr
-        dh += (_rows(dz) @ w["mix"].T).reshape(dz.shape)
-        dqkv = self.space("dqkv", ids.size, 3 * WIDTH).reshape(len(ids), WINDOW, 3 * WIDTH)
-        dqkv[:, :HALF, :WIDTH] = 0
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= (ds * a).sum(axis=2, keepdims=True)
+        dh += np.matmul(dz, w["mix"].T, out=back)
+        np.matmul(_rows(y).T, dh, out=g["value"])
+        dy = np.matmul(dh, w["value"].T, out=back).reshape(q.shape)
+        dx = np.matmul(a.transpose(0, 2, 1), dy, out=self.space("dx", ids.size, WIDTH).reshape(x.shape))
+        ds = np.matmul(dy, x.transpose(0, 2, 1), out=self.space("ds", len(outer), WINDOW).reshape(a.shape))
         ds *= a
-        ds *= SCALE
-        dqkv[:, HALF:, :WIDTH], dqkv[:, :, WIDTH : 2 * WIDTH], dqkv[:, :, 2 * WIDTH :] = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-        g |= dict(zip(("query", "key", "value"), np.hsplit(_rows(x).T @ _rows(dqkv), 3), strict=True))
-        dx = np.matmul(_rows(dqkv), self.projections().T, out=self.space("dx", ids.size, WIDTH)).reshape(x.shape)
-        dx[:, HALF:] += dh
-        g["place"] = dx.sum(axis=0)
-        flat = ids.ravel().astype(np.uint16)
-        order = np.argsort(flat, kind="stable")
-        sorted_ids = flat[order]
-        first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-        g["embed"] = np.zeros((CLASSES, WIDTH), np.float32)
-        g["embed"][sorted_ids[first]] = np.add.reduceat(_rows(dx).take(order, axis=0, mode="clip", out=self.space("sorted", ids.size, WIDTH)), first, axis=0)
+        a *= _sums(ds)
+        ds -= a
+        dx += np.matmul(ds.transpose(0, 2, 1), q, out=self.space("more", ids.size, WIDTH).reshape(x.shape))
+        dq = _rows(np.matmul(ds, x, out=y))
+        link = own.T @ dq * SCALE
+        np.matmul(link, w["key"], out=g["query"])
+        np.matmul(link.T, w["query"], out=g["key"])
+        dh += np.matmul(dq, self.link().T, out=back)
+        dx[:, HALF:] += dh.reshape(q.shape)
+        dx.sum(axis=0, out=g["place"])
+        g["embed"][:] = 0
+        pairs = WIDTH // 2  # two numbers are added as one complex number: it takes half the time
+        np.add.at(g["embed"].reshape(-1).view(np.complex64), (ids.reshape(-1, 1) * pairs + np.arange(pairs)).ravel(), dx.reshape(-1).view(np.complex64))
         return loss, g
 
     def score(self, ids: np.ndarray) -> float:
@@ -158,8 +173,7 @@ class Model:
         table = self.classes[padded]
         inner = self.within[padded]
         w = self.weights
-        # vectors of a class and of a position are multiplied once, not in each window
-        by_class, by_place = {k: w["embed"] @ w[k] for k in ("query", "key", "value")}, {k: w["place"] @ w[k] for k in ("query", "key", "value")}
+        by_class, by_place = w["embed"] @ self.link(), w["place"][HALF:] @ self.link()  # once, not in each window
         for a in range(0, len(text), SCORED):
             t, s = text[a : a + SCORED], start[a : a + SCORED]
             at = shift[t][:, None] - 1 + s[:, None] + np.arange(-HALF, HALF)
@@ -167,22 +181,24 @@ class Model:
             there = (s[:, None] + np.arange(HALF)) < n[t][:, None]
             at = np.clip(at, 0, len(padded) - 1)
             own = table[at]
-            q, k, v = (by_class[m].take(own[:, b:], axis=0, mode="clip", out=self.space(m, own[:, b:].size, WIDTH).reshape(len(own), WINDOW - b, WIDTH)) for m, b in (("query", HALF), ("key", 0), ("value", 0)))
-            q += by_place["query"][HALF:]
-            k += by_place["key"]
-            v += by_place["value"]
-            h = w["embed"].take(own[:, HALF:], axis=0, mode="clip", out=self.space("x", own[:, HALF:].size, WIDTH).reshape(len(own), HALF, WIDTH))
-            h += w["place"][HALF:]
-            h += _attention(q, k, absent) @ v
-            h = _rows(h)
-            r = np.tanh(h @ w["mix"] + w["mix_bias"])
+            x = w["embed"].take(own, axis=0, mode="clip", out=self.space("x", own.size, WIDTH).reshape(*own.shape, WIDTH))
+            x += w["place"]
+            q = by_class.take(own[:, HALF:], axis=0, mode="clip", out=self.space("q", len(own) * HALF, WIDTH).reshape(len(own), HALF, WIDTH))
+            q += by_place
+            seen = np.matmul(_attention(q, x, absent, self.space("a", len(own) * HALF, WINDOW)), x, out=self.space("y", len(own) * HALF, WIDTH).reshape(q.shape))
+            h = np.matmul(_rows(seen), w["value"], out=self.space("h", len(own) * HALF, WIDTH))
+            h.reshape(q.shape)[:] += x[:, HALF:]
+            r = np.matmul(h, w["mix"], out=self.space("z", len(h), WIDTH))
+            r += w["mix_bias"]
+            np.tanh(r, out=r)
             r += h
             to = np.minimum(at[:, HALF:] + 1, len(padded) - 1)
             target = table[to].ravel()
-            outer, inner_p, _, order, _ = self.chances(r, target)
-            rows, log = np.arange(len(target)), np.empty(len(target), np.float64)
-            log[order] = np.log10(np.maximum(inner_p[rows, target[order] % MEMBERS], 1e-30))
-            log += np.log10(np.maximum(outer[rows, target // MEMBERS], 1e-30))
+            outer, of_outer, members, of_members, _, order, _ = self.chances(r, target)
+            rows, both = np.arange(len(target)), np.empty(len(target), np.float64)
+            both[order] = np.maximum(members[rows, target[order] % MEMBERS] * of_members[:, 0], 1e-30)
+            both *= np.maximum(outer[rows, target // MEMBERS] * of_outer[:, 0], 1e-30)
+            log = np.log10(both)
             log = log.reshape(to.shape) + inner[to]
             total += np.bincount(t, weights=np.where(there, log, 0).sum(axis=1), minlength=len(n))
         return total
@@ -192,24 +208,30 @@ def _rows(x: np.ndarray) -> np.ndarray:
     return x.reshape(-1, x.shape[-1])
 
 
-def _softmax(y: np.ndarray) -> None:
-    """Rows of logits to probabilities, in place."""
+def _exponentials(y: np.ndarray) -> np.ndarray:
+    """Rows of logits to exponentials, in place; returns 1 / the sum of each row."""
     if y.size and y.max() > SAFE:
         y -= y.max(axis=-1, keepdims=True)
     np.exp(y, out=y)
-    y *= 1 / (y @ np.ones(y.shape[-1], np.float32))[:, None]
+    return 1 / _sums(y)
+
 
+def _sums(y: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, which stays."""
+    return (_rows(y) @ np.ones(y.shape[-1], np.float32)).reshape(*y.shape[:-1], 1)
 
-def _attention(q: np.ndarray, k: np.ndarray, absent: np.ndarray) -> np.ndarray:
-    """Weights of all positions before and at each of the latter half, of those that are text."""
-    a = q @ k.transpose(0, 2, 1)
-    a *= SCALE
+
+def _attention(q: np.ndarray, x: np.ndarray, absent: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Weights of all positions before and at each of the latter half, of those that are text; made in space."""
+    a = np.matmul(q, x.transpose(0, 2, 1), out=space.reshape(len(q), HALF, WINDOW))
+    near = a.size and max(a.max(), -a.min()) < SAFE
     a += CAUSAL
-    if absent.any():
-        a += np.where(np.arange(WINDOW) < absent[:, None], np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
+    if (some := np.flatnonzero(absent)).size:
+        a[some] += np.where(np.arange(WINDOW) < absent[some, None], np.float32(-1e9), np.float32(0))[:, None, :]
+    if not near:
+        a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a *= 1 / a.sum(axis=2, keepdims=True)
+    a *= 1 / _sums(a)
     return a
 
 
@@ -252,6 +274,34 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+class Optimizer:
+    """Adam, in place: weights and gradients are one array each, of which a model's are views."""
+
+    def __init__(self, flat: np.ndarray) -> None:
+        self.weights, self.flat, self.n = flat.astype(np.float32), np.empty(len(flat), np.float32), 0
+        self.gradients, self.first, self.second, self.spare = _shaped(self.flat), np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty(NEAR, np.float32)
+
+    def move(self, rate: float) -> None:
+        """A step by the gradients, which are used up."""
+        self.n += 1
+        # moments are kept without their factors 0.1 and 0.01
+        root = (0.01 / (1 - 0.99**self.n)) ** 0.5
+        rate, least = 0.1 * rate / (1 - 0.9**self.n) / root, 1e-7 / root
+        for a in range(0, len(self.flat), NEAR):
+            now, grad, m, v = (x[a : a + NEAR] for x in (self.weights, self.flat, self.first, self.second))
+            spare = self.spare[: len(now)]
+            m *= 0.9
+            m += grad
+            v *= 0.99
+            grad *= grad
+            v += grad
+            np.sqrt(v, out=spare)
+            spare += least
+            np.divide(m, spare, out=grad)
+            grad *= rate
+            now -= grad
+
+
 ENCODED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary())])
 
 
@@ -270,26 +320,28 @@ def encoded(rows: DataFrame, tokenizer: str, end: int) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, tie long, held_out boolean, ids binary")
 
 
-def training_pieces(texts: DataFrame, end: int) -> DataFrame:
+def training_pieces(texts: DataFrame, end: int, rounds: int = 1, k: int = 0) -> DataFrame:
     """texts: ids. Rows (place, ids, first): the whole training texts with their ends, in pieces of PIECE windows.
 
     A piece has the HALF + 1 ids before its first target, then its targets; so each id of a text and the end are targets in
     one window of one piece. A text without ids has the end alone. Before a text's first target stand HALF positions without
     text and the end (``first``). place: a hash of the piece, its number and its doc_id, by which pieces are dealt and ordered:
-    copies of one text are dealt apart.
+    copies of one text are dealt apart. Of several rounds, only the pieces of round k are made rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         front, long, lead = np.full(HALF + 1, end, "<u2").tobytes(), 2 * PIECE * HALF, 2 * (HALF + 1)
         for batch in batches:
-            rows, first = [], []
-            place = []
+            rows, first, place = [], [], []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 own = front + ids
-                for k in range(0, len(ids), long):
-                    rows.append(own[k : k + long + lead])
-                    first.append(k == 0)
-                    place.append(int.from_bytes(hashlib.blake2b(rows[-1], digest_size=8, key=f"{doc_id} {k}".encode()).digest(), "little", signed=True))
+                for at in range(0, len(ids), long):
+                    piece = own[at : at + long + lead]
+                    to = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=f"{doc_id} {at}".encode()).digest(), "little", signed=True)
+                    if to % rounds == k:
+                        rows.append(piece)
+                        first.append(at == 0)
+                        place.append(to)
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(rows, pa.binary()), pa.array(first, pa.bool_())], names=["place", "ids", "first"])
 
     return texts.select("doc_id", "ids").mapInArrow(work, "place long, ids binary, first boolean")
@@ -366,12 +418,11 @@ def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds:
     mass = np.bincount(classes, weights=counts, minlength=CLASSES)
     within = np.log10(counts / mass[classes])
     model = Model(_first_weights(seed, mass), classes, within, end)
-    dealt = training_pieces(texts, end).withColumns({"round": F.pmod("place", F.lit(rounds)), "shard": F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int")})
     for k in range(rounds):
         flat = _flat(model.weights)
 
         def local(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, k: int = k) -> Iterator[pa.RecordBatch]:
-            shard, own, n, m, v = None, None, 0, None, None
+            shard, own, n, optimizer = None, None, 0, None
 
             def done() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([_flat(own.weights).astype("<f4").tobytes()])], names=["shard", "n", "weights"])
@@ -380,24 +431,16 @@ def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds:
                 if of != shard:
                     if shard is not None:
                         yield done()
-                    shard, own, n, m, v = of, Model(_shaped(flat.copy()), classes, within, end), 0, np.zeros_like(flat), np.zeros_like(flat)
+                    optimizer = Optimizer(flat)
+                    shard, own, n = of, Model(_shaped(optimizer.weights), classes, within, end), 0
                 rows, absent, many = piece_windows(ids, first, end)
                 order = np.random.default_rng([seed, k, shard, n]).permutation(len(rows))  # a step has windows of many texts
                 rows, absent, many = classes[rows[order]], absent[order], many[order]
                 for a in range(0, len(rows), STEP):
                     part = slice(a, a + STEP)
-                    _, g = own.step(rows[part, :-1], absent[part], rows[part, HALF + 1 :], many[part])
+                    own.step(rows[part, :-1], absent[part], rows[part, HALF + 1 :], many[part], optimizer.gradients)
                     n += 1
-                    grad, now = _flat(g), _flat(own.weights)
-                    m *= 0.9
-                    m += 0.1 * grad
-                    v *= 0.99
-                    grad *= grad
-                    v += 0.01 * grad
-                    np.sqrt(v / (1 - 0.99**n), out=grad)
-                    grad += 1e-7
-                    now -= (RATE / 2**k / (1 - 0.9**n)) * m / grad
-                    own.weights = _shaped(now)
+                    optimizer.move(RATE / 2**k)
             if shard is not None:
                 yield done()
 
@@ -409,7 +452,8 @@ def train(texts: DataFrame, last: np.ndarray, end: int, seed: int = 11, rounds:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([least], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()])], names=["shard", "n", "weights"])
 
-        made = dealt.where(F.col("round") == k).repartitionById(min(shards, tasks(spark)), F.col("shard")).sortWithinPartitions("shard", "place").select("shard", "ids", "first")
+        dealt = training_pieces(texts, end, rounds, k).withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int"))
+        made = dealt.repartitionById(min(shards, tasks(spark)), F.col("shard")).sortWithinPartitions("shard", "place").select("shard", "ids", "first")
         made = made.mapInArrow(local, "shard int, n long, weights binary")
         # averages of averages, always in the order of shards: the driver gets 16 weight vectors at most
         ranges = made.repartition(16, F.expr(f"shard * 16L div {shards}")).sortWithinPartitions("shard")

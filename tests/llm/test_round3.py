@@ -419,3 +419,38 @@ def test_lm_steps_fill_the_same_arrays():
     want, h = fresh.step(x[:, :-1], absent, x[:, HALF + 1 :], many)
     assert loss == want and all(np.array_equal(g[k], h[k]) for k in g)
     assert peak[2] < 8 * STEP * WINDOW * WIDTH * 4, peak
+
+
+def test_lm_trains_in_place():
+    """Gradients put into given arrays are those of a step of its own, without making keys and values; moves are Adam's, written out plainly."""
+    import tracemalloc
+
+    from foliant.llm.lm_scoring import CLASSES, HALF, STEP, WIDTH, WINDOW, Model, Optimizer, _first_weights, _flat, _shaped
+
+    rng, flat = np.random.default_rng(5), _flat(_first_weights(1, np.arange(CLASSES)))
+    optimizer = Optimizer(flat)
+    model, plain, m, v = Model(_shaped(optimizer.weights), None, None, 0), flat.astype(float), 0.0, 0.0
+    for n in range(1, 6):
+        x = rng.integers(0, CLASSES, (STEP, WINDOW + 1))
+        args = x[:, :-1], np.where(np.arange(STEP) % 9 == 0, HALF, 0), x[:, HALF + 1 :], np.where(np.arange(STEP) % 7 == 0, 3, HALF)
+        loss, g = Model(_shaped(optimizer.weights.copy()), None, None, 0).step(*args)
+        tracemalloc.start()
+        model.step(*args, optimizer.gradients)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        grad = optimizer.flat.astype(float)
+        assert loss > 0 and np.array_equal(_flat(g), optimizer.flat) and (n == 1 or peak < 3 * STEP * WINDOW * WIDTH * 4), peak
+        optimizer.move(0.01 / n)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        plain -= 0.01 / n / (1 - 0.9**n) * m / (np.sqrt(v / (1 - 0.99**n)) + 1e-7)
+        assert np.abs(plain - optimizer.weights).max() < 1e-4
+
+
+def test_lm_rounds_have_each_piece_once(spark):
+    from foliant.llm.lm_scoring import encoded, training_pieces
+    from foliant.llm.queries import TOKENIZER
+
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("tie"), F.lit(False).alias("held_out"), F.repeat(F.concat(F.lit("text "), F.col("id").cast("string"), F.lit(" ")), 90).alias("text"))
+    texts = encoded(rows, TOKENIZER, 49407)
+    got = [sorted(tuple(r) for r in training_pieces(texts, 49407, *deal).collect()) for deal in ((), (3, 0), (3, 1), (3, 2))]
+    assert sorted(got[1] + got[2] + got[3]) == got[0] and all(got) and [{r[0] % 3 for r in part} for part in got[1:]] == [{0}, {1}, {2}]
