@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from foliant.llm.components import roots
 from foliant.llm.kernels import M1, M2, column_bytes, mixed, pieces, ragged, shingles, word_hashes
-from foliant.llm.shared import cut, lookup, release, remove, scratch, stored, tasks
+from foliant.llm.shared import lookup, release, remove, scratch, stored, tasks
 
 #: Words of a shingle; two texts are linked when the share of common shingles is PERCENT / 100 at least.
 WIDTH, PERCENT = 5, 75
@@ -302,22 +302,23 @@ def _components(nodes: DataFrame, percent: int, root: str) -> DataFrame:
         chosen = stored(now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("comp").alias("pcomp")), "pivots", mine)
         # where two linked nodes meet first, what both have from there on holds all they share; other meetings may be dropped
         met = now.join(chosen, "token").where(f"comp <> pcomp and 100 * n >= {percent} * pn and 100 * pn >= {percent} * n and {100 + percent} * least(rest, prest) >= {percent} * (n + pn)")
-        pairs = cut(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        pairs = stored(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs", mine)
         likely = pairs.join(side("a", l="l", p="prefix"), "a").join(side("b", l="l", p="prefix"), "b").select("a", "b", "la", "lb", "pa", "pb").mapInArrow(_pairs(enough), "a long, b long")
-        likely = cut(likely)
+        likely = stored(likely, "likely", mine)
         sides = likely.join(side("a", n="n", p="prefix", r="rest"), "a").join(side("b", n="n", p="prefix", r="rest"), "b")
-        links = cut(sides.select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_pairs(verify), "a long, b long"))
+        links = stored(sides.select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_pairs(verify), "a long, b long"), "links", mine)
         if comp is not None:
             of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
             joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
             links = joined.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-        found = roots(links)
+        found = roots(links, f"{mine}/roots")
         if comp is None:
-            comp = found.withColumnRenamed("root", "comp")
+            comp = stored(found.withColumnRenamed("root", "comp"), f"comp-{turn}", root)
         else:
             grown = comp.join(found.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
             fresh = found.select("node", F.col("root").alias("comp")).join(comp.select("node"), "node", "left_anti")
-            comp = cut(grown.unionByName(fresh))
+            comp = stored(grown.unionByName(fresh), f"comp-{turn}", root)
+            remove(spark, f"{root}/comp-{turn - 1}")
         live = now.join(chosen.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").select("token", "node", "n", "alone", "rest")
         pivots, turn, folder = min(pivots * PIVOTS, MOST_PIVOTS), turn + 1, mine
         release(spark)
@@ -342,12 +343,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     remove(spark, f"{root}/sets")
     release(spark)
     full = sets.where("n > 0")
-    classes = cut(full.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    classes = stored(full.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes", root)
     comp = _components(nodes, percent, root)
     own = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    own = cut(own)
+    own = stored(own, "own", root)
     lowest = own.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
-    placed = cut(lookup(own, lowest, ["comp"], "nodes").select("node", "node2", "n", "copies", "component_id"))
+    placed = stored(lookup(own, lowest, ["comp"], "nodes").select("node", "node2", "n", "copies", "component_id"), "placed", root)
     found = lookup(full, placed, ["node", "node2", "n"], "copies")
     blank = sets.where("n = 0").select("doc_id", "tie", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", "tie", F.col("n").alias("n_shingles"), "component_id").unionByName(blank)

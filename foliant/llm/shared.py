@@ -35,7 +35,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a reliable checkpoint: later steps survive the loss of executors."""
+    """The same rows, read from a reliable checkpoint: later steps survive the loss of executors.
+
+    A checkpoint keeps Spark's estimate of its size, and estimates of joins are products: in a loop that joins its own results their
+    digits grow by a power in each pass, until they fill the driver. Loops take ``stored``, whose size is that of its files.
+    """
     shared_root(df.sparkSession)
     return df.checkpoint()
 
