@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,25 +103,33 @@ def group_lines(words: DataFrame) -> DataFrame:
     """
     bold = F.col("is_bold") if "is_bold" in words.columns else F.lit(False)
 
-    def fold(page: list[dict]) -> list[tuple]:
-        lines: list[dict] = []
-        for w in sorted(page, key=lambda w: (-w["bottom"], w["left"])):
-            near = [x for x in lines if w["bottom"] <= x["top"] and w["top"] >= x["bottom"]]
+    def fold(page: list[tuple]) -> list[tuple]:
+        lines: list[list] = []  # base, top, bottom, words
+        line: list = []
+        edges = None
+        page.sort(key=lambda w: (-w[3], w[1]))
+        for w in page:
+            _, _, top, bottom, _, _ = w
+            if edges == (top, bottom) and top >= bottom:  # as the word before: it joins the same line
+                line[3].append(w)
+                continue
+            edges = top, bottom
+            near = [x for x in lines if bottom <= x[1] and top >= x[2]]
             if near:
-                line = min(near, key=lambda x: abs(x["base"] - w["bottom"]))
-                line["top"], line["bottom"] = max(line["top"], w["top"]), min(line["bottom"], w["bottom"])
+                line = min(near, key=lambda x: abs(x[0] - bottom))
+                line[1], line[2] = max(line[1], top), min(line[2], bottom)
+                line[3].append(w)
             else:
-                line = {"base": w["bottom"], "top": w["top"], "bottom": w["bottom"], "words": []}
+                line = [bottom, top, bottom, [w]]
                 lines.append(line)
-            line["words"].append(w)
         out = []
-        for i, x in enumerate(lines):
-            own = sorted(x["words"], key=lambda w: w["left"])
-            out.append((i, " ".join(w["text"] or "" for w in own), x["top"], x["bottom"], sum(w["top"] - w["bottom"] for w in own), len(own), any(w["is_bold"] for w in own)))
+        for i, (_, top, bottom, own) in enumerate(lines):
+            own.sort(key=itemgetter(1))
+            out.append((i, " ".join([w[4] or "" for w in own]), top, bottom, sum([w[2] - w[3] for w in own]), len(own), any([w[5] for w in own])))
         return out
 
     rows = words.select("page_id", F.monotonically_increasing_id().alias("seq"), *(F.col(c).cast("double").alias(c) for c in ("left", "top", "bottom")), "text", F.coalesce(bold, F.lit(False)).alias("is_bold"))
-    return folded(rows, "page_id", "seq", fold, "line int, text string, top double, bottom double, font_total double, n_words int, is_bold boolean")
+    return folded(rows, "page_id", "seq", fold, "line int, text string, top double, bottom double, font_total double, n_words int, is_bold boolean", tuples=True)
 
 
 def paragraphs(lines: DataFrame, factor: float = 1.4) -> DataFrame:
@@ -141,14 +151,19 @@ def paragraphs(lines: DataFrame, factor: float = 1.4) -> DataFrame:
     new = F.col("first") | F.col("number") | F.col("behind") | (F.col("wide") & ~F.col("glued"))
     begins = F.when(F.col("behind") & ~F.col("number") & ~F.col("wide"), F.col("top_before")).otherwise(F.col("top"))
     rows = rows.withColumns({"new": new, "begins": begins, "hyphen": F.coalesce(after("glued"), F.lit(False))}).withColumn("paragraph", F.sum(F.col("new").cast("int")).over(page))
-    counted = F.col("paragraph") - (F.col("new") & ~F.col("first") & ~F.col("behind")).cast("int")
-    fonts = rows.groupBy("page_id", counted.alias("paragraph")).agg(F.sum("font_total").alias("fonts"), F.sum("n_words").alias("words"), F.max("is_bold").alias("bold"))
+    # the first words of a paragraph that a gap begins count for the one before
+    moved = F.col("new") & ~F.col("first") & ~F.col("behind")
+    counts = {"fonts": (F.sum, "font_total"), "words": (F.sum, "n_words"), "bold": (F.max, "is_bold")}
+    own = [f(F.when(~moved, F.col(c))).alias(name) for name, (f, c) in counts.items()] + [f(F.when(moved, F.col(c))).alias(f"{name}_before") for name, (f, c) in counts.items()]
     piece = F.concat(F.when(F.col("glued"), "").otherwise("\n"), F.when(F.col("hyphen"), F.left("text", F.length("text") - 1)).otherwise(F.col("text")))
-    held = rows.groupBy("page_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("n", piece.alias("text")))).alias("l"), F.min_by("begins", "n").alias("begins"), F.first("page_height").alias("height"))
+    held = rows.groupBy("page_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("n", piece.alias("text")))).alias("l"), F.min_by("begins", "n").alias("begins"), F.first("page_height").alias("height"), *own)
+    behind = Window.partitionBy("page_id").orderBy("paragraph")
+    given_back = lambda name, none: F.coalesce(F.lead(f"{name}_before").over(behind), none)
+    held = held.withColumns({"fonts": F.coalesce("fonts", F.lit(0.0)) + given_back("fonts", F.lit(0.0)), "words": F.coalesce("words", F.lit(0)) + given_back("words", F.lit(0)), "bold": F.coalesce("bold", F.lit(False)) | given_back("bold", F.lit(False))})
     blank = " \t\n\r\f\x0b"
     text = F.trim(F.array_join(F.transform("l", lambda x: x["text"]), ""), F.lit(blank))
     down = F.when(F.col("height") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("begins") / F.col("height")))).otherwise(0.0)
-    out = held.join(fonts, ["page_id", "paragraph"], "left").select("page_id", "paragraph", text.alias("text"), down.alias("top_fraction"), F.when(F.col("words") > 0, F.col("fonts") / F.col("words")).otherwise(0.0).alias("font_size"), F.coalesce("bold", F.lit(False)).alias("is_bold"))
+    out = held.select("page_id", "paragraph", text.alias("text"), down.alias("top_fraction"), F.when(F.col("words") > 0, F.col("fonts") / F.col("words")).otherwise(0.0).alias("font_size"), F.col("bold").alias("is_bold"))
     return out.where(F.col("text") != "")
 
 

@@ -2,9 +2,11 @@
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
-from test_queries import rows
+from test_queries import D, rows
 
+from foliant.operators import folding, layout
 from foliant.plans import ORACLES, QUERIES
 
 
@@ -36,3 +38,28 @@ def test_last_sections_without_text(spark, tmp_path, name):
     assert got == want
     if name == "book_quality":
         assert len(got) == 2
+
+
+def passes(df) -> int:
+    """How often rows go through Python."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_words_go_through_python_once(spark):
+    """Words to lines, and blocks to sections: two passes."""
+    assert passes(QUERIES["extracted_sections"](spark, D)) == 2
+
+
+def test_groups_are_turned_whole(monkeypatch):
+    monkeypatch.setattr(folding, "AT_ONCE", 3)
+    groups = [[], [{"k": 1, "x": 0.5, "t": "a", "b": True, "l": [1]}], [{"k": k, "x": None, "t": None, "b": None, "l": None} for k in range(5)], [], [{"k": None, "x": 2.0, "t": "ü", "b": False, "l": []}]]
+    column = pa.array([[], *groups], pa.list_(pa.struct([("k", pa.int64()), ("x", pa.float64()), ("t", pa.string()), ("b", pa.bool_()), ("l", pa.list_(pa.int64()))]))).slice(1)
+    assert list(folding._lists(column, False)) == groups
+    assert list(folding._lists(column, True)) == [[tuple(r.values()) for r in g] for g in groups]
+
+
+def test_words_of_one_height_and_words_upside_down(spark):
+    """Words as high as the one before join its line; those whose top is below their bottom touch none, not even themselves."""
+    words = [(1, 10.0, 20.0, 10.0, "b"), (1, 5.0, 20.0, 10.0, "a"), (1, 20.0, 19.0, 9.0, "c"), (1, 5.0, 1.0, 4.0, "x"), (1, 6.0, 1.0, 4.0, "y")]
+    got = layout.group_lines(spark.createDataFrame(words, "page_id long, left double, top double, bottom double, text string")).collect()
+    assert [(r.line, r.text, r.top, r.bottom, r.n_words) for r in sorted(got, key=lambda r: r.line)] == [(0, "a b c", 20.0, 9.0, 3), (1, "x", 1.0, 4.0, 1), (2, "y", 1.0, 4.0, 1)]
