@@ -85,10 +85,10 @@ def parse_books(blocks: DataFrame, settings: DataFrame, band: float = BAND, page
     inner = inside_band(blocks, band).join(limits, "book_id")
     body = inner.where(~((F.col("top_fraction") > page_number_band) & F.coalesce(number <= F.col("n_sections"), F.lit(False)))).drop("n_sections")
     cut = header_fold(body, settings=settings)
-    recovered = split_orphans(cut.select("book_id", "section_number", "content"), limits)
-    spare = cut.select("book_id", "section_number", "discarded", "page")
-    moved = rebalance_shifted(with_junk(recovered.join(spare.drop("page"), ["book_id", "section_number"], "left")))
-    held = fill_gaps(moved, limits).join(spare.drop("discarded"), ["book_id", "section_number"], "left").join(settings.select("book_id", "slug"), "book_id")
+    recovered = with_junk(split_orphans(cut, limits, "discarded string, page int"), "discarded")
+    moved = rebalance_shifted(recovered, carried="page int")
+    every = limits.select("book_id", F.explode(F.sequence(F.lit(1), F.col("n_sections").cast("int"))).alias("section_number"))
+    held = every.join(moved, ["book_id", "section_number"], "left").withColumn("content", F.coalesce("content", F.lit(MISSING))).join(settings.select("book_id", "slug"), "book_id")
     before = F.last("page", ignorenulls=True).over(Window.partitionBy("book_id").orderBy("section_number").rowsBetween(Window.unboundedPreceding, 0))
     content, real = F.col("content"), F.col("content") != MISSING
     fights = content.contains("SKILL") & content.contains("STAMINA")
@@ -234,12 +234,13 @@ def book_quality(sections: DataFrame, most: int = 400, introductions: DataFrame
     return books.select("book_id", "present", "top", "total_chars", "mean_chars", "combat", bad.alias("needs_attention"))
 
 
-def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:
+def split_orphans(sections: DataFrame, most: DataFrame, carried: str | None = None) -> DataFrame:
     """Recovers section n + 1 from the text of n where it is absent, by the first of three signals that gives a plausible text.
 
     The text after the last garbled number line; after the last folio that starts with n + 1; after the line that closes n (the
     last terminator, or the one before it if the text ends on one). Junk lines go at the ends of both parts, and numbers in
     front of the new one; n keeps some text. Sections of a book are walked in order by one task, so a run of gaps can be recovered in one pass.
+    With ``carried``, names and types of other columns, these are handed on (null for a number that had no row), and junk says which lines are junk (see with_junk).
     """
     import re
 
@@ -284,12 +285,16 @@ def split_orphans(sections: DataFrame, most: DataFrame) -> DataFrame:
             if found:
                 for k, own in zip((n, n + 1), found, strict=True):
                     parts[k], have[k] = own, "\n\n".join(x["line"] for x in own)
-        return [(n, have[n]) for n in sorted(have)]
+        if carried is None:
+            return [(n, have[n]) for n in sorted(have)]
+        other = {r["section_number"]: tuple(r[c] for c in others) for r in book}
+        return [(n, have[n], [x["junk"] for x in parts[n]], *other.get(n, (None,) * len(others))) for n in sorted(have)]
 
+    others = [c.split()[0] for c in carried.split(",")] if carried else []
     lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     flagged = F.transform(lines, lambda x: F.struct(x.alias("line"), is_junk_line(x).alias("junk"), is_terminator(x).alias("ends")))
-    rows = sections.drop("n_sections").join(most, "book_id").select("book_id", "section_number", "content", flagged.alias("parts"), "n_sections")
-    return folded(rows, "book_id", "section_number", walk, "section_number int, content string")
+    rows = sections.drop("n_sections").join(most, "book_id").select("book_id", "section_number", "content", flagged.alias("parts"), "n_sections", *others)
+    return folded(rows, "book_id", "section_number", walk, "section_number int, content string" + (f", junk array<boolean>, {carried}" if carried else ""))
 
 
 def choose_passes(candidates: DataFrame, primary: int = 250, enough: int = 400) -> DataFrame:
@@ -311,20 +316,20 @@ def choose_passes(candidates: DataFrame, primary: int = 250, enough: int = 400)
     return candidates.join(numbered.select("book_id", "mode", "dpi", "pass_id"), ["book_id", "mode", "dpi"])
 
 
-def with_junk(sections: DataFrame) -> DataFrame:
-    """sections with junk and spare_junk: for each non-blank trimmed line of content and of discarded whether it is a junk line."""
+def with_junk(sections: DataFrame, *only: str) -> DataFrame:
+    """sections with junk and spare_junk: for each non-blank trimmed line of content and of discarded (or ``only`` of one of them) whether it is a junk line."""
     lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return sections.withColumns({name: F.transform(lines(c), is_junk_line) for name, c in (("junk", "content"), ("spare_junk", "discarded")) if c in sections.columns})
+    return sections.withColumns({name: F.transform(lines(c), is_junk_line) for name, c in (("junk", "content"), ("spare_junk", "discarded")) if c in (only or sections.columns)})
 
 
-def rebalance_shifted(sections: DataFrame, most: int = 400) -> DataFrame:
+def rebalance_shifted(sections: DataFrame, most: int = 400, carried: str | None = None) -> DataFrame:
     """Sections (book_id, section_number, content, discarded, junk, spare_junk) where a misread header moved a text up by one number.
 
     junk, spare_junk: see with_junk. If n is degraded (under 250 characters or
     junk in front), n + 1 is absent and n + 2 has an inner line that is n + 1, the text before that line goes to n and the
     text after it to n + 1; n + 2 keeps the text that was discarded for it, if plausible, else the placeholder; a text put
     back can be split again in its turn. A book
-    (at most ``most`` sections) is walked by one task, as each step sees the ones before it.
+    (at most ``most`` sections) is walked by one task, as each step sees the ones before it. ``carried``: see split_orphans.
     """
 
     def plausible(parts: list[str]) -> bool:
@@ -358,7 +363,9 @@ def rebalance_shifted(sections: DataFrame, most: int = 400) -> DataFrame:
                 back = spare.get(n + 2)
                 usable = back and plausible(lines_of(back))
                 text[n + 2], junk[n + 2] = (back, spare_junk[n + 2]) if usable else (MISSING, [])
-        return [(n, text[n]) for n in sorted(text)]
+        other = {r["section_number"]: tuple(r[c] for c in others) for r in book}
+        return [(n, text[n], *other.get(n, (None,) * len(others))) for n in sorted(text)]
 
-    rows = sections.select("book_id", "section_number", "content", "junk", "discarded", "spare_junk")
-    return folded(rows, "book_id", "section_number", walk, "section_number int, content string")
+    others = [c.split()[0] for c in carried.split(",")] if carried else []
+    rows = sections.select("book_id", "section_number", "content", "junk", "discarded", "spare_junk", *others)
+    return folded(rows, "book_id", "section_number", walk, "section_number int, content string" + (f", {carried}" if carried else ""))

@@ -63,3 +63,8 @@ def test_words_of_one_height_and_words_upside_down(spark):
     words = [(1, 10.0, 20.0, 10.0, "b"), (1, 5.0, 20.0, 10.0, "a"), (1, 20.0, 19.0, 9.0, "c"), (1, 5.0, 1.0, 4.0, "x"), (1, 6.0, 1.0, 4.0, "y")]
     got = layout.group_lines(spark.createDataFrame(words, "page_id long, left double, top double, bottom double, text string")).collect()
     assert [(r.line, r.text, r.top, r.bottom, r.n_words) for r in sorted(got, key=lambda r: r.line)] == [(0, "a b c", 20.0, 9.0, 3), (1, "x", 1.0, 4.0, 1), (2, "y", 1.0, 4.0, 1)]
+
+
+def test_books_go_through_python_three_times(spark):
+    """Headers, lost sections, shifted ones: each book's blocks are folded once."""
+    assert passes(QUERIES["parsed_books"](spark, D)) == 3
